@@ -157,24 +157,17 @@ def skeleton_edges() -> list[tuple[int, int]]:
 
 
 def bone_pairs(root: int = 0, n: int = 27) -> list[tuple[int, int]]:
-    """(parent, child) pairs: breadth-first from the root along the edges."""
-    near: dict[int, list[int]] = {i: [] for i in range(n)}
-    for a, b in skeleton_edges():
-        near[a].append(b)
-        near[b].append(a)
-    seen, queue, pairs = {root}, [root], []
-    while queue:
-        at = queue.pop(0)
-        for nxt in sorted(near[at]):
-            if nxt not in seen:
-                seen.add(nxt)
-                queue.append(nxt)
-                pairs.append((at, nxt))
-    return pairs
+    """(parent, child) of every edge: the end nearer to the root is the parent, ties keep edge order."""
+    edges = skeleton_edges()
+    hops = {root: 0}
+    for step in range(1, n):
+        ring = {b if a in hops else a for a, b in edges if (a in hops) != (b in hops)}
+        hops.update(dict.fromkeys(ring, step))
+    return [(a, b) if hops[a] <= hops[b] else (b, a) for a, b in edges]
 
 
 def bones(frame: Column, pairs: list[tuple[int, int]] | None = None) -> Column:
-    """Child minus parent at every child joint, 0 at the root."""
+    """Child minus parent at every child joint (its last listed parent), 0 at the root."""
     pairs = bone_pairs() if pairs is None else pairs
     parent = {c: p for p, c in pairs}
     n = max(parent) + 1
