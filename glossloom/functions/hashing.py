@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.functions.bind import let
+
 
 def seeded_order(*parts: Column | str | int) -> Column:
     """Fixed pseudo-random sort key: md5 of the parts joined by '|'."""
@@ -50,8 +52,9 @@ def hamming_hex(a: Column, b: Column) -> Column:
 
 def average_hash_bits(values: Column) -> Column:
     """'0'/'1' string: is each value above the mean of the array?"""
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
-    return F.array_join(F.transform(values, lambda x: F.when(x > mean, F.lit("1")).otherwise(F.lit("0"))), "")
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+    bits = lambda v, m: F.transform(v, lambda x: F.when(x > m, F.lit("1")).otherwise(F.lit("0")))
+    return F.array_join(let(values, lambda v: let(mean(v), lambda m: bits(v, m))), "")
 
 
 def average_hash(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossloom import fixed
+from glossloom.functions.bind import let
 
 LEFT, RIGHT, FACE = fixed.N_POSE, fixed.N_POSE + fixed.N_HAND, fixed.N_POSE + 2 * fixed.N_HAND
 
@@ -73,11 +74,6 @@ def present(p: Column) -> Column:
     return (F.abs(p["x"]) + F.abs(p["y"]) + F.abs(p["z"])) > 0
 
 
-def _let(value: Column, body) -> Column:
-    """Names an intermediate value, so that it is computed once per row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def normalize_position(frame: Column) -> Column:
     """Mid-hip (else mid-shoulder) to the origin, shoulder width to 1, present points only."""
     lh, rh, ls, rs = (F.get(frame, i) for i in (23, 24, 11, 12))
@@ -92,7 +88,7 @@ def normalize_position(frame: Column) -> Column:
             frame, lambda p: F.when(present(p), xyz(*[(p[c] - o[c]) / s for c in "xyz"])).otherwise(p)
         )
 
-    return _let(F.struct(origin.alias("o"), scale.alias("s")), move)
+    return let(F.struct(origin.alias("o"), scale.alias("s")), move)
 
 
 def center_joints(frames: Column) -> Column:
@@ -111,9 +107,9 @@ def center_joints(frames: Column) -> Column:
         mean = total(values) / F.size(values)
         spread = F.sqrt(total(F.transform(values, lambda v: v * v)) / F.size(values) - mean * mean)
         scale = F.when(width.isNull() | F.isnan(width) | (width < 1e-4), spread * 2 + F.lit(1e-3)).otherwise(width)
-        return _let(scale, lambda s: F.transform(x, lambda f: F.transform(f, lambda p: xyz(*[p[c] / s for c in "xyz"]))))
+        return let(scale, lambda s: F.transform(x, lambda f: F.transform(f, lambda p: xyz(*[p[c] / s for c in "xyz"]))))
 
-    return _let(F.transform(frames, move), scaled)
+    return let(F.transform(frames, move), scaled)
 
 
 def hand_shape(hand: Column, mirror: bool = False) -> Column:
@@ -129,11 +125,11 @@ def hand_shape(hand: Column, mirror: bool = False) -> Column:
 
         def sized(lo: Column) -> Column:
             size = F.greatest(F.array_max(F.transform(lo, lambda p: F.hypot(p["x"], p["y"]))), F.lit(1e-3))
-            return _let(size, lambda s: F.transform(lo, lambda p: xyz(*[p[c] / s for c in "xyz"])))
+            return let(size, lambda s: F.transform(lo, lambda p: xyz(*[p[c] / s for c in "xyz"])))
 
-        return _let(local, sized)
+        return let(local, sized)
 
-    return _let(turned, shape)
+    return let(turned, shape)
 
 
 def hand_seen(hand: Column) -> Column:

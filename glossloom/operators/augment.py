@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.functions.bind import let
 from glossloom.functions.hashing import seeded_order, unit_interval
 from glossloom.functions.points import present, xyz
 
@@ -69,7 +70,7 @@ def augment_points(
 
         return F.transform(frame, one)
 
-    return F.element_at(F.transform(F.array(k), move), 1)
+    return let(k, move)
 
 
 def coordinate_noise(arr: Column, std: float, *salt) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.functions.hashing import hamming64
@@ -47,8 +47,10 @@ def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def _piece(h: Column, lo: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << width) - 1)).cast("string")
+def _pieces(cells: list[tuple[int, int]]) -> str:
+    """SQL text that joins some bit ranges of h."""
+    cut = (f"shiftrightunsigned(h, {lo}) & {(1 << width) - 1}L" for lo, width in cells)
+    return "concat_ws('_', " + ", ".join(cut) + ")"
 
 
 def near_pairs(hashes: DataFrame, group: list[str], h: str = "h", max_distance: int = 3, hot: int = 2_000) -> DataFrame:
@@ -62,23 +64,18 @@ def near_pairs(hashes: DataFrame, group: list[str], h: str = "h", max_distance:
     """
     d = max_distance
     blocks = _blocks(64, d + 3)
-    col = F.col(h)
     keys, strips = [], []
     for i, chosen in enumerate(combinations(range(len(blocks)), 3)):
-        keys.append(F.struct(F.lit(i).alias("t"), F.concat_ws("_", *[_piece(col, *blocks[j]) for j in chosen]).alias("k")))
+        keys.append(f"named_struct('t', {i}, 'k', {_pieces([blocks[j] for j in chosen])})")
         rest = [blocks[j] for j in range(len(blocks)) if j not in chosen]
         cells = [(lo + o, w) for lo, width in rest for o, w in _blocks(width, max(1, -(-(d + 1) // len(rest))))]
-        strips.append([cells[s :: d + 1] for s in range(d + 1)])
-    keyed = hashes.select(*group, col.alias("h"), F.explode(F.array(*keys)).alias("_k")).select(*group, "h", "_k.t", "_k.k")
+        parts = [f"concat('{s}:', {_pieces(cells[s :: d + 1])})" for s in range(d + 1)]
+        strips.append(f"WHEN t = {i} THEN array({', '.join(parts)})")
+    keyed = hashes.select(*group, F.col(h).alias("h")).select(*group, "h", F.explode(F.expr(f"array({', '.join(keys)})")).alias("_k"))
+    keyed = keyed.select(*group, "h", "_k.t", "_k.k")
     sizes = keyed.groupBy(*group, "t", "k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
     sized = keyed.join(sizes, [*group, "t", "k"])
-    sub = None
-    for i, table in enumerate(strips):
-        arr = F.array(
-            *[F.concat(F.lit(f"{s}:"), F.concat_ws("_", *[_piece(F.col("h"), lo, w) for lo, w in cells])) for s, cells in enumerate(table)]
-        )
-        sub = F.when(F.col("t") == i, arr) if sub is None else sub.when(F.col("t") == i, arr)
-    strip = F.when(F.col("_n") > hot, sub).otherwise(F.array(F.lit("")))
+    strip = F.expr(f"CASE WHEN _n <= {hot} THEN array('') {' '.join(strips)} END")
     cells = sized.select(*group, "t", "k", F.explode(strip).alias("s"), "h")
     on = [*group, "t", "k", "s"]
     pairs = cells.withColumnRenamed("h", "h_a").join(cells.withColumnRenamed("h", "h_b"), on).filter(F.col("h_a") < F.col("h_b"))

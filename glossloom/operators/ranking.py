@@ -47,7 +47,7 @@ def time_rank(
     The span follows from one small aggregate (count, min, max), so that a
     bucket holds about rows_per_bucket rows even if one group has most of them.
     """
-    seconds = F.unix_micros(F.col(ts)) / F.lit(1e6)
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
     n, lo, hi = df.agg(F.count(F.lit(1)), F.min(seconds), F.max(seconds)).first()
     buckets = max(1, -(-n // rows_per_bucket))
     width = max(((hi or 0.0) - (lo or 0.0)) / buckets, 1e-6)

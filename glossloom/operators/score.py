@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.functions.bind import let
 from glossloom.functions.stats import bootstrap_metric, wilson
-from glossloom.operators.joins import small_side
+
+# A prototype table is broadcast up to this size.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def unit(vec: Column) -> Column:
     """Vector divided by its length plus 1e-8."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-8)
-    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(vec, lambda x: x / n)), 1)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + F.lit(1e-8)
+    return let(vec, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,20 +31,23 @@ def prototypes(train: DataFrame, by: list[str], label: str, vec: str) -> DataFra
 
 
 def nearest_prototype(
-    items: DataFrame, protos: DataFrame, by: list[str], label: str, vec: str, top: int = 5, block: int = 2_000
+    items: DataFrame, protos: DataFrame, by: list[str], label: str, vec: str, n_classes: int, n_groups: int = 1,
+    dims: int = 64, top: int = 5, block: int = 2_000,
 ) -> DataFrame:
-    """Adds `ranked`: the `top` best classes by cosine, ties to the lower label.
+    """Adds `ranked`: the `top` best classes by cosine, ties to the lower label, and `pred`.
 
-    Classes are packed into blocks of at most `block` prototypes. Usually one block
-    per group is enough and items are scored in place; with more, every item meets
-    each block and the best classes are merged.
+    Classes are packed into blocks of at most about `block` prototypes. Usually one
+    block per group is enough and items are scored in place; with more, every item
+    meets each block and the best classes are merged. The packed table is broadcast
+    only while its size, known from the counts, is small.
     """
-    n_blocks = protos.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    n_blocks = -(-n_blocks // block)
+    n_blocks = max(1, -(-n_classes // block))
     packed = protos.withColumn("_b", F.pmod(F.xxhash64(label), F.lit(n_blocks)))
     packed = packed.groupBy(*by, "_b").agg(F.collect_list(F.struct(F.col(label).alias("c"), F.col("proto").alias("p"))).alias("_ps"))
+    if n_groups * n_classes * dims * 8 <= BROADCAST_BYTES:
+        packed = F.broadcast(packed)
     rows = items.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    joined = rows.withColumn("_u", unit(F.col(vec))).join(small_side(packed, max(1, 20_000 // block)), [*by, "_b"])
+    joined = rows.withColumn("_u", unit(F.col(vec))).join(packed, [*by, "_b"])
     best = F.slice(
         F.array_sort(F.transform("_ps", lambda e: F.struct((-dot(e["p"], F.col("_u"))).alias("s"), e["c"].alias("c")))), 1, top
     )
@@ -50,7 +56,7 @@ def nearest_prototype(
         keep = [c for c in items.columns if c != vec]
         scored = scored.groupBy(*keep).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, top).alias("_best"))
     return scored.withColumn("ranked", F.transform("_best", lambda e: e["c"])).withColumn(
-        "pred", F.get("ranked", 0)
+        "pred", F.get("ranked", F.lit(0))
     ).drop("_best")
 
 
