@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossloom import fixed
-from glossloom.functions.bind import let
+from glossloom.functions.bind import bound, let
 
 LEFT, RIGHT, FACE = fixed.N_POSE, fixed.N_POSE + fixed.N_HAND, fixed.N_POSE + 2 * fixed.N_HAND
 
 
+@bound
 def from_face_first(frame: Column) -> Column:
     """(face, left, pose, right) order to storage order (pose, left, right, face)."""
     left, pose = fixed.N_FACE, fixed.N_FACE + fixed.N_HAND
@@ -21,6 +22,7 @@ def from_face_first(frame: Column) -> Column:
     )
 
 
+@bound
 def to_face_first(frame: Column) -> Column:
     return F.concat(
         F.slice(frame, FACE + 1, fixed.N_FACE), F.slice(frame, LEFT + 1, fixed.N_HAND),
@@ -37,6 +39,7 @@ def joint_rows() -> list[int]:
     return [*fixed.POSE_JOINTS, *hands]
 
 
+@bound
 def pick(frame: Column, rows: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(r) for r in rows]), lambda i: F.get(frame, i))
 
@@ -74,6 +77,7 @@ def present(p: Column) -> Column:
     return (F.abs(p["x"]) + F.abs(p["y"]) + F.abs(p["z"])) > 0
 
 
+@bound
 def normalize_position(frame: Column) -> Column:
     """Mid-hip (else mid-shoulder) to the origin, shoulder width to 1, present points only."""
     lh, rh, ls, rs = (F.get(frame, i) for i in (23, 24, 11, 12))
@@ -91,12 +95,14 @@ def normalize_position(frame: Column) -> Column:
     return let(F.struct(origin.alias("o"), scale.alias("s")), move)
 
 
+@bound
 def center_joints(frames: Column) -> Column:
     """Root joint to the origin in every frame, mean shoulder width of the clip to 1.
 
     Clips without a usable shoulder width are scaled by twice their spread.
     """
-    move = lambda f: F.transform(f, lambda p: xyz(*[p[c] - F.get(f, 0)[c] for c in "xyz"]))
+    centred = lambda f, r: F.transform(f, lambda p: xyz(*[p[c] - r[c] for c in "xyz"]))
+    move = lambda f: let(F.get(f, 0), lambda r: centred(f, r))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
     def scaled(x: Column) -> Column:
@@ -112,6 +118,7 @@ def center_joints(frames: Column) -> Column:
     return let(F.transform(frames, move), scaled)
 
 
+@bound
 def hand_shape(hand: Column, mirror: bool = False) -> Column:
     """Wrist-relative points divided by the largest planar radius; missing points stay 0."""
     sign = F.lit(-1.0 if mirror else 1.0)
@@ -136,6 +143,7 @@ def hand_seen(hand: Column) -> Column:
     return F.exists(hand, present)
 
 
+@bound
 def face_relative(face: Column, nose: int = len(fixed.LIP_POINTS)) -> Column:
     """Face points relative to the nose; missing points stay 0."""
     n = F.get(face, nose)
@@ -162,6 +170,7 @@ def bone_pairs(root: int = 0, n: int = 27) -> list[tuple[int, int]]:
     return [(a, b) if hops[a] <= hops[b] else (b, a) for a, b in edges]
 
 
+@bound
 def bones(frame: Column, pairs: list[tuple[int, int]] | None = None) -> Column:
     """Child minus parent at every child joint (its last listed parent), 0 at the root."""
     pairs = bone_pairs() if pairs is None else pairs

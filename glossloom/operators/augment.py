@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.functions.bind import let
+from glossloom.functions.bind import bound, let
 from glossloom.functions.hashing import seeded_order, unit_interval
 from glossloom.functions.points import present, xyz
 
@@ -28,6 +28,7 @@ def gaussian(*salt) -> Column:
     return F.sqrt(-2 * F.ln(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
+@bound
 def time_warp(arr: Column, speed: Column, shift: Column) -> Column:
     """Speed change around the middle and a shift in frames; ends are held (not circular)."""
     n = F.size(arr)

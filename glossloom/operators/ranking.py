@@ -20,11 +20,11 @@ def _ranked(df: DataFrame, by: list[str], bucket: str, order: list[Column], out:
     if total:
         cols.append(F.sum("_n").over(Window.partitionBy(*by)).alias(total))
     offsets = sizes.select(*by, bucket, *cols)
-    local = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
+    local = df.withColumn("_in_bucket", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
     return (
         local.join(offsets, [*by, bucket])
-        .withColumn(out, (F.col("_r") + F.col("_off")).cast("bigint"))
-        .drop("_r", "_off", bucket)
+        .withColumn(out, (F.col("_in_bucket") + F.col("_off")).cast("bigint"))
+        .drop("_in_bucket", "_off", bucket)
     )
 
 

@@ -22,7 +22,8 @@ def cut_clips(df: DataFrame, by: list[str], ts: str, ties: list[str], frames: in
 def clip_arrays(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """One row per clip with an array per column, in frame order (bounded by the clip length)."""
     packed = df.groupBy(*by, "clip").agg(F.array_sort(F.collect_list(F.struct("frame", *columns))).alias("_f"))
-    return packed.select(*by, "clip", *[F.transform("_f", lambda e, c=c: e[c]).alias(c) for c in columns])
+    field = lambda c: F.transform("_f", lambda e: e[c]).alias(c)
+    return packed.select(*by, "clip", *[field(c) for c in columns])
 
 
 def clip_window(by: list[str]) -> Window:

@@ -1 +1,386 @@
-"""stub"""
+"""Queries on trajectories, frames of points and augmentation."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from glossloom import fixed
+from glossloom.functions import points, sequence
+from glossloom.operators import augment, reports, series
+from glossloom.plans import views
+from glossloom.plans.registry import query
+from glossloom.plans.views import with_views
+from glossloom.sources import landmarks
+
+USER = ["user_id"]
+CLIP = ["user_id", "clip"]
+
+
+def _arrays(spark, d, *cols):
+    return series.clip_arrays(views.frames(spark, d), USER, list(cols or ("value",)))
+
+
+_ARR = ", arr AS (SELECT user_id, clip, list(value ORDER BY frame) AS v, list(k ORDER BY frame) AS ks, count(*) AS n FROM frames GROUP BY ALL)"
+
+
+def _long(df, arr, name="x"):
+    """One row per array element with its position; values rounded."""
+    return df.select(*CLIP, F.posexplode(arr).alias("i", name)).withColumn(name, F.round(name, 6))
+
+
+@query("kinematics", with_views("frames", body="""
+    , v AS (SELECT *, coalesce(value - lag(value) OVER w, lead(value) OVER w - value) AS vel FROM frames WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame))
+    SELECT event_id, clip, frame, round(vel, 6) AS vel, round(coalesce(vel - lag(vel) OVER w, lead(vel) OVER w - vel), 6) AS acc
+    FROM v WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame)"""))
+def kinematics(spark, d):
+    rows = series.kinematics(views.frames(spark, d), USER, "value")
+    return rows.select("event_id", "clip", "frame", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
+
+
+@query("finite_diff_arrays", with_views("frames", body=_ARR + """
+    SELECT user_id, clip, CAST(i - 1 AS INTEGER) AS i, round(v[greatest(i, 2)] - v[greatest(i, 2) - 1], 6) AS x FROM (
+      SELECT *, unnest(range(1, n + 1)) AS i FROM arr WHERE n >= 2)"""))
+def finite_diff_arrays(spark, d):
+    return _long(_arrays(spark, d), sequence.finite_diff(F.col("value")))
+
+
+@query("masked_velocity", with_views("frames", body="""
+    SELECT event_id, round(CASE WHEN k > 25 AND coalesce(lag(k > 25) OVER w, false) THEN value - lag(value) OVER w ELSE 0 END, 6) AS vel
+    FROM frames WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame)"""))
+def masked_velocity(spark, d):
+    rows = series.masked_velocity(views.frames(spark, d), USER, "value", F.col("k") > 25)
+    return rows.select("event_id", F.round("vel", 6).alias("vel"))
+
+
+@query("resample_30", with_views("frames", body=_ARR + """
+    SELECT user_id, clip, CAST(i AS INTEGER) AS i, round(v[1 + CASE WHEN n >= 30 THEN (i * (n - 1)) // 29 ELSE least(i, n - 1) END], 6) AS x
+    FROM (SELECT *, unnest(range(30)) AS i FROM arr)"""))
+def resample_30(spark, d):
+    return _long(_arrays(spark, d), sequence.resample(F.col("value")))
+
+
+@query("trim_ends", with_views("frames", body="""
+    , b AS (SELECT *, min(frame) FILTER (k > 60) OVER w AS a, max(frame) FILTER (k > 60) OVER w AS z, count(*) FILTER (k > 60) OVER w AS c
+      FROM frames WINDOW w AS (PARTITION BY user_id, clip))
+    SELECT event_id, clip, frame FROM b WHERE c < 4 OR frame BETWEEN a AND z"""))
+def trim_ends(spark, d):
+    rows = series.trim_clips(views.frames(spark, d), USER, F.col("k") > 60)
+    return rows.select("event_id", "clip", "frame")
+
+
+@query("trim_arrays", with_views("frames", body="""
+    , b AS (SELECT *, min(frame) FILTER (k > 60) OVER w AS a, max(frame) FILTER (k > 60) OVER w AS z, count(*) FILTER (k > 60) OVER w AS c
+      FROM frames WINDOW w AS (PARTITION BY user_id, clip))
+    SELECT user_id, clip, CAST(row_number() OVER (PARTITION BY user_id, clip ORDER BY frame) - 1 AS INTEGER) AS i, round(value, 6) AS x
+    FROM b WHERE c < 4 OR frame BETWEEN a AND z"""))
+def trim_arrays(spark, d):
+    rows = _arrays(spark, d, "value", "k")
+    return _long(rows, sequence.trim_ends(F.col("value"), F.transform("k", lambda k: k > 60)))
+
+
+@query("gap_fill", with_views("frames", body="""
+    , g AS (SELECT *, CASE WHEN k < 70 THEN value END AS v, CASE WHEN k < 70 THEN frame END AS f FROM frames),
+    s AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS lv, last_value(f IGNORE NULLS) OVER a AS lf,
+      first_value(v IGNORE NULLS) OVER z AS rv, first_value(f IGNORE NULLS) OVER z AS rf FROM g
+      WINDOW a AS (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             z AS (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(coalesce(v, lv + (rv - lv) * (frame - lf) / nullif(rf - lf, 0), lv, rv), 6) AS filled FROM s"""))
+def gap_fill(spark, d):
+    rows = views.frames(spark, d).withColumn("v", F.when(F.col("k") < 70, F.col("value")))
+    return series.gap_fill(rows, USER, "v").select("event_id", F.round("filled", 6).alias("filled"))
+
+
+@query("sliding_fft", with_views("frames", body=_ARR + """
+    , w AS (SELECT user_id, clip, n, v, t, greatest(4, least(8, n)) AS win, unnest([0]) AS z FROM (SELECT *, unnest(range(n)) AS t FROM arr)),
+    s AS (SELECT *, least(win, n) AS len, greatest(0, least(n, greatest(0, t - win // 2) + win) - win) AS st FROM w),
+    p AS (SELECT *, v[st + 1:st + len] AS part FROM s),
+    f AS (SELECT user_id, clip, t, k,
+      list_sum(list_transform(range(len), lambda j: part[j + 1] * cos(2 * pi() * k * j / len))) AS re,
+      list_sum(list_transform(range(len), lambda j: -part[j + 1] * sin(2 * pi() * k * j / len))) AS im FROM (SELECT *, unnest(range(len // 2 + 1)) AS k FROM p))
+    SELECT user_id, clip, CAST(t AS INTEGER) AS i, round(max(sqrt(re * re + im * im)), 6) AS mag,
+      round(arg_max(atan2(im, re), sqrt(re * re + im * im)), 6) AS phase FROM f GROUP BY ALL"""))
+def sliding_fft(spark, d):
+    rows = _arrays(spark, d).select(*CLIP, F.posexplode(sequence.sliding_peak(F.col("value"))).alias("i", "p"))
+    return rows.select(*CLIP, "i", F.round("p.mag", 6).alias("mag"), F.round("p.phase", 6).alias("phase"))
+
+
+@query("hankel_rows", with_views("frames", body=_ARR + """
+    SELECT user_id, clip, CAST(i AS INTEGER) AS i, n - 7 AS cols, round(list_sum(v[i + 1:i + n - 7]), 6) AS total
+    FROM (SELECT *, unnest(range(8)) AS i FROM arr WHERE n >= 8)"""))
+def hankel_rows(spark, d):
+    rows = _arrays(spark, d).filter(F.size("value") >= 8)
+    rows = rows.select(*CLIP, F.posexplode(sequence.hankel(F.col("value"))).alias("i", "row"))
+    total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
+    return rows.select(*CLIP, "i", F.size("row").cast("bigint").alias("cols"), F.round(total, 6).alias("total"))
+
+
+def _kalman_sql(src: str, name: str) -> str:
+    return f"""{name} AS (
+      SELECT user_id, clip, n, 1 AS t, v, p0 + k0 * (v[1] - p0) AS pos, k1 * (v[1] - p0) AS vel, (1 - k0) * a AS a,
+        0.5 * ((1 - k0) * b + (b - k1 * a)) AS b, c - k1 * b AS c, [p0 + k0 * (v[1] - p0)] AS o FROM (
+        SELECT *, a / (a + 0.015) AS k0, b / (a + 0.015) AS k1 FROM (SELECT user_id, clip, n, v, v[1] AS p0, 2 + 0.0002 AS a, 1 + 0.0004 AS b, 1 + 0.0008 AS c FROM {src}))
+      UNION ALL
+      SELECT user_id, clip, n, t + 1, v, pp + k0 * (v[t + 1] - pp), vel + k1 * (v[t + 1] - pp), (1 - k0) * a, 0.5 * ((1 - k0) * b + (b - k1 * a)), c - k1 * b,
+        list_append(o, pp + k0 * (v[t + 1] - pp)) FROM (
+        SELECT *, a / (a + 0.015) AS k0, b / (a + 0.015) AS k1 FROM (
+          SELECT user_id, clip, n, t, v, o, vel, pos + vel AS pp, a + 2 * b + c + 0.0002 AS a, b + c + 0.0004 AS b, c + 0.0008 AS c FROM {name} WHERE t < n)))"""
+
+
+@query("kalman_smooth", with_views("frames", body=_ARR + ", " + _kalman_sql("arr", "fw") + """
+    , rev AS (SELECT user_id, clip, n, list_reverse(o) AS v FROM fw WHERE t = n), """ + _kalman_sql("rev", "bw") + """
+    SELECT f.user_id, f.clip, CAST(i AS INTEGER) AS i, round((f.o[i + 1] + b.o[f.n - i]) / 2, 6) AS x
+    FROM (SELECT *, unnest(range(n)) AS i FROM fw WHERE t = n) f JOIN (SELECT * FROM bw WHERE t = n) b ON f.user_id = b.user_id AND f.clip = b.clip"""))
+def kalman_smooth(spark, d):
+    return _long(_arrays(spark, d), sequence.kalman_smooth(F.col("value")))
+
+
+@query("cwt_bands")
+def cwt_bands(spark, d):
+    rows = _arrays(spark, d).withColumn("bands", sequence.cwt_bands(F.col("value")))
+    return rows.select(*CLIP, F.posexplode("bands").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("hankel_dmd")
+def hankel_dmd(spark, d):
+    rows = _arrays(spark, d).select(*CLIP, sequence.hankel_dmd(F.col("value")).alias("m"), sequence.kinetic_energy(F.col("value")).alias("energy"))
+    return rows.select(*CLIP, F.posexplode(sequence.spectrum_features(F.col("m"))).alias("i", "x"), "energy")
+
+
+@query("kinetic_energy", with_views("frames", body="""
+    , v AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY user_id, clip ORDER BY frame), 0) AS dv FROM frames)
+    SELECT user_id, clip, round(sqrt(avg(dv * dv)), 6) AS energy FROM v GROUP BY ALL"""))
+def kinetic_energy(spark, d):
+    return _arrays(spark, d).select(*CLIP, F.round(sequence.kinetic_energy(F.col("value")), 6).alias("energy"))
+
+
+@query("rolling_loss", with_views("frames", body="""
+    SELECT event_id, round(avg(value) OVER (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 7) AS rolling FROM frames"""))
+def rolling_loss(spark, d):
+    rows = series.rolling_mean(views.frames(spark, d), USER, "value")
+    return rows.select("event_id", F.round("rolling", 7).alias("rolling"))
+
+
+@query("best_epoch", with_views("frames", body="""
+    , t AS (SELECT *, max(k) OVER (PARTITION BY user_id, clip ORDER BY frame) AS top FROM frames),
+    b AS (SELECT *, max(CASE WHEN k = top THEN frame END) OVER (PARTITION BY user_id, clip ORDER BY frame) AS best FROM t),
+    s AS (SELECT *, min(CASE WHEN frame - best >= 10 THEN frame END) OVER (PARTITION BY user_id, clip) AS stop FROM b)
+    SELECT user_id, clip, max(k) AS best_score, arg_max(frame, k * 1000 + frame) AS best_epoch, max(frame) AS last_epoch, bool_or(stop IS NOT NULL) AS stopped_early
+    FROM s WHERE stop IS NULL OR frame <= stop GROUP BY ALL"""))
+def best_epoch(spark, d):
+    return series.best_epoch(views.frames(spark, d), USER, "k", 10)
+
+
+@query("frame_decimation", with_views("frames", body="""
+    , s AS (SELECT *, greatest(1, CAST(round_even((CASE WHEN first_value(k) OVER w = 0 THEN 30.0 ELSE first_value(k) OVER w END) / 15.0, 0) AS INTEGER)) AS stride
+      FROM frames WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame))
+    SELECT event_id, stride FROM s WHERE frame % stride = 0 AND frame / stride < 256"""))
+def frame_decimation(spark, d):
+    rows = views.frames(spark, d)
+    fps = F.first("k").over(series.clip_window(USER))
+    rows = rows.withColumn("stride", sequence.auto_stride(fps))
+    return rows.filter(sequence.keep_frame(F.col("frame"), F.col("stride"))).select("event_id", "stride")
+
+
+@query("fourier_map", with_views("emb", body="""
+    SELECT vec_id, round(list_sum(list_transform(vec[1:3], lambda x: x + sin(pi() * x) + sin(2 * pi() * x) + cos(pi() * x) + cos(2 * pi() * x))), 6) AS total,
+      round(sin(2 * pi() * vec[1]), 6) AS second_sine FROM emb"""))
+def fourier_map(spark, d):
+    coded = sequence.fourier_map(F.slice("vec", 1, 3), 2)
+    rows = views.embeddings(spark, d).select("vec_id", coded.alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
+    return rows.select("vec_id", F.round(total, 6).alias("total"), F.round(F.get("c", F.lit(4)), 6).alias("second_sine"))
+
+
+def _unit(salt: str) -> str:
+    return f"(('0x' || md5({salt})[1:12])::BIGINT / 281474976710656.0)"
+
+
+_WARP_SALT = "'9|' || user_id || '|' || clip || '|' || copy || '|"
+
+
+@query("augment_warp", with_views("frames", body=_ARR + f"""
+    , c AS (SELECT *, 0.8 + 0.4 * {_unit(_WARP_SALT + "speed'")} AS speed, (-0.15 + 0.3 * {_unit(_WARP_SALT + "shift'")}) * n AS shift
+      FROM (SELECT *, unnest([0, 1, 2]) AS copy FROM arr))
+    SELECT user_id, clip, CAST(copy AS INTEGER) AS copy, CAST(i AS INTEGER) AS i, round(CASE WHEN n < 2 THEN v[1] ELSE
+      v[1 + CAST(greatest(0, least(n - 1, round_even((i - (n - 1) / 2.0) * speed + (n - 1) / 2.0 + shift, 0))) AS INTEGER)] END, 6) AS x
+    FROM (SELECT *, unnest(range(n)) AS i FROM c)"""))
+def augment_warp(spark, d):
+    rows = augment.copies(_arrays(spark, d), 3)
+    salt = (9, F.col("user_id"), F.col("clip"), F.col("copy"))
+    speed, shift = augment.warp_params(F.size("value"), *salt)
+    rows = rows.withColumn("speed", speed).withColumn("shift", shift)
+    warped = augment.time_warp(F.col("value"), F.col("speed"), F.col("shift"))
+    return rows.select(*CLIP, "copy", F.posexplode(warped).alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("augment_noise", with_views("frames", body=_ARR + f"""
+    SELECT user_id, clip, CAST(i AS INTEGER) AS i, round(CASE WHEN v[i + 1] <> 0 THEN v[i + 1] + 0.01 * g ELSE v[i + 1] END, 6) AS added,
+      round(v[i + 1] * (1 + 0.05 * g), 6) AS scaled FROM (
+      SELECT *, sqrt(-2 * ln(greatest({_unit("'4|' || user_id || '|' || clip || '|' || i || '|u1'")}, 1e-12))) * cos(2 * pi() * {_unit("'4|' || user_id || '|' || clip || '|' || i || '|u2'")}) AS g
+      FROM (SELECT *, unnest(range(n)) AS i FROM arr))"""))
+def augment_noise(spark, d):
+    salt = (4, F.col("user_id"), F.col("clip"))
+    both = F.arrays_zip(
+        augment.coordinate_noise(F.col("value"), 0.01, *salt).alias("a"), augment.feature_noise(F.col("value"), 0.05, *salt).alias("s")
+    )
+    rows = _arrays(spark, d).select(*CLIP, F.posexplode(both).alias("i", "b"))
+    return rows.select(*CLIP, "i", F.round("b.a", 6).alias("added"), F.round("b.s", 6).alias("scaled"))
+
+
+def _sums(frame, prefix):
+    """Position-weighted coordinate sums, which see every change of order or value."""
+    def one(c):
+        weighted = F.transform(frame, lambda p, i: F.coalesce(p[c], F.lit(0.0)) * (i + 1))
+        return F.round(F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v), 6).alias(f"{prefix}_{c}")
+
+    return [one(c) for c in "xyz"]
+
+
+_PT = """, pt AS (SELECT vec_id, t, j, CASE WHEN j BETWEEN 33 AND 74 AND (t + vec_id) % 4 = 0 THEN NULL ELSE [vec[1 + (3 * j + 8 * t) % 64],
+      vec[1 + (3 * j + 8 * t + 1) % 64], vec[1 + (3 * j + 8 * t + 2) % 64]] END AS p
+    FROM emb CROSS JOIN (SELECT unnest(range(8)) AS t) CROSS JOIN (SELECT unnest(range(543)) AS j))"""
+_RED = f", red AS (SELECT unnest({points.reduced_rows()}) AS j, unnest(range(119)) AS o)"
+_JNT = f", jnt AS (SELECT unnest({points.joint_rows()}) AS j, unnest(range(27)) AS o)"
+_WSUM = "round(coalesce(sum({p}[1] * (o + 1)), 0), 6) AS {n}_x, round(coalesce(sum({p}[2] * (o + 1)), 0), 6) AS {n}_y, round(coalesce(sum({p}[3] * (o + 1)), 0), 6) AS {n}_z"
+
+
+@query("point_layouts", with_views("emb", body=_PT + _RED + _JNT + f""",
+    a AS (SELECT vec_id, {_WSUM.format(p='p', n='storage')} FROM (SELECT *, CASE WHEN j < 468 THEN j + 75 WHEN j < 489 THEN j - 468 + 33 WHEN j < 522 THEN j - 489 ELSE j - 522 + 54 END AS o FROM pt WHERE t = 1) GROUP BY 1),
+    b AS (SELECT vec_id, {_WSUM.format(p='p', n='reduced')} FROM pt JOIN red USING (j) WHERE t = 1 GROUP BY 1),
+    c AS (SELECT vec_id, {_WSUM.format(p='p', n='joints')} FROM pt JOIN jnt USING (j) WHERE t = 1 GROUP BY 1)
+    SELECT *, true AS inverse FROM a JOIN b USING (vec_id) JOIN c USING (vec_id)"""))
+def point_layouts(spark, d):
+    rows = views.point_clips(spark, d).select("vec_id", F.get("frames", F.lit(1)).alias("f"))
+    stored = rows.withColumn("s", points.from_face_first(F.col("f")))
+    same = F.to_json(F.struct(points.to_face_first(F.col("s")).alias("a"))) == F.to_json(F.struct(F.col("f").alias("a")))
+    return stored.select(
+        "vec_id", *_sums(F.col("s"), "storage"), *_sums(points.reduced(F.col("f")), "reduced"), *_sums(points.joints(F.col("f")), "joints"),
+        same.alias("inverse"),
+    )
+
+
+@query("normalize_position", with_views("emb", body=_PT + f""",
+    k AS (SELECT vec_id, max(p[1]) FILTER (j = 23) AS ax, max(p[2]) FILTER (j = 23) AS ay, max(p[3]) FILTER (j = 23) AS az, max(p[1]) FILTER (j = 24) AS bx, max(p[2]) FILTER (j = 24) AS b_y,
+      max(p[3]) FILTER (j = 24) AS bz, max(p[1]) FILTER (j = 11) AS lx, max(p[2]) FILTER (j = 11) AS ly, max(p[1]) FILTER (j = 12) AS rx, max(p[2]) FILTER (j = 12) AS ry FROM pt WHERE t = 0 GROUP BY 1),
+    o AS (SELECT vec_id, (ax + bx) / 2 AS ox, (ay + b_y) / 2 AS oy, (az + bz) / 2 AS oz, CASE WHEN sqrt((lx - rx) ** 2 + (ly - ry) ** 2) < 1e-3 THEN 1 ELSE sqrt((lx - rx) ** 2 + (ly - ry) ** 2) END AS s FROM k)
+    SELECT vec_id, {_WSUM.format(p='q', n='moved')} FROM (SELECT vec_id, j AS o, [(p[1] - ox) / s, (p[2] - oy) / s, (p[3] - oz) / s] AS q FROM pt JOIN o USING (vec_id) WHERE t = 0 AND p IS NOT NULL) GROUP BY 1"""))
+def normalize_position(spark, d):
+    frame = points.zero_missing(F.get("frames", F.lit(0)))
+    rows = views.point_clips(spark, d).select("vec_id", points.normalize_position(frame).alias("f"))
+    return rows.select("vec_id", *_sums(F.col("f"), "moved"))
+
+
+@query("bones", with_views("emb", body=_PT + _JNT + f""",
+    pr AS (SELECT unnest({[c for _, c in dict((c, (p, c)) for p, c in points.bone_pairs()).values()]}) AS c, unnest({[p for p, _ in dict((c, (p, c)) for p, c in points.bone_pairs()).values()]}) AS a),
+    f AS (SELECT vec_id, o, coalesce(p, [0.0, 0.0, 0.0]) AS p FROM pt JOIN jnt USING (j) WHERE t = 2),
+    b AS (SELECT x.vec_id, x.o, [x.p[1] - y.p[1], x.p[2] - y.p[2], x.p[3] - y.p[3]] AS q FROM f x JOIN pr ON x.o = pr.c JOIN f y ON y.vec_id = x.vec_id AND y.o = pr.a)
+    SELECT vec_id, {_WSUM.format(p='q', n='bone')} FROM b GROUP BY 1"""))
+def bones(spark, d):
+    rows = views.point_clips(spark, d).select("vec_id", points.joints(points.zero_missing(F.get("frames", F.lit(2)))).alias("f"))
+    return rows.select("vec_id", *_sums(points.bones(F.col("f")), "bone"))
+
+
+@query("hand_shapes", with_views("emb", body=_PT + f""",
+    h AS (SELECT vec_id, j - 33 AS o, [-p[1], p[2], p[3]] AS p FROM pt WHERE t = 3 AND j BETWEEN 33 AND 53),
+    l AS (SELECT h.vec_id, h.o, CASE WHEN h.p[1] IS NULL THEN [0.0, 0.0, 0.0] ELSE [h.p[1] - w.p[1], h.p[2] - w.p[2], h.p[3] - w.p[3]] END AS q, h.p[1] IS NOT NULL AS seen
+      FROM h JOIN h w ON w.vec_id = h.vec_id AND w.o = 0),
+    s AS (SELECT vec_id, greatest(max(sqrt(q[1] ** 2 + q[2] ** 2)), 1e-3) AS size, bool_or(seen) AS seen FROM l GROUP BY 1)
+    SELECT vec_id, {_WSUM.format(p='r', n='shape')}, any_value(seen) AS seen FROM (
+      SELECT l.vec_id, o, [q[1] / size, q[2] / size, q[3] / size] AS r, s.seen FROM l JOIN s USING (vec_id)) GROUP BY 1"""))
+def hand_shapes(spark, d):
+    frame = points.zero_missing(F.get("frames", F.lit(3)))
+    rows = views.point_clips(spark, d).select("vec_id", F.slice(frame, points.LEFT + 1, fixed.N_HAND).alias("h"))
+    return rows.select("vec_id", *_sums(points.hand_shape(F.col("h"), mirror=True), "shape"), points.hand_seen(F.col("h")).alias("seen"))
+
+
+@query("face_relative", with_views("emb", body=_PT + _RED + f""",
+    f AS (SELECT vec_id, o - 75 AS o, p FROM pt JOIN red USING (j) WHERE t = 4 AND o >= 75),
+    q AS (SELECT f.vec_id, f.o, [f.p[1] - n.p[1], f.p[2] - n.p[2], f.p[3] - n.p[3]] AS q FROM f JOIN f n ON n.vec_id = f.vec_id AND n.o = 40)
+    SELECT vec_id, {_WSUM.format(p='q', n='face')} FROM q GROUP BY 1"""))
+def face_relative(spark, d):
+    frame = points.reduced(points.zero_missing(F.get("frames", F.lit(4))))
+    rows = views.point_clips(spark, d).select("vec_id", F.slice(frame, points.FACE + 1, 44).alias("f"))
+    return rows.select("vec_id", *_sums(points.face_relative(F.col("f")), "face"))
+
+
+@query("center_joints", with_views("emb", body=_PT + _JNT + """,
+    f AS (SELECT vec_id, t, o, coalesce(p, [0.0, 0.0, 0.0]) AS p FROM pt JOIN jnt USING (j)),
+    c AS (SELECT f.vec_id, f.t, f.o, [f.p[1] - r.p[1], f.p[2] - r.p[2], f.p[3] - r.p[3]] AS q FROM f JOIN f r ON r.vec_id = f.vec_id AND r.t = f.t AND r.o = 0),
+    w AS (SELECT a.vec_id, avg(sqrt((a.q[1] - b.q[1]) ** 2 + (a.q[2] - b.q[2]) ** 2 + (a.q[3] - b.q[3]) ** 2)) AS w
+      FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.t = b.t AND a.o = 1 AND b.o = 2 GROUP BY 1)
+    SELECT vec_id, CAST(t AS INTEGER) AS t, round(sum(q[1] * (o + 1)) / any_value(w), 6) AS j_x, round(sum(q[2] * (o + 1)) / any_value(w), 6) AS j_y,
+      round(sum(q[3] * (o + 1)) / any_value(w), 6) AS j_z FROM c JOIN w USING (vec_id) GROUP BY vec_id, t"""))
+def center_joints(spark, d):
+    ready = F.transform("frames", lambda f: points.joints(points.zero_missing(f)))
+    rows = views.point_clips(spark, d).select("vec_id", ready.alias("fs"))
+    rows = rows.select("vec_id", F.posexplode(points.center_joints(F.col("fs"))).alias("t", "f"))
+    return rows.select("vec_id", "t", *_sums(F.col("f"), "j"))
+
+
+_INPUT = _PT + _RED + """,
+    hs AS (SELECT vec_id, t FROM pt WHERE j = 33 AND p IS NOT NULL),
+    sp AS (SELECT vec_id, min(t) AS a, max(t) AS z FROM hs GROUP BY 1),
+    fr AS (SELECT vec_id, i, a + least(i, z - a) AS t FROM sp CROSS JOIN (SELECT unnest(range(30)) AS i)),
+    k AS (SELECT vec_id, t, max(p[1]) FILTER (j = 23) AS ax, max(p[2]) FILTER (j = 23) AS ay, max(p[3]) FILTER (j = 23) AS az, max(p[1]) FILTER (j = 24) AS bx, max(p[2]) FILTER (j = 24) AS b_y,
+      max(p[3]) FILTER (j = 24) AS bz, max(p[1]) FILTER (j = 11) AS lx, max(p[2]) FILTER (j = 11) AS ly, max(p[1]) FILTER (j = 12) AS rx, max(p[2]) FILTER (j = 12) AS ry FROM pt WHERE j < 33 GROUP BY ALL),
+    o AS (SELECT vec_id, t, (ax + bx) / 2 AS ox, (ay + b_y) / 2 AS oy, (az + bz) / 2 AS oz, CASE WHEN sqrt((lx - rx) ** 2 + (ly - ry) ** 2) < 1e-3 THEN 1 ELSE sqrt((lx - rx) ** 2 + (ly - ry) ** 2) END AS s FROM k),
+    m AS (SELECT vec_id, t, sum(((p[1] - ox) * (3 * red.o + 1) + (p[2] - oy) * (3 * red.o + 2) + (p[3] - oz) * (3 * red.o + 3)) / s) AS total
+      FROM pt JOIN red USING (j) JOIN o USING (vec_id, t) WHERE p IS NOT NULL GROUP BY ALL)
+    SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(357 AS INTEGER) AS width, round(total, 5) AS total FROM fr JOIN m USING (vec_id, t)"""
+
+
+@query("model_input", with_views("emb", body=_INPUT))
+def model_input(spark, d):
+    rows = views.point_clips(spark, d).select("vec_id", landmarks.model_input(F.col("frames")).alias("m"))
+    rows = rows.select("vec_id", F.posexplode("m").alias("i", "row"))
+    total = F.aggregate(F.transform("row", lambda v, j: v * (j + 1)), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("vec_id", "i", F.size("row").alias("width"), F.round(total, 5).alias("total"))
+
+
+@query("joint_spectrum")
+def joint_spectrum(spark, d):
+    """Per body part: dynamic modes of the smoothed, centred joints, their spectrum and mode map."""
+    ready = F.transform("frames", lambda f: points.joints(points.zero_missing(f)))
+    rows = views.point_clips(spark, d).select("vec_id", points.center_joints(ready).alias("fs"))
+    parts = {"upper": (1, 7), "left_hand": (8, 10), "right_hand": (18, 10)}
+
+    def flat(at, n):
+        return F.flatten(F.transform("fs", lambda f: points.flat(F.slice(f, at, n))))
+
+    out = None
+    for name, (at, n) in parts.items():
+        part = rows.select("vec_id", F.lit(name).alias("part"), sequence.hankel_dmd(flat(at, n), dim=3 * n, delays=2).alias("m"))
+        part = part.select(
+            "vec_id", "part", sequence.spectrum_features(F.col("m")).alias("spectrum"), sequence.mode_map(F.col("m.spatial"), 3 * n).alias("modes")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("augment_points", with_views("emb", body=_PT + f""",
+    c AS (SELECT *, {_unit("'5|' || vec_id || '|' || copy || '|angle'")} AS u1, {_unit("'5|' || vec_id || '|' || copy || '|scale'")} AS u2, {_unit("'5|' || vec_id || '|' || copy || '|ax'")} AS u3,
+      {_unit("'5|' || vec_id || '|' || copy || '|ay'")} AS u4, {_unit("'5|' || vec_id || '|' || copy || '|sx'")} AS u5, {_unit("'5|' || vec_id || '|' || copy || '|sy'")} AS u6
+      FROM (SELECT *, unnest([0, 1]) AS copy FROM (SELECT DISTINCT vec_id FROM emb))),
+    k AS (SELECT vec_id, copy, (2 * u1 - 1) * {math.radians(15)!r} AS t, 1 + (2 * u2 - 1) * 0.15 AS s, 1 + (2 * u3 - 1) * 0.08 AS ax, 1 + (2 * u4 - 1) * 0.08 AS ay,
+      (2 * u5 - 1) * 0.1 AS sx, (2 * u6 - 1) * 0.1 AS sy FROM c)
+    SELECT vec_id, CAST(copy AS INTEGER) AS copy, {_WSUM.format(p='q', n='p')} FROM (
+      SELECT k.vec_id, copy, j AS o, [(p[1] * cos(k.t) - p[2] * sin(k.t)) * s * ax + sx, (p[1] * sin(k.t) + p[2] * cos(k.t)) * s * ay + sy, p[3] * s] AS q
+      FROM pt JOIN k USING (vec_id) WHERE pt.t = 5 AND j < 75 AND p IS NOT NULL) GROUP BY ALL"""))
+def augment_points(spark, d):
+    frame = points.pose_and_hands(points.zero_missing(F.get("frames", F.lit(5))))
+    rows = augment.copies(views.point_clips(spark, d).select("vec_id", frame.alias("f")), 2)
+    moved = augment.augment_points(F.col("f"), 5, F.col("vec_id"), F.col("copy"), noise=0.0)
+    return rows.select("vec_id", "copy", moved.alias("f")).select("vec_id", "copy", *_sums(F.col("f"), "p"))
+
+
+@query("detection_rates", with_views("emb", body="""
+    , s AS (SELECT vec_id, label FROM emb QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('0|' || vec_id), vec_id) <= 40),
+    r AS (SELECT label, vec_id, avg(CASE WHEN (t + vec_id) % 4 = 0 THEN 0 ELSE 1 END) AS h FROM s CROSS JOIN (SELECT unnest(range(8)) AS t) GROUP BY ALL)
+    SELECT CAST(label AS VARCHAR) AS source, count(*) AS clips_sampled, 100.0 AS pose_pct, round(100 * avg(h), 6) AS left_hand_pct, round(100 * avg(h), 6) AS right_hand_pct, 100.0 AS face_pct
+    FROM r GROUP BY label"""))
+def detection_rates(spark, d):
+    rows = views.point_clips(spark, d).select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("source"), "frames")
+    out = reports.detection_rates(rows)
+    return out.select("source", "clips_sampled", *[F.round(c, 6).alias(c) for c in out.columns if c.endswith("_pct")])
