@@ -145,7 +145,7 @@ def cwt_bands(spark, d):
 @query("hankel_dmd")
 def hankel_dmd(spark, d):
     rows = _arrays(spark, d).select(*CLIP, sequence.hankel_dmd(F.col("value")).alias("m"), sequence.kinetic_energy(F.col("value")).alias("energy"))
-    return rows.select(*CLIP, F.posexplode(sequence.spectrum_features(F.col("m"))).alias("i", "x"), "energy")
+    return rows.select(*CLIP, F.posexplode("m.spectrum").alias("i", "x"), "energy")
 
 
 @query("kinetic_energy", with_views("frames", body="""
@@ -352,9 +352,7 @@ def joint_spectrum(spark, d):
     out = None
     for name, (at, n) in parts.items():
         part = rows.select("vec_id", F.lit(name).alias("part"), sequence.hankel_dmd(flat(at, n), dim=3 * n, delays=2).alias("m"))
-        part = part.select(
-            "vec_id", "part", sequence.spectrum_features(F.col("m")).alias("spectrum"), sequence.mode_map(F.col("m.spatial"), 3 * n).alias("modes")
-        )
+        part = part.select("vec_id", "part", "m.spectrum", "m.modes")
         out = part if out is None else out.unionByName(part)
     return out
 

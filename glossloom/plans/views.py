@@ -12,6 +12,7 @@ from glossloom.operators.ranking import hash_rank
 from glossloom.operators.score import nearest_prototype, prototypes
 from glossloom.operators.sessions import fill_sessions
 from glossloom.plans.registry import shared
+from glossloom.session import spread
 
 CLIP_FRAMES = 64
 GAP = 12
@@ -72,7 +73,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
 def document_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a 64-bit average hash of their letter counts (whole texts)."""
     counts = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in ALPHABET])
-    docs = table(spark, d, "documents", "doc_id", "lang", "source", "text").withColumn("_v", counts)
+    docs = spread(table(spark, d, "documents", "doc_id", "lang", "source", "text")).withColumn("_v", counts)
     return docs.select("doc_id", "lang", "source", average_hash(F.col("_v")).alias("h"))
 
 
@@ -127,7 +128,7 @@ def point_clips(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(coord(0).alias("x"), coord(1).alias("y"), coord(2).alias("z"))
 
     made = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(542)), lambda j: point(t, j)))
-    return embeddings(spark, d).select("vec_id", "label", made.alias("frames"))
+    return spread(embeddings(spark, d)).select("vec_id", "label", made.alias("frames"))
 
 
 CTES = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossloom import fixed
 from glossloom.functions import points, text
 from glossloom.functions.hashing import seeded_order
+from glossloom.functions.sequence import resample, trim_ends
 from glossloom.operators.joins import small_side
 
 # Part names and sizes in file order.
@@ -65,11 +66,10 @@ def competition_index(meta: DataFrame, frames: DataFrame, signs: DataFrame | Non
 
 def model_input(frames: Column, hands_seen: Column | None = None, n: int = fixed.MODEL_FRAMES) -> Column:
     """Clip of frames to the fixed-length, normalised, reduced and flattened form."""
-    from glossloom.functions.sequence import resample, trim_ends
-
     if hands_seen is None:
         seen = lambda f: F.exists(F.slice(f, points.LEFT + 1, 2 * fixed.N_HAND), lambda p: p["x"].isNotNull() & ~F.isnan(p["x"]))
         hands_seen = F.transform(frames, seen)
     kept = resample(trim_ends(frames, hands_seen), n)
-    ready = lambda f: points.flat(points.reduced(points.normalize_position(points.zero_missing(f))))
+    # The anchors of the normalisation are among the kept points, so the points are cut first.
+    ready = lambda f: points.flat(points.normalize_position(points.zero_missing(points.reduced(f))))
     return F.transform(kept, ready)

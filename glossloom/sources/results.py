@@ -20,11 +20,14 @@ RESULT_SCHEMA = (
 )
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Readable result files below root, the newest per run; k is the shots, -1 for all."""
+def read_results(spark: SparkSession, root: str, multi_line: bool = True, pattern: str = "result.json") -> DataFrame:
+    """Readable result files below root, the newest per run; k is the shots, -1 for all.
+
+    multi_line: one result per file; otherwise one per line.
+    """
     raw = (
-        spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "result.json").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        spark.read.schema(RESULT_SCHEMA).option("multiLine", multi_line).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         .json(root)
     )
     rows = raw.select("*", F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_path").alias("path"))
