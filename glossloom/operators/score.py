@@ -24,7 +24,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def prototypes(train: DataFrame, by: list[str], label: str, vec: str) -> DataFrame:
     """Unit class means: (by, label, proto). Means are combined map-side, dimension by dimension."""
-    long = train.select(*by, label, F.posexplode(unit(F.col(vec))).alias("d", "v"))
+    long = train.select(*by, label, F.posexplode_outer(unit(F.col(vec))).alias("d", "v"))
     mean = long.groupBy(*by, label, "d").agg(F.avg("v").alias("v"))
     whole = mean.groupBy(*by, label).agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("p"))
     return whole.select(*by, label, unit(F.transform("p", lambda e: e["v"])).alias("proto"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glossloom import fixed
+from glossloom.functions.sequence import mode_features
 from glossloom.operators.ranking import time_rank
 
 
@@ -88,3 +91,20 @@ def best_epoch(df: DataFrame, by: list[str], score: str, patience: int) -> DataF
         F.max(score).alias("best_score"), F.max(F.struct(F.col(score).alias("s"), "frame"))["frame"].alias("best_epoch"),
         F.max("frame").alias("last_epoch"), F.max(F.col("_stop").isNotNull()).alias("stopped_early"),
     )
+
+
+def dynamic_modes(
+    df: DataFrame, keep: list[str], arr: Column, dim: int = 1, delays: int = fixed.DMD_DELAYS, rank: int = fixed.DMD_MODES
+) -> DataFrame:
+    """Per clip: eigenvalues, amplitudes, mode magnitudes, spectrum and mode map of its dynamic modes."""
+    rows = df.select(*keep, arr.alias("_x"))
+    names = ["re", "im", "amp", "spatial", "spectrum", "modes"]
+    fields = [f for f in rows.schema.fields if f.name != "_x"]
+    schema = T.StructType(fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
+
+    def run(batches):
+        for pdf in batches:
+            made = pd.DataFrame([mode_features(x, dim, delays, rank) for x in pdf["_x"]], columns=names)
+            yield pd.concat([pdf.drop(columns="_x"), made], axis=1)
+
+    return rows.mapInPandas(run, schema)

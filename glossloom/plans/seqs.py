@@ -1,4 +1,8 @@
-"""Queries on trajectories, frames of points and augmentation."""
+"""Queries on trajectories, frames of points and augmentation.
+
+Computed arrays are exploded with the outer form: the inner form makes the optimizer
+add a filter that computes the array a second time, below every exchange.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +31,8 @@ _ARR = ", arr AS (SELECT user_id, clip, list(value ORDER BY frame) AS v, list(k
 
 def _long(df, arr, name="x"):
     """One row per array element with its position; values rounded."""
-    return df.select(*CLIP, F.posexplode(arr).alias("i", name)).withColumn(name, F.round(name, 6))
+    rows = df.select(*CLIP, F.posexplode_outer(arr).alias("i", name)).filter(F.col("i").isNotNull())
+    return rows.withColumn(name, F.round(name, 6))
 
 
 @query("kinematics", with_views("frames", body="""
@@ -102,7 +107,7 @@ def gap_fill(spark, d):
     SELECT user_id, clip, CAST(t AS INTEGER) AS i, round(max(sqrt(re * re + im * im)), 6) AS mag,
       round(arg_max(atan2(im, re), sqrt(re * re + im * im)), 6) AS phase FROM f GROUP BY ALL"""))
 def sliding_fft(spark, d):
-    rows = _arrays(spark, d).select(*CLIP, F.posexplode(sequence.sliding_peak(F.col("value"))).alias("i", "p"))
+    rows = _arrays(spark, d).select(*CLIP, F.posexplode_outer(sequence.sliding_peak(F.col("value"))).alias("i", "p"))
     return rows.select(*CLIP, "i", F.round("p.mag", 6).alias("mag"), F.round("p.phase", 6).alias("phase"))
 
 
@@ -111,7 +116,7 @@ def sliding_fft(spark, d):
     FROM (SELECT *, unnest(range(8)) AS i FROM arr WHERE n >= 8)"""))
 def hankel_rows(spark, d):
     rows = _arrays(spark, d).filter(F.size("value") >= 8)
-    rows = rows.select(*CLIP, F.posexplode(sequence.hankel(F.col("value"))).alias("i", "row"))
+    rows = rows.select(*CLIP, F.posexplode_outer(sequence.hankel(F.col("value"))).alias("i", "row"))
     total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
     return rows.select(*CLIP, "i", F.size("row").cast("bigint").alias("cols"), F.round(total, 6).alias("total"))
 
@@ -139,13 +144,13 @@ def kalman_smooth(spark, d):
 @query("cwt_bands")
 def cwt_bands(spark, d):
     rows = _arrays(spark, d).withColumn("bands", sequence.cwt_bands(F.col("value")))
-    return rows.select(*CLIP, F.posexplode("bands").alias("i", "x")).withColumn("x", F.round("x", 6))
+    return rows.select(*CLIP, F.posexplode_outer("bands").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("hankel_dmd")
 def hankel_dmd(spark, d):
-    rows = _arrays(spark, d).select(*CLIP, sequence.hankel_dmd(F.col("value")).alias("m"), sequence.kinetic_energy(F.col("value")).alias("energy"))
-    return rows.select(*CLIP, F.posexplode("m.spectrum").alias("i", "x"), "energy")
+    rows = _arrays(spark, d).withColumn("energy", sequence.kinetic_energy(F.col("value")))
+    return series.dynamic_modes(rows, [*CLIP, "energy"], F.col("value")).select(*CLIP, F.posexplode("spectrum").alias("i", "x"), "energy")
 
 
 @query("kinetic_energy", with_views("frames", body="""
@@ -212,7 +217,7 @@ def augment_warp(spark, d):
     speed, shift = augment.warp_params(F.size("value"), *salt)
     rows = rows.withColumn("speed", speed).withColumn("shift", shift)
     warped = augment.time_warp(F.col("value"), F.col("speed"), F.col("shift"))
-    return rows.select(*CLIP, "copy", F.posexplode(warped).alias("i", "x")).withColumn("x", F.round("x", 6))
+    return rows.select(*CLIP, "copy", F.posexplode_outer(warped).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("augment_noise", with_views("frames", body=_ARR + f"""
@@ -225,7 +230,7 @@ def augment_noise(spark, d):
     both = F.arrays_zip(
         augment.coordinate_noise(F.col("value"), 0.01, *salt).alias("a"), augment.feature_noise(F.col("value"), 0.05, *salt).alias("s")
     )
-    rows = _arrays(spark, d).select(*CLIP, F.posexplode(both).alias("i", "b"))
+    rows = _arrays(spark, d).select(*CLIP, F.posexplode_outer(both).alias("i", "b"))
     return rows.select(*CLIP, "i", F.round("b.a", 6).alias("added"), F.round("b.s", 6).alias("scaled"))
 
 
@@ -315,7 +320,7 @@ def face_relative(spark, d):
 def center_joints(spark, d):
     ready = F.transform("frames", lambda f: points.joints(points.zero_missing(f)))
     rows = views.point_clips(spark, d).select("vec_id", ready.alias("fs"))
-    rows = rows.select("vec_id", F.posexplode(points.center_joints(F.col("fs"))).alias("t", "f"))
+    rows = rows.select("vec_id", F.posexplode_outer(points.center_joints(F.col("fs"))).alias("t", "f"))
     return rows.select("vec_id", "t", *_sums(F.col("f"), "j"))
 
 
@@ -334,7 +339,7 @@ _INPUT = _PT + _RED + """,
 @query("model_input", with_views("emb", body=_INPUT))
 def model_input(spark, d):
     rows = views.point_clips(spark, d).select("vec_id", landmarks.model_input(F.col("frames")).alias("m"))
-    rows = rows.select("vec_id", F.posexplode("m").alias("i", "row"))
+    rows = rows.select("vec_id", F.posexplode_outer("m").alias("i", "row"))
     total = F.aggregate(F.transform("row", lambda v, j: v * (j + 1)), F.lit(0.0), lambda s, v: s + v)
     return rows.select("vec_id", "i", F.size("row").alias("width"), F.round(total, 5).alias("total"))
 
@@ -351,8 +356,7 @@ def joint_spectrum(spark, d):
 
     out = None
     for name, (at, n) in parts.items():
-        part = rows.select("vec_id", F.lit(name).alias("part"), sequence.hankel_dmd(flat(at, n), dim=3 * n, delays=2).alias("m"))
-        part = part.select("vec_id", "part", "m.spectrum", "m.modes")
+        part = series.dynamic_modes(rows, ["vec_id"], flat(at, n), 3 * n, 2).select("vec_id", F.lit(name).alias("part"), "spectrum", "modes")
         out = part if out is None else out.unionByName(part)
     return out
 
