@@ -56,7 +56,7 @@ def _pieces(cells: list[tuple[int, int]]) -> str:
 def near_pairs(hashes: DataFrame, group: list[str], h: str = "h", max_distance: int = 3, hot: int = 2_000) -> DataFrame:
     """Pairs of distinct hashes (h_a < h_b) of a group within max_distance bits.
 
-    Input: distinct (group, h). With d differing bits at most and d + 3 blocks of
+    Input: distinct (group, h), materialised because it is read several times. With d differing bits at most and d + 3 blocks of
     bits, at least three blocks agree, so every pair shares one of the keys made of
     three blocks. Keys with more than `hot` hashes are split further: the bits
     outside the key are cut into d + 1 strips, one of which must agree. Both steps

@@ -9,6 +9,9 @@ most `chunk` identities of a seed and the word limits, never a whole group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,43 +68,42 @@ def greedy_holdout(
     need_help=True: an identity is taken if one of its words is below target.
     need_help=False: identities are taken until every word has its target.
     """
-    order: Column = seeded_order(F.col("seed"), salt, F.col("identity"))
-    rows = counts.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("h", order)
-    have = limits.select(
-        F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), "word", "target", "cap", F.lit(0).cast("bigint").alias("have")
-    )
-    rows, have = checkpoint(rows), checkpoint(have)
+    each = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+    order = seeded_order(F.col("seed"), salt, F.col("identity"))
+    rows = counts.select(each, "identity", "word", "n").withColumn("h", order)
+    have = checkpoint(limits.select(each, "word", "target", "cap", F.lit(0).cast("bigint").alias("have")))
+    left: Column = F.lit(True)
     taken = None
     while True:
-        state = have.withColumn("open", F.col("have") < F.col("target"))
-        live = rows.join(state, ["seed", "word"]).groupBy("seed", "identity", "h").agg(
-            F.bool_or("open").alias("helps"),
+        is_open = F.col("have") < F.col("target")
+        live = rows.filter(left).join(have, ["seed", "word"]).groupBy("seed", "identity", "h").agg(
+            F.bool_or(is_open).alias("helps"),
             F.bool_and(F.col("have") + F.col("n") <= F.col("cap")).alias("fits"),
             F.collect_list(F.struct("word", "n")).alias("items"),
         )
         live = live.filter(F.col("fits") & (F.col("helps") if need_help else F.lit(True)))
         if not need_help:
-            unfilled = state.filter("open").select("seed").distinct()
-            live = live.join(unfilled, "seed", "left_semi")
+            live = live.join(have.filter(is_open).select("seed").distinct(), "seed", "left_semi")
         part = cap_per_group(live, ["seed"], "h", chunk, ["identity"])
         decided = checkpoint(
             part.groupBy("seed").cogroup(have.groupBy("seed")).applyInPandas(
                 _fold(need_help), "seed int, identity string, h string, taken boolean"
             )
         )
-        ends = decided.groupBy("seed").agg(F.max("h").alias("end"), F.count(F.lit(1)).alias("seen"))
         new = decided.filter("taken").select("seed", "identity")
-        taken = new if taken is None else checkpoint(taken.unionByName(new))
-        last = ends.filter(F.col("seen") == chunk)
-        if last.isEmpty():
+        taken = new if taken is None else taken.unionByName(new)
+        # One row per seed: where its full chunk ended. Seeds with a shorter chunk are done.
+        ends = decided.groupBy("seed").agg(F.max("h").alias("end"), F.count(F.lit(1)).alias("seen"))
+        going = [(r["seed"], r["end"]) for r in ends.filter(F.col("seen") == chunk).collect()]
+        if not going:
             return taken
+        left = reduce(or_, [(F.col("seed") == s) & (F.col("h") > end) for s, end in going])
         added = rows.join(new, ["seed", "identity"]).groupBy("seed", "word").agg(F.sum("n").alias("add"))
         have = checkpoint(
             have.join(added, ["seed", "word"], "left").select(
                 "seed", "word", "target", "cap", (F.col("have") + F.coalesce("add", F.lit(0))).alias("have")
             )
         )
-        rows = checkpoint(rows.join(last, "seed").filter(F.col("h") > F.col("end")).drop("end", "seen"))
 
 
 def fixed_test(clips: DataFrame, seeds: list[int], chunk: int = 5000, **limits) -> DataFrame:

@@ -11,6 +11,7 @@ from glossloom.operators import dedup, joins, ranking, reports, sessions
 from glossloom.plans import views
 from glossloom.plans.registry import query
 from glossloom.plans.views import table, with_views
+from glossloom.session import checkpoint
 from glossloom.sources import clips as clip_sources
 from glossloom.sources import listings, results, sinks
 
@@ -296,7 +297,7 @@ _HASHES = "h AS (SELECT doc_id, lang, source, CAST(('0b' || array_to_string(list
     p AS (SELECT x.lang, x.source, CAST(x.b[3:] AS BIT) AS x, CAST(y.b[3:] AS BIT) AS y FROM n x JOIN n y ON x.lang = y.lang AND x.source = y.source AND x.b < y.b)
     SELECT lang, source, CAST(bit_count(xor(x, y)) AS INTEGER) AS distance, count(*) AS n_pairs FROM p WHERE bit_count(xor(x, y)) <= 3 GROUP BY ALL""")
 def near_dup_pairs(spark, d):
-    hashes = views.document_hashes(spark, d).select("lang", "source", "h").distinct()
+    hashes = checkpoint(views.document_hashes(spark, d).select("lang", "source", "h").distinct())
     pairs = dedup.near_pairs(hashes, ["lang", "source"], "h")
     return pairs.groupBy("lang", "source", "distance").agg(F.count(F.lit(1)).alias("n_pairs"))
 

@@ -8,14 +8,14 @@ from glossloom.functions.hashing import seeded_order
 from glossloom.operators import holdout, joins, reports, splits
 from glossloom.operators.ranking import hash_rank
 from glossloom.plans import views
-from glossloom.plans.registry import query, shared
+from glossloom.plans.registry import query
 from glossloom.plans.views import TARGETS, with_views
 
 PAIR = ["key", "word", "source", "identity"]
 
 
 def _identified(spark, d):
-    return shared(spark, d, "identified", lambda s, p: views.identified(s, p).select(*PAIR))
+    return views.identified(spark, d).select(*PAIR)
 
 
 def _walk(seeds: str, salt: str, limits: str, verdict: str, view: str = "ident") -> str:

@@ -48,14 +48,18 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def identified(spark: SparkSession, d: str) -> DataFrame:
-    """Clips with camera sessions and identities."""
+def _identified(spark: SparkSession, d: str) -> DataFrame:
     counter = text.clip_counter(F.col("video_rel"))
     with_sessions = fill_sessions(clips(spark, d), "camera", counter, GAP)
     ident = text.identity_key(F.col("signer"), F.col("session"), F.col("source"), F.col("key"))
     return with_sessions.withColumn("identity", ident)
 
 
+def identified(spark: SparkSession, d: str) -> DataFrame:
+    """Clips with camera sessions and identities, the clip table that reports and splits share."""
+    return shared(spark, d, "identified", _identified)
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """events as frames of bounded clips per user."""
     return series.cut_clips(events(spark, d).drop("props", "event_type"), ["user_id"], "ts", ["event_id"], CLIP_FRAMES)
@@ -70,13 +74,17 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
 
 
-def document_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with a 64-bit average hash of their letter counts (whole texts)."""
+def _document_hashes(spark: SparkSession, d: str) -> DataFrame:
     counts = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in ALPHABET])
     docs = spread(table(spark, d, "documents", "doc_id", "lang", "source", "text")).withColumn("_v", counts)
     return docs.select("doc_id", "lang", "source", average_hash(F.col("_v")).alias("h"))
 
 
+def document_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a 64-bit average hash of their letter counts (whole texts), hashed once."""
+    return shared(spark, d, "document_hashes", _document_hashes)
+
+
 def split_ranks(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings with test flag and pool rank per seed."""
     rows = embeddings(spark, d).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
