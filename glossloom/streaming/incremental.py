@@ -25,7 +25,8 @@ def read_stream(spark, path: str, schema, pattern: str = "*.parquet", files_per_
 def watch_files(spark, folder: str, expected: DataFrame, good: str, bad: str, checkpoint: str) -> StreamingQuery:
     """New files of a folder: complete ones to `good`, wrong sizes to `bad` (file name, size, expected)."""
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True).load(folder)
         .select(F.element_at(F.split("path", "/"), -1).alias("key"), F.col("length").alias("disk_size"))
     )
 
