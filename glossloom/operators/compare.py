@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossloom.functions.stats import bootstrap_macro_delta, mcnemar_p, mcnemar_winner, paired_bootstrap
 from glossloom.operators.joins import model_pairs
+from glossloom.operators.ranking import median
 
 
 def discordant(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -92,15 +93,15 @@ def fingerprint_conflicts(runs: DataFrame, by: list[str], fingerprint: str) -> D
 def short_cells(runs: DataFrame, by: list[str], unit: str = "seed") -> DataFrame:
     """Cells with fewer distinct seeds than the fullest cell."""
     cells = runs.groupBy(*by).agg(F.count_distinct(unit).alias("n_seeds"))
-    want = cells.agg(F.max("n_seeds").alias("want"))
-    return cells.join(F.broadcast(want), F.col("n_seeds") < F.col("want"))
+    want = cells.agg(F.max("n_seeds")).scalar()
+    return cells.withColumn("want", want).filter(F.col("n_seeds") < F.col("want"))
 
 
 def calibrate(runs: DataFrame, gpu: str = "T4") -> DataFrame:
     """Median seconds per step and model over finished runs of one device type."""
     ok = (F.col("steps") > 0) & (F.col("train_seconds") > 0) & F.col("gpu").contains(gpu)
     per_step = F.col("train_seconds") / F.col("steps")
-    return runs.filter(ok).groupBy("model").agg(F.percentile(per_step, 0.5).alias("step_seconds"))
+    return median(runs.filter(ok), ["model"], per_step, "step_seconds")
 
 
 def job_cost(jobs: DataFrame, calibrated: DataFrame, defaults: dict[str, float], fallback: float, overhead: float) -> DataFrame:

@@ -55,7 +55,7 @@ def time_rank(
     return _ranked(bucketed, by, "_bucket", [F.col(ts), *[F.col(t) for t in ties]], out, None)
 
 
-def range_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+def range_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "rank", total: str | None = None) -> DataFrame:
     """Rank under any total order; buckets are sampled key ranges.
 
     The range-partitioned rows are checkpointed, so the two uses of the bucket
@@ -63,7 +63,15 @@ def range_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "ra
     """
     keys = [F.col(b) for b in by]
     cut = df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id())
-    return _ranked(checkpoint(cut), by, "_bucket", order, out, None)
+    return _ranked(checkpoint(cut), by, "_bucket", order, out, total)
+
+
+def median(df: DataFrame, by: list[str], value: Column, out: str = "median") -> DataFrame:
+    """Exact median per group of any size: the middle one or two values by range rank."""
+    rows = df.select(*by, value.alias("_v")).filter(F.col("_v").isNotNull())
+    ranked = range_rank(rows, by, [F.col("_v")], "_rank", "_n")
+    middle = (F.col("_rank") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_rank") == F.floor((F.col("_n") + 2) / 2))
+    return ranked.filter(middle).groupBy(*by).agg(F.avg("_v").alias(out))
 
 
 def take_first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -66,8 +66,9 @@ def detection_rates(clips: DataFrame, per_source: int = 40, seed: int = 0, frame
 
     `frames` is array<array<struct<x,y,z>>>; a missing point has a null or NaN x.
     """
-    hashed = clips.withColumn("_h", seeded_order(seed, F.col("key")))
-    sample = cap_per_group(hashed, ["source"], "_h", per_source, ["key"])
+    hashed = clips.select("source", "key").withColumn("_h", seeded_order(seed, F.col("key")))
+    picked = cap_per_group(hashed, ["source"], "_h", per_source, ["key"]).select("source", "key")
+    sample = clips.join(picked, ["source", "key"], "left_semi")
     seen = lambda p: p["x"].isNotNull() & ~F.isnan(p["x"])
     spans = {"pose": (1, LEFT), "left_hand": (LEFT + 1, RIGHT - LEFT), "right_hand": (RIGHT + 1, FACE - RIGHT), "face": (FACE + 1, fixed.N_FACE)}
 
@@ -109,15 +110,13 @@ def split_info(split: DataFrame, targets: list[str], shots: int | None, scarce:
     ).withColumn("missing_targets", F.array_except(F.array(*[F.lit(t) for t in targets]), "targets"))
     prints = key_fingerprint(split, ["side"], "key")
     ids = split.groupBy("side").agg(F.count_distinct("identity").alias("n_ids"))
-    sides = prints.join(ids, "side").agg(
-        *[
-            F.max(F.when(F.col("side") == s, F.col(c))).alias(n)
-            for s in ("train", "test")
-            for c, n in (("fingerprint", f"{s}_fingerprint"), ("n_ids", f"n_{s}_identities"))
-        ]
-    )
-    one = F.lit(1)
-    return info.withColumn("_j", one).join(sides.withColumn("_j", one), "_j").drop("_j")
+    at = F.struct("fingerprint", "n_ids")
+    sides = prints.join(ids, "side").agg(F.map_from_entries(F.collect_list(F.struct("side", at)))).scalar()
+    out = info.withColumn("_s", sides)
+    for side in ("train", "test"):
+        found = F.try_element_at("_s", F.lit(side))
+        out = out.withColumn(f"{side}_fingerprint", found["fingerprint"]).withColumn(f"n_{side}_identities", found["n_ids"])
+    return out.drop("_s")
 
 
 def feasibility(pool_ranks: DataFrame, test: DataFrame, shots: list[int], targets: list[str]) -> DataFrame:

@@ -150,8 +150,8 @@ def class_weights(train: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Inverse-frequency weights that sum to the number of classes; absent classes count 1."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     rows = labels.join(counts, label, "left").select(label, (1 / F.coalesce("n", F.lit(1))).alias("w"))
-    total = rows.agg(F.sum("w").alias("_s"), F.count(F.lit(1)).alias("_c")).withColumn("_j", F.lit(1))
-    return rows.withColumn("_j", F.lit(1)).join(F.broadcast(total), "_j").select(label, (F.col("w") / F.col("_s") * F.col("_c")).alias("weight"))
+    mean = rows.agg(F.sum("w") / F.count(F.lit(1))).scalar()
+    return rows.select(label, (F.col("w") / mean).alias("weight"))
 
 
 def weighted_mean(df: DataFrame, by: list[str], loss: str, acc: str, size: str) -> DataFrame:

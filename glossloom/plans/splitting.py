@@ -95,7 +95,8 @@ def nested_shots(spark, d):
 @query("vocab_subset", with_views("clips", body="""
     , w AS (SELECT DISTINCT word || ' ' || k AS word FROM clips)
     SELECT word FROM w WHERE word IN ('click 1', 'view 2', 'not there') UNION ALL
-    SELECT word FROM (SELECT word FROM w WHERE word NOT IN ('click 1', 'view 2', 'not there') ORDER BY md5('3|vocab|' || word), word LIMIT 48)"""))
+    SELECT word FROM (SELECT word, row_number() OVER (ORDER BY md5('3|vocab|' || word), word) AS r FROM w WHERE word NOT IN ('click 1', 'view 2', 'not there'))
+    WHERE r <= 50 - (SELECT count(*) FROM w WHERE word IN ('click 1', 'view 2', 'not there'))"""))
 def vocab_subset(spark, d):
     words = views.clips(spark, d).select(F.concat_ws(" ", "word", F.col("k").cast("string")).alias("word")).distinct()
     return splits.vocabulary_subset(words, ["click 1", "view 2", "not there"], 50, 3)
