@@ -10,6 +10,7 @@ from glossloom.operators.ranking import hash_rank
 from glossloom.plans import views
 from glossloom.plans.registry import query
 from glossloom.plans.views import TARGETS, with_views
+from glossloom.session import checkpoint
 
 PAIR = ["key", "word", "source", "identity"]
 
@@ -28,7 +29,7 @@ def _walk(seeds: str, salt: str, limits: str, verdict: str, view: str = "ident")
       FROM (SELECT DISTINCT identity FROM idc) CROSS JOIN (SELECT unnest({seeds}) AS seed)),
     cnt AS (SELECT identity, list(coalesce(n, 0) ORDER BY word) AS cnt FROM (SELECT DISTINCT identity FROM idc) CROSS JOIN lim
       LEFT JOIN idc USING (identity, word) GROUP BY identity),
-    items AS (SELECT seed, rn, identity, cnt, target, cap FROM ids JOIN cnt USING (identity) CROSS JOIN lst),
+    items AS MATERIALIZED (SELECT seed, rn, identity, cnt, target, cap FROM ids JOIN cnt USING (identity) CROSS JOIN lst),
     walk AS (SELECT DISTINCT seed, CAST(0 AS BIGINT) AS rn, '' AS identity, false AS taken, list_transform(zero, lambda x: CAST(x AS BIGINT)) AS have FROM ids CROSS JOIN lst
       UNION ALL
       SELECT seed, rn, identity, t, CASE WHEN t THEN list_transform(range(1, len(have) + 1), lambda x: CAST(have[x] + cnt[x] AS BIGINT)) ELSE have END FROM (
@@ -136,7 +137,7 @@ def cross_source_split(spark, d):
       (SELECT count(*) FROM (SELECT key FROM split GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys"""))
 def split_invariants(spark, d):
     spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
-    return splits.split_invariants(splits.make_split(_identified(spark, d), spec))
+    return splits.split_invariants(checkpoint(splits.make_split(_identified(spark, d), spec)))
 
 
 @query("split_info", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train=_SCARCE) + """
@@ -147,7 +148,7 @@ def split_invariants(spark, d):
       count(DISTINCT identity) FILTER (side = 'train') AS n_train_identities, count(DISTINCT identity) FILTER (side = 'test') AS n_test_identities FROM split"""))
 def split_info(spark, d):
     spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
-    info = reports.split_info(splits.make_split(_identified(spark, d), spec), [*TARGETS, "zebra"], 4)
+    info = reports.split_info(checkpoint(splits.make_split(_identified(spark, d), spec)), [*TARGETS, "zebra"], 4)
     text = [F.array_join(c, ",").alias(c) for c in ("targets", "missing_targets")]
     names = ["n_words", "n_train", "n_test", "n_test_target", "train_fingerprint", "test_fingerprint", "n_train_identities", "n_test_identities"]
     return info.select(*names, *text)
