@@ -14,9 +14,14 @@ def seeded_order(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *cols))
 
 
+def hash_number(hash_hex: Column) -> Column:
+    """First 12 hex digits of a hash as a bigint."""
+    return F.conv(F.substring(hash_hex, 1, 12), 16, 10).cast("bigint")
+
+
 def unit_interval(hash_hex: Column) -> Column:
     """First 12 hex digits of a hash as a number in [0, 1)."""
-    return F.conv(F.substring(hash_hex, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    return hash_number(hash_hex).cast("double") / F.lit(float(16**12))
 
 
 def shard_of(key: Column, n: int) -> Column:

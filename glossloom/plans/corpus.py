@@ -302,7 +302,18 @@ def near_dup_pairs(spark, d):
     return pairs.groupBy("lang", "source", "distance").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-@query("near_dup_greedy")
+@query("near_dup_greedy", f"""
+    WITH RECURSIVE {_HASHES},
+    items AS MATERIALIZED (SELECT doc_id, lang, source, CAST(b[3:] AS BIT) AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM h),
+    walk AS (SELECT DISTINCT lang, source, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS kept_by,
+        CAST([] AS BIGINT[]) AS ids, CAST([] AS BIT[]) AS hs FROM items
+      UNION ALL
+      SELECT lang, source, rn, d, coalesce(ids[hit], d), CASE WHEN hit IS NULL THEN list_append(ids, d) ELSE ids END,
+        CASE WHEN hit IS NULL THEN list_append(hs, b) ELSE hs END FROM (
+        SELECT w.lang, w.source, i.rn, i.doc_id AS d, i.b, w.ids, w.hs,
+          list_filter(range(1, len(w.hs) + 1), lambda x: bit_count(xor(w.hs[x], i.b)) <= 3)[1] AS hit
+        FROM walk w JOIN items i ON i.lang = w.lang AND i.source = w.source AND i.rn = w.rn + 1))
+    SELECT doc_id, kept_by, CASE WHEN doc_id <> kept_by THEN 'phash<=3 same signer' END AS reason FROM walk WHERE rn > 0""")
 def near_dup_greedy(spark, d):
     rows = dedup.greedy_near_duplicates(views.document_hashes(spark, d), ["lang", "source"], "h", "doc_id")
     kept = F.col("kept_by") == F.col("doc_id")

@@ -141,7 +141,13 @@ def kalman_smooth(spark, d):
     return _long(_arrays(spark, d), sequence.kalman_smooth(F.col("value")))
 
 
-@query("cwt_bands")
+@query("cwt_bands", with_views("frames", body=_ARR + """
+    , sc AS (SELECT *, pow(greatest(n / 2.0, 2.0), m / 15.0) AS s, (n - 1) // 2 AS c FROM (SELECT *, unnest(range(16)) AS m FROM arr)),
+    pt AS (SELECT *, unnest(range(n)) AS t FROM sc),
+    cv AS (SELECT user_id, clip, m, t,
+      list_sum(list_transform(range(greatest(0, t + c - n + 1), least(n - 1, t + c) + 1), lambda j: v[j + 1] * exp(-0.5 * pow((t + c - j - n // 2) / s, 2)) * cos(5.0 * (t + c - j - n // 2) / s))) AS re,
+      list_sum(list_transform(range(greatest(0, t + c - n + 1), least(n - 1, t + c) + 1), lambda j: v[j + 1] * exp(-0.5 * pow((t + c - j - n // 2) / s, 2)) * sin(5.0 * (t + c - j - n // 2) / s))) AS im FROM pt)
+    SELECT user_id, clip, CAST(t * 4 + m // 4 AS INTEGER) AS i, round(avg(sqrt(re * re + im * im)) * pow(pi(), -0.25), 6) AS x FROM cv GROUP BY user_id, clip, t, m // 4"""))
 def cwt_bands(spark, d):
     rows = _arrays(spark, d).withColumn("bands", sequence.cwt_bands(F.col("value")))
     return rows.select(*CLIP, F.posexplode_outer("bands").alias("i", "x")).withColumn("x", F.round("x", 6))

@@ -227,7 +227,12 @@ def epoch_order(spark, d):
     return splits.epoch_order(views.table(spark, d, "embeddings", "vec_id"), "vec_id", 7, 3, 16)
 
 
-@query("balanced_batches")
+@query("balanced_batches", with_views("emb", body="""
+    , r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7|clip|' || vec_id), vec_id) AS r FROM emb),
+    c AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS ix FROM emb GROUP BY label),
+    d AS (SELECT i, ('0x' || md5('7|class|' || i)[1:12])::BIGINT % (SELECT count(*) FROM c) AS ix, ('0x' || md5('7|item|' || i)[1:12])::BIGINT AS pick
+      FROM (SELECT unnest(range(800)) AS i))
+    SELECT i // 16 AS step, i % 16 AS slot, c.label, r.vec_id FROM d JOIN c USING (ix) JOIN r ON r.label = c.label AND r.r = pick % c.n + 1"""))
 def balanced_batches(spark, d):
     return splits.balanced_batches(views.table(spark, d, "embeddings", "vec_id", "label"), "vec_id", "label", 7, 50, 16)
 
