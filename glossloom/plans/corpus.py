@@ -413,3 +413,69 @@ def normalization_map(spark, d):
         F.col("p_brand").alias("dataset"), F.col("p_size").alias("review_status"),
     )
     return reports.normalization_map(rows, "p_partkey")
+
+
+@query("dictionary_listing", """
+    SELECT p_partkey, p_name AS word FROM part WHERE p_size >= 5 AND p_name LIKE '%bolt'""")
+def dictionary_listing(spark, d):
+    part = table(spark, d, "part", "p_partkey", "p_name", "p_size")
+    kind = F.when(F.col("p_size") < 5, F.lit(" (Explaination).mp4")).otherwise(F.lit(" - English.MP4"))
+    files = part.select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit("/"), F.initcap("p_name"), kind).alias("path"))
+    vocab = part.filter(F.col("p_name").endswith("bolt")).select(F.col("p_name").alias("word")).distinct()
+    return listings.dictionary_listing(files, vocab).select("p_partkey", "word")
+
+
+@query("missing_words", """
+    SELECT word FROM (SELECT DISTINCT p_name AS word FROM part) WHERE word NOT IN (SELECT p_name FROM part WHERE p_size < 3 AND p_retailprice < 1500)""")
+def missing_words(spark, d):
+    part = table(spark, d, "part", "p_name", "p_size", "p_retailprice")
+    hits = part.filter((F.col("p_size") < 3) & (F.col("p_retailprice") < 1500)).select(F.col("p_name").alias("word"))
+    return listings.missing_words(part.select(F.col("p_name").alias("word")), hits, first=None)
+
+
+@query("needed_categories", """
+    SELECT DISTINCT p_brand AS parent_label FROM part WHERE p_name LIKE 'red %' AND p_size > 40""")
+def needed_categories(spark, d):
+    part = table(spark, d, "part", "p_name", "p_brand", "p_size")
+    label = F.concat(F.col("p_size").cast("string"), F.lit(". "), F.initcap("p_name"))
+    meta = part.filter(F.col("p_size") > 40).select(label.alias("label"), F.col("p_brand").alias("parent_label"))
+    targets = part.filter(F.col("p_name").startswith("red ")).select(F.col("p_name").alias("word")).distinct()
+    return listings.needed_categories(meta, targets)
+
+
+@query("filename_matches", """
+    SELECT p_partkey, p_name AS word FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_type = 'PROMO')""")
+def filename_matches(spark, d):
+    part = table(spark, d, "part", "p_partkey", "p_name", "p_type")
+    joined = F.replace(F.initcap("p_name"), F.lit(" "), F.lit(""))
+    files = part.select(F.concat(F.lit("Videos/"), joined, F.lit("__"), F.col("p_partkey").cast("string"), F.lit(".mp4")).alias("path"))
+    targets = part.filter(F.col("p_type") == "PROMO").select(F.col("p_name").alias("word")).distinct()
+    rows = listings.filename_matches(files, targets)
+    return rows.select(F.regexp_extract("path", r"__(\d+)", 1).cast("bigint").alias("p_partkey"), "word")
+
+
+@query("gloss_review", """
+    SELECT 'hello' AS target, p_partkey FROM part WHERE p_name = 'red widget'
+    UNION ALL SELECT p_name, p_partkey FROM part WHERE p_name LIKE '%ring'""")
+def gloss_review(spark, d):
+    part = table(spark, d, "part", "p_partkey", "p_name")
+    rows = part.select("p_partkey", F.initcap("p_name").alias("gloss"))
+    names = part.filter(F.col("p_name").endswith("ring")).select(F.col("p_name").alias("word")).distinct()
+    targets = names.unionByName(part.agg(F.max(F.lit("hello")).alias("word")))
+    matched, review = listings.gloss_matches(rows, targets, {"hello": "red widget"})
+    return review.select("target", "p_partkey").unionByName(matched.select(F.col("n").alias("target"), "p_partkey"))
+
+
+@query("word_sources", """
+    SELECT p_name AS word, string_agg(DISTINCT p_type, chr(10) ORDER BY p_type) AS sources FROM part GROUP BY p_name""")
+def word_sources(spark, d):
+    rows = table(spark, d, "part", "p_name", "p_type").select(F.col("p_name").alias("word"), F.col("p_type").alias("dataset"))
+    return reports.word_sources(rows)
+
+
+@query("manifests", with_views("clips", body="""
+    SELECT source, count(*) AS n_clips, count(DISTINCT word) AS n_words, sha1(string_agg(key, chr(10) ORDER BY key))[1:12] AS keys_sha1 FROM clips GROUP BY source"""))
+def manifests(spark, d):
+    rows = views.clips(spark, d)
+    made = sinks.manifest(rows, key_fingerprint(rows, ["source"], "key"), ["source"], revision="r1")
+    return sinks.manifest_matches(made, {"revision": "r1", "words": None}).select("source", "n_clips", "n_words", "keys_sha1")

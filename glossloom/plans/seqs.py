@@ -392,3 +392,22 @@ def detection_rates(spark, d):
     rows = views.point_clips(spark, d).select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("source"), "frames")
     out = reports.detection_rates(rows)
     return out.select("source", "clips_sampled", *[F.round(c, 6).alias(c) for c in out.columns if c.endswith("_pct")])
+
+
+@query("landmark_frames", with_views("emb", body=f"""
+    , pt AS (SELECT vec_id, j, [vec[1 + (3 * j) % 64], vec[1 + (3 * j + 1) % 64], vec[1 + (3 * j + 2) % 64]] AS p FROM emb CROSS JOIN (SELECT unnest(range(543)) AS j))
+    SELECT vec_id, {_WSUM.format(p='p', n='storage')} FROM (
+      SELECT *, CASE WHEN j < 468 THEN j + 75 WHEN j < 489 THEN j - 468 + 33 WHEN j < 522 THEN j - 489 ELSE j - 522 + 54 END AS o FROM pt) GROUP BY 1"""))
+def landmark_frames(spark, d):
+    """Long landmark rows (one per point) gathered into checked dense frames in storage order."""
+    j = F.col("j")
+    kind = F.when(j < 468, "face").when(j < 489, "left_hand").when(j < 522, "pose").otherwise("right_hand")
+    first = F.when(j < 468, 0).when(j < 489, 468).when(j < 522, 489).otherwise(522)
+    rows = views.embeddings(spark, d).select("vec_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(542))).alias("j"))
+    coord = lambda c: F.get("vec", F.pmod(3 * j + c, F.lit(64)))
+    long = rows.select(
+        F.col("vec_id").alias("seq"), F.lit(0).alias("frame"), kind.alias("type"), (j - first).alias("landmark_index"),
+        coord(0).alias("x"), coord(1).alias("y"), coord(2).alias("z"),
+    )
+    good, _ = landmarks.dense_frames(long)
+    return good.select(F.col("seq").alias("vec_id"), *_sums(F.col("points"), "storage"))

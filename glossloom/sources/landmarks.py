@@ -31,14 +31,16 @@ def dense_frames(long: DataFrame, by: str = "seq") -> tuple[DataFrame, DataFrame
     """
     slot = (_offset(F.col("type")) + F.col("landmark_index")).alias("slot")
     rows = long.select(by, "frame", slot, "x", "y", "z")
-    per = rows.groupBy(by, "frame").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("lo"), F.max("slot").alias("hi"),
-        F.array_sort(F.collect_list(F.struct("slot", "x", "y", "z"))).alias("_p"),
+    counts = rows.groupBy(by, "frame").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("lo"), F.max("slot").alias("hi")
     )
     fine = (F.col("n") == fixed.N_POINTS) & (F.col("slots") == fixed.N_POINTS) & (F.col("lo") == 0) & (F.col("hi") == fixed.N_POINTS - 1)
+    # Only frames of the right size are gathered, so a broken frame with many rows stays a count.
+    whole = rows.join(counts.filter(fine).select(by, "frame"), [by, "frame"], "left_semi")
+    packed = whole.groupBy(by, "frame").agg(F.array_sort(F.collect_list(F.struct("slot", "x", "y", "z"))).alias("_p"))
     ordered = F.transform("_p", lambda p: points.xyz(p["x"], p["y"], p["z"]))
-    good = per.filter(fine).select(by, "frame", points.from_face_first(ordered).alias("points"))
-    return good, per.filter(~fine | fine.isNull()).select(by, "frame", "n", "slots")
+    good = packed.select(by, "frame", points.from_face_first(ordered).alias("points"))
+    return good, counts.filter(~fine | fine.isNull()).select(by, "frame", "n", "slots")
 
 
 def read_long(spark: SparkSession, root: str) -> DataFrame:
