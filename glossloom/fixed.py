@@ -23,6 +23,14 @@ GENERIC_FOLDERS = (
 CLIP_ENDINGS = ("mp4", "mov", "avi", "mkv", "webm", "mts")
 CORPUS_ENDINGS = ("mp4", "mov", "avi", "mkv", "webm", "mpg", "mpeg", "m4v", "wmv")
 
+# Corpus folder prefix and source names with their own rules.
+CORPUS_FOLDER = "ISL_DATASET"
+DICTIONARY_SOURCE = "ISLRTC"
+DICTIONARY_SIGNER = "islrtc"
+SESSION_SOURCE = "ISL500"
+COUNTER_SOURCE = "include"
+COMPETITION_SOURCE = "gislr"
+
 # Columns of a clip index.
 INDEX_COLUMNS = (
     "key", "word", "source", "signer", "session", "split", "n_frames", "fps",

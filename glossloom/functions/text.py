@@ -120,7 +120,7 @@ def clip_key(source: Column, rel: Column) -> Column:
     return F.concat_ws("_", source, stem, digest)
 
 
-def portable_path(path: Column, root_prefix: str = "ISL_DATASET") -> Column:
+def portable_path(path: Column, root_prefix: str = fixed.CORPUS_FOLDER) -> Column:
     """Path from the last folder whose name starts with root_prefix, else folder/file."""
     parts = F.split(path, "/")
     marked = F.transform(
@@ -162,7 +162,7 @@ def dictionary_word(path: Column) -> Column:
 
 def corpus_relative(path: Column) -> Column:
     """Forward slashes, everything up to the corpus folder removed."""
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^.*?ISL_DATASET[^/]*/", "")
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), rf"^.*?{fixed.CORPUS_FOLDER}[^/]*/", "")
 
 
 def canonical_model(name: Column) -> Column:

@@ -42,7 +42,7 @@ def read_layout(spark: SparkSession, store: str) -> str:
 
 
 def load_stores(
-    stores: list[DataFrame], counter_source: str = "include", gap: int = fixed.SESSION_GAP,
+    stores: list[DataFrame], counter_source: str = fixed.COUNTER_SOURCE, gap: int = fixed.SESSION_GAP,
     sources: list[str] | None = None, words: list[str] | None = None, dedup: bool = True,
 ) -> DataFrame:
     """Clip table of several stores with canonical words, sessions and identities.
@@ -85,8 +85,8 @@ def corpus_to_clips(meta: DataFrame) -> DataFrame:
     rel = text.corpus_relative(F.col("video_path"))
     ds, sg = F.col("dataset"), F.col("signer")
     tag = F.regexp_extract(rel, r"session(\d+)", 1)
-    signer = F.when(ds.startswith("ISLRTC"), "islrtc").when(sg.rlike(r"^(User\d+|team_\w+)$"), sg).otherwise("")
-    session = F.when((ds == "ISL500") & (tag != ""), F.concat(F.lit("isl500_s"), tag)).otherwise("")
+    signer = F.when(ds.startswith(fixed.DICTIONARY_SOURCE), fixed.DICTIONARY_SIGNER).when(sg.rlike(r"^(User\d+|team_\w+)$"), sg).otherwise("")
+    session = F.when((ds == fixed.SESSION_SOURCE) & (tag != ""), F.concat(F.lit(f"{fixed.SESSION_SOURCE.lower()}_s"), tag)).otherwise("")
     return meta.select(
         rel.alias("video_rel"), "word", F.lower(ds).alias("source"), signer.alias("signer"), session.alias("session"), "license"
     )

@@ -58,9 +58,9 @@ def competition_index(meta: DataFrame, frames: DataFrame, signs: DataFrame | Non
         meta = meta.orderBy(seeded_order(seed, F.col("path")), "path").limit(sample)
     counts = frames.groupBy(F.col("seq").alias("path")).agg(F.count(F.lit(1)).alias("n_frames"))
     rel = F.concat_ws("/", F.col("participant_id").cast("string"), F.col("sequence_id").cast("string"))
-    key = text.clip_key(F.lit("gislr"), rel)
+    key = text.clip_key(F.lit(fixed.COMPETITION_SOURCE), rel)
     return meta.join(counts, "path").select(
-        key.alias("key"), F.col("sign").alias("word"), F.lit("gislr").alias("source"),
+        key.alias("key"), F.col("sign").alias("word"), F.lit(fixed.COMPETITION_SOURCE).alias("source"),
         F.concat(F.lit("asl"), F.col("participant_id").cast("string")).alias("signer"), "n_frames", F.lit("30").alias("fps"),
         F.concat(F.lit("npy/"), key, F.lit(".npy")).alias("path"), F.col("path").alias("video_rel"),
     )
