@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
+import glossloom
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +23,34 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever they start: a zip of it, kept in the shared folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(glossloom.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    path = work_path(spark, "code") + ".zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+
+
+def broadcast(spark: SparkSession, value):
+    """value for the Python functions of all workers, together with this package."""
+    ship(spark)
+    return spark.sparkContext.broadcast(value)
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)

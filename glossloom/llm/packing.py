@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import stored, text_or_empty
+from glossloom.llm.common import ship, stored, text_or_empty
 from glossloom.llm.pretokens import coder
 from glossloom.llm.tokens import VOCABULARY
 from glossloom.operators.ranking import hash_rank
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
                 rows += [(key, i, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
             yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"]).astype({"k": batch["k"].dtype})
 
+    ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     # ids travel as text: a nullable integer column would become floating point in pandas
     rows = docs.select(F.col(doc_id).cast("string").alias("k"), text_or_empty(text).alias("t")).mapInPandas(cut, "k string, piece int, start long, length long, ids_crc32 long")

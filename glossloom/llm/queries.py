@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import mixing, packing, tokens
+from glossloom.llm import language, mixing, packing, quality, tokens, toxicity
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,9 +28,24 @@ def op2_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query
 def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+@query
+def op9_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"))
+
+
 SQL["op2_source_mix"] = mixing.MIX_SQL

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import text_or_empty
+from glossloom.llm.common import broadcast, ship, text_or_empty
 from glossloom.llm.pretokens import CACHED_CHARS, coder, stretches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,6 +38,7 @@ def frequent_lengths(docs: DataFrame, text: str = "text", path: str = VOCABULARY
         top = seen.most_common(REPORTED)
         yield pd.DataFrame({"k": [k for k, _ in top], "n": [n for _, n in top]}, columns=["k", "n"])
 
+    ship(docs.sparkSession)
     texts = docs.select(text_or_empty(text).alias("t"))
     n = docs.count()
     if n > sample_rows:
@@ -52,7 +53,7 @@ def frequent_lengths(docs: DataFrame, text: str = "text", path: str = VOCABULARY
 
 def token_count(texts: Column, table: tuple[str, bytes], path: str, spark) -> Column:
     """Tokens of each text, null for null."""
-    shared = spark.sparkContext.broadcast(table)
+    shared = broadcast(spark, table)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
