@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import language, mixing, packing, quality, tokens, toxicity
+from glossloom.llm import fingerprints, language, mixing, packing, quality, tokens, toxicity
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query
+def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, d, "documents"))
+
+
 @query
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
