@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import fingerprints, language, mixing, packing, quality, tokens, toxicity
+from glossloom.llm import fingerprints, language, mixing, near_duplicates, packing, quality, tokens, toxicity
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,4 +53,10 @@ def op9_language(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(table(spark, d, "documents"))
 
 
+@query
+def op10_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, d, "documents"))
+
+
 SQL["op2_source_mix"] = mixing.MIX_SQL
+SQL["op10_near_duplicates"] = near_duplicates.NEAR_SQL
