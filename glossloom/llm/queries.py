@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import fingerprints, language, mixing, near_duplicates, packing, quality, tokens, toxicity
+from glossloom.llm import cover_tree, fingerprints, language, mixing, near_duplicates, packing, quality, tokens, toxicity
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op7_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+@query
+def op8_near_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, d, "embeddings"))
+
+
 @query
 def op9_language(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(table(spark, d, "documents"))
@@ -60,3 +65,4 @@ def op10_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["op2_source_mix"] = mixing.MIX_SQL
 SQL["op10_near_duplicates"] = near_duplicates.NEAR_SQL
+SQL["op8_near_vectors"] = cover_tree.VECTOR_SQL
