@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import cover_tree, fingerprints, language, mixing, near_duplicates, packing, quality, tokens, toxicity
+from glossloom.llm import cover_tree, fingerprints, language, language_model, mixing, near_duplicates, packing, quality, tokens, toxicity
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, d, "documents"))
 
 
+@query
+def op5_language_model(spark: SparkSession, d: str) -> DataFrame:
+    return language_model.scores(table(spark, d, "documents"))
+
+
 @query
 def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
