@@ -29,6 +29,8 @@ def labelled_sample(
         # twice as many as wanted: some of them may have long texts or none
         part = known.filter(F.col("_y") == F.lit(value)).orderBy(*order).limit(2 * n)
         chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return []
     rows = short.select(F.col(doc_id), text_or_empty(text).alias("_t")).join(F.broadcast(chosen), doc_id).select(F.col("_t"), F.col("_y"), order[0].alias("_h"), F.col(doc_id))
     out, left = [], dict(per_label)
     for r in sorted(rows.collect(), key=lambda r: (r["_h"], r[doc_id])):

@@ -210,6 +210,8 @@ def _chained(flat: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
 def predict(texts: list[str | None], model: Model, scores: _Scores) -> tuple[list[str], np.ndarray]:
     """Language and score of each text: the language with the largest mean marginal over words with letters."""
     k = len(model.languages)
+    if not k:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
     votes, letters = np.zeros((len(texts), k)), np.zeros(len(texts))
     held: list[np.ndarray] = []
     owner: list[int] = []
@@ -241,9 +243,8 @@ def predict(texts: list[str | None], model: Model, scores: _Scores) -> tuple[lis
                     flush()
                     waiting = 0
     flush()
-    best = votes.argmax(1) if k else np.zeros(len(texts), int)
-    known = (letters > 0) & bool(k)
-    score = np.where(known, votes[np.arange(len(texts)), best] / np.maximum(letters, 1), 0.0) if k else np.zeros(len(texts))
+    best, known = votes.argmax(1), letters > 0
+    score = np.where(known, votes[np.arange(len(texts)), best] / np.maximum(letters, 1), 0.0)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known)], np.clip(score, 0.0, 1.0)
 
 
