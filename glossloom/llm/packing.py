@@ -36,7 +36,8 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: st
                 first = n if n <= capacity else n % capacity or capacity
                 bounds = [0, *range(first, n + 1, capacity)]
                 rows += [(key, i, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"]).astype({"k": batch["k"].dtype})
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"]).astype({"k": batch["k"].dtype})
 
     ship(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()

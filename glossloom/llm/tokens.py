@@ -36,7 +36,8 @@ def frequent_lengths(docs: DataFrame, text: str = "text", path: str = VOCABULARY
             for t in batch["t"]:
                 seen.update(k for k in stretches(t)[1:] if len(k) <= CACHED_CHARS and "\0" not in k)
         top = seen.most_common(REPORTED)
-        yield pd.DataFrame({"k": [k for k, _ in top], "n": [n for _, n in top]}, columns=["k", "n"])
+        if top:
+            yield pd.DataFrame({"k": [k for k, _ in top], "n": [n for _, n in top]})
 
     ship(docs.sparkSession)
     texts = docs.select(text_or_empty(text).alias("t"))
