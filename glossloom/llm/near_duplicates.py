@@ -25,7 +25,7 @@ SHINGLE, SIMILARITY = 5, 85
 #: Positions of a sketch and the recall wanted of one pair at the threshold that has to pass LEVELS branchings.
 POSITIONS, RECALL, LEVELS = 64, 0.99999, 3
 #: A node of at most so many vertices is compared; a larger one branches, at most so often.
-SMALL, DEEPEST = 64, 10
+SMALL, DEEPEST = 256, 4
 #: Standard deviations by which a sketch may underrate a pair that is still compared.
 SLACK = 4.5
 
@@ -104,9 +104,10 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
     """(member, vertex): within each node (node, vertex, sketch, n_shingles), groups of vertices whose sketches allow a link.
 
     The name of a group is a hash of its members, so a group found in several
-    nodes and trees is one group.
+    nodes and trees is one group. With labels of what is already joined (c), groups
+    of one label are left out.
     """
-    level = similarity / 100
+    level, labelled = similarity / 100, "c" in rows.columns
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "node"):
@@ -122,21 +123,29 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
             out = []
             for r in np.unique(roots):
                 members = np.unique(v[roots == r])
-                if len(members) > 1:
+                if len(members) > 1 and not (labelled and len(set(g["c"].to_numpy()[roots == r])) == 1):
                     out.append(pd.DataFrame({"member": vertex_of(members), "vertex": members}))
             if out:
                 yield pd.concat(out)
 
-    return rows.select("node", "vertex", "sketch", "n_shingles").repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long").distinct()
+    return rows.select("node", "vertex", "sketch", "n_shingles", *["c"] * labelled).repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long").distinct()
 
 
 def _confirmed(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) confirmed on whole sets that join what is linked within each group; pairs already joined are not looked at."""
+    """Links (a, b) confirmed on whole sets that join what is linked within each group.
+
+    Pairs already joined are not looked at, here or, by their labels (c), before.
+    """
+    labelled = "c" in members.columns
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "member"):
             v, s = g["vertex"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["set"]]
             n, joined, a, b = np.array([len(x) for x in s]), Sets(len(v)), [], []
+            if labelled:
+                first: dict[int, int] = {}
+                for i, c in enumerate(g["c"]):
+                    joined.join(first.setdefault(c, i), i)
             for i in range(len(v) - 1):
                 for j in i + 1 + np.flatnonzero(np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])):
                     if joined.root(i) != joined.root(int(j)):
@@ -178,7 +187,7 @@ def near_duplicates(
     frontier = _branch(vertices.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "vertex", "sketch"), positions, similarity)
     done, depth = [], 1
     while True:
-        sized = stored(_sized(frontier), "nodes")
+        sized = stored(_sized(stored(frontier, "frontier")), "nodes")
         done.append(sized.filter(F.col("n") <= small).select("node", "vertex"))
         large = sized.filter(F.col("n") > small)
         if depth == deepest or not large.limit(1).count():
@@ -225,7 +234,9 @@ def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: D
     one = pairs.join(apart.select("of", "i", "vertex"), ["of", "i"])
     two = pairs.join(chunked.select("of", F.col("chunk").alias("j"), "vertex"), ["of", "j"])
     rows = one.select("of", "i", "j", "vertex").unionByName(two.select("of", "i", "j", "vertex")).select(_name(F.col("of"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct()
-    return _confirmed(_alike(rows.join(described, "vertex"), similarity), sets, similarity)
+    known = rows.join(described, "vertex").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex"))
+    members = _alike(known, similarity).join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex"))
+    return _confirmed(members, sets, similarity)
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
