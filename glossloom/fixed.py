@@ -63,6 +63,14 @@ POSE_JOINTS = (0, 11, 12, 13, 14, 15, 16)
 HAND_JOINTS = (0, 4, 5, 8, 9, 12, 13, 16, 17, 20)
 BODY_POINTS = (0, 11, 12, 13, 14, 15, 16, 23, 24)
 
+# Edges of the 27-point skeleton (arms and shoulders, wrist links, left hand, right hand).
+SKELETON_EDGES = (
+    (0, 1), (0, 2), (1, 2), (1, 3), (3, 5), (2, 4), (4, 6),
+    (5, 7), (6, 17),
+    (7, 8), (7, 9), (7, 11), (7, 13), (7, 15), (9, 10), (11, 12), (13, 14), (15, 16), (9, 11), (11, 13), (13, 15),
+    (17, 18), (17, 19), (17, 21), (17, 23), (17, 25), (19, 20), (21, 22), (23, 24), (25, 26), (19, 21), (21, 23), (23, 25),
+)
+
 # Session and sampling constants.
 SESSION_GAP = 200
 MAX_FRAMES = 256

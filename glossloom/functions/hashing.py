@@ -67,24 +67,15 @@ def average_hash(values: Column) -> Column:
     return F.conv(average_hash_bits(values), 2, -10).cast("bigint")
 
 
-def key_fingerprint(df: DataFrame, by: list[str], key: str, exact_limit: int = 100_000) -> DataFrame:
+def key_fingerprint(df: DataFrame, by: list[str], key: str) -> DataFrame:
     """Order-free fingerprint of the keys of each group, with the key count.
 
-    Groups of at most exact_limit keys get the first 12 hex digits of the sha1 of
-    the sorted keys joined by newlines. Larger groups get the sha1 of their count
-    and of two additive digests, which needs no list of the keys in one place.
-    The key counts decide, so equal key sets always take the same form.
+    First 12 hex digits of the sha1 of the count and of two sums, over the keys, of
+    15 hex digits of each key's sha1. One form at every size, and the sums are
+    combined before the shuffle.
     """
     h = F.sha1(F.col(key))
     piece = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)")
-    keyed = df.select(*by, F.col(key).alias("_key"), piece(1).alias("_a"), piece(16).alias("_b"))
-    totals = keyed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_keys"), F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb")
-    )
-    small = totals.filter(F.col("n_keys") <= exact_limit).select(*by)
-    pick = keyed.select(*by, "_key").join(small, by, "left_semi")
-    exact = pick.groupBy(*by).agg(
-        F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("_key")), "\n")), 1, 12).alias("_exact")
-    )
-    additive = F.substring(F.sha1(F.concat_ws("|", "n_keys", "_sa", "_sb")), 1, 12)
-    return totals.join(exact, by, "left").select(*by, "n_keys", F.coalesce("_exact", additive).alias("fingerprint"))
+    keyed = df.select(*by, piece(1).alias("_a"), piece(16).alias("_b"))
+    totals = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"))
+    return totals.select(*by, "n_keys", F.substring(F.sha1(F.concat_ws("|", "n_keys", "_sa", "_sb")), 1, 12).alias("fingerprint"))

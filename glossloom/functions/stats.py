@@ -42,25 +42,18 @@ def _log_gamma(z: Column) -> Column:
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Exact two-sided McNemar p-value from the discordant counts.
 
-    Up to 1,000 discordant pairs the terms grow from 2^-n. Above, they shrink from
-    the largest one, taken from log-gamma; terms further than 10 standard
-    deviations down do not change a double.
+    Twice the lower binomial tail at 1/2. Its terms shrink from the largest one,
+    which comes from log-gamma; those further than ten standard deviations down are
+    below the rounding of a double and are not summed.
     """
-    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
     pair = lambda t, s: F.struct(t.alias("t"), s.alias("s"))
-    ints = lambda m: F.when(m > 0, F.sequence(F.lit(1), F.greatest(m, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    first = F.pow(F.lit(2.0), -n)
-    small = F.aggregate(
-        ints(k), pair(first, first), lambda a, i: pair(a["t"] * (n - i + 1) / i, a["s"] + a["t"] * (n - i + 1) / i), lambda a: a["s"]
-    )
-    kd = k.cast("double")
-    top = F.exp(_log_gamma(n + 1) - _log_gamma(kd + 1) - _log_gamma(n - kd + 1) - n * F.lit(math.log(2)))
-    steps = F.least(k, (F.sqrt(n) * 5 + 50).cast("int"))
-    large = F.aggregate(
-        ints(steps), pair(top, top),
-        lambda a, i: pair(a["t"] * (kd - i + 1) / (n - kd + i), a["s"] + a["t"] * (kd - i + 1) / (n - kd + i)), lambda a: a["s"],
-    )
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, small).otherwise(large)))
+    top = F.exp(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1) - n * F.lit(math.log(2)))
+    steps = F.least(k, F.sqrt(n) * 5 + 50).cast("bigint")
+    downward = F.when(steps > 0, F.sequence(F.lit(1).cast("bigint"), F.greatest(steps, F.lit(1).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
+    smaller = lambda a, i: a["t"] * (k - i + 1) / (n - k + i)
+    tail = F.aggregate(downward, pair(top, top), lambda a, i: pair(smaller(a, i), a["s"] + smaller(a, i)), lambda a: a["s"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def mcnemar_winner(a_better: Column, b_better: Column) -> Column:

@@ -102,12 +102,12 @@ def identity_key(signer: Column, session: Column, source: Column, key: Column) -
 
 
 def fewshot_identity(signer: Column, video_path: Column, file_name_: Column) -> Column:
-    """Few-shot identity: only User<digits> counts as a signer, then a session tag."""
+    """Few-shot identity: a signer that starts with User<digits>, else a session tag, else the clip."""
     signer = F.trim(F.coalesce(signer, F.lit("")))
     blob = F.concat_ws(" ", video_path, file_name_)
     tag = F.regexp_extract(blob, r"(?i)session(\d+)", 1)
     return (
-        F.when(signer.rlike(r"(?i)^User\d+$"), F.concat(F.lit("signer:"), signer))
+        F.when(signer.rlike(r"(?i)^User\d+"), F.concat(F.lit("signer:"), signer))
         .when(tag != "", F.concat(F.lit("session:"), tag))
         .otherwise(F.concat(F.lit("clip:"), video_path))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.functions.stats import bootstrap_macro_delta, mcnemar_p, mcnemar_winner, paired_bootstrap
+from glossloom.functions.text import canonical_model
 from glossloom.operators.joins import model_pairs
 from glossloom.operators.ranking import median
 
@@ -101,16 +102,18 @@ def calibrate(runs: DataFrame, gpu: str = "T4") -> DataFrame:
     """Median seconds per step and model over finished runs of one device type."""
     ok = (F.col("steps") > 0) & (F.col("train_seconds") > 0) & F.col("gpu").contains(gpu)
     per_step = F.col("train_seconds") / F.col("steps")
-    return median(runs.filter(ok), ["model"], per_step, "step_seconds")
+    return median(runs.filter(ok).withColumn("model", canonical_model(F.col("model"))), ["model"], per_step, "step_seconds")
 
 
 def job_cost(jobs: DataFrame, calibrated: DataFrame, defaults: dict[str, float], fallback: float, overhead: float) -> DataFrame:
-    """Adds cost in device seconds: calibrated, else planned, else fallback time per step."""
+    """Adds cost in device seconds: calibrated, else planned, else fallback time per step, by canonical model name."""
     planned = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
-    sec = F.coalesce("step_seconds", F.try_element_at(planned, F.col("model")), F.lit(fallback))
+    sec = F.coalesce("step_seconds", F.try_element_at(planned, F.col("_model")), F.lit(fallback))
     ddp = F.coalesce("ddp", F.lit(False))
     run = F.coalesce("steps", F.lit(300)) * sec * F.when(ddp, 0.6).otherwise(1.0) + F.lit(overhead)
-    return jobs.join(calibrated, "model", "left").withColumn("cost", run * F.when(ddp, 2).otherwise(1)).drop("step_seconds")
+    known = calibrated.select(F.col("model").alias("_model"), "step_seconds")
+    named = jobs.withColumn("_model", canonical_model(F.col("model"))).join(known, "_model", "left")
+    return named.withColumn("cost", run * F.when(ddp, 2).otherwise(1)).drop("step_seconds", "_model")
 
 
 def step_budget(n_train: Column, batch: Column, epochs: float, low: int, high: int) -> Column:

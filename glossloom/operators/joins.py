@@ -45,9 +45,10 @@ def review_status(match: Column, label: Column) -> Column:
 def align_words(requested: DataFrame, labels: DataFrame, word: str = "word", norm: str | None = None) -> DataFrame:
     """Requested names (name, pos) with the label they stand for, null when missing.
 
-    A label is known by its token, its lower-case form, that form with underscores,
-    and the token of its normalised form; the last one wins. Every label is listed
-    once, at its first request.
+    A label is known by its token, its lower-case form and that form with
+    underscores; a later label overwrites an earlier one, in sorted order. Tokens of
+    normalised forms come after all of them. Every label is listed once, at its
+    first request.
     """
     cols = [word] + ([norm] if norm else [])
     distinct = labels.select(*cols).distinct()
@@ -60,7 +61,7 @@ def align_words(requested: DataFrame, labels: DataFrame, word: str = "word", nor
     if norm:
         forms.append(F.struct(text.token(F.col(norm)).alias("a"), F.lit(3).alias("o")))
     alias = distinct.select(F.col(word).alias("_w"), F.explode(F.array(*forms)).alias("f"))
-    alias = alias.groupBy(F.col("f.a").alias("_a")).agg(F.max_by("_w", F.struct("f.o", "_w")).alias("_w"))
+    alias = alias.groupBy(F.col("f.a").alias("_a")).agg(F.max_by("_w", F.struct(F.col("f.o") == 3, F.col("_w"), F.col("f.o"))).alias("_w"))
     by_token = requested.withColumn("_a", text.token(F.col("name"))).join(alias, "_a", "left")
     by_token = by_token.select("name", "pos", F.col("_w").alias("_w1"), F.lower(F.trim("name")).alias("_a"))
     both = by_token.join(alias, "_a", "left").select("name", "pos", F.coalesce("_w1", "_w").alias("word"))

@@ -68,14 +68,16 @@ def asof_backward(
 
 
 def fill_sessions(df: DataFrame, source: str, counter: Column, gap: int = fixed.SESSION_GAP, width: int = WIDTH) -> DataFrame:
-    """Writes the session of clips of one source that have a counter and no session."""
-    mine = F.col("source") == source
-    numbered = df.withColumn("_n", F.when(mine, counter).cast("bigint"))
-    sess = gap_sessions(numbered.filter(mine), [], "_n", gap, width)
+    """Writes the session of clips of one source that have a counter and no session.
+
+    Only those clips are shuffled; all others pass by.
+    """
     blank = F.trim(F.coalesce(F.col("session"), F.lit(""))) == ""
+    number = F.when(F.col("source") == source, counter).cast("bigint")
+    numbered = df.withColumn("_n", number)
+    has = F.col("_n").isNotNull()
+    sess = gap_sessions(numbered.filter(has), [], "_n", gap, width)
     label = F.concat(F.lit(f"{source}_s"), F.col("session_start").cast("string"))
-    return (
-        numbered.join(sess, "_n", "left")
-        .withColumn("session", F.when(mine & blank & F.col("session_start").isNotNull(), label).otherwise(F.col("session")))
-        .drop("_n", "session_start")
-    )
+    named = numbered.filter(has & blank).join(sess, "_n", "left").withColumn("session", F.coalesce(label, F.col("session")))
+    rest = numbered.filter(~(has & blank))
+    return rest.select(*df.columns).unionByName(named.select(*df.columns))

@@ -321,16 +321,15 @@ def near_dup_greedy(spark, d):
 
 
 @query("store_fingerprint", with_views("clips", body="""
-    SELECT source, count(*) AS n_keys, sha1(string_agg(key, chr(10) ORDER BY key))[1:12] AS fingerprint FROM clips GROUP BY source"""))
+    SELECT source, count(*) AS n_keys, {print} AS fingerprint FROM clips GROUP BY source""".replace("{print}", views.fingerprint_sql("key"))))
 def store_fingerprint(spark, d):
     return key_fingerprint(views.clips(spark, d), ["source"], "key")
 
 
 @query("store_fingerprint_large", with_views("clips", body="""
-    SELECT source, count(*) AS n_keys, sha1(count(*) || '|' || sum(('0x' || sha1(key)[1:15])::BIGINT)::VARCHAR || '|'
-      || sum(('0x' || sha1(key)[16:30])::BIGINT)::VARCHAR)[1:12] AS fingerprint FROM clips GROUP BY source"""))
+    SELECT source, word, count(*) AS n_keys, {print} AS fingerprint FROM clips GROUP BY source, word""".replace("{print}", views.fingerprint_sql("key"))))
 def store_fingerprint_large(spark, d):
-    return key_fingerprint(views.clips(spark, d), ["source"], "key", exact_limit=0)
+    return key_fingerprint(views.clips(spark, d), ["source", "word"], "key")
 
 
 @query("priority_queue", """
@@ -382,8 +381,8 @@ def json_results(spark, d):
 
 @query("data_manifest", with_views("clips", body="""
     SELECT source AS store, count(DISTINCT user_id % 3) AS n_members, count(DISTINCT fp) AS n_fingerprints FROM (
-      SELECT user_id, source, sha1(string_agg(license, chr(10) ORDER BY license) OVER (PARTITION BY user_id % 3, source))[1:12] AS fp
-      FROM (SELECT DISTINCT user_id % 3 AS user_id, source, license FROM clips)) GROUP BY source"""))
+      SELECT user_id, source, {print} AS fp
+      FROM (SELECT DISTINCT user_id % 3 AS user_id, source, license FROM clips) GROUP BY user_id, source) GROUP BY source""".replace("{print}", views.fingerprint_sql("license"))))
 def data_manifest(spark, d):
     rows = views.clips(spark, d).select(F.pmod("user_id", F.lit(3)).alias("member"), "source", "license").distinct()
     prints = key_fingerprint(rows, ["member", "source"], "license")
@@ -474,7 +473,7 @@ def word_sources(spark, d):
 
 
 @query("manifests", with_views("clips", body="""
-    SELECT source, count(*) AS n_clips, count(DISTINCT word) AS n_words, sha1(string_agg(key, chr(10) ORDER BY key))[1:12] AS keys_sha1 FROM clips GROUP BY source"""))
+    SELECT source, count(*) AS n_clips, count(DISTINCT word) AS n_words, {print} AS keys_sha1 FROM clips GROUP BY source""".replace("{print}", views.fingerprint_sql("key"))))
 def manifests(spark, d):
     rows = views.clips(spark, d)
     made = sinks.manifest(rows, key_fingerprint(rows, ["source"], "key"), ["source"], revision="r1")

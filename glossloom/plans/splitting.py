@@ -9,7 +9,7 @@ from glossloom.operators import holdout, joins, reports, splits
 from glossloom.operators.ranking import hash_rank
 from glossloom.plans import views
 from glossloom.plans.registry import query
-from glossloom.plans.views import TARGETS, with_views
+from glossloom.plans.views import TARGETS, fingerprint_sql, with_views
 from glossloom.session import checkpoint
 
 PAIR = ["key", "word", "source", "identity"]
@@ -143,9 +143,9 @@ def split_invariants(spark, d):
 @query("split_info", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train=_SCARCE) + """
     SELECT count(DISTINCT word) AS n_words, count(*) FILTER (side = 'train') AS n_train, count(*) FILTER (side = 'test') AS n_test,
       count(*) FILTER (side = 'test' AND word IN ('click', 'view')) AS n_test_target, 'click,view' AS targets, 'zebra' AS missing_targets,
-      sha1(string_agg(key, chr(10) ORDER BY key) FILTER (side = 'train'))[1:12] AS train_fingerprint,
-      sha1(string_agg(key, chr(10) ORDER BY key) FILTER (side = 'test'))[1:12] AS test_fingerprint,
-      count(DISTINCT identity) FILTER (side = 'train') AS n_train_identities, count(DISTINCT identity) FILTER (side = 'test') AS n_test_identities FROM split"""))
+      {train} AS train_fingerprint, {test} AS test_fingerprint,
+      count(DISTINCT identity) FILTER (side = 'train') AS n_train_identities, count(DISTINCT identity) FILTER (side = 'test') AS n_test_identities FROM split""".replace(
+    "{train}", fingerprint_sql("key", "side = 'train'")).replace("{test}", fingerprint_sql("key", "side = 'test'"))))
 def split_info(spark, d):
     spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
     info = reports.split_info(checkpoint(splits.make_split(_identified(spark, d), spec)), [*TARGETS, "zebra"], 4)

@@ -23,6 +23,13 @@ TARGET_LABELS = (0, 1, 2)
 MODELS = {"dim16": 16, "dim64": 64}
 
 
+def fingerprint_sql(key: str, where: str = "TRUE") -> str:
+    """SQL of hashing.key_fingerprint over the rows of a group that satisfy a condition."""
+    n = f"count(*) FILTER (WHERE {where})"
+    part = lambda cut: f"CAST(sum(CAST('0x' || sha1({key}){cut} AS BIGINT)) FILTER (WHERE {where}) AS VARCHAR)"
+    return f"CASE WHEN {n} > 0 THEN sha1({n} || '|' || {part('[1:15]')} || '|' || {part('[16:30]')})[1:12] END"
+
+
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
     return df.select(*cols) if cols else df

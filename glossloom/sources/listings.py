@@ -47,7 +47,7 @@ def dictionary_listing(files: DataFrame, vocab: DataFrame | None = None, limit:
     return rows.filter(in_shard(F.col("path"), shard))
 
 
-def missing_words(vocab: DataFrame, hits: DataFrame, first: int | None = 30) -> DataFrame:
+def missing_words(vocab: DataFrame, hits: DataFrame, first: int | None = None) -> DataFrame:
     """Vocabulary words without a clip; the report shows the first ones in order."""
     rows = vocab.select("word").distinct().join(hits.select("word").distinct(), "word", "left_anti")
     return rows.orderBy("word").limit(first) if first else rows

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glossloom import fixed
 from glossloom.functions import points, sequence, stats, text
 from glossloom.functions.hashing import hamming_hex, in_shard, parse_shard
 from glossloom.sources.clips import quality_score
@@ -202,7 +203,7 @@ def test_fourier_and_hankel(spark):
 
 def test_point_tables():
     assert len(points.reduced_rows()) == 119 and len(points.joint_rows()) == 27
-    assert len(points.skeleton_edges()) == 33
+    assert len(fixed.SKELETON_EDGES) == 33
     parent = {c: p for p, c in points.bone_pairs()}
     assert parent[2] == 1 and parent[5] == 3 and parent[7] == 5 and parent[13] == 11
 

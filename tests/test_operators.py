@@ -278,11 +278,15 @@ def test_clips_are_bounded_and_whole(spark):
     assert [r.i for r in order] == list(range(1000))
 
 
-def test_fingerprint_forms(spark):
+def test_fingerprint_has_one_form_at_every_size(spark):
     import hashlib
 
-    df = spark.createDataFrame([("s", k) for k in ("b", "a", "c")], "g string, key string")
-    want = hashlib.sha1(b"a\nb\nc").hexdigest()[:12]
-    assert hashing.key_fingerprint(df, ["g"], "key").first().fingerprint == want
-    large = hashing.key_fingerprint(df, ["g"], "key", exact_limit=0).first().fingerprint
-    assert large != want and large == hashing.key_fingerprint(df.orderBy(F.desc("key")), ["g"], "key", exact_limit=0).first().fingerprint
+    def plain(keys):
+        digests = [hashlib.sha1(k.encode()).hexdigest() for k in keys]
+        sums = [sum(int(h[a : a + 15], 16) for h in digests) for a in (0, 15)]
+        return hashlib.sha1(f"{len(keys)}|{sums[0]}|{sums[1]}".encode()).hexdigest()[:12]
+
+    for keys in (["b", "a", "c"], [f"k{i}" for i in range(150_000)]):
+        df = spark.createDataFrame([("s", k) for k in keys], "g string, key string")
+        for rows in (df, df.repartition(7)):
+            assert hashing.key_fingerprint(rows, ["g"], "key").first().fingerprint == plain(keys)
