@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 
 from glossloom.llm.common import broadcast, if_small, stored
 from glossloom.llm.components import components
-from glossloom.llm.shingles import groups
+from glossloom.llm.shingles import Sets, groups
 
 THRESHOLD = 0.95
 #: Vectors of a block, and pivots at most.
 BLOCK, PIVOTS = 4_096, 1_024
 #: Radii of the levels of a block's tree, as chords of the unit sphere.
 RADII = (1.0, 0.5, 0.25)
-#: Slack of the pruning bounds for rounding.
-EPS = 1e-6
+#: Slack of the pruning bounds for rounding; they are held against products in single precision.
+EPS, SINGLE = 1e-6, 2e-6
+#: Pairs looked at at once.
+PAIRS = 1 << 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,12 +42,15 @@ def chord(cosine: np.ndarray) -> np.ndarray:
 def _net(x: np.ndarray, members: np.ndarray, radius: float) -> np.ndarray:
     """For each member the centre that covers it; members[0] is a centre, centres are more than radius apart."""
     of = np.full(len(members), -1)
-    part = x[members]
-    for i in range(len(members)):
-        if of[i] < 0:
-            near = (of < 0) & (chord(part @ part[i]) <= radius)
-            near[i] = True
-            of[near] = members[i]
+    part = x[members].astype(np.float32)
+    least = 1 - radius**2 / 2
+    for at in range(0, len(members), 512):
+        near = part[at : at + 512] @ part.T >= least
+        for i in range(at, min(at + 512, len(members))):
+            if of[i] < 0:
+                found = np.flatnonzero(near[i - at])
+                of[found[of[found] < 0]] = members[i]
+                of[i] = members[i]
     return of
 
 
@@ -66,98 +71,121 @@ def levels(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A block: raw and unit vectors, copies, and per level the nodes with members and covering radii."""
+    """A block in tree order: every node of every level is a range of positions; below the last level are the vectors."""
 
     def __init__(self, raw: np.ndarray, copies: np.ndarray, node: np.ndarray):
-        self.raw, self.copies, self.unit = raw, copies, unit(raw)
-        self.norm = np.linalg.norm(raw, axis=1)
-        self.node = node
-        self.radius = []
-        for of in node:
-            far = np.zeros(len(raw))
-            np.maximum.at(far, of, chord((self.unit * self.unit[of]).sum(1)))
-            self.radius.append(far)
-
-    def children(self, level: int, members: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(centre, members) of the nodes of a level among the members of a node above."""
-        of = self.node[level][members]
-        order = np.argsort(of, kind="stable")
-        cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1), len(order)]
-        return [(int(of[order[a]]), members[order[a:b]]) for a, b in zip(cuts, cuts[1:])]
-
-
-class _Joined:
-    """Which vectors are joined, as labels; keeps the links that joined two labels."""
-
-    def __init__(self, n: int):
-        self.label, self.links = np.arange(n), []
-
-    def add(self, i: int, others: np.ndarray) -> None:
-        roots, first = np.unique(self.label[others], return_index=True)
-        for r, k in zip(roots, first):
-            if r != self.label[i]:
-                self.links.append((i, int(others[k])))
-        roots = np.append(roots, self.label[i])
-        self.label[np.isin(self.label, roots)] = roots.min()
+        self.order = np.lexsort(node[::-1])
+        self.raw, self.copies, node = raw[self.order], copies[self.order], node[:, self.order]
+        place = np.empty(len(raw), np.int64)
+        place[self.order] = np.arange(len(raw))
+        self.norm = np.linalg.norm(self.raw, axis=1)
+        self.single = unit(self.raw).astype(np.float32)
+        self.start, self.size, self.centre, self.radius, self.child, self.children = [], [], [], [], [], []
+        for of in [*node, self.order]:
+            start = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1]) if len(of) else np.zeros(0, np.int64)
+            centre = place[of[start]]
+            size = np.diff(np.append(start, len(of)))
+            far = chord(np.einsum("ij,ij->i", self.single, self.single[np.repeat(centre, size)]).astype(float) - SINGLE)
+            radius = np.where(size > 1, np.maximum.reduceat(far, start) if len(of) else 0.0, 0.0)
+            self.start.append(start)
+            self.size.append(size)
+            self.centre.append(centre)
+            self.radius.append(radius)
+        for above, below in zip(self.start, self.start[1:]):
+            first = np.searchsorted(below, above)
+            self.child.append(first)
+            self.children.append(np.diff(np.append(first, len(below))))
+
+
+def _meeting(one: np.ndarray, two: np.ndarray, ra: np.ndarray, rb: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes whose covering balls come within reach; nodes without radius share one bound."""
+    order_a, order_b = np.argsort(ra > 0, kind="stable"), np.argsort(rb > 0, kind="stable")
+    points_a, points_b = int((ra == 0).sum()), int((rb == 0).sum())
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(order_a), 512):
+        i = order_a[at : at + 512]
+        for j, plain in ((order_b[:points_b], at + 512 <= points_a), (order_b[points_b:], False)):
+            if len(j):
+                far = np.float32(reach + EPS) if plain else np.minimum(2.0, (ra[i] + reach + EPS)[:, None] + rb[j][None, :]).astype(np.float32)
+                x, y = np.nonzero(one[i] @ two[j].T >= 1 - far * far / 2 - np.float32(SINGLE))
+                found_i.append(i[x])
+                found_j.append(j[y])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _child_pairs(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Child pairs of the node pairs of a level, a bounded number at a time."""
+    n, m = a.children[level][i], b.children[level][j]
+    at = 0
+    while at < len(i):
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(n[at:] * m[at:]), PAIRS, side="right")) + at)
+        k = np.repeat(np.arange(at, upto), (n * m)[at:upto])
+        inside = np.arange(len(k)) - np.repeat(np.cumsum((n * m)[at:upto]) - (n * m)[at:upto], (n * m)[at:upto])
+        x, y = a.child[level][i[k]] + inside // m[k], b.child[level][j[k]] + inside % m[k]
+        for cut in range(0, len(x), PAIRS):
+            yield x[cut : cut + PAIRS], y[cut : cut + PAIRS]
+        at = upto
 
 
 def traverse(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links (counting copies) of each vector of a and b, and links that join what is linked; b may be a itself.
 
-    Positions of b follow those of a in the links.
+    Results are in the order the vectors came in; positions of b follow those of a
+    in the links. Node pairs go down level by level: a pair is dropped if its balls
+    are too far apart, linked as a whole if they are near enough, else replaced by
+    the pairs of its children.
     """
-    same, reach = a is b, float(chord(np.array(threshold)))
-    na = len(a.raw)
-    count_a, count_b = np.zeros(na, np.int64), np.zeros(len(b.raw), np.int64)
-    joined = _Joined(na if same else na + len(b.raw))
-    shift = 0 if same else na
-    whole_a, whole_b = np.arange(na), np.arange(len(b.raw))
-    todo = [(0, whole_a, whole_b, same)]
-
-    def link_all(x: np.ndarray, y: np.ndarray) -> None:
+    same, reach, last = a is b, float(chord(np.array(threshold))), len(RADII)
+    na, nb = len(a.raw), len(b.raw)
+    count_a, count_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
+    joined, links, shift = Sets(na if same else na + nb), [], 0 if same else na
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        roots = np.fromiter(map(joined.root, range(len(joined.up))), np.int64, len(joined.up))
+        for i in np.flatnonzero(roots[x] != roots[y + shift]):
+            if joined.join(int(x[i]), int(y[i] + shift)):
+                links.append((int(x[i]), int(y[i] + shift)))
+
+    def link(x: np.ndarray, y: np.ndarray) -> None:
+        np.add.at(count_a, x, b.copies[y])
+        np.add.at(count_a if same else count_b, y, a.copies[x])
+        join(x, y)
+
+    def link_all(level: int, i: int, j: int) -> None:
+        x = np.arange(a.start[level][i], a.start[level][i] + a.size[level][i])
+        y = np.arange(b.start[level][j], b.start[level][j] + b.size[level][j])
         count_a[x] += b.copies[y].sum()
         (count_a if same else count_b)[y] += a.copies[x].sum()
-        for i in x[:1]:
-            joined.add(int(i), y + shift)
-        for j in y[:1]:
-            joined.add(int(j + shift), x)
-
-    while todo:
-        level, x, y, self_pair = todo.pop()
-        if level == len(RADII):
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                cosine = (a.raw[part] @ b.raw[y].T) / (a.norm[part][:, None] * b.norm[y][None, :])
-                hit = cosine >= threshold
-                if self_pair:
-                    hit &= y[None, :] > part[:, None]
-                for i in np.flatnonzero(hit.any(1)):
-                    others = y[hit[i]]
-                    count_a[part[i]] += b.copies[others].sum()
-                    (count_a if same else count_b)[others] += a.copies[part[i]]
-                    joined.add(int(part[i]), others + shift)
-            continue
-        one = a.children(level, x)
-        two = one if self_pair else b.children(level, y)
-        ca, cb = np.array([c for c, _ in one]), np.array([c for c, _ in two])
-        ra, rb = a.radius[level][ca], b.radius[level][cb]
-        for at in range(0, len(one), 512):
-            apart = chord(a.unit[ca[at : at + 512]] @ b.unit[cb].T)
-            both = ra[at : at + 512, None] + rb[None, :]
-            for i, j in zip(*np.nonzero(apart <= both + reach + EPS)):
-                i = int(i) + at
-                if self_pair and j < i:
-                    continue
-                inner = self_pair and i == j
-                if inner and len(one[i][1]) == 1:
-                    continue
-                if not inner and apart[i - at, j] + both[i - at, j] <= reach - EPS:
-                    link_all(one[i][1], two[j][1])
-                elif len(one[i][1]) == 1 and len(two[j][1]) == 1:
-                    todo.append((len(RADII), one[i][1], two[j][1], inner))
-                else:
-                    todo.append((level + 1, one[i][1], two[j][1], inner))
-    return count_a, count_b, joined.links
+        join(np.concatenate([np.full(len(y), x[0]), x]), np.concatenate([y, np.full(len(x), y[0])]))
+
+    def down(level: int, i: np.ndarray, j: np.ndarray) -> None:
+        """Takes node pairs of a level whose balls meet."""
+        if level == last:
+            cosine = np.einsum("ij,ij->i", a.raw[i], b.raw[j]) / (a.norm[i] * b.norm[j])
+            hit = (cosine >= threshold) & ((i < j) if same else True)
+            link(i[hit], j[hit])
+            return
+        apart = chord(np.einsum("ij,ij->i", a.single[a.centre[level][i]], b.single[b.centre[level][j]]).astype(float) - SINGLE)
+        whole = (apart + a.radius[level][i] + b.radius[level][j] <= reach - EPS) & ((a.size[level][i] > 1) | (b.size[level][j] > 1)) & ((i != j) | (not same))
+        for k in np.flatnonzero(whole):
+            link_all(level, int(i[k]), int(j[k]))
+        for x, y in _child_pairs(a, b, level, i[~whole], j[~whole]):
+            if same:
+                x, y = x[x <= y], y[x <= y]
+            below = level + 1
+            near = np.einsum("ij,ij->i", a.single[a.centre[below][x]], b.single[b.centre[below][y]])
+            far = np.minimum(2.0, a.radius[below][x] + b.radius[below][y] + reach + EPS)
+            meet = (near >= 1 - far * far / 2 - SINGLE) & ((x != y) | (not same) | (a.size[below][x] > 1))
+            down(below, x[meet], y[meet])
+
+    if na and nb:
+        i, j = _meeting(a.single[a.centre[0]], b.single[b.centre[0]], a.radius[0], b.radius[0], reach)
+        keep = ((i < j) | ((i == j) & (a.size[0][i] > 1))) if same else np.ones(len(i), bool)
+        down(0, i[keep], j[keep])
+    back_a, back_b = np.empty(na, np.int64), np.empty(nb, np.int64)
+    back_a[a.order], back_b[b.order] = count_a, count_b
+    name = np.concatenate([a.order, b.order + na])
+    return back_a, back_b, [(int(name[x]), int(name[y])) for x, y in links]
 
 
 def _raw(cells) -> np.ndarray:
