@@ -71,6 +71,10 @@ SKELETON_EDGES = (
     (17, 18), (17, 19), (17, 21), (17, 23), (17, 25), (19, 20), (21, 22), (23, 24), (25, 26), (19, 21), (21, 23), (23, 25),
 )
 
+# Default shots, least clips of a word, and limits of a test side.
+SHOTS, LEAST_CLIPS = 4, 3
+TEST_LIMITS = {"frac": 0.25, "min_test": 2, "max_test": 20, "max_frac": 0.5}
+
 # Session and sampling constants.
 SESSION_GAP = 200
 MAX_FRAMES = 256

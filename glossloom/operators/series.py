@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossloom import fixed
-from glossloom.functions.sequence import mode_features
+from glossloom.functions.sequence import delay_modes, same_length
 from glossloom.operators.ranking import time_rank
 
 
@@ -104,7 +105,9 @@ def dynamic_modes(
 
     def run(batches):
         for pdf in batches:
-            made = pd.DataFrame([mode_features(x, dim, delays, rank) for x in pdf["_x"]], columns=names)
-            yield pd.concat([pdf.drop(columns="_x"), made], axis=1)
+            made = np.empty(len(pdf), object)
+            for at, clips in same_length(pdf["_x"]):
+                made[at] = delay_modes(clips.reshape(len(at), -1, dim), delays, rank)
+            yield pd.concat([pdf.drop(columns="_x"), pd.DataFrame(list(made), columns=names)], axis=1)
 
     return rows.mapInPandas(run, schema)

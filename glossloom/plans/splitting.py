@@ -105,20 +105,20 @@ def vocab_subset(spark, d):
 
 @query("scarce_split", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train=_SCARCE) + " SELECT key, word, side FROM split"))
 def scarce_split(spark, d):
-    spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
-    return splits.make_split(_identified(spark, d), spec).select("key", "word", "side")
+    how = {"protocol": "scarce", "shots": 4, "targets": TARGETS}
+    return splits.make_split(_identified(spark, d), **how).select("key", "word", "side")
 
 
 @query("uniform_split", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train="pool_rank <= 8") + " SELECT key, word, side FROM split"))
 def uniform_split(spark, d):
-    spec = splits.SplitSpec("uniform", 8, 0, list(TARGETS))
-    return splits.make_split(_identified(spark, d), spec).select("key", "word", "side")
+    how = {"protocol": "uniform", "shots": 8, "targets": TARGETS}
+    return splits.make_split(_identified(spark, d), **how).select("key", "word", "side")
 
 
 @query("full_split", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train="true") + " SELECT key, word, side FROM split"))
 def full_split(spark, d):
-    spec = splits.SplitSpec("full", None, 0, list(TARGETS))
-    return splits.make_split(_identified(spark, d), spec).select("key", "word", "side")
+    how = {"protocol": "full", "shots": None, "targets": TARGETS}
+    return splits.make_split(_identified(spark, d), **how).select("key", "word", "side")
 
 
 @query("cross_source_split", with_views("ident", body="""
@@ -128,16 +128,16 @@ def full_split(spark, d):
     SELECT key, word, 'train' AS side FROM tr QUALIFY row_number() OVER (PARTITION BY word ORDER BY p, ih, identity, h, key) <= 8
     UNION ALL SELECT key, word, 'test' FROM ident WHERE source = 'web' AND word IN (SELECT word FROM tr)"""))
 def cross_source_split(spark, d):
-    spec = splits.SplitSpec("cross_source", 8, 0, list(TARGETS), train_sources=["studio", "camera"], test_sources=["web"])
-    return splits.make_split(_identified(spark, d), spec).select("key", "word", "side")
+    how = {"protocol": "cross_source", "shots": 8, "targets": TARGETS, "sources": (["studio", "camera"], ["web"])}
+    return splits.make_split(_identified(spark, d), **how).select("key", "word", "side")
 
 
 @query("split_invariants", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train=_SCARCE) + """
     SELECT (SELECT count(*) FROM (SELECT identity FROM split GROUP BY 1 HAVING count(DISTINCT side) > 1)) AS leaked_identities,
       (SELECT count(*) FROM (SELECT key FROM split GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys"""))
 def split_invariants(spark, d):
-    spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
-    return splits.split_invariants(checkpoint(splits.make_split(_identified(spark, d), spec)))
+    how = {"protocol": "scarce", "shots": 4, "targets": TARGETS}
+    return splits.split_invariants(checkpoint(splits.make_split(_identified(spark, d), **how)))
 
 
 @query("split_info", with_views("ident", body=_TEST + _POOL + _SPLIT.format(train=_SCARCE) + """
@@ -147,8 +147,8 @@ def split_invariants(spark, d):
       count(DISTINCT identity) FILTER (side = 'train') AS n_train_identities, count(DISTINCT identity) FILTER (side = 'test') AS n_test_identities FROM split""".replace(
     "{train}", fingerprint_sql("key", "side = 'train'")).replace("{test}", fingerprint_sql("key", "side = 'test'"))))
 def split_info(spark, d):
-    spec = splits.SplitSpec("scarce", 4, 0, list(TARGETS))
-    info = reports.split_info(checkpoint(splits.make_split(_identified(spark, d), spec)), [*TARGETS, "zebra"], 4)
+    how = {"protocol": "scarce", "shots": 4, "targets": TARGETS}
+    info = reports.split_info(checkpoint(splits.make_split(_identified(spark, d), **how)), [*TARGETS, "zebra"], 4)
     text = [F.array_join(c, ",").alias(c) for c in ("targets", "missing_targets")]
     names = ["n_words", "n_train", "n_test", "n_test_target", "train_fingerprint", "test_fingerprint", "n_train_identities", "n_test_identities"]
     return info.select(*names, *text)

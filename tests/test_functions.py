@@ -188,10 +188,16 @@ def test_cwt(spark):
 
 def test_modes_of_a_known_oscillation():
     t = np.arange(60)
-    found = sequence.mode_features(np.cos(0.4 * t) * 0.98**t, 1, 8, 2)
+    found = sequence.delay_modes((np.cos(0.4 * t) * 0.98**t).reshape(1, -1, 1), 8, 2)[0]
     eig = np.array(found["re"]) + 1j * np.array(found["im"])
     assert sorted(np.angle(eig)) == pytest.approx([-0.4, 0.4], abs=1e-6) and np.abs(eig) == pytest.approx([0.98, 0.98], abs=1e-6)
-    assert set(sequence.mode_features(np.zeros(3), 1, 8, 3)["re"]) == {0.0}
+    assert set(sequence.delay_modes(np.zeros((1, 3, 1)), 8, 3)[0]["re"]) == {0.0}
+    x = np.random.default_rng(8).normal(size=(3, 40, 2))
+    for clip, made in zip(x, sequence.delay_modes(x, 4, 3)):  # the same steps by singular value decomposition
+        h = np.concatenate([clip.T[:, i : 37 + i] for i in range(4)])
+        u, s, v = np.linalg.svd(h[:, :-1], full_matrices=False)
+        want = np.linalg.eigvals(u[:, :3].T @ h[:, 1:] @ v[:3].T / s[:3])
+        assert np.allclose(np.sort_complex(want), np.sort_complex(made["re"] + 1j * made["im"]))
 
 
 def test_fourier_and_hankel(spark):

@@ -174,19 +174,19 @@ def test_nested_and_stable_splits(spark):
     clips = protocol_clips(spark)
     test_keys, previous = None, set()
     for k in (1, 2, 4):
-        split = splits.make_split(clips, splits.SplitSpec("scarce", k, 0)).collect()
+        split = splits.make_split(clips, "scarce", k).collect()
         test = {r.key for r in split if r.side == "test"}
         train = {r.key for r in split if r.side == "train" and r.word in ("eat", "go")}
         ids = lambda side: {r.identity for r in split if r.side == side}
         assert not ids("train") & ids("test")
         assert test_keys in (None, test) and previous <= train and len(train) == 2 * k
         test_keys, previous = test, train
-    uniform = splits.make_split(clips, splits.SplitSpec("uniform", 4, 0)).collect()
+    uniform = splits.make_split(clips, "uniform", 4).collect()
     assert {r.key for r in uniform if r.side == "test"} == test_keys
 
 
 def test_vocabulary_keeps_targets(spark):
-    split = splits.make_split(protocol_clips(spark), splits.SplitSpec("scarce", 2, 0, n_words=3)).select("word").distinct()
+    split = splits.make_split(protocol_clips(spark), "scarce", 2, n_words=3).select("word").distinct()
     words = {r.word for r in split.collect()}
     assert {"eat", "go"} <= words and len(words) == 3
 
