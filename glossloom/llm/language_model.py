@@ -29,7 +29,7 @@ SEGMENT_BITS, HASHES, SEGMENT_ENTRIES, SEGMENTS = 1 << 19, 8, 45_000, 768
 TOKEN, PAIR, CONTEXT = 1, 2, 3
 SCALE = {TOKEN: (1, 2), PAIR: (2, 2), CONTEXT: (1, 8)}
 #: Tokens worked on at once.
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 17
 _END = np.uint64(0x5EED0E4D)
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,6 +100,14 @@ class Model:
     data: bytes
     mass: float  # sum of the representatives of all held tokens
 
+    def context_counts(self) -> np.ndarray:
+        """Exact count by pair number; as many texts start as end."""
+        counts, some = np.zeros(int(self.ids.max(initial=0)) + 1), self.ids > 0
+        counts[self.ids[some]] = self.counts[some]
+        at = _look_up(self.hashes, np.array([_END]))[0]
+        counts[0] = self.counts[at] if at >= 0 else 0
+        return counts
+
 
 def _documents(texts, words: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens with an end after each text, lengths) of several whole texts at a time."""
@@ -172,7 +180,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Data
         keys, numbers = known.value
         for batch in batches:
             for tokens, lengths in _documents(batch["t"], words):
-                before, after = neighbours(tokens, lengths, keys, numbers)
+                before, after = neighbours(lengths, _look_up(keys, tokens), numbers)
                 both = (before >= 0) & (after >= 0)
                 k, n = np.unique((before[both] << 20) + after[both], return_counts=True)
                 yield pd.DataFrame({"k": k, "n": n})
@@ -222,37 +230,44 @@ def least_level(histogram: dict[tuple[int, int], int], room: int) -> int:
     return level
 
 
-def neighbours(tokens: np.ndarray, lengths: np.ndarray, keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(lengths: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pair numbers of each token's predecessor (0 at a text's start) and of the token, -1 for tokens without one."""
-    at = _look_up(keys, tokens)
-    after = np.where(at >= 0, numbers[at] if len(numbers) else -1, -1)
+    after = np.where(place >= 0, numbers[place] if len(numbers) else -1, -1)
     before = np.concatenate([[0], after[:-1]])
     before[np.cumsum(lengths) - lengths] = 0
     return before, after
 
 
-def probabilities(tokens: np.ndarray, lengths: np.ndarray, model: Model, held: Filter) -> np.ndarray:
-    """log10 of each token's smoothed probability, all counts read from the filter.
-
-    A bigram's share of its context is what the held bigrams leave: the mass of the
-    others, one at least, goes to the smoothed unigram.
-    """
-    unique, back = np.unique(tokens, return_inverse=True)
-    single = (representative(held.levels(TOKEN, unique), TOKEN) + 1.0)[back] / (model.mass + model.types + 1.0)
-    before, after = neighbours(tokens, lengths, model.hashes, model.ids)
-    context, where = np.unique(before, return_inverse=True)
-    total = representative(held.levels(CONTEXT, context), CONTEXT)[where]
-    counts = np.zeros(int(model.ids.max(initial=0)) + 1)
-    counts[model.ids[model.ids > 0]] = model.counts[model.ids > 0]
-    ended = model.counts[_look_up(model.hashes, np.array([_END]))]
-    counts[0] = ended[0] if len(ended) else 0
-    rest = np.maximum(counts[np.maximum(before, 0)] - total, 0.0) + 1.0
-    both = (before >= 0) & (after >= 0)
-    pair, place = np.unique((before[both] << 20) + after[both], return_inverse=True)
-    seen = np.zeros(len(tokens))
-    seen[both] = representative(held.levels(PAIR, pair), PAIR)[place]
-    mixed = (seen + rest * single) / (total + rest)
-    return np.log10(np.where(before >= 0, mixed, single))
+class Reader:
+    """Reads counts from the filter; those of the broadcast tokens and of all contexts are read once."""
+
+    def __init__(self, model: Model):
+        self.model, self.held = model, Filter(model.segments, model.data)
+        self.frequent = representative(self.held.levels(TOKEN, model.hashes), TOKEN)
+        starts = model.context_counts()
+        self.total = representative(self.held.levels(CONTEXT, np.arange(len(starts))), CONTEXT)
+        self.rest = np.maximum(starts - self.total, 0.0) + 1.0
+
+    def probabilities(self, tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 of each token's smoothed probability, given the places of the tokens among the broadcast ones.
+
+        A bigram's share of its context is what the held bigrams leave: the mass of
+        the others, one at least, goes to the smoothed unigram.
+        """
+        m, count = self.model, np.zeros(len(tokens))
+        if len(self.frequent):
+            count = np.where(place >= 0, self.frequent[place], 0.0)
+        rare, back = np.unique(tokens[place < 0], return_inverse=True)
+        count[place < 0] = representative(self.held.levels(TOKEN, rare), TOKEN)[back]
+        single = (count + 1.0) / (m.mass + m.types + 1.0)
+        before, after = neighbours(lengths, place, m.ids)
+        both = (before >= 0) & (after >= 0)
+        pair, where = np.unique((before[both] << 20) + after[both], return_inverse=True)
+        seen = np.zeros(len(tokens))
+        seen[both] = representative(self.held.levels(PAIR, pair), PAIR)[where]
+        at = np.maximum(before, 0)
+        mixed = (seen + self.rest[at] * single) / (self.total[at] + self.rest[at])
+        return np.log10(np.where(before >= 0, mixed, single))
 
 
 def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo: int = 7, remainder: int = 2) -> DataFrame:
@@ -270,37 +285,36 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo:
     model, totals = fit(docs, ~held_out(doc_id, modulo, remainder), text)
     shared = broadcast(spark, model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def with_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, m = WordHashes(), shared.value
-        held = Filter(m.segments, m.data)
+        reader = Reader(m)
         for batch in batches:
             at = 0
             for tokens, lengths in _documents(batch["t"], words):
                 rows, ends = batch["row"].to_numpy()[at : at + len(lengths)], np.cumsum(lengths)
+                ids = batch["id"].to_list()[at : at + len(lengths)]
                 at += len(lengths)
                 starts, owner = ends - lengths, np.repeat(np.arange(len(lengths)), lengths)
                 place = _look_up(m.hashes, tokens)
                 exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
                 part = pd.DataFrame({
-                    "row": rows, "h": pd.array([None] * len(rows), dtype="Int64"), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
-                    "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(probabilities(tokens, lengths, m, held), starts),
+                    "id": ids, "row": rows, "h": pd.array([None] * len(rows), dtype="Int64"), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
+                    "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(reader.probabilities(tokens, lengths, place), starts),
                 })
                 rare = np.flatnonzero(place < 0)
-                key, n = np.unique(np.rec.fromarrays([owner[rare], tokens[rare]]), return_counts=True)
-                more = pd.DataFrame({"row": rows[key["f0"]], "h": pd.array(_signed(key["f1"]), dtype="Int64"), "times": n, "known": 0, "base": 0.0, "score": 0.0})
-                yield pd.concat([part, more])
+                order = rare[np.lexsort((tokens[rare], owner[rare]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                first = order[new]
+                n = np.diff(np.append(np.flatnonzero(new), len(order)))
+                more = pd.DataFrame({"id": None, "row": rows[owner[first]], "h": pd.array(_signed(tokens[first]), dtype="Int64"), "times": n, "known": 0, "base": 0.0, "score": 0.0})
+                yield part
+                if len(more):
+                    yield more
 
-    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("t"))
     # ids and numbers are written with the scores, so that a repeated task cannot number rows anew
+    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
-
-    def with_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = dict(zip(batch["row"].to_numpy(), batch["id"]))
-            for part in score(iter([batch])):
-                own = part["h"].isna()
-                yield part.assign(id=[ids[r] if o else None for r, o in zip(part["row"], own)])
-
     raw = numbered.select(F.col("doc_id").cast("string").alias("id"), "row", "t").mapInPandas(with_ids, "row long, h long, times long, known long, base double, score double, id string")
     found = stored(raw, "scored")
     rare = found.filter("h IS NOT NULL").select("row", "h", "times").join(totals, "h", "left")

@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 
 #: Words whose hashes a worker keeps.
-CACHED = 500_000
+CACHED = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
