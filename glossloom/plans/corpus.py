@@ -164,7 +164,13 @@ def identity_key(spark, d):
     return views.identified(spark, d).select("key", "identity")
 
 
-@query("shard_partition")
+# CRC-32 bit by bit: xor with the next byte, then eight shifts, each with the reversed polynomial if a 1 falls out
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END)))"""
+
+
+@query("shard_partition", with_views("clips", body=f"""
+    SELECT CAST({_CRC32} % 4 AS INTEGER) AS shard, count(*) AS n FROM clips GROUP BY 1"""))
 def shard_partition(spark, d):
     rows = views.clips(spark, d).select(shard_of(F.col("key"), 4).alias("shard"))
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
