@@ -195,15 +195,15 @@ def run_pivot(spark, d):
 
 
 @query("result_summary", """
-    SELECT o_orderpriority AS model, year(o_orderdate) AS k, round(avg(o_totalprice), 6) AS price_mean,
-      round(CASE WHEN count(o_totalprice) = 1 THEN 0 ELSE stddev_samp(o_totalprice) END, 6) AS price_std, count(DISTINCT o_custkey) AS n_seeds
+    SELECT o_orderpriority AS model, year(o_orderdate) AS k, round(avg(o_totalprice), 5) AS price_mean,
+      round(CASE WHEN count(o_totalprice) = 1 THEN 0 ELSE stddev_samp(o_totalprice) END, 5) AS price_std, count(DISTINCT o_custkey) AS n_seeds
     FROM (SELECT * REPLACE (CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice) FROM orders) GROUP BY ALL""")
 def result_summary(spark, d):
     orders = table(spark, d, "orders", "o_orderpriority", "o_orderdate", "o_totalprice", "o_custkey", "o_orderstatus")
     missing = F.when(F.col("o_orderstatus") == "P", F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
     runs = orders.select(F.col("o_orderpriority").alias("model"), F.year("o_orderdate").alias("k"), missing.alias("price"), F.col("o_custkey").alias("seed"))
     seen = compare.summarise(runs, ["model", "k"], ["price"], single_std_zero=True)
-    return _rounded(seen, "price_mean", "price_std", digits=6)
+    return _rounded(seen, "price_mean", "price_std", digits=5)
 
 
 @query("consistency_checks", """
