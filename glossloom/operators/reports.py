@@ -144,3 +144,19 @@ def normalization_map(records: DataFrame, order: str) -> DataFrame:
 
 def word_sources(records: DataFrame) -> DataFrame:
     return records.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set("dataset")), "\n").alias("sources"))
+
+
+def inventory(clips: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per listed source, found or not: its listed columns, then clips, words and signers that came from it."""
+    found = clips.groupBy("source").agg(
+        F.count(F.lit(1)).alias("clips"), F.count_distinct("word").alias("words"), F.count_distinct(F.nullif(F.trim("signer"), F.lit(""))).alias("signers")
+    )
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("clips", "words", "signers")]
+    return sources.join(found, "source", "left").select(*sources.columns, *counts, (F.coalesce("clips", F.lit(0)) > 0).alias("found"))
+
+
+def licences(clips: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """Clips per source and licence; a blank licence is reported as unknown and needs a review."""
+    name = F.coalesce(F.nullif(F.trim("license"), F.lit("")), F.lit(unknown))
+    rows = clips.groupBy("source", name.alias("licence")).agg(F.count(F.lit(1)).alias("clips"))
+    return rows.withColumn("needs_review", F.col("licence") == unknown)

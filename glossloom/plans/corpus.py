@@ -484,3 +484,20 @@ def manifests(spark, d):
     rows = views.clips(spark, d)
     made = sinks.manifest(rows, key_fingerprint(rows, ["source"], "key"), ["source"], revision="r1")
     return sinks.manifest_matches(made, {"revision": "r1", "words": None}).select("source", "n_clips", "n_words", "keys_sha1")
+
+
+@query("inventory", with_views("clips", body="""
+    SELECT s.source, s.place, count(c.key) AS clips, count(DISTINCT c.word) AS words, count(DISTINCT nullif(trim(c.signer), '')) AS signers, count(c.key) > 0 AS found
+    FROM (SELECT DISTINCT source, 'table' AS place FROM clips UNION ALL SELECT 'never seen', 'list') s LEFT JOIN clips c ON c.source = s.source GROUP BY ALL"""))
+def inventory(spark, d):
+    rows = views.clips(spark, d)
+    listed = rows.select("source").distinct().withColumn("place", F.lit("table"))
+    never = listed.agg(F.max(F.lit("never seen")).alias("source"), F.max(F.lit("list")).alias("place"))
+    return reports.inventory(rows, listed.unionByName(never))
+
+
+@query("licences", with_views("clips", body="""
+    SELECT source, CASE WHEN license = 'licence 0' THEN 'unknown' ELSE license END AS licence, count(*) AS clips, license = 'licence 0' AS needs_review FROM clips GROUP BY ALL"""))
+def licences(spark, d):
+    rows = views.clips(spark, d)
+    return reports.licences(rows.withColumn("license", F.when(F.col("license") == "licence 0", F.lit(" ")).otherwise(F.col("license"))))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossloom import fixed
 from glossloom.functions import points, sequence
-from glossloom.operators import augment, reports, series
+from glossloom.operators import augment, features, reports, series
 from glossloom.plans import views
 from glossloom.plans.registry import query
 from glossloom.plans.views import with_views
@@ -411,3 +411,40 @@ def landmark_frames(spark, d):
     )
     good, _ = landmarks.dense_frames(long)
     return good.select(F.col("seq").alias("vec_id"), *_sums(F.col("points"), "storage"))
+
+
+_BANK = """
+    , e AS (SELECT user_id, clip, sqrt(avg(dv * dv)) AS energy FROM (
+      SELECT *, coalesce(value - lag(value) OVER (PARTITION BY user_id, clip ORDER BY frame), 0) AS dv FROM frames) GROUP BY ALL),
+    bank AS (
+      SELECT user_id, clip, 'value' AS modality, v AS f FROM arr
+      UNION ALL SELECT user_id, clip, 'energy', [energy] FROM e
+      UNION ALL SELECT user_id, clip, 'resampled', list_transform(range(30), lambda i: v[1 + CASE WHEN n >= 30 THEN (i * (n - 1)) // 29 ELSE least(i, n - 1) END]) FROM arr
+      UNION ALL SELECT user_id, clip, 'doubled', list_transform(v, lambda x: 2 * x + 1) FROM arr)"""
+
+
+def _bank(spark, d):
+    known = features.standard()
+    known.register("doubled", features.user_transform(lambda x: 2 * x + 1))
+    return features.feature_table(_arrays(spark, d), CLIP, "value", known)
+
+
+@query("feature_bank", with_views("frames", body=_ARR + _BANK + """
+    SELECT user_id, clip, modality, CAST(len(f) AS BIGINT) AS n, round(list_sum(f), 4) AS total FROM bank"""))
+def feature_bank(spark, d):
+    total = F.aggregate("features", F.lit(0.0), lambda s, x: s + x)
+    return _bank(spark, d).select(*CLIP, "modality", "n", F.round(total, 4).alias("total"))
+
+
+@query("user_transform", with_views("frames", body=_ARR + """
+    SELECT user_id, clip, CAST(i - 1 AS INTEGER) AS i, round(2 * v[i] + 1, 6) AS x FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM arr)"""))
+def user_transform(spark, d):
+    doubled = features.user_transform(lambda x: 2 * x + 1)
+    return _long(_arrays(spark, d), doubled(F.col("value")))
+
+
+@query("bank_scores", with_views("frames", body=_ARR + _BANK + """
+    SELECT user_id, clip, modality, round(list_max(f) - list_min(f), 6) AS score FROM bank"""))
+def bank_scores(spark, d):
+    scored = features.score_table(_bank(spark, d), CLIP, lambda rows: rows.max(1) - rows.min(1))
+    return scored.withColumn("score", F.round("score", 6))

@@ -290,3 +290,23 @@ def test_fingerprint_has_one_form_at_every_size(spark):
         df = spark.createDataFrame([("s", k) for k in keys], "g string, key string")
         for rows in (df, df.repartition(7)):
             assert hashing.key_fingerprint(rows, ["g"], "key").first().fingerprint == plain(keys)
+
+
+def test_modalities_are_named_once():
+    from glossloom.operators import features
+
+    known = features.standard()
+    known.register("own", lambda v: v)
+    with pytest.raises(ValueError, match="taken"):
+        known.register("own", lambda v: v)
+    with pytest.raises(ValueError, match="unknown modality"):
+        known.feature("none", None)
+    assert known.names() == ["energy", "own", "resampled", "value"]
+
+
+def test_split_guards(spark):
+    clips = protocol_clips(spark)
+    with pytest.raises(ValueError, match="unknown protocol"):
+        splits.make_split(clips, "other")
+    with pytest.raises(ValueError, match="sources"):
+        splits.make_split(clips, "cross_source")
