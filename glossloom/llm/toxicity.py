@@ -75,9 +75,10 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     part = rng.permutation(len(rows))
     first, second = [rows[i] for i in part[: 2 * len(rows) // 3]], [rows[i] for i in part[2 * len(rows) // 3 :]]
     split = {y: [t for t, v in first if int(v) == y] for y in (0, 1)}
-    has = {y: Counter(w for t in ts for w in set(t.lower().encode().split())) for y, ts in split.items()}
     rate = {y: 1.0 / (len(ts) + 1) for y, ts in split.items()}
-    apart = {w for w, n in has[1].items() if n >= LEAST_DOCS and (n + 0.5) * rate[1] >= LEAST_LIFT * (has[0][w] + 0.5) * rate[0]}
+    often = {w: n for w, n in Counter(w for t in split[1] for w in set(t.lower().encode().split())).items() if n >= LEAST_DOCS}
+    plain = Counter(w for t in split[0] for w in set(t.lower().encode().split()) if w in often)
+    apart = {w for w, n in often.items() if (n + 0.5) * rate[1] >= LEAST_LIFT * (plain[w] + 0.5) * rate[0]}
     found = [b" " + w + b" " for t in split[1] for w in t.lower().encode().split() if w in apart]
     common = [w for t in split[0][:2_000] for w in windows(t)]
     common = [common[i] for i in rng.permutation(len(common))[:90_000]]
