@@ -124,11 +124,12 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
             for r in np.unique(roots):
                 members = np.unique(v[roots == r])
                 if len(members) > 1 and not (labelled and len(set(g["c"].to_numpy()[roots == r])) == 1):
-                    out.append(pd.DataFrame({"member": vertex_of(members), "vertex": members}))
+                    part_of = pd.DataFrame({"member": vertex_of(members), "vertex": members})
+                    out.append(part_of.merge(g[["vertex", "c"]].drop_duplicates("vertex"), on="vertex") if labelled else part_of)
             if out:
                 yield pd.concat(out)
 
-    return rows.select("node", "vertex", "sketch", "n_shingles", *["c"] * labelled).repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long").distinct()
+    return rows.select("node", "vertex", "sketch", "n_shingles", *["c"] * labelled).repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long" + ", c long" * labelled).distinct()
 
 
 def _confirmed(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -234,9 +235,8 @@ def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: D
     one = pairs.join(apart.select("of", "i", "vertex"), ["of", "i"])
     two = pairs.join(chunked.select("of", F.col("chunk").alias("j"), "vertex"), ["of", "j"])
     rows = one.select("of", "i", "j", "vertex").unionByName(two.select("of", "i", "j", "vertex")).select(_name(F.col("of"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct()
-    known = rows.join(described, "vertex").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex"))
-    members = _alike(known, similarity).join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex"))
-    return _confirmed(members, sets, similarity)
+    known = stored(described.join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
+    return _confirmed(_alike(rows.join(known, "vertex"), similarity), sets, similarity)
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
