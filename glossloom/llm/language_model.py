@@ -1,10 +1,11 @@
-"""Language-model scores from a log-frequency Bloom filter.
-
-Token and bigram counts of the training documents are quantised on a logarithmic
-scale; a Bloom filter holds each n-gram once for every level up to its own. The
-filter is built in segments by separate tasks and broadcast. A count is read by
-probing level after level until a probe fails, and probabilities are smoothed
-from such counts. Beside it stands a unigram baseline with exact counts.
+"""Language-model scores from a log-frequency Bloom filter and a table of what it does not hold.
+
+Bigram counts of the training documents are quantised on a logarithmic scale. For
+bigrams of frequent tokens a Bloom filter holds each one once for every level up to
+its own; it is built in segments by separate tasks and broadcast, and a count is
+read by probing level after level until a probe fails. All other bigrams, and those
+for which the filter has no room, stay in a stored table that scoring joins.
+Beside it stands a unigram baseline with exact counts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from glossloom.llm.common import broadcast, held_out, ship, stored, text_or_empty
 from glossloom.llm.shingles import WordHashes, groups, mix
 
-#: Tokens whose exact counts are broadcast, and those whose bigrams are counted: the most frequent ones.
+#: Tokens whose exact counts are broadcast, and those whose bigrams may be in the filter: the most frequent ones. The rest is joined.
 EXACT, PAIRED = 1 << 18, 1 << 16
 #: Bits of a segment, hashes of an entry, entries a segment is meant for (0.4 % wrong probes), segments at most (48 MiB).
 SEGMENT_BITS, HASHES, SEGMENT_ENTRIES, SEGMENTS = 1 << 19, 8, 45_000, 768
@@ -32,6 +33,7 @@ SCALE = {TOKEN: (1, 2), PAIR: (2, 2), CONTEXT: (1, 8)}
 TOKENS_AT_ONCE = 1 << 17
 _END = np.uint64(0x5EED0E4D)
 _PHI = np.uint64(0x9E3779B97F4A7C15)
+_HIGH = np.uint64(1 << 63)
 
 
 def quantised(n: Column, kind: int) -> Column:
@@ -98,17 +100,27 @@ class Model:
     ids: np.ndarray  # number among the PAIRED tokens, -1 for others
     segments: int
     data: bytes
-    mass: float  # sum of the representatives of all held tokens
+    lowest: int  # least level in the filter; bigrams below it are in the table
+    texts: int  # training texts, as often as a text starts
+    followed: np.ndarray  # by pair number: sum of the representatives of the bigrams that start with it
 
     def context_counts(self) -> np.ndarray:
         """Exact count by pair number; as many texts start as end."""
         counts, some = np.zeros(int(self.ids.max(initial=0)) + 1), self.ids > 0
         counts[self.ids[some]] = self.counts[some]
-        at = _look_up(self.hashes, np.array([_END]))[0]
-        counts[0] = self.counts[at] if at >= 0 else 0
+        counts[0] = self.texts
         return counts
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What is joined: exact token counts (h, n), bigrams that the filter does not hold (k, seen), contexts that have no pair number (c, followed, free)."""
+
+    totals: DataFrame
+    bigrams: DataFrame
+    contexts: DataFrame
+
+
 def _documents(texts, words: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens with an end after each text, lengths) of several whole texts at a time."""
     held, n = [], 0
@@ -134,6 +146,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _absent(rows: np.ndarray):
+    return pd.array([None] * len(rows), dtype="Int64")
+
+
 def token_totals(docs: DataFrame, text: str) -> DataFrame:
     """h and n of every token; counted per task first."""
 
@@ -159,8 +175,8 @@ def _frequent(totals: DataFrame, most: int) -> float:
     return least
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, DataFrame]:
-    """(model, exact token counts) of the documents that satisfy train."""
+def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Tables]:
+    """(model, tables) of the documents that satisfy train."""
     spark = docs.sparkSession
     ship(spark)
     learned = docs.filter(train)
@@ -180,43 +196,44 @@ def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Data
         keys, numbers = known.value
         for batch in batches:
             for tokens, lengths in _documents(batch["t"], words):
-                before, after = neighbours(lengths, _look_up(keys, tokens), numbers)
-                both = (before >= 0) & (after >= 0)
-                k, n = np.unique((before[both] << 20) + after[both], return_counts=True)
-                yield pd.DataFrame({"k": k, "n": n})
+                _, both, k, c = pair_keys(tokens, lengths, _look_up(keys, tokens), numbers)
+                k, first, n = np.unique(k, return_index=True, return_counts=True)
+                yield pd.DataFrame({"k": k, "c": np.where(both[first], 0, c[first]), "n": n})
 
     least = SCALE[PAIR][0]
-    bigrams = learned.select(text_or_empty(text).alias("t")).mapInPandas(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    bigrams = stored(bigrams.select("k", quantised(F.col("n"), PAIR).alias("q")), "bigrams")
-    middle = lambda q, kind: representative(np.asarray(q), kind)
-    stands = F.element_at(F.array(*[F.lit(float(x)) for x in middle(np.arange(1, 130), PAIR)]), F.col("q"))
-    contexts = bigrams.groupBy(F.shiftright("k", 20).alias("k")).agg(F.sum(stands).alias("n")).select("k", quantised(F.col("n"), CONTEXT).alias("q"))
-    tokens = totals.select(F.col("h").alias("k"), quantised(F.col("n"), TOKEN).alias("q"))
-    entries = stored(tokens.withColumn("kind", F.lit(TOKEN)).unionByName(bigrams.withColumn("kind", F.lit(PAIR))).unionByName(contexts.withColumn("kind", F.lit(CONTEXT))), "entries")
-    histogram = entries.groupBy("kind", "q").agg(F.count(F.lit(1)).alias("n")).collect()
-    lowest = least_level({(r["kind"], r["q"]): r["n"] for r in histogram}, SEGMENTS * SEGMENT_ENTRIES)
-    kept = [r for r in histogram if r["kind"] == CONTEXT or r["q"] >= lowest]
-    segments = max(1, min(SEGMENTS, -(-sum(r["n"] * r["q"] for r in kept) // SEGMENT_ENTRIES)))
-    mass = float(sum(r["n"] * float(middle(r["q"], TOKEN)) for r in kept if r["kind"] == TOKEN))
+    bigrams = learned.select(text_or_empty(text).alias("t")).mapInPandas(pairs, "k long, c long, n long").groupBy("k").agg(F.sum("n").alias("n"), F.max("c").alias("c")).filter(F.col("n") >= least)
+    context = F.when(F.col("k") >= 0, F.shiftright("k", 20)).otherwise(F.col("c"))
+    bigrams = stored(bigrams.select("k", context.alias("c"), quantised(F.col("n"), PAIR).alias("q")), "bigrams")
+    stands = F.element_at(F.array(*[F.lit(float(x)) for x in representative(np.arange(1, 130), PAIR)]), F.col("q"))
+    followed = stored(bigrams.groupBy("c").agg(F.sum(stands).alias("followed")), "contexts")
+    near = followed.filter("c >= 0").toPandas()  # at most PAIRED and the start of a text
+    sums = np.zeros(int(ids.max(initial=0)) + 1)
+    sums[near["c"].to_numpy(np.int64)] = near["followed"].to_numpy(float)
+    named = totals.select(F.col("h").bitwiseOR(F.lit(int(_signed(_HIGH)))).alias("c"), "n")
+    far = followed.filter("c < 0").join(named, "c").groupBy("c").agg(F.max("followed").alias("followed"), F.sum("n").alias("n"))
+    contexts = stored(far.select("c", "followed", (F.greatest(F.col("n") - F.col("followed"), F.lit(0.0)) + 1.0).alias("free")), "far_contexts")
+    histogram = {(PAIR, r["q"]): r["n"] for r in bigrams.filter("k >= 0").groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lowest = least_level(histogram, SEGMENTS * SEGMENT_ENTRIES)
+    segments = max(1, min(SEGMENTS, -(-sum(n * q for (_, q), n in histogram.items() if q >= lowest) // SEGMENT_ENTRIES)))
+    in_filter = (F.col("k") >= 0) & (F.col("q") >= lowest)
+    texts = totals.filter(F.col("h") == int(_signed(_END))).first()
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            kind, k = batch["kind"].to_numpy(), batch["k"].to_numpy().astype(np.uint64)
-            g = np.empty(len(batch), np.uint64)
-            for x in (TOKEN, PAIR, CONTEXT):
-                g[kind == x] = keyed(x, k[kind == x])
+            g = keyed(PAIR, batch["k"].to_numpy())
             yield pd.DataFrame({"segment": segment_of(g, segments).astype(np.int32), "g": _signed(g), "q": batch["q"].to_numpy()})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, "segment"):
             yield pd.DataFrame({"segment": [part["segment"].iat[0]], "data": [segment_bytes(part["g"].to_numpy().astype(np.uint64), part["q"].to_numpy())]})
 
-    held = entries.filter((F.col("kind") == CONTEXT) | (F.col("q") >= lowest)).mapInPandas(route, "segment int, g long, q int")
+    held = bigrams.filter(in_filter).select("k", "q").mapInPandas(route, "segment int, g long, q int")
     built = held.repartition("segment").sortWithinPartitions("segment").mapInPandas(build, "segment int, data binary")
     found = {r["segment"]: bytes(r["data"]) for r in built.toLocalIterator()}
     empty = bytes(SEGMENT_BITS // 8)
     data = b"".join(found.get(i, empty) for i in range(segments))
-    return Model(int(size["n"]), int(size["v"]), hashes, counts, ids, segments, data, mass), totals
+    model = Model(int(size["n"]), int(size["v"]), hashes, counts, ids, segments, data, lowest, int(texts["n"]) if texts else 0, sums)
+    return model, Tables(totals, bigrams.filter(~in_filter).select("k", stands.alias("seen")), contexts)
 
 
 def least_level(histogram: dict[tuple[int, int], int], room: int) -> int:
@@ -238,36 +255,53 @@ def neighbours(lengths: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> t
     return before, after
 
 
+def pair_keys(tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its predecessor's pair number, whether both have one, key of the bigram, key of the predecessor.
+
+    Keys are made of pair numbers where there are some; others are negative hashes.
+    """
+    before, after = neighbours(lengths, place, numbers)
+    both = (before >= 0) & (after >= 0)
+    last = np.concatenate([tokens[:1], tokens[:-1]])
+    last[np.cumsum(lengths) - lengths] = ~_END  # the start of a text
+    k = np.where(both, (before << 20) + after, _signed(mix(mix(last + _PHI) + tokens) | _HIGH))
+    return before, both, k, np.where(before >= 0, before, _signed(last | _HIGH))
+
+
 class Reader:
-    """Reads counts from the filter; those of the broadcast tokens and of all contexts are read once."""
+    """Probabilities as far as the broadcast model has them."""
 
     def __init__(self, model: Model):
         self.model, self.held = model, Filter(model.segments, model.data)
-        self.frequent = representative(self.held.levels(TOKEN, model.hashes), TOKEN)
-        starts = model.context_counts()
-        self.total = representative(self.held.levels(CONTEXT, np.arange(len(starts))), CONTEXT)
-        self.rest = np.maximum(starts - self.total, 0.0) + 1.0
+        self.free = np.maximum(model.context_counts() - model.followed, 0.0) + 1.0
 
-    def probabilities(self, tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 of each token's smoothed probability, given the places of the tokens among the broadcast ones.
+    def probabilities(self, tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+        """(log10 of each token's smoothed probability, what to join for tokens whose probability is left at 0).
 
-        A bigram's share of its context is what the held bigrams leave: the mass of
-        the others, one at least, goes to the smoothed unigram.
+        A bigram's share of its context is what the counted bigrams leave: the mass of
+        the others, one at least, goes to the smoothed unigram. What is known already
+        of a token to join (followed, free, single) is not negative; its key is then
+        the bigram's, so that no key is frequent.
         """
-        m, count = self.model, np.zeros(len(tokens))
-        if len(self.frequent):
-            count = np.where(place >= 0, self.frequent[place], 0.0)
-        rare, back = np.unique(tokens[place < 0], return_inverse=True)
-        count[place < 0] = representative(self.held.levels(TOKEN, rare), TOKEN)[back]
-        single = (count + 1.0) / (m.mass + m.types + 1.0)
-        before, after = neighbours(lengths, place, m.ids)
-        both = (before >= 0) & (after >= 0)
-        pair, where = np.unique((before[both] << 20) + after[both], return_inverse=True)
-        seen = np.zeros(len(tokens))
-        seen[both] = representative(self.held.levels(PAIR, pair), PAIR)[where]
+        m = self.model
+        exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
+        single = (exact + 1.0) / (m.tokens + m.types + 1.0)
+        before, both, k, c = pair_keys(tokens, lengths, place, m.ids)
+        pair, where = np.unique(k[both], return_inverse=True)
+        level = np.zeros(len(tokens), np.int64)
+        level[both] = self.held.levels(PAIR, pair)[where]
+        level[level < m.lowest] = 0  # a wrong probe
+        away = ~both | ((level == 0) & (m.lowest > 1))
         at = np.maximum(before, 0)
-        mixed = (seen + self.rest[at] * single) / (self.total[at] + self.rest[at])
-        return np.log10(np.where(before >= 0, mixed, single))
+        followed, free = m.followed[at], self.free[at]
+        mixed = np.log10((np.minimum(representative(level, PAIR), followed) + free * single) / (followed + free))
+        i = np.flatnonzero(away)
+        numbered, counted = before[i] >= 0, place[i] >= 0
+        joins = pd.DataFrame({
+            "at": i, "k": k[i], "c": np.where(numbered, k[i], c[i]), "h": np.where(counted, k[i], _signed(tokens[i])),
+            "followed": np.where(numbered, followed[i], -1.0), "free": np.where(numbered, free[i], -1.0), "single": np.where(counted, single[i], -1.0),
+        })
+        return np.where(away, 0.0, mixed), joins
 
 
 def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo: int = 7, remainder: int = 2) -> DataFrame:
@@ -278,11 +312,12 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo:
     no token is known and every probability is that of an unknown token. An empty
     table gives no rows.
 
-    Exact counts of the EXACT most frequent tokens are broadcast; each document's
-    other tokens are joined with the whole table of counts.
+    Exact counts of the EXACT most frequent tokens are broadcast, as is a filter with
+    bigrams of the PAIRED most frequent ones; each document's other tokens and bigrams
+    are joined with the whole tables of counts.
     """
     spark = docs.sparkSession
-    model, totals = fit(docs, ~held_out(doc_id, modulo, remainder), text)
+    model, tables = fit(docs, ~held_out(doc_id, modulo, remainder), text)
     shared = broadcast(spark, model)
 
     def with_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,17 +332,17 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo:
                 starts, owner = ends - lengths, np.repeat(np.arange(len(lengths)), lengths)
                 place = _look_up(m.hashes, tokens)
                 exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
+                score, joins = reader.probabilities(tokens, lengths, place)
                 part = pd.DataFrame({
-                    "id": ids, "row": rows, "h": pd.array([None] * len(rows), dtype="Int64"), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
-                    "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(reader.probabilities(tokens, lengths, place), starts),
+                    "id": ids, "row": rows, "k": _absent(rows), "c": _absent(rows), "h": _absent(rows), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
+                    "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(score, starts), "followed": 0.0, "free": 0.0, "single": 0.0,
                 })
-                rare = np.flatnonzero(place < 0)
-                order = rare[np.lexsort((tokens[rare], owner[rare]))]
+                of, k = owner[joins["at"].to_numpy()], joins["k"].to_numpy()
+                order = np.lexsort((k, of))
                 new = np.ones(len(order), bool)
-                new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                new[1:] = (k[order][1:] != k[order][:-1]) | (of[order][1:] != of[order][:-1])
                 first = order[new]
-                n = np.diff(np.append(np.flatnonzero(new), len(order)))
-                more = pd.DataFrame({"id": None, "row": rows[owner[first]], "h": pd.array(_signed(tokens[first]), dtype="Int64"), "times": n, "known": 0, "base": 0.0, "score": 0.0})
+                more = joins.iloc[first].drop(columns="at").assign(id=None, row=rows[of[first]], times=np.diff(np.append(np.flatnonzero(new), len(order))), known=0, base=0.0, score=0.0)
                 yield part
                 if len(more):
                     yield more
@@ -315,16 +350,23 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo:
     # ids and numbers are written with the scores, so that a repeated task cannot number rows anew
     numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    raw = numbered.select(F.col("doc_id").cast("string").alias("id"), "row", "t").mapInPandas(with_ids, "row long, h long, times long, known long, base double, score double, id string")
+    raw = numbered.select(F.col("doc_id").cast("string").alias("id"), "row", "t").mapInPandas(with_ids, "row long, k long, c long, h long, times long, known long, base double, score double, followed double, free double, single double, id string")
     found = stored(raw, "scored")
-    rare = found.filter("h IS NOT NULL").select("row", "h", "times").join(totals, "h", "left")
-    c = F.coalesce("n", F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 1.0)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("also"))
-    full = found.filter("h IS NULL").join(more, "row", "left")
+    away = found.filter("k IS NOT NULL").select("row", "k", "c", "h", "times", F.col("followed").alias("f"), F.col("free").alias("r"), F.col("single").alias("s"))
+    away = away.join(tables.bigrams, "k", "left").join(tables.contexts, "c", "left").join(tables.totals, "h", "left")
+    n, rare, named = F.coalesce("n", F.lit(0)), F.col("s") < 0, F.col("f") < 0
+    single = F.when(rare, (n + 1.0) / F.lit(model.tokens + model.types + 1.0)).otherwise(F.col("s"))
+    followed, free = F.when(named, F.coalesce("followed", F.lit(0.0))).otherwise(F.col("f")), F.when(named, F.coalesce("free", F.lit(1.0))).otherwise(F.col("r"))
+    mixed = F.log10((F.coalesce("seen", F.lit(0.0)) + free * single) / (followed + free))
+    more = away.groupBy("row").agg(
+        F.sum(F.when(rare, F.col("times") * F.log10(n + 1.0)).otherwise(F.lit(0.0))).alias("more"), F.sum(F.when(rare & (n > 0), F.col("times")).otherwise(F.lit(0))).alias("also"),
+        F.sum(F.col("times") * mixed).alias("rest"),
+    )
+    full = found.filter("k IS NULL").join(more, "row", "left")
     each = math.log10(model.tokens + model.types + 1.0)
     known_id = F.col("id").cast(kind)
     return full.select(
         known_id.alias("doc_id"), held_out("id", modulo, remainder).alias("held_out"), F.col("times").alias("n_tokens"),
         (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("times") * F.lit(each)).alias("base_score"), F.col("score"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("times") * F.lit(each)).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -167,6 +167,35 @@ def test_rare_tokens_are_counted_exactly(spark, monkeypatch):
     check_baseline({r["doc_id"]: r for r in rows_of(language_model.scores(docs))}, {r["doc_id"]: r["text"] for r in docs.collect()})
 
 
+def plain_scores(texts):
+    """Smoothed bigram scores with every bigram of the training texts, without a filter."""
+    kept = [[*words(t), "end"] for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts, pairs, starts = Counter(w for ws in kept for w in ws), Counter((a, b) for ws in kept for a, b in zip(["", *ws], ws)), len(kept)
+    level = {p: math.floor(math.log2(n / 2) * 2 + 1e-9) + 1 for p, n in pairs.items() if n >= 2}
+    seen = {p: float(language_model.representative(q, language_model.PAIR)) for p, q in level.items()}
+    followed = Counter()
+    for (a, _), x in seen.items():
+        followed[a] += x
+    n, v = sum(counts.values()), len(counts)
+
+    def of(a, b):
+        free = max((counts[a] if a else starts) - followed[a], 0) + 1
+        return math.log10((seen.get((a, b), 0) + free * (counts[b] + 1) / (n + v + 1)) / (followed[a] + free))
+
+    return {k: sum(of(a, b) for a, b in zip(["", *words(t)], [*words(t), "end"])) for k, t in texts.items()}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"EXACT": 8, "PAIRED": 4}, {"EXACT": 400, "PAIRED": 300, "SEGMENTS": 1, "SEGMENT_ENTRIES": 60}])
+def test_bigrams_of_all_tokens_count_at_any_bound_of_the_broadcast(spark, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(language_model, name, value)
+    docs = table(spark, SF, "documents")
+    want = plain_scores({r["doc_id"]: r["text"] for r in docs.collect()})
+    got = {r["doc_id"]: r["score"] for r in rows_of(language_model.scores(docs))}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=2e-3)
+    assert all(got[k] == pytest.approx(want[k], rel=2e-2) for k in want)
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(2)
     keys, q = rng.integers(0, 2**62, 20_000), rng.integers(1, 9, 20_000)
