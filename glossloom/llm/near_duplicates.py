@@ -204,7 +204,6 @@ def near_duplicates(
         nodes = nodes.unionByName(part)
     described = vertices.select("vertex", "sketch", "n_shingles")
     members = stored(_alike(nodes.join(described, "vertex"), similarity), "members")
-    wanted = members.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex")
 
     def sets_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -214,19 +213,25 @@ def near_duplicates(
                 yield pd.DataFrame({"vertex": np.array([vertex_of(s) for s in found], np.int64), "set": [s.tobytes() for s in found]})
 
     texts = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    again = texts.join(wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct(), "id", "left_semi").select("t")
-    sets = stored(again.mapInPandas(sets_again, "vertex long, set binary"), "sets")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        ids = wanted.join(vertices.select("vertex", "id"), "vertex").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct()
+        return stored(texts.join(ids, "id", "left_semi").select("t").mapInPandas(sets_again, "vertex long, set binary"), "sets")
+
+    sets = sets_of(members.select("vertex").distinct())
     links = stored(_confirmed(members, sets, similarity), "links")
     found = components(links)
     if large.limit(1).count():
         found = stored(found, "components")
-        links = links.unionByName(_rest(chunked, leaders, found, described, sets, similarity, chunks))
+        more = stored(_rest(chunked, leaders, found, described, similarity, chunks), "more_members")
+        missing = more.select("vertex").distinct().join(sets.select("vertex"), "vertex", "left_anti")  # first alike to a vertex of another chunk
+        links = links.unionByName(_confirmed(more, sets.unionByName(sets_of(missing)), similarity))
         found = components(links)
     return _labelled(rows, stored(found, "components"))
 
 
-def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: DataFrame, sets: DataFrame, similarity: int, chunks: Column) -> DataFrame:
-    """Links of vertices in large nodes that are not yet joined to their leader: each such chunk against every chunk."""
+def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: DataFrame, similarity: int, chunks: Column) -> DataFrame:
+    """Members of groups with vertices of large nodes that are not yet joined to their leader: each such chunk against every chunk."""
     label = found.select(F.col("v").alias("vertex"), "c")
     lead = leaders.join(label.withColumnRenamed("vertex", "leader"), "leader", "left").select(F.col("node").alias("of"), F.coalesce("c", "leader").alias("home"))
     placed = chunked.join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")).join(lead, "of")
@@ -236,7 +241,7 @@ def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: D
     two = pairs.join(chunked.select("of", F.col("chunk").alias("j"), "vertex"), ["of", "j"])
     rows = one.select("of", "i", "j", "vertex").unionByName(two.select("of", "i", "j", "vertex")).select(_name(F.col("of"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct()
     known = stored(described.join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
-    return _confirmed(_alike(rows.join(known, "vertex"), similarity), sets, similarity)
+    return _alike(rows.join(known, "vertex"), similarity)
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:

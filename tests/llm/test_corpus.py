@@ -265,6 +265,14 @@ def test_near_duplicates_with_large_nodes(spark):
     check_near(spark, rows)
 
 
+def test_near_duplicates_whose_only_partner_lies_in_another_chunk(spark):
+    rng = np.random.default_rng(11)
+    passages = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(24)]
+    rows = [(i, " ".join(passages[j] for j in rng.choice(24, 6, replace=False))) for i in range(600)]
+    rows += [(1_000 + i, rows[i][1] + " changed") for i in range(30)]
+    check_near(spark, rows, small=16, deepest=1, recall=0.99)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = rows_of(near_duplicates.near_duplicates(odd(spark)))
     assert sorted((r["doc_id"] for r in rows), key=repr) == sorted((r[0] for r in odd_rows()), key=repr)
