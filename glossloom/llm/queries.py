@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import cover_tree, fingerprints, language, language_model, mixing, near_duplicates, packing, quality, tokens, toxicity
+from glossloom.llm import alignment, cover_tree, extraction, fingerprints, language, language_model, mixing, near_duplicates, packing, quality, tokens, toxicity, trie
 from glossloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,22 @@ def op10_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, d, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, d, "conversations"))
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, d, "documents"))
+
+
+@query
+def op13_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, d, "pages"))
+
+
 SQL["op2_source_mix"] = mixing.MIX_SQL
 SQL["op10_near_duplicates"] = near_duplicates.NEAR_SQL
 SQL["op8_near_vectors"] = cover_tree.VECTOR_SQL
+SQL["op11_prefix_trie"] = trie.TRIE_SQL
