@@ -217,3 +217,12 @@ def test_point_tables():
 def test_stride(spark):
     df = spark.createDataFrame([(0.0, 2), (30.0, 2), (60.0, 4), (25.0, 2), (12.0, 1), (None, 2), (37.5, 2)], "fps double, want int")
     assert all(r.s == r.want for r in df.withColumn("s", sequence.auto_stride(F.col("fps"))).collect())
+
+
+@pytest.mark.parametrize("x, want", [
+    (lambda t: np.full(40, 50.0), [1]), (lambda t: 100 * 0.9**t, [0.9]), (lambda t: 3 * t + 2, [1, 1]), (lambda t: 5 * np.sin(0.4 * t), [np.exp(0.4j), np.exp(-0.4j)]),
+    (lambda t: 100 * np.sin(0.4 * t) + 0.01 * np.cos(1.1 * t), [np.exp(1.1j), np.exp(-1.1j), np.exp(0.4j), np.exp(-0.4j)]),
+])
+def test_modes_of_simple_courses_have_no_noise_beside_them(x, want):
+    found = sequence.delay_modes(x(np.arange(40.0)).reshape(1, -1, 1), 8, 6)[0]
+    assert np.allclose(found["re"] + 1j * found["im"], [*want, *[0] * (6 - len(want))], atol=1e-5)
