@@ -16,18 +16,20 @@ def labelled_sample(
 
     train is a condition on doc_id. Only texts up to max_bytes are taken, so the
     driver holds a bounded amount; null labels and ids are not used. The ids are
-    chosen on narrow rows, then the few chosen texts are fetched.
+    chosen on narrow rows, then exactly those texts are fetched. Of conflicting
+    labels of one id the greatest counts.
     """
     short = docs.filter(F.octet_length(text_or_empty(text)).between(1, max_bytes))
-    known = labels.select(F.col(doc_id), F.col(label).alias("_y")).filter(F.col("_y").isNotNull() & F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    known = labels.select(F.col(doc_id), F.col(label).alias("_y")).filter(F.col("_y").isNotNull() & F.col(doc_id).isNotNull())
     if labels is docs:
-        known = short.select(F.col(doc_id), F.col(label).alias("_y")).filter(F.col("_y").isNotNull() & F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    known = known.filter(train)
+        known = short.select(F.col(doc_id), F.col(label).alias("_y")).filter(F.col("_y").isNotNull() & F.col(doc_id).isNotNull())
+    else:
+        known = known.join(short.select(doc_id), doc_id, "left_semi")
+    known = known.filter(train).groupBy(doc_id).agg(F.max("_y").alias("_y"))
     order = [F.xxhash64(F.col(doc_id)), F.col(doc_id)]
     chosen = None
     for value, n in per_label.items():
-        # twice as many as wanted: some of them may have long texts or none
-        part = known.filter(F.col("_y") == F.lit(value)).orderBy(*order).limit(2 * n)
+        part = known.filter(F.col("_y") == F.lit(value)).orderBy(*order).limit(n)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return []

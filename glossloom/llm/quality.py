@@ -69,13 +69,18 @@ def _tightest(path: list[tuple[int, str, float]]) -> tuple[tuple[int, str, float
 
 
 def train(rows: list[tuple[str, int]], seed: int = 11) -> Rules:
-    """Rules from the paths of boosted trees, weighted by lasso logistic regression."""
+    """Rules from the paths of boosted trees, weighted by lasso logistic regression; no rule where no tree can be split."""
     y = np.array([float(v) for _, v in rows])
+    p = float(y.mean()) if len(y) else 0.5
+    prior = Rules((), math.log((p + 0.01) / (1.01 - p)))
     if len(set(y)) < 2:
-        p = float(y.mean()) if len(y) else 0.5
-        return Rules((), math.log((p + 0.01) / (1.01 - p)))
+        return prior
     x = np.array([statistics(t) for t, _ in rows])
-    found = {_tightest(path) for paths in boosted_leaves(x, y, TREES, DEPTH, RATE, LEAST, BINS, seed) for path in paths}
+    # a small sample is split into smaller leaves
+    least = max(2, min(LEAST, len(y) // 8))
+    found = {_tightest(path) for paths in boosted_leaves(x, y, TREES, DEPTH, RATE, least, BINS, seed) for path in paths}
+    if not found:
+        return prior
     rules = sorted(found)
     fires = np.array([np.all([x[:, j] <= v if sign == "<=" else x[:, j] > v for j, sign, v in r], axis=0) for r in rules], dtype=float).T
     _, unique = np.unique(fires, axis=1, return_index=True)

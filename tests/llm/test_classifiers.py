@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossloom.llm import language, quality, toxicity
 from glossloom.llm.common import table
+from glossloom.llm.fit import labelled_sample
 from glossloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.1"
@@ -108,3 +109,17 @@ def test_rules_compile_to_the_same_score(spark):
         total = rules.intercept + sum(w for w, c in rules.rules if all(stats[n] <= v if sign == "<=" else stats[n] > v for n, sign, v in c))
         assert abs(1 / (1 + np.exp(-total)) - s) < 1e-9
     assert rules.rules and auc(np.array(got), np.array([y == 1 for _, y in rows])) > 0.9
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 20, 39, 60, 79, 100])
+def test_quality_of_small_samples(n):
+    rows = [("good words here. " * 5 if i % 2 else "bad ### $$$ ", i % 2) for i in range(n)]
+    rules = quality.train(rows)
+    assert np.isfinite(rules.intercept) and (n < 20 or rules.rules)
+
+
+def test_sample_takes_exactly_as_many_rows_as_wanted(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 3 else 60_000)) for i in range(90)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(90)] + [(1, 0), (4, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, marks, "toxic", F.col("doc_id") >= 0, {0: 7, 1: 200})
+    assert sum(y == 0 for _, y in rows) == 7 and sum(y == 1 for _, y in rows) == 31 and all(len(t) == 10 for t, _ in rows)
