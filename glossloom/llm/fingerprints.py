@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import stored, text_or_empty
+from glossloom.llm.common import discard, stored, text_or_empty
 from glossloom.operators.ranking import range_rank
 
 SAMPLES = 32
@@ -33,12 +33,16 @@ def _least(k: int, log_weight: Column) -> Column:
 
 
 def weighted_terms(texts: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """by, _h and the number of occurrences of each term in each of the text columns (_n0, _n1, ...)."""
+    """by, _h and the number of occurrences of each term in each of the text columns (_n0, _n1, ...).
+
+    One more term, of no text, stands for every row, so that rows without words are not lost.
+    """
 
     def tagged_words(i: int, c: str) -> Column:
         return F.transform(F.split(F.col(c), "[\\x20\\x09-\\x0D]+"), lambda w: F.struct(F.lit(i).alias("c"), F.xxhash64(w).alias("h"), (w != "").alias("ok")))
 
-    tagged = F.flatten(F.array(*[tagged_words(i, c) for i, c in enumerate(columns)]))
+    none = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0).cast("long").alias("h"), F.lit(True).alias("ok")))
+    tagged = F.flatten(F.array(none, *[tagged_words(i, c) for i, c in enumerate(columns)]))
     rows = texts.select(*by, F.inline(tagged)).filter("ok")
     return rows.groupBy(*by, F.col("h").alias("_h")).agg(*[F.count_if(F.col("c") == i).alias(f"_n{i}") for i in range(len(columns))])
 
@@ -46,8 +50,8 @@ def weighted_terms(texts: DataFrame, by: list[str], columns: list[str]) -> DataF
 def fingerprints(texts: DataFrame, by: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
     """by and a fingerprint for each text column (_f0, _f1, ...), eight hex digits a position.
 
-    Rows of one key must be one row; keys whose texts have no term are absent. Where
-    texts already lie partitioned by their key, nothing is shuffled.
+    Rows of one key must be one row; texts without a term have the empty fingerprint.
+    Where texts already lie partitioned by their key, nothing is shuffled.
     """
     terms = weighted_terms(texts, by, columns)
     # the logarithm of 0 is null: a term that a text lacks gives it no sample
@@ -76,6 +80,7 @@ def neighbours(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Data
     before = ranked.select((F.col("_pos") % F.col("_total") + 1).alias("_pos"), F.col("_k").alias("_before"), F.floor(F.col("n_chars") / 2).cast("int").alias("_head"))
     linked = ranked.join(after, F.col("_p") == F.col("_pos") % F.col("_total") + 1).join(before, "_pos")
     links = stored(linked.select("_k", "doc_id", "n_chars", "_times", "_next", "_before", "_head"), "neighbours")
+    discard(ranked)
     return keyed.select("_k", "_t"), links, links.filter("_times > 1").limit(1).count() > 0
 
 
@@ -89,7 +94,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     null ids come last, and equal ids with different texts are ordered by a hash.
     Other columns are ignored. An empty table gives no rows.
 
-    A text is shuffled once, half of it a second time to the document before it.
+    A text is shuffled once, half of it a second time to the document before it;
+    hash and fingerprints are taken in the same pass over both.
     """
     texts, links, repeats = neighbours(docs, text, doc_id)
     if repeats:
@@ -98,10 +104,10 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     heads = texts.join(links.select("_k", "_before", "_head"), "_k").select(F.col("_before").alias("_k"), F.left(F.col("_t"), F.col("_head")).alias("_h"))
     kept = F.left(F.col("_t"), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
     both = own.join(heads, "_k").select("_k", "_t", F.concat(kept, F.col("_h")).alias("_e"))
-    prints = stored(fingerprints(both, ["_k"], ["_t", "_e"], samples), "fingerprints")
-    sha = both.select("_k", F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"))
+    hashed = both.select("_k", "_t", "_e", F.unhex(F.sha2(F.col("_e").cast("binary"), 256)).alias("_sha"))
+    prints = stored(fingerprints(hashed, ["_k", "_sha"], ["_t", "_e"], samples), "fingerprints")
     following = prints.select(F.col("_k").alias("_next"), F.col("_f0").alias("_f"))
-    full = links.join(sha, "_k").join(prints, "_k", "left").join(following, "_next", "left")
-    f, e, n = (F.coalesce(c, F.lit("")) for c in ("_f0", "_f1", "_f"))
-    rows = full.select("doc_id", "n_chars", "edited_sha256", f.alias("fingerprint"), e.alias("edited_fingerprint"), likeness(f, e, samples).alias("near_edited"), likeness(f, n, samples).alias("near_next"), "_times")
+    full = links.join(prints, "_k").join(following, "_next")
+    f, e, n = F.col("_f0"), F.col("_f1"), F.col("_f")
+    rows = full.select("doc_id", "n_chars", F.lower(F.hex("_sha")).alias("edited_sha256"), f.alias("fingerprint"), e.alias("edited_fingerprint"), likeness(f, e, samples).alias("near_edited"), likeness(f, n, samples).alias("near_next"), "_times")
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_i", "_times") if repeats else rows.drop("_times")
