@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.llm.common import broadcast, discard, ship, stored
-from glossloom.llm.pretokens import FastEncoder
+from glossloom.llm.pretokens import encoder
 from glossloom.llm.tokens import VOCABULARY
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,7 +46,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a, self.b = FastEncoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a, self.b = encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a = [self.a.bytes.get(i, b"") for i in range(max(self.a.bytes) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
         self.sizes_a, self.sizes_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])

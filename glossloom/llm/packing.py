@@ -12,27 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.llm.common import ship, stored, text_or_empty
-from glossloom.llm.pretokens import coder
+from glossloom.llm.pretokens import encoder
 from glossloom.llm.tokens import VOCABULARY
 from glossloom.operators.ranking import hash_rank
 
 RUN = "length long, first long, slots long, sequence long, per_sequence long, offset long"
 
 
-def _as_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
-
-
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str = VOCABULARY, end: int = 2, capacity: int = 1024) -> DataFrame:
     """Each document's ids with the end id, cut into pieces of at most capacity ids; only the first may be shorter."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, last = coder(path, "bytes", _as_bytes), _as_bytes([end])
+        ids = encoder(path).ids
         for batch in batches:
             rows = []
             for key, t in zip(batch["k"], batch["t"]):
-                data = b"".join(ids.values(t)) + last
-                n, view = len(data) // 4, memoryview(data)
+                data = np.array([*ids(t), end], dtype="<u4")
+                n, view = len(data), memoryview(data).cast("B")
                 first = n if n <= capacity else n % capacity or capacity
                 bounds = [0, *range(first, n + 1, capacity)]
                 rows += [(key, i, a, b - a, zlib.crc32(view[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]

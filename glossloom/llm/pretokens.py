@@ -8,6 +8,7 @@ texts, so a worker keeps those it has met in a bounded dictionary.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -130,6 +131,12 @@ class FastEncoder:
         return [i for part in self.special_at.split(text) for i in ([self.special[part]] if part in self.special else self.plain(part))]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> FastEncoder:
+    """The encoder of this worker for a vocabulary file; it keeps no texts."""
+    return FastEncoder(path)
+
+
 def stretches(text: str) -> list[str]:
     """The first stretch, then the others without their leading blank."""
     parts = text.split(" ")

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from glossloom.llm import packing, tokens
-from glossloom.llm.pretokens import Coder
+from glossloom.llm.pretokens import Coder, encoder
 
 TOKENIZER = Tokenizer.from_file(tokens.VOCABULARY)
 CODER = Coder(tokens.VOCABULARY, list)
@@ -27,9 +27,15 @@ def test_stretches_give_the_ids_of_the_library(text):
     assert [i for v in CODER.values(text) for i in v] == ids(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t\r\x0b\x85\xa0 'ａsdtlmvre<|>0½²Ωéß日😀"), st.characters(exclude_categories=["Cs"])), max_size=40))
+def test_whole_texts_have_the_ids_of_the_library(text):
+    assert encoder(tokens.VOCABULARY).ids(text) == ids(text)
+
+
 def test_ids_of_awkward_texts():
-    for _, text, *_ in ODD_TEXTS:
-        assert [i for v in CODER.values(text or "") for i in v] == ids(text)
+    for _, text, *_ in [*ODD_TEXTS, (0, "ab" * 40_000), (0, " " * 20_000 + "x"), (0, "<|endoftext|>" * 3)]:
+        assert [i for v in CODER.values(text or "") for i in v] == ids(text) == encoder(tokens.VOCABULARY).ids(text or "")
 
 
 def test_token_counts(spark):
