@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import ship, stored, text_or_empty
+from glossloom.llm.common import discard, ship, stored, text_or_empty
 from glossloom.llm.components import components
 from glossloom.llm.shingles import Sets, WordHashes, groups, mix, shingle_set, sketch
 
@@ -26,6 +26,10 @@ SHINGLE, SIMILARITY = 5, 85
 POSITIONS, RECALL, LEVELS = 64, 0.99999, 3
 #: A node of at most so many vertices is compared; a larger one branches, at most so often.
 SMALL, DEEPEST = 256, 4
+#: Trees whose links are confirmed before the others are looked at, and so name most groups.
+FIRST = 2
+#: Branchings and fresh seeds for what a large node holds apart from its leader's group.
+FURTHER, SEEDS = 10, 4
 #: Standard deviations by which a sketch may underrate a pair that is still compared.
 SLACK = 4.5
 
@@ -104,8 +108,8 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
     """(member, vertex): within each node (node, vertex, sketch, n_shingles), groups of vertices whose sketches allow a link.
 
     The name of a group is a hash of its members, so a group found in several
-    nodes and trees is one group. With labels of what is already joined (c), groups
-    of one label are left out.
+    nodes and trees is one group. With labels of what is already joined (c), only
+    vertices that resemble one of another label are in a group.
     """
     level, labelled = similarity / 100, "c" in rows.columns
 
@@ -114,16 +118,18 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
             v, n = g["vertex"].to_numpy(), g["n_shingles"].to_numpy()
             tokens = np.stack([np.frombuffer(s, np.uint32) for s in g["sketch"]])
             near = level - SLACK * math.sqrt(level * (1 - level) / tokens.shape[1])
-            sets = Sets(len(v))
+            sets, c = Sets(len(v)), g["c"].to_numpy() if labelled else None
             for i in range(len(v) - 1):
                 fits = (np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])) & ((tokens[i + 1 :] == tokens[i]).mean(1) >= near)
+                if labelled:
+                    fits &= c[i + 1 :] != c[i]
                 for j in np.flatnonzero(fits):
                     sets.join(i, i + 1 + int(j))
             roots = np.array([sets.root(i) for i in range(len(v))])
             out = []
             for r in np.unique(roots):
                 members = np.unique(v[roots == r])
-                if len(members) > 1 and not (labelled and len(set(g["c"].to_numpy()[roots == r])) == 1):
+                if len(members) > 1:
                     part_of = pd.DataFrame({"member": vertex_of(members), "vertex": members})
                     out.append(part_of.merge(g[["vertex", "c"]].drop_duplicates("vertex"), on="vertex") if labelled else part_of)
             if out:
@@ -177,33 +183,17 @@ def near_duplicates(
     has another, and such a row is not kept. Other columns are ignored. An empty
     table gives no rows.
 
-    A vertex is named by a 64-bit hash of its set. Nodes that stay large after
-    the deepest branching hold sets that are alike: they are cut into chunks around
-    a leader, and what is not joined to the leader is compared with every chunk.
+    A vertex is named by a 64-bit hash of its set. Links of the first trees are
+    confirmed before the others are looked at, whose groups then hold only vertices
+    that resemble one of another label, so a set is sent once or twice. Nodes that
+    stay large after the deepest branching mostly hold sets that are alike: they are
+    cut into chunks around a leader, and what is not joined to the leader branches
+    further until few of it is left in a node, then meets every chunk.
     """
     ship(docs.sparkSession)
     rows = stored(sketched(docs, text, doc_id, shingle, positions), "sketches")
     vertices = stored(rows.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "vertices")
-    roots = [int(mix(np.array([t + 1], np.uint64)).astype(np.int64)[0]) for t in range(trees_for(recall, similarity, LEVELS))]
-    frontier = _branch(vertices.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "vertex", "sketch"), positions, similarity)
-    done, depth = [], 1
-    while True:
-        sized = stored(_sized(stored(frontier, "frontier")), "nodes")
-        done.append(sized.filter(F.col("n") <= small).select("node", "vertex"))
-        large = sized.filter(F.col("n") > small)
-        if depth == deepest or not large.limit(1).count():
-            break
-        frontier, depth = _branch(large.join(vertices.select("vertex", "sketch"), "vertex"), positions, similarity), depth + 1
-    chunks = F.ceil(F.col("n") / F.lit(small - 1))
-    leaders = large.groupBy("node").agg(F.min("vertex").alias("leader"), F.first("n").alias("n"))
-    chunked = large.select(F.col("node").alias("of"), F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex", "n")
-    led = leaders.select(F.col("node").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.col("leader").alias("vertex"))
-    around = chunked.select("of", "chunk", "vertex").unionByName(led).select(_name(F.col("of"), F.col("chunk")).alias("node"), "vertex")
-    nodes = around
-    for part in done:
-        nodes = nodes.unionByName(part)
     described = vertices.select("vertex", "sketch", "n_shingles")
-    members = stored(_alike(nodes.join(described, "vertex"), similarity), "members")
 
     def sets_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -214,34 +204,110 @@ def near_duplicates(
 
     texts = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("t")).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = wanted.join(vertices.select("vertex", "id"), "vertex").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct()
+    def sets_of(members: DataFrame) -> DataFrame:
+        wanted = members.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex")
+        ids = wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct()
         return stored(texts.join(ids, "id", "left_semi").select("t").mapInPandas(sets_again, "vertex long, set binary"), "sets")
 
-    sets = sets_of(members.select("vertex").distinct())
-    links = stored(_confirmed(members, sets, similarity), "links")
-    found = components(links)
-    if large.limit(1).count():
-        found = stored(found, "components")
-        more = stored(_rest(chunked, leaders, found, described, similarity, chunks), "more_members")
-        missing = more.select("vertex").distinct().join(sets.select("vertex"), "vertex", "left_anti")  # first alike to a vertex of another chunk
-        links = links.unionByName(_confirmed(more, sets.unionByName(sets_of(missing)), similarity))
-        found = components(links)
-    return _labelled(rows, stored(found, "components"))
+    def joined(links: DataFrame, candidates: DataFrame) -> DataFrame:
+        """The links with those that the candidate groups (node, vertex) confirm; labels of the former keep their groups from being looked at."""
+        label = stored(components(links), "components")
+        known = stored(described.join(label.select(F.col("v").alias("vertex"), "c"), "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
+        members = stored(_alike(candidates.join(known, "vertex"), similarity), "members")
+        sets = sets_of(members)
+        more = stored(_confirmed(members, sets, similarity), "links")
+        discard(members)
+        discard(sets)
+        discard(known)
+        return links.unionByName(more)
+
+    names = [int(mix(np.array([t + 1], np.uint64)).astype(np.int64)[0]) for t in range(trees_for(recall, similarity, LEVELS))]
+    links, rest = vertices.select(F.col("vertex").alias("a"), F.col("vertex").alias("b")).limit(0), []
+    for roots in (names[:FIRST], names[FIRST:]):
+        if roots:
+            done, large = _tree(described, roots, positions, similarity, small, deepest)
+            around, chunked, leaders = _around_leaders(large, small)
+            nodes = around
+            for part in done:
+                nodes = nodes.unionByName(part)
+            links = joined(links, nodes)
+            rest.append((chunked, leaders, large))
+    for chunked, leaders, large in rest:
+        if large.limit(1).count():
+            links = joined(links, _apart(chunked, leaders, stored(components(links), "components"), vertices, positions, similarity, small))
+    return _labelled(rows, stored(components(links), "components"))
+
+
+def _tree(vertices: DataFrame, roots: list[int], positions: int, similarity: int, small: int, deepest: int) -> tuple[list[DataFrame], DataFrame]:
+    """(nodes small enough to compare as rows (node, vertex), rows of nodes still large after the deepest branching)."""
+    frontier = _branch(vertices.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "vertex", "sketch"), positions, similarity)
+    done, depth = [], 1
+    while True:
+        written = stored(frontier, "frontier")
+        sized = stored(_sized(written), "nodes")
+        discard(written)
+        done.append(sized.filter(F.col("n") <= small).select("node", "vertex"))
+        large = sized.filter(F.col("n") > small)
+        if depth == deepest or not large.limit(1).count():
+            return done, large
+        frontier, depth = _branch(large.join(vertices.select("vertex", "sketch"), "vertex"), positions, similarity), depth + 1
+
+
+def _around_leaders(large: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Large nodes cut into chunks, each with the node's leader: (rows to compare, rows by chunk, leaders)."""
+    chunks = F.ceil(F.col("n") / F.lit(small - 1))
+    leaders = large.groupBy("node").agg(F.min("vertex").alias("leader"), F.first("n").alias("n"))
+    chunked = large.select(F.col("node").alias("of"), F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex", "n")
+    led = leaders.select(F.col("node").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.col("leader").alias("vertex"))
+    around = chunked.select("of", "chunk", "vertex").unionByName(led).select(_name(F.col("of"), F.col("chunk")).alias("node"), "vertex")
+    return around, chunked, leaders
+
 
+def _apart(chunked: DataFrame, leaders: DataFrame, found: DataFrame, vertices: DataFrame, positions: int, similarity: int, small: int) -> DataFrame:
+    """Nodes (node, vertex) that compare what large nodes hold apart from their leader's group with everything there.
 
-def _rest(chunked: DataFrame, leaders: DataFrame, found: DataFrame, described: DataFrame, similarity: int, chunks: Column) -> DataFrame:
-    """Members of groups with vertices of large nodes that are not yet joined to their leader: each such chunk against every chunk."""
+    A node with few vertices apart is cut into chunks that each get all of these, so
+    its rows at most double. Other nodes branch further from fresh seeds, where sets
+    that are not alike part quickly and nodes of one label are left out; only what
+    stays large to the end is compared chunk against chunk.
+    """
     label = found.select(F.col("v").alias("vertex"), "c")
     lead = leaders.join(label.withColumnRenamed("vertex", "leader"), "leader", "left").select(F.col("node").alias("of"), F.coalesce("c", "leader").alias("home"))
-    placed = chunked.join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")).join(lead, "of")
-    apart = stored(placed.filter("c <> home").select("of", F.col("chunk").alias("i"), "vertex", "n"), "apart")
-    pairs = apart.select("of", "i", "n").distinct().withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    one = pairs.join(apart.select("of", "i", "vertex"), ["of", "i"])
-    two = pairs.join(chunked.select("of", F.col("chunk").alias("j"), "vertex"), ["of", "j"])
-    rows = one.select("of", "i", "j", "vertex").unionByName(two.select("of", "i", "j", "vertex")).select(_name(F.col("of"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct()
-    known = stored(described.join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
-    return _alike(rows.join(known, "vertex"), similarity)
+    placed = chunked.select(F.col("of"), "vertex").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")).join(lead, "of")
+    now = stored(placed.select(F.col("of").alias("node"), "vertex", (F.col("c") != F.col("home")).alias("away")), "apart")
+    labels = stored(vertices.select("vertex", "sketch").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "labels")
+    parts, seeded = [], False
+    for depth in range(FURTHER + 1):
+        sizes = now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if("away").alias("m")).filter("m > 0 AND n > 1")
+        sized = stored(now.join(sizes, "node"), "apart_nodes")
+        discard(now)
+        chunks = F.ceil(F.col("n") / F.lit(small)).cast("long")
+        few = sized.filter((F.col("m") <= small) | (F.col("n") <= 2 * small))
+        all_chunks = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
+        one = few.select("node", F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex")
+        two = few.filter("away").select("node", all_chunks.alias("chunk"), "vertex")
+        parts.append(one.unionByName(two).select(_name(F.col("node"), F.col("chunk")).alias("node"), "vertex").distinct())
+        many = sized.filter((F.col("m") > small) & (F.col("n") > 2 * small))
+        if not many.limit(1).count():
+            break
+        if depth == FURTHER:
+            cut = many.select("node", F.pmod(F.xxhash64("vertex"), chunks).alias("i"), "vertex", "away", chunks.alias("k"))
+            pairs = cut.filter("away").select("node", "i", "k").distinct().select("node", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+            left = pairs.join(cut.filter("away").select("node", "i", "vertex"), ["node", "i"]).select("node", "i", "j", "vertex")
+            right = pairs.join(cut.select("node", F.col("i").alias("j"), "vertex"), ["node", "j"]).select("node", "i", "j", "vertex")
+            parts.append(left.unionByName(right).select(_name(F.col("node"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct())
+            break
+        seeds = F.explode(F.array(*[F.lit(i) for i in range(1 if seeded else SEEDS)]))
+        grown = _branch(many.select("node", "vertex").join(labels, "vertex").select(seeds.alias("s"), "*").select(_name(F.col("node"), F.col("s"), F.lit(1)).alias("node"), "vertex", "sketch"), positions, similarity)
+        seeded = True
+        # in each child the most frequent label counts as the group that is known already
+        child = stored(grown, "grown").join(labels.select("vertex", "c"), "vertex")
+        home = child.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "c"))["c"].alias("home"))
+        now = stored(child.join(home, "node").select("node", "vertex", (F.col("c") != F.col("home")).alias("away")), "apart")
+    nodes = parts[0]
+    for part in parts[1:]:
+        nodes = nodes.unionByName(part)
+    return nodes
 
 
 def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
