@@ -1,11 +1,15 @@
-"""Language-model scores from a log-frequency Bloom filter and a table of what it does not hold.
-
-Bigram counts of the training documents are quantised on a logarithmic scale. For
-bigrams of frequent tokens a Bloom filter holds each one once for every level up to
-its own; it is built in segments by separate tasks and broadcast, and a count is
-read by probing level after level until a probe fails. All other bigrams, and those
-for which the filter has no room, stay in a stored table that scoring joins.
-Beside it stands a unigram baseline with exact counts.
+"""Language-model scores from a log-frequency Bloom filter that holds all bigrams of the training documents.
+
+Counts are quantised on a logarithmic scale; the filter holds each bigram once for
+every level up to its own, and a count is read by probing level after level until
+a probe fails. The filter is built in segments by separate tasks. Segments are
+broadcast in groups of bounded size, one pass over the texts for each, so the
+filter grows with the corpus and a worker's memory does not.
+
+A bigram's probability mixes its count with the unigram's: (c(a, b) + MASS P(b)) /
+(c(a) + MASS). Of a bigram that is not held this is a product, so the P(b) of rare
+tokens, which only a join knows exactly, may be added later. Beside it stands a
+unigram baseline with exact counts.
 """
 
 from __future__ import annotations
@@ -19,72 +23,75 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import broadcast, held_out, ship, stored, text_or_empty
+from glossloom.llm.common import broadcast, discard, held_out, ship, stored, text_or_empty
 from glossloom.llm.shingles import WordHashes, groups, mix
 
-#: Tokens whose exact counts are broadcast, and those whose bigrams may be in the filter: the most frequent ones. The rest is joined.
-EXACT, PAIRED = 1 << 18, 1 << 16
-#: Bits of a segment, hashes of an entry, entries a segment is meant for (0.4 % wrong probes), segments at most (48 MiB).
-SEGMENT_BITS, HASHES, SEGMENT_ENTRIES, SEGMENTS = 1 << 19, 8, 45_000, 768
-#: Kinds of keys with their least count and quantisation levels per doubling.
-TOKEN, PAIR, CONTEXT = 1, 2, 3
-SCALE = {TOKEN: (1, 2), PAIR: (2, 2), CONTEXT: (1, 8)}
-#: Tokens worked on at once.
-TOKENS_AT_ONCE = 1 << 17
+#: Tokens whose exact counts are broadcast, the most frequent ones; counts of the others are joined. 16 bytes each.
+EXACT = 1 << 19
+#: Keys that a segment is meant for, bits and hashes of an entry (0.3 % wrong probes), bytes of the segments broadcast at once.
+SEGMENT_KEYS, BITS, HASHES, GROUP_BYTES = 1 << 19, 12, 8, 96 << 20
+#: Pseudo-count of the unigram distribution in a bigram's context.
+MASS = 20.0
+#: Kinds of keys.
+CONTEXT, PAIR = 1, 2
+#: Tokens worked on at once, in scoring and in counting.
+TOKENS_AT_ONCE, COUNTED_AT_ONCE = 1 << 17, 1 << 20
+#: The least count of each level: the powers of the root of two, made whole.
+LEVELS = np.unique(np.ceil(2.0 ** (np.arange(0, 126) / 2) - 1e-9)).astype(np.int64)
 _END = np.uint64(0x5EED0E4D)
 _PHI = np.uint64(0x9E3779B97F4A7C15)
-_HIGH = np.uint64(1 << 63)
 
 
-def quantised(n: Column, kind: int) -> Column:
-    least, steps = SCALE[kind]
-    return (F.floor(F.log2(n / F.lit(least)) * F.lit(steps) + F.lit(1e-9)) + 1).cast("int")
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Level of a count: 1 for 1, 2 for 2, 3 for 3, 4 for 4 and 5, and so on; 0 for 0."""
+    return np.searchsorted(LEVELS, n, "right")
 
 
-def representative(q, kind: int):
+def representative(level: np.ndarray) -> np.ndarray:
     """The count that stands for a level: the middle of its range, 0 for level 0."""
-    least, steps = SCALE[kind]
-    low, high = np.ceil(least * 2.0 ** ((q - 1) / steps) - 1e-6), np.ceil(least * 2.0 ** (q / steps) - 1e-6) - 1
-    return np.where(q > 0, (low + np.maximum(low, high)) / 2, 0.0)
+    least = np.concatenate([[0], LEVELS]).astype(float)
+    above = np.concatenate([[1], LEVELS[1:], [LEVELS[-1] + 1]]).astype(float)
+    return ((least + above - 1) / 2)[level]
 
 
 def keyed(kind: int, keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.uint64) + np.array([kind], np.uint64) * _PHI)
 
 
-def _positions(g: np.ndarray, level: int) -> Iterator[np.ndarray]:
+def _positions(g: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of keys at a level in segments with so many bits."""
     h = mix(g + np.array([level], np.uint64) * _PHI)
-    a, b = h & np.uint64(SEGMENT_BITS - 1), (h >> np.uint64(32)) | np.uint64(1)
+    a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
     for i in range(HASHES):
-        yield (a + np.uint64(i) * b) & np.uint64(SEGMENT_BITS - 1)
+        yield ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
-def segment_bytes(g: np.ndarray, q: np.ndarray) -> bytes:
-    """One segment with each key at every level up to its own."""
-    bits = np.zeros(SEGMENT_BITS, bool)
-    for level in range(1, int(q.max(initial=0)) + 1):
-        for at in _positions(g[q >= level], level):
+def segment_bytes(g: np.ndarray, levels: np.ndarray) -> bytes:
+    """One segment with each key at every level up to its own; its size follows the number of entries."""
+    size = max(8, -(-int(levels.sum()) * BITS // 8))
+    bits = np.zeros(8 * size, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for at in _positions(g[levels >= level], level, np.uint64(8 * size)):
             bits[at] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def segment_of(g: np.ndarray, segments: int) -> np.ndarray:
-    return (g >> np.uint64(20)) % np.uint64(segments)
-
-
 class Filter:
-    def __init__(self, segments: int, data: bytes):
-        self.segments, self.bits = segments, np.frombuffer(data, np.uint8)
+    """Segments from first on, one after the other."""
+
+    def __init__(self, first: int, parts: list[bytes]):
+        self.first, self.n = first, len(parts)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.at, self.bits_of, self.bits = np.cumsum(sizes) - sizes, (8 * sizes).astype(np.uint64), np.frombuffer(b"".join(parts), np.uint8)
 
-    def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Level of each key by repeated probes; 0 for a key that is not held."""
-        g = keyed(kind, keys)
-        base = segment_of(g, self.segments) * np.uint64(SEGMENT_BITS // 8)
+    def levels(self, g: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Level of each key by repeated probes; 0 for a key that is not held. All segments must be here."""
+        base, size = self.at[segment - self.first], self.bits_of[segment - self.first]
         out, alive, level = np.zeros(len(g), np.int64), np.arange(len(g)), 1
-        while len(alive):
+        while len(alive) and level <= len(LEVELS):
             found = np.ones(len(alive), bool)
-            for at in _positions(g[alive], level):
-                found &= (self.bits[base[alive] + (at >> np.uint64(3))] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            for at in _positions(g[alive], level, size[alive]):
+                found &= (self.bits[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
             alive = alive[found]
             out[alive] = level
             level += 1
@@ -95,39 +102,24 @@ class Filter:
 class Model:
     tokens: int
     types: int
+    texts: int  # training texts, as often as a text starts
     hashes: np.ndarray  # of the EXACT tokens, sorted
     counts: np.ndarray
-    ids: np.ndarray  # number among the PAIRED tokens, -1 for others
     segments: int
-    data: bytes
-    lowest: int  # least level in the filter; bigrams below it are in the table
-    texts: int  # training texts, as often as a text starts
-    followed: np.ndarray  # by pair number: sum of the representatives of the bigrams that start with it
 
-    def context_counts(self) -> np.ndarray:
-        """Exact count by pair number; as many texts start as end."""
-        counts, some = np.zeros(int(self.ids.max(initial=0)) + 1), self.ids > 0
-        counts[self.ids[some]] = self.counts[some]
-        counts[0] = self.texts
-        return counts
+    @property
+    def rare(self) -> float:
+        """Mean count of the tokens without an exact count here."""
+        return (self.tokens - int(self.counts.sum())) / max(1, self.types - len(self.counts))
 
 
-@dataclass(frozen=True)
-class Tables:
-    """What is joined: exact token counts (h, n), bigrams that the filter does not hold (k, seen), contexts that have no pair number (c, followed, free)."""
-
-    totals: DataFrame
-    bigrams: DataFrame
-    contexts: DataFrame
-
-
-def _documents(texts, words: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _documents(texts, words: WordHashes, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens with an end after each text, lengths) of several whole texts at a time."""
     held, n = [], 0
     for t in texts:
         held.append(np.append(words.of(t), _END))
         n += len(held[-1])
-        if n >= TOKENS_AT_ONCE:
+        if n >= most:
             yield np.concatenate(held), np.array([len(x) for x in held])
             held, n = [], 0
     if held:
@@ -146,17 +138,13 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _absent(rows: np.ndarray):
-    return pd.array([None] * len(rows), dtype="Int64")
-
-
 def token_totals(docs: DataFrame, text: str) -> DataFrame:
     """h and n of every token; counted per task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            for tokens, _ in _documents(batch["t"], words):
+            for tokens, _ in _documents(batch["t"], words, COUNTED_AT_ONCE):
                 h, n = np.unique(tokens, return_counts=True)
                 yield pd.DataFrame({"h": _signed(h), "n": n})
 
@@ -175,133 +163,111 @@ def _frequent(totals: DataFrame, most: int) -> float:
     return least
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, Tables]:
-    """(model, tables) of the documents that satisfy train."""
+def bigrams(tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: key of its bigram, the context before it, whether that one is rare, segment of the bigram.
+
+    Bigrams of a rare context lie in one segment with its count; those of a frequent
+    one are spread over all segments.
+    """
+    first = np.cumsum(lengths) - lengths
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    before[first] = ~_END  # the start of a text
+    rare = np.concatenate([place[:1], place[:-1]]) < 0
+    rare[first] = False
+    g = keyed(PAIR, mix(before + _PHI) + tokens)
+    return g, before, rare, segment_of(np.where(rare, keyed(CONTEXT, before), g), segments)
+
+
+def segment_of(g: np.ndarray, segments: int) -> np.ndarray:
+    return ((g >> np.uint64(16)) % np.uint64(segments)).astype(np.int64)
+
+
+def fit(docs: DataFrame, train: Column, text: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """(model, token counts (h, n), segments (segment, data)) of the documents that satisfy train."""
     spark = docs.sparkSession
     ship(spark)
     learned = docs.filter(train)
     totals = stored(token_totals(learned, text), "totals")
     size = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    exact, paired = _frequent(totals, EXACT), _frequent(totals, PAIRED)
-    rank = F.floor(F.log2("n") * 16)
-    top = totals.filter(rank >= F.lit(exact)).select("h", "n", (rank >= F.lit(paired)).alias("p")).toPandas() if exact < math.inf else pd.DataFrame({"h": [], "n": [], "p": []})
+    exact, rank = _frequent(totals, EXACT), F.floor(F.log2("n") * 16)
+    top = totals.filter(rank >= F.lit(exact)).toPandas() if exact < math.inf else pd.DataFrame({"h": [], "n": []})
     hashes = top["h"].to_numpy(np.int64).astype(np.uint64)
     order = np.argsort(hashes)
-    hashes, counts, in_pairs = hashes[order], top["n"].to_numpy(np.int64)[order], top["p"].to_numpy(bool)[order]
-    ids = np.where(in_pairs, np.cumsum(in_pairs), -1)  # 0 is the start of a text
-    known = broadcast(spark, (hashes, ids))
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
-        keys, numbers = known.value
-        for batch in batches:
-            for tokens, lengths in _documents(batch["t"], words):
-                _, both, k, c = pair_keys(tokens, lengths, _look_up(keys, tokens), numbers)
-                k, first, n = np.unique(k, return_index=True, return_counts=True)
-                yield pd.DataFrame({"k": k, "c": np.where(both[first], 0, c[first]), "n": n})
-
-    least = SCALE[PAIR][0]
-    bigrams = learned.select(text_or_empty(text).alias("t")).mapInPandas(pairs, "k long, c long, n long").groupBy("k").agg(F.sum("n").alias("n"), F.max("c").alias("c")).filter(F.col("n") >= least)
-    context = F.when(F.col("k") >= 0, F.shiftright("k", 20)).otherwise(F.col("c"))
-    bigrams = stored(bigrams.select("k", context.alias("c"), quantised(F.col("n"), PAIR).alias("q")), "bigrams")
-    stands = F.element_at(F.array(*[F.lit(float(x)) for x in representative(np.arange(1, 130), PAIR)]), F.col("q"))
-    followed = stored(bigrams.groupBy("c").agg(F.sum(stands).alias("followed")), "contexts")
-    near = followed.filter("c >= 0").toPandas()  # at most PAIRED and the start of a text
-    sums = np.zeros(int(ids.max(initial=0)) + 1)
-    sums[near["c"].to_numpy(np.int64)] = near["followed"].to_numpy(float)
-    named = totals.select(F.col("h").bitwiseOR(F.lit(int(_signed(_HIGH)))).alias("c"), "n")
-    far = followed.filter("c < 0").join(named, "c").groupBy("c").agg(F.max("followed").alias("followed"), F.sum("n").alias("n"))
-    contexts = stored(far.select("c", "followed", (F.greatest(F.col("n") - F.col("followed"), F.lit(0.0)) + 1.0).alias("free")), "far_contexts")
-    histogram = {(PAIR, r["q"]): r["n"] for r in bigrams.filter("k >= 0").groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lowest = least_level(histogram, SEGMENTS * SEGMENT_ENTRIES)
-    segments = max(1, min(SEGMENTS, -(-sum(n * q for (_, q), n in histogram.items() if q >= lowest) // SEGMENT_ENTRIES)))
-    in_filter = (F.col("k") >= 0) & (F.col("q") >= lowest)
+    hashes, counts = hashes[order], top["n"].to_numpy(np.int64)[order]
     texts = totals.filter(F.col("h") == int(_signed(_END))).first()
+    segments = max(1, -(-int(size["n"]) // SEGMENT_KEYS))
+    known = broadcast(spark, hashes)
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Keys with their counts, packed by segment: a row for each segment that the texts worked on at once touch."""
+        words = WordHashes()
         for batch in batches:
-            g = keyed(PAIR, batch["k"].to_numpy())
-            yield pd.DataFrame({"segment": segment_of(g, segments).astype(np.int32), "g": _signed(g), "q": batch["q"].to_numpy()})
+            for tokens, lengths in _documents(batch["t"], words, COUNTED_AT_ONCE):
+                g, before, rare, segment = bigrams(tokens, lengths, _look_up(known.value, tokens), segments)
+                keys, at = np.concatenate([g, keyed(CONTEXT, before[rare])]), np.concatenate([segment, segment[rare]])
+                keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+                at = at[first]
+                by = np.argsort(at, kind="stable")
+                keys, at, n = keys[by], at[by], n[by].astype(np.uint32)
+                cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                ends = np.append(cuts[1:], len(at))
+                yield pd.DataFrame({"segment": at[cuts], "k": [keys[a:b].tobytes() for a, b in zip(cuts, ends)], "n": [n[a:b].tobytes() for a, b in zip(cuts, ends)]})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in groups(batches, "segment"):
-            yield pd.DataFrame({"segment": [part["segment"].iat[0]], "data": [segment_bytes(part["g"].to_numpy().astype(np.uint64), part["q"].to_numpy())]})
-
-    held = bigrams.filter(in_filter).select("k", "q").mapInPandas(route, "segment int, g long, q int")
-    built = held.repartition("segment").sortWithinPartitions("segment").mapInPandas(build, "segment int, data binary")
-    found = {r["segment"]: bytes(r["data"]) for r in built.toLocalIterator()}
-    empty = bytes(SEGMENT_BITS // 8)
-    data = b"".join(found.get(i, empty) for i in range(segments))
-    model = Model(int(size["n"]), int(size["v"]), hashes, counts, ids, segments, data, lowest, int(texts["n"]) if texts else 0, sums)
-    return model, Tables(totals, bigrams.filter(~in_filter).select("k", stands.alias("seen")), contexts)
-
-
-def least_level(histogram: dict[tuple[int, int], int], room: int) -> int:
-    """The least level such that token and pair keys from it on, with all contexts, fit into so many entries."""
-    fixed = sum(n * q for (kind, q), n in histogram.items() if kind == CONTEXT)
-    level = 1
-    while fixed + sum(n * q for (kind, q), n in histogram.items() if kind != CONTEXT and q >= level) > room:
-        if level > max((q for kind, q in histogram if kind != CONTEXT), default=0):
-            break
-        level += 1
-    return level
+            keys, where = np.unique(np.frombuffer(b"".join(part["k"]), np.uint64), return_inverse=True)
+            n = np.bincount(where, np.frombuffer(b"".join(part["n"]), np.uint32), len(keys)).astype(np.int64)
+            yield pd.DataFrame({"segment": [part["segment"].iat[0]], "data": [segment_bytes(keys, level_of(n))]})
 
+    packed = learned.select(text_or_empty(text).alias("t")).mapInPandas(count, "segment long, k binary, n binary")
+    built = stored(packed.repartition("segment").sortWithinPartitions("segment").mapInPandas(build, "segment long, data binary"), "segments")
+    return Model(int(size["n"]), int(size["v"]), int(texts["n"]) if texts else 0, hashes, counts, segments), totals, built
 
-def neighbours(lengths: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pair numbers of each token's predecessor (0 at a text's start) and of the token, -1 for tokens without one."""
-    after = np.where(place >= 0, numbers[place] if len(numbers) else -1, -1)
-    before = np.concatenate([[0], after[:-1]])
-    before[np.cumsum(lengths) - lengths] = 0
-    return before, after
 
-
-def pair_keys(tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its predecessor's pair number, whether both have one, key of the bigram, key of the predecessor.
-
-    Keys are made of pair numbers where there are some; others are negative hashes.
-    """
-    before, after = neighbours(lengths, place, numbers)
-    both = (before >= 0) & (after >= 0)
-    last = np.concatenate([tokens[:1], tokens[:-1]])
-    last[np.cumsum(lengths) - lengths] = ~_END  # the start of a text
-    k = np.where(both, (before << 20) + after, _signed(mix(mix(last + _PHI) + tokens) | _HIGH))
-    return before, both, k, np.where(before >= 0, before, _signed(last | _HIGH))
+def segment_groups(built: DataFrame, segments: int) -> list[tuple[int, int]]:
+    """Ranges [from, to) of segments with at most GROUP_BYTES each; a range has one segment at least."""
+    sizes, out, first, held = {r["segment"]: r["n"] for r in built.select("segment", F.octet_length("data").alias("n")).toLocalIterator()}, [], 0, 0
+    for s in range(segments):
+        if held and held + sizes.get(s, 8) > GROUP_BYTES:
+            out.append((first, s))
+            first, held = s, 0
+        held += sizes.get(s, 8)
+    return [*out, (first, segments)]
 
 
 class Reader:
-    """Probabilities as far as the broadcast model has them."""
+    """Probabilities of the bigrams in one group of segments."""
 
-    def __init__(self, model: Model):
-        self.model, self.held = model, Filter(model.segments, model.data)
-        self.free = np.maximum(model.context_counts() - model.followed, 0.0) + 1.0
+    def __init__(self, model: Model, held: Filter):
+        self.model, self.held = model, held
 
-    def probabilities(self, tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-        """(log10 of each token's smoothed probability, what to join for tokens whose probability is left at 0).
+    def partial(self, tokens: np.ndarray, lengths: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of each token's probability, without P(b) where that is to be joined; whether it is to be joined).
 
-        A bigram's share of its context is what the counted bigrams leave: the mass of
-        the others, one at least, goes to the smoothed unigram. What is known already
-        of a token to join (followed, free, single) is not negative; its key is then
-        the bigram's, so that no key is frequent.
+        Both are 0 for bigrams of other segments.
         """
         m = self.model
-        exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
-        single = (exact + 1.0) / (m.tokens + m.types + 1.0)
-        before, both, k, c = pair_keys(tokens, lengths, place, m.ids)
-        pair, where = np.unique(k[both], return_inverse=True)
-        level = np.zeros(len(tokens), np.int64)
-        level[both] = self.held.levels(PAIR, pair)[where]
-        level[level < m.lowest] = 0  # a wrong probe
-        away = ~both | ((level == 0) & (m.lowest > 1))
-        at = np.maximum(before, 0)
-        followed, free = m.followed[at], self.free[at]
-        mixed = np.log10((np.minimum(representative(level, PAIR), followed) + free * single) / (followed + free))
-        i = np.flatnonzero(away)
-        numbered, counted = before[i] >= 0, place[i] >= 0
-        joins = pd.DataFrame({
-            "at": i, "k": k[i], "c": np.where(numbered, k[i], c[i]), "h": np.where(counted, k[i], _signed(tokens[i])),
-            "followed": np.where(numbered, followed[i], -1.0), "free": np.where(numbered, free[i], -1.0), "single": np.where(counted, single[i], -1.0),
-        })
-        return np.where(away, 0.0, mixed), joins
+        g, before, rare, segment = bigrams(tokens, lengths, place, m.segments)
+        score, later = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        here = np.flatnonzero((segment >= self.held.first) & (segment < self.held.first + self.held.n))
+        g, rare, s = g[here], rare[here], segment[here]
+        pair, where = np.unique(g, return_index=True)
+        found = representative(self.held.levels(pair, s[where]))
+        seen = found[np.searchsorted(pair, g)]
+        context = np.where(before[here] == ~_END, m.texts, 0).astype(float)
+        last = np.concatenate([place[:1], place[:-1]])[here]
+        exact = (last >= 0) & (before[here] != ~_END)
+        context[exact] = m.counts[last[exact]]
+        if rare.any():
+            context[rare] = representative(self.held.levels(keyed(CONTEXT, before[here][rare]), s[rare]))
+        context = np.maximum(context, seen)
+        mine = place[here]
+        count = np.where(mine >= 0, m.counts[mine] if len(m.counts) else 0, m.rare)
+        single = (count + 1.0) / (m.tokens + m.types + 1.0)
+        join = (seen == 0) & (mine < 0)
+        score[here] = np.log10((seen + MASS * np.where(join, 1.0, single)) / (context + MASS))
+        later[here] = join
+        return score, later
 
 
 def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo: int = 7, remainder: int = 2) -> DataFrame:
@@ -312,61 +278,68 @@ def scores(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulo:
     no token is known and every probability is that of an unknown token. An empty
     table gives no rows.
 
-    Exact counts of the EXACT most frequent tokens are broadcast, as is a filter with
-    bigrams of the PAIRED most frequent ones; each document's other tokens and bigrams
-    are joined with the whole tables of counts.
+    Exact counts of the EXACT most frequent tokens are broadcast; the others of each
+    document are joined with the table of all counts.
     """
     spark = docs.sparkSession
-    model, tables = fit(docs, ~held_out(doc_id, modulo, remainder), text)
+    model, totals, built = fit(docs, ~held_out(doc_id, modulo, remainder), text)
     shared = broadcast(spark, model)
 
-    def with_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, m = WordHashes(), shared.value
-        reader = Reader(m)
-        for batch in batches:
-            at = 0
-            for tokens, lengths in _documents(batch["t"], words):
-                rows, ends = batch["row"].to_numpy()[at : at + len(lengths)], np.cumsum(lengths)
-                ids = batch["id"].to_list()[at : at + len(lengths)]
-                at += len(lengths)
-                starts, owner = ends - lengths, np.repeat(np.arange(len(lengths)), lengths)
-                place = _look_up(m.hashes, tokens)
-                exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
-                score, joins = reader.probabilities(tokens, lengths, place)
-                part = pd.DataFrame({
-                    "id": ids, "row": rows, "k": _absent(rows), "c": _absent(rows), "h": _absent(rows), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
-                    "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(score, starts), "followed": 0.0, "free": 0.0, "single": 0.0,
-                })
-                of, k = owner[joins["at"].to_numpy()], joins["k"].to_numpy()
-                order = np.lexsort((k, of))
-                new = np.ones(len(order), bool)
-                new[1:] = (k[order][1:] != k[order][:-1]) | (of[order][1:] != of[order][:-1])
-                first = order[new]
-                more = joins.iloc[first].drop(columns="at").assign(id=None, row=rows[of[first]], times=np.diff(np.append(np.flatnonzero(new), len(order))), known=0, base=0.0, score=0.0)
-                yield part
-                if len(more):
-                    yield more
-
-    # ids and numbers are written with the scores, so that a repeated task cannot number rows anew
-    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("t"))
+    def scored(first: bool, part) -> DataFrame:
+        """A row for each document with its sums (h null), and one for each of its tokens whose count is to be joined."""
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words, m, reader = WordHashes(), shared.value, Reader(shared.value, Filter(*part.value))
+            for batch in batches:
+                at = 0
+                for tokens, lengths in _documents(batch["t"], words, TOKENS_AT_ONCE):
+                    rows, ids = batch["row"].to_numpy()[at : at + len(lengths)], batch["id"].to_list()[at : at + len(lengths)]
+                    at += len(lengths)
+                    starts, owner = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
+                    place = _look_up(m.hashes, tokens)
+                    exact = np.where(place >= 0, m.counts[place] if len(m.counts) else 0, 0)
+                    score, later = reader.partial(tokens, lengths, place)
+                    yield pd.DataFrame({
+                        "id": ids, "row": rows, "h": pd.array([None] * len(rows), dtype="Int64"), "times": lengths, "known": np.add.reduceat((place >= 0).astype(np.int64), starts),
+                        "base": np.add.reduceat(np.log10(exact + 1.0), starts), "score": np.add.reduceat(score, starts), "backed": 0,
+                    })
+                    some = np.flatnonzero(place < 0 if first else later)
+                    if len(some):
+                        by = np.lexsort((tokens[some], owner[some]))
+                        of, h, back = owner[some][by], tokens[some][by], later[some][by].astype(np.int64)
+                        cuts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+                        yield pd.DataFrame({
+                            "id": None, "row": rows[of[cuts]], "h": _signed(h[cuts]), "times": np.diff(np.append(cuts, len(h))) * int(first), "known": 0, "base": 0.0, "score": 0.0,
+                            "backed": np.add.reduceat(back, cuts),
+                        })
+
+        # ids and numbers are written with the scores, so that a repeated task cannot number rows anew
+        return stored(numbered.mapInPandas(score, "row long, h long, times long, known long, base double, score double, backed long, id string"), "scored")
+
     kind = docs.schema[doc_id].dataType.simpleString()
-    raw = numbered.select(F.col("doc_id").cast("string").alias("id"), "row", "t").mapInPandas(with_ids, "row long, k long, c long, h long, times long, known long, base double, score double, followed double, free double, single double, id string")
-    found = stored(raw, "scored")
-    away = found.filter("k IS NOT NULL").select("row", "k", "c", "h", "times", F.col("followed").alias("f"), F.col("free").alias("r"), F.col("single").alias("s"))
-    away = away.join(tables.bigrams, "k", "left").join(tables.contexts, "c", "left").join(tables.totals, "h", "left")
-    n, rare, named = F.coalesce("n", F.lit(0)), F.col("s") < 0, F.col("f") < 0
-    single = F.when(rare, (n + 1.0) / F.lit(model.tokens + model.types + 1.0)).otherwise(F.col("s"))
-    followed, free = F.when(named, F.coalesce("followed", F.lit(0.0))).otherwise(F.col("f")), F.when(named, F.coalesce("free", F.lit(1.0))).otherwise(F.col("r"))
-    mixed = F.log10((F.coalesce("seen", F.lit(0.0)) + free * single) / (followed + free))
-    more = away.groupBy("row").agg(
-        F.sum(F.when(rare, F.col("times") * F.log10(n + 1.0)).otherwise(F.lit(0.0))).alias("more"), F.sum(F.when(rare & (n > 0), F.col("times")).otherwise(F.lit(0))).alias("also"),
-        F.sum(F.col("times") * mixed).alias("rest"),
+    ranges = segment_groups(built, model.segments)
+    source = docs.select(F.col(doc_id).cast("string").alias("id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text).alias("t"))
+    # several passes need the same numbers, so they are written with the texts; one pass reads the documents as they are
+    numbered = source if len(ranges) == 1 else stored(source, "numbered")
+    found = None
+    for first, end in ranges:
+        parts = {r["segment"]: bytes(r["data"]) for r in built.filter(F.col("segment").between(first, end - 1)).toLocalIterator()}
+        held = broadcast(spark, (first, [parts.get(s, bytes(8)) for s in range(first, end)]))
+        done = scored(first == 0, held)
+        found = done if found is None else found.unionByName(done)
+        held.unpersist()
+    if len(ranges) > 1:
+        discard(numbered)
+    own = found.filter("h IS NULL")
+    if len(ranges) > 1:
+        own = own.groupBy("row").agg(F.max("id").alias("id"), F.max("times").alias("times"), F.max("known").alias("known"), F.max("base").alias("base"), F.sum("score").alias("score"))
+    n, each = F.coalesce("n", F.lit(0)), math.log10(model.tokens + model.types + 1.0)
+    more = found.filter("h IS NOT NULL").select("row", "h", "times", "backed").join(totals, "h", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(n + 1.0)).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(F.lit(0))).alias("also"), F.sum(F.col("backed") * (F.log10(n + 1.0) - F.lit(each))).alias("rest"),
     )
-    full = found.filter("k IS NULL").join(more, "row", "left")
-    each = math.log10(model.tokens + model.types + 1.0)
-    known_id = F.col("id").cast(kind)
+    full = own.join(more, "row", "left")
     return full.select(
-        known_id.alias("doc_id"), held_out("id", modulo, remainder).alias("held_out"), F.col("times").alias("n_tokens"),
+        F.col("id").cast(kind).alias("doc_id"), held_out("id", modulo, remainder).alias("held_out"), F.col("times").alias("n_tokens"),
         (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("times") * F.lit(each)).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -162,35 +162,41 @@ def test_language_model_of_awkward_rows(spark):
 
 def test_rare_tokens_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(language_model, "EXACT", 8)
-    monkeypatch.setattr(language_model, "PAIRED", 4)
     docs = table(spark, SF, "documents")
     check_baseline({r["doc_id"]: r for r in rows_of(language_model.scores(docs))}, {r["doc_id"]: r["text"] for r in docs.collect()})
 
 
-def plain_scores(texts):
+def plain_scores(texts, exact):
     """Smoothed bigram scores with every bigram of the training texts, without a filter."""
     kept = [[*words(t), "end"] for k, t in texts.items() if zlib.crc32(str(k).encode()) % 7 != 2]
-    counts, pairs, starts = Counter(w for ws in kept for w in ws), Counter((a, b) for ws in kept for a, b in zip(["", *ws], ws)), len(kept)
-    level = {p: math.floor(math.log2(n / 2) * 2 + 1e-9) + 1 for p, n in pairs.items() if n >= 2}
-    seen = {p: float(language_model.representative(q, language_model.PAIR)) for p, q in level.items()}
-    followed = Counter()
-    for (a, _), x in seen.items():
-        followed[a] += x
-    n, v = sum(counts.values()), len(counts)
+    counts, pairs = Counter(w for ws in kept for w in ws), Counter((a, b) for ws in kept for a, b in zip(["", *ws], ws))
+    stands = lambda n: float(language_model.representative(language_model.level_of(n)))
+    n, v, mass = sum(counts.values()), len(counts), language_model.MASS
+    classes, held = Counter(math.floor(math.log2(c) * 16) for c in counts.values()), 0
+    least = math.inf
+    for k in sorted(classes, reverse=True):
+        held += classes[k]
+        if held > exact:
+            break
+        least = k
+    frequent = {w for w, c in counts.items() if math.floor(math.log2(c) * 16) >= least}
+    rare = (n - sum(counts[w] for w in frequent)) / max(1, v - len(frequent))
 
     def of(a, b):
-        free = max((counts[a] if a else starts) - followed[a], 0) + 1
-        return math.log10((seen.get((a, b), 0) + free * (counts[b] + 1) / (n + v + 1)) / (followed[a] + free))
+        seen = stands(pairs[a, b])
+        context = len(kept) if a == "" else counts[a] if a in frequent else stands(counts[a])
+        count = counts[b] if b in frequent or not seen else rare
+        return math.log10((seen + mass * (count + 1) / (n + v + 1)) / (max(context, seen) + mass))
 
     return {k: sum(of(a, b) for a, b in zip(["", *words(t)], [*words(t), "end"])) for k, t in texts.items()}
 
 
-@pytest.mark.parametrize("bounds", [{}, {"EXACT": 8, "PAIRED": 4}, {"EXACT": 400, "PAIRED": 300, "SEGMENTS": 1, "SEGMENT_ENTRIES": 60}])
-def test_bigrams_of_all_tokens_count_at_any_bound_of_the_broadcast(spark, monkeypatch, bounds):
+@pytest.mark.parametrize("bounds", [{}, {"EXACT": 8}, {"EXACT": 400, "SEGMENT_KEYS": 500, "GROUP_BYTES": 4_000}])
+def test_all_bigrams_count_at_any_bound_of_the_broadcasts(spark, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(language_model, name, value)
     docs = table(spark, SF, "documents")
-    want = plain_scores({r["doc_id"]: r["text"] for r in docs.collect()})
+    want = plain_scores({r["doc_id"]: r["text"] for r in docs.collect()}, language_model.EXACT)
     got = {r["doc_id"]: r["score"] for r in rows_of(language_model.scores(docs))}
     assert sum(got.values()) == pytest.approx(sum(want.values()), rel=2e-3)
     assert all(got[k] == pytest.approx(want[k], rel=2e-2) for k in want)
@@ -198,14 +204,15 @@ def test_bigrams_of_all_tokens_count_at_any_bound_of_the_broadcast(spark, monkey
 
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(2)
-    keys, q = rng.integers(0, 2**62, 20_000), rng.integers(1, 9, 20_000)
-    g, n = language_model.keyed(language_model.PAIR, keys), 3
-    parts = language_model.segment_of(g, n)
-    held = language_model.Filter(n, b"".join(language_model.segment_bytes(g[parts == i], q[parts == i]) for i in range(n)))
-    got = held.levels(language_model.PAIR, keys)
+    keys, n = rng.integers(0, 2**62, 20_000), rng.geometric(0.3, 20_000)
+    g, q = language_model.keyed(language_model.PAIR, keys), language_model.level_of(n)
+    assert list(language_model.level_of(np.arange(9))) == [0, 1, 2, 3, 4, 4, 5, 5, 6] and language_model.representative(np.array([0, 1, 2, 3, 4]))[-1] == 4.5
+    at = language_model.segment_of(g, 3)
+    held = language_model.Filter(0, [language_model.segment_bytes(g[at == i], q[at == i]) for i in range(3)])
+    got = held.levels(g, at)
     assert (got >= q).all() and (got == q).mean() > 0.97
-    assert (held.levels(language_model.PAIR, rng.integers(0, 2**62, 20_000)) > 0).mean() < 0.02
-    assert language_model.least_level({(1, 1): 100, (1, 2): 10, (3, 5): 2}, 31) == 2
+    other = language_model.keyed(language_model.PAIR, rng.integers(0, 2**62, 20_000))
+    assert (held.levels(other, language_model.segment_of(other, 3)) > 0).mean() < 0.02
 
 
 # near duplicates
