@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import discard, ship, stored, text_or_empty
+from glossloom.llm.common import discard, if_small, ship, stored, text_or_empty
 from glossloom.llm.components import components
 from glossloom.llm.shingles import Sets, WordHashes, groups, mix, shingle_set, sketch
 
@@ -28,6 +28,8 @@ POSITIONS, RECALL, LEVELS = 64, 0.99999, 3
 SMALL, DEEPEST = 256, 4
 #: Trees whose links are confirmed before the others are looked at, and so name most groups.
 FIRST = 2
+#: Ids (one narrow column) up to which texts are looked up without a shuffle of the texts.
+FEW_IDS = 500_000
 #: Branchings and fresh seeds for what a large node holds apart from its leader's group.
 FURTHER, SEEDS = 10, 4
 #: Standard deviations by which a sketch may underrate a pair that is still compared.
@@ -115,16 +117,21 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "node"):
+            c = g["c"].to_numpy() if labelled else None
+            if labelled and (c == c[0]).all():
+                continue
             v, n = g["vertex"].to_numpy(), g["n_shingles"].to_numpy()
             tokens = np.stack([np.frombuffer(s, np.uint32) for s in g["sketch"]])
             near = level - SLACK * math.sqrt(level * (1 - level) / tokens.shape[1])
-            sets, c = Sets(len(v)), g["c"].to_numpy() if labelled else None
+            sets, least = Sets(len(v)), near * tokens.shape[1]
             for i in range(len(v) - 1):
-                fits = (np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])) & ((tokens[i + 1 :] == tokens[i]).mean(1) >= near)
+                fits = np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])
                 if labelled:
                     fits &= c[i + 1 :] != c[i]
-                for j in np.flatnonzero(fits):
-                    sets.join(i, i + 1 + int(j))
+                some = i + 1 + np.flatnonzero(fits)
+                if len(some):
+                    for j in some[np.count_nonzero(tokens[some] == tokens[i], axis=1) >= least]:
+                        sets.join(i, int(j))
             roots = np.array([sets.root(i) for i in range(len(v))])
             out = []
             for r in np.unique(roots):
@@ -206,8 +213,8 @@ def near_duplicates(
 
     def sets_of(members: DataFrame) -> DataFrame:
         wanted = members.select("vertex").distinct().join(vertices.select("vertex", "id"), "vertex")
-        ids = wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct()
-        return stored(texts.join(ids, "id", "left_semi").select("t").mapInPandas(sets_again, "vertex long, set binary"), "sets")
+        ids = stored(wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct(), "wanted")
+        return stored(texts.join(if_small(ids, FEW_IDS), "id", "left_semi").select("t").mapInPandas(sets_again, "vertex long, set binary"), "sets")
 
     def joined(links: DataFrame, candidates: DataFrame) -> DataFrame:
         """The links with those that the candidate groups (node, vertex) confirm; labels of the former keep their groups from being looked at."""
@@ -231,10 +238,12 @@ def near_duplicates(
             for part in done:
                 nodes = nodes.unionByName(part)
             links = joined(links, nodes)
-            rest.append((chunked, leaders, large))
-    for chunked, leaders, large in rest:
-        if large.limit(1).count():
-            links = joined(links, _apart(chunked, leaders, stored(components(links), "components"), vertices, positions, similarity, small))
+            rest.append((chunked, leaders))
+    chunked, leaders = rest[0]
+    for more_chunked, more_leaders in rest[1:]:
+        chunked, leaders = chunked.unionByName(more_chunked), leaders.unionByName(more_leaders)
+    if leaders.limit(1).count():
+        links = joined(links, _apart(chunked, leaders, stored(components(links), "components"), vertices, positions, similarity, small))
     return _labelled(rows, stored(components(links), "components"))
 
 
