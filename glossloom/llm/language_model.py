@@ -58,12 +58,11 @@ def keyed(kind: int, keys: np.ndarray) -> np.ndarray:
     return mix(keys.astype(np.uint64) + np.array([kind], np.uint64) * _PHI)
 
 
-def _positions(g: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of keys at a level in segments with so many bits."""
+def _position(g: np.ndarray, level: int, i: int, bits) -> np.ndarray:
+    """Place of the i-th probe of keys at a level in segments with so many bits."""
     h = mix(g + np.array([level], np.uint64) * _PHI)
     a, b = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    for i in range(HASHES):
-        yield ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
+    return ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)).astype(np.int64)
 
 
 def segment_bytes(g: np.ndarray, levels: np.ndarray) -> bytes:
@@ -71,8 +70,9 @@ def segment_bytes(g: np.ndarray, levels: np.ndarray) -> bytes:
     size = max(8, -(-int(levels.sum()) * BITS // 8))
     bits = np.zeros(8 * size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in _positions(g[levels >= level], level, np.uint64(8 * size)):
-            bits[at] = True
+        some = g[levels >= level]
+        for i in range(HASHES):
+            bits[_position(some, level, i, np.uint64(8 * size))] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -89,10 +89,10 @@ class Filter:
         base, size = self.at[segment - self.first], self.bits_of[segment - self.first]
         out, alive, level = np.zeros(len(g), np.int64), np.arange(len(g)), 1
         while len(alive) and level <= len(LEVELS):
-            found = np.ones(len(alive), bool)
-            for at in _positions(g[alive], level, size[alive]):
-                found &= (self.bits[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[found]
+            for i in range(HASHES):
+                # most keys that are not held fall out at the first probes
+                at = _position(g[alive], level, i, size[alive])
+                alive = alive[(self.bits[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
             out[alive] = level
             level += 1
         return out
