@@ -26,6 +26,7 @@ def _arrays(spark, d, *cols):
     return series.clip_arrays(views.frames(spark, d), USER, list(cols or ("value",)))
 
 
+_WHOLE = ", arr AS (SELECT user_id, list(value ORDER BY frame) AS v, count(*) AS n FROM series GROUP BY ALL)"
 _ARR = ", arr AS (SELECT user_id, clip, list(value ORDER BY frame) AS v, list(k ORDER BY frame) AS ks, count(*) AS n FROM frames GROUP BY ALL)"
 
 
@@ -35,27 +36,28 @@ def _long(df, arr, name="x"):
     return rows.withColumn(name, F.round(name, 6))
 
 
-@query("kinematics", with_views("frames", body="""
-    , v AS (SELECT *, coalesce(value - lag(value) OVER w, lead(value) OVER w - value) AS vel FROM frames WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame))
-    SELECT event_id, clip, frame, round(vel, 6) AS vel, round(coalesce(vel - lag(vel) OVER w, lead(vel) OVER w - vel), 6) AS acc
-    FROM v WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame)"""))
+@query("kinematics", with_views("series", body="""
+    , v AS (SELECT *, coalesce(value - lag(value) OVER w, lead(value) OVER w - value) AS vel FROM series WINDOW w AS (PARTITION BY user_id ORDER BY frame))
+    SELECT event_id, frame, round(vel, 6) AS vel, round(coalesce(vel - lag(vel) OVER w, lead(vel) OVER w - vel), 6) AS acc
+    FROM v WINDOW w AS (PARTITION BY user_id ORDER BY frame)"""))
 def kinematics(spark, d):
-    rows = series.kinematics(views.frames(spark, d), USER, "value")
-    return rows.select("event_id", "clip", "frame", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
+    rows = series.kinematics(views.series_rows(spark, d), USER, "value")
+    return rows.select("event_id", "frame", F.round("vel", 6).alias("vel"), F.round("acc", 6).alias("acc"))
 
 
-@query("finite_diff_arrays", with_views("frames", body=_ARR + """
-    SELECT user_id, clip, CAST(i - 1 AS INTEGER) AS i, round(v[greatest(i, 2)] - v[greatest(i, 2) - 1], 6) AS x FROM (
+@query("finite_diff_arrays", with_views("series", body=_WHOLE + """
+    SELECT user_id, i - 1 AS frame, round(v[greatest(i, 2)] - v[greatest(i, 2) - 1], 6) AS x FROM (
       SELECT *, unnest(range(1, n + 1)) AS i FROM arr WHERE n >= 2)"""))
 def finite_diff_arrays(spark, d):
-    return _long(_arrays(spark, d), sequence.finite_diff(F.col("value")))
+    rows = series.over_blocks(views.series_rows(spark, d), USER, "value", sequence.finite_diff, 1, 1, "x")
+    return rows.filter(F.col("x").isNotNull()).withColumn("x", F.round("x", 6))
 
 
-@query("masked_velocity", with_views("frames", body="""
+@query("masked_velocity", with_views("series", body="""
     SELECT event_id, round(CASE WHEN k > 25 AND coalesce(lag(k > 25) OVER w, false) THEN value - lag(value) OVER w ELSE 0 END, 6) AS vel
-    FROM frames WINDOW w AS (PARTITION BY user_id, clip ORDER BY frame)"""))
+    FROM series WINDOW w AS (PARTITION BY user_id ORDER BY frame)"""))
 def masked_velocity(spark, d):
-    rows = series.masked_velocity(views.frames(spark, d), USER, "value", F.col("k") > 25)
+    rows = series.masked_velocity(views.series_rows(spark, d), USER, "value", F.col("k") > 25)
     return rows.select("event_id", F.round("vel", 6).alias("vel"))
 
 
@@ -85,60 +87,75 @@ def trim_arrays(spark, d):
     return _long(rows, sequence.trim_ends(F.col("value"), F.transform("k", lambda k: k > 60)))
 
 
-@query("gap_fill", with_views("frames", body="""
-    , g AS (SELECT *, CASE WHEN k < 70 THEN value END AS v, CASE WHEN k < 70 THEN frame END AS f FROM frames),
-    s AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS lv, last_value(f IGNORE NULLS) OVER a AS lf,
-      first_value(v IGNORE NULLS) OVER z AS rv, first_value(f IGNORE NULLS) OVER z AS rf FROM g
-      WINDOW a AS (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-             z AS (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, round(coalesce(v, lv + (rv - lv) * (frame - lf) / nullif(rf - lf, 0), lv, rv), 6) AS filled FROM s"""))
+_FILLED = """
+    , g AS (SELECT *, CASE WHEN k < 70 THEN value END AS gv, CASE WHEN k < 70 THEN frame END AS gf FROM series),
+    s AS (SELECT *, last_value(gv IGNORE NULLS) OVER a AS lv, last_value(gf IGNORE NULLS) OVER a AS lf,
+      first_value(gv IGNORE NULLS) OVER z AS rv, first_value(gf IGNORE NULLS) OVER z AS rf FROM g
+      WINDOW a AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             z AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    filled AS (SELECT *, coalesce(gv, lv + (rv - lv) * (frame - lf) / nullif(rf - lf, 0), lv, rv) AS fv FROM s)"""
+
+
+@query("gap_fill", with_views("series", body=_FILLED + " SELECT event_id, round(fv, 6) AS filled FROM filled"))
 def gap_fill(spark, d):
-    rows = views.frames(spark, d).withColumn("v", F.when(F.col("k") < 70, F.col("value")))
+    rows = views.series_rows(spark, d).withColumn("v", F.when(F.col("k") < 70, F.col("value")))
     return series.gap_fill(rows, USER, "v").select("event_id", F.round("filled", 6).alias("filled"))
 
 
-@query("sliding_fft", with_views("frames", body=_ARR + """
-    , w AS (SELECT user_id, clip, n, v, t, greatest(4, least(8, n)) AS win, unnest([0]) AS z FROM (SELECT *, unnest(range(n)) AS t FROM arr)),
+@query("sliding_fft", with_views("series", body=_WHOLE + """
+    , w AS (SELECT user_id, n, v, t, greatest(4, least(8, n)) AS win FROM (SELECT *, unnest(range(n)) AS t FROM arr)),
     s AS (SELECT *, least(win, n) AS len, greatest(0, least(n, greatest(0, t - win // 2) + win) - win) AS st FROM w),
     p AS (SELECT *, v[st + 1:st + len] AS part FROM s),
-    f AS (SELECT user_id, clip, t, k,
+    f AS (SELECT user_id, t, k,
       list_sum(list_transform(range(len), lambda j: part[j + 1] * cos(2 * pi() * k * j / len))) AS re,
       list_sum(list_transform(range(len), lambda j: -part[j + 1] * sin(2 * pi() * k * j / len))) AS im FROM (SELECT *, unnest(range(len // 2 + 1)) AS k FROM p))
-    SELECT user_id, clip, CAST(t AS INTEGER) AS i, round(max(sqrt(re * re + im * im)), 6) AS mag,
+    SELECT user_id, t AS frame, round(max(sqrt(re * re + im * im)), 6) AS mag,
       round(arg_max(atan2(im, re), sqrt(re * re + im * im)), 6) AS phase FROM f GROUP BY ALL"""))
 def sliding_fft(spark, d):
-    rows = _arrays(spark, d).select(*CLIP, F.posexplode_outer(sequence.sliding_peak(F.col("value"))).alias("i", "p"))
-    return rows.select(*CLIP, "i", F.round("p.mag", 6).alias("mag"), F.round("p.phase", 6).alias("phase"))
+    rows = series.over_blocks(views.series_rows(spark, d), USER, "value", sequence.sliding_peak, 7, 7, "p")
+    return rows.select("user_id", "frame", F.round("p.mag", 6).alias("mag"), F.round("p.phase", 6).alias("phase"))
 
 
 @query("hankel_rows", with_views("frames", body=_ARR + """
-    SELECT user_id, clip, CAST(i AS INTEGER) AS i, n - 7 AS cols, round(list_sum(v[i + 1:i + n - 7]), 6) AS total
-    FROM (SELECT *, unnest(range(8)) AS i FROM arr WHERE n >= 8)"""))
+    SELECT user_id, clip, CAST(i AS INTEGER) AS i, greatest(n - d + 1, 0) AS cols, round(coalesce(list_sum(v[i + 1:i + n - d + 1]), 0), 6) AS total
+    FROM (SELECT *, unnest(range(d)) AS i FROM (SELECT *, greatest(2, least(8, n // 3)) AS d FROM arr))"""))
 def hankel_rows(spark, d):
-    rows = _arrays(spark, d).filter(F.size("value") >= 8)
-    rows = rows.select(*CLIP, F.posexplode_outer(sequence.hankel(F.col("value"))).alias("i", "row"))
+    rows = _arrays(spark, d)
+    rows = rows.select(*CLIP, F.posexplode_outer(sequence.hankel(F.col("value"), sequence.short_delays(F.size("value")))).alias("i", "row"))
     total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
     return rows.select(*CLIP, "i", F.size("row").cast("bigint").alias("cols"), F.round(total, 6).alias("total"))
 
 
 def _kalman_sql(src: str, name: str) -> str:
     return f"""{name} AS (
-      SELECT user_id, clip, n, 1 AS t, v, p0 + k0 * (v[1] - p0) AS pos, k1 * (v[1] - p0) AS vel, (1 - k0) * a AS a,
+      SELECT user_id, n, 1 AS t, v, p0 + k0 * (v[1] - p0) AS pos, k1 * (v[1] - p0) AS vel, (1 - k0) * a AS a,
         0.5 * ((1 - k0) * b + (b - k1 * a)) AS b, c - k1 * b AS c, [p0 + k0 * (v[1] - p0)] AS o FROM (
-        SELECT *, a / (a + 0.015) AS k0, b / (a + 0.015) AS k1 FROM (SELECT user_id, clip, n, v, v[1] AS p0, 2 + 0.0002 AS a, 1 + 0.0004 AS b, 1 + 0.0008 AS c FROM {src}))
+        SELECT *, a / (a + 0.015) AS k0, b / (a + 0.015) AS k1 FROM (SELECT user_id, n, v, v[1] AS p0, 2 + 0.0002 AS a, 1 + 0.0004 AS b, 1 + 0.0008 AS c FROM {src}))
       UNION ALL
-      SELECT user_id, clip, n, t + 1, v, pp + k0 * (v[t + 1] - pp), vel + k1 * (v[t + 1] - pp), (1 - k0) * a, 0.5 * ((1 - k0) * b + (b - k1 * a)), c - k1 * b,
+      SELECT user_id, n, t + 1, v, pp + k0 * (v[t + 1] - pp), vel + k1 * (v[t + 1] - pp), (1 - k0) * a, 0.5 * ((1 - k0) * b + (b - k1 * a)), c - k1 * b,
         list_append(o, pp + k0 * (v[t + 1] - pp)) FROM (
         SELECT *, a / (a + 0.015) AS k0, b / (a + 0.015) AS k1 FROM (
-          SELECT user_id, clip, n, t, v, o, vel, pos + vel AS pp, a + 2 * b + c + 0.0002 AS a, b + c + 0.0004 AS b, c + 0.0008 AS c FROM {name} WHERE t < n)))"""
+          SELECT user_id, n, t, v, o, vel, pos + vel AS pp, a + 2 * b + c + 0.0002 AS a, b + c + 0.0004 AS b, c + 0.0008 AS c FROM {name} WHERE t < n)))"""
+
 
+_SMOOTH = _kalman_sql("arr", "fw") + ", rev AS (SELECT user_id, n, list_reverse(o) AS v FROM fw WHERE t = n), " + _kalman_sql("rev", "bw") + """
+    SELECT f.user_id, i AS frame, round((f.o[i + 1] + b.o[f.n - i]) / 2, 6) AS smooth
+    FROM (SELECT *, unnest(range(n)) AS i FROM fw WHERE t = n) f JOIN (SELECT * FROM bw WHERE t = n) b ON f.user_id = b.user_id"""
 
-@query("kalman_smooth", with_views("frames", body=_ARR + ", " + _kalman_sql("arr", "fw") + """
-    , rev AS (SELECT user_id, clip, n, list_reverse(o) AS v FROM fw WHERE t = n), """ + _kalman_sql("rev", "bw") + """
-    SELECT f.user_id, f.clip, CAST(i AS INTEGER) AS i, round((f.o[i + 1] + b.o[f.n - i]) / 2, 6) AS x
-    FROM (SELECT *, unnest(range(n)) AS i FROM fw WHERE t = n) f JOIN (SELECT * FROM bw WHERE t = n) b ON f.user_id = b.user_id AND f.clip = b.clip"""))
+
+@query("kalman_smooth", with_views("series", body=_WHOLE + ", " + _SMOOTH))
 def kalman_smooth(spark, d):
-    return _long(_arrays(spark, d), sequence.kalman_smooth(F.col("value")))
+    rows = series.kalman_smooth(views.series_rows(spark, d).select("user_id", "frame", "value"), USER, "value")
+    return rows.select("user_id", "frame", F.round("smooth", 6).alias("smooth"))
+
+
+@query("occlusion_smooth", with_views("series", body=_FILLED + """,
+    arr AS (SELECT user_id, list(fv ORDER BY frame) AS v, count(*) AS n FROM filled WHERE fv IS NOT NULL GROUP BY ALL), """ + _SMOOTH))
+def occlusion_smooth(spark, d):
+    """Occluded frames (k of 70 and more) filled, then smoothed."""
+    rows = views.series_rows(spark, d).select("user_id", "frame", F.when(F.col("k") < 70, F.col("value")).alias("v"))
+    rows = series.kalman_smooth(rows, USER, "v").filter(F.col("smooth").isNotNull())
+    return rows.select("user_id", "frame", F.round("smooth", 6).alias("smooth"))
 
 
 @query("cwt_bands", with_views("frames", body=_ARR + """
@@ -166,21 +183,21 @@ def kinetic_energy(spark, d):
     return _arrays(spark, d).select(*CLIP, F.round(sequence.kinetic_energy(F.col("value")), 6).alias("energy"))
 
 
-@query("rolling_loss", with_views("frames", body="""
-    SELECT event_id, round(avg(value) OVER (PARTITION BY user_id, clip ORDER BY frame ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 7) AS rolling FROM frames"""))
+@query("rolling_loss", with_views("series", body="""
+    SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 7) AS rolling FROM series"""))
 def rolling_loss(spark, d):
-    rows = series.rolling_mean(views.frames(spark, d), USER, "value")
+    rows = series.rolling_mean(views.series_rows(spark, d), USER, "value")
     return rows.select("event_id", F.round("rolling", 7).alias("rolling"))
 
 
-@query("best_epoch", with_views("frames", body="""
-    , t AS (SELECT *, max(k) OVER (PARTITION BY user_id, clip ORDER BY frame) AS top FROM frames),
-    b AS (SELECT *, max(CASE WHEN k = top THEN frame END) OVER (PARTITION BY user_id, clip ORDER BY frame) AS best FROM t),
-    s AS (SELECT *, min(CASE WHEN frame - best >= 10 THEN frame END) OVER (PARTITION BY user_id, clip) AS stop FROM b)
-    SELECT user_id, clip, max(k) AS best_score, arg_max(frame, k * 1000 + frame) AS best_epoch, max(frame) AS last_epoch, bool_or(stop IS NOT NULL) AS stopped_early
+@query("best_epoch", with_views("series", body="""
+    , t AS (SELECT *, max(k) OVER (PARTITION BY user_id ORDER BY frame) AS top FROM series),
+    b AS (SELECT *, max(CASE WHEN k = top THEN frame END) OVER (PARTITION BY user_id ORDER BY frame) AS best FROM t),
+    s AS (SELECT *, min(CASE WHEN frame - best >= 10 THEN frame END) OVER (PARTITION BY user_id) AS stop FROM b)
+    SELECT user_id, max(k) AS best_score, max(best) AS best_epoch, max(frame) AS last_epoch, bool_or(stop IS NOT NULL) AS stopped_early
     FROM s WHERE stop IS NULL OR frame <= stop GROUP BY ALL"""))
 def best_epoch(spark, d):
-    return series.best_epoch(views.frames(spark, d), USER, "k", 10)
+    return series.best_epoch(views.series_rows(spark, d), USER, "k", 10)
 
 
 @query("frame_decimation", with_views("frames", body="""

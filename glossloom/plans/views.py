@@ -67,6 +67,11 @@ def identified(spark: SparkSession, d: str) -> DataFrame:
     return shared(spark, d, "identified", _identified)
 
 
+def series_rows(spark: SparkSession, d: str) -> DataFrame:
+    """events as one whole series of frames per user."""
+    return series.ordered(events(spark, d).drop("props", "event_type"), ["user_id"], "ts", ["event_id"])
+
+
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """events as frames of bounded clips per user."""
     return series.cut_clips(events(spark, d).drop("props", "event_type"), ["user_id"], "ts", ["event_id"], CLIP_FRAMES)
@@ -167,6 +172,7 @@ CTES = {
     "frames": f"""frames AS (
         SELECT *, (pos - 1) // {CLIP_FRAMES} AS clip, CAST((pos - 1) % {CLIP_FRAMES} AS INTEGER) AS frame FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev))""",
+    "series": "series AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM ev)",
     "emb": "emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)",
     "ranks": """ranks AS (
         SELECT *, row_number() OVER (PARTITION BY seed, label, is_test ORDER BY md5(seed || '|pool|' || vec_id), vec_id) AS pool_rank FROM (
@@ -193,7 +199,7 @@ CTES = {
             FROM ranks r JOIN protos p ON r.seed = p.seed WHERE r.is_test) GROUP BY ALL))""",
 }
 _NEEDS = {
-    "clips": ["ev"], "sess": ["clips"], "ident": ["clips", "sess"], "frames": ["ev"], "ranks": ["emb"],
+    "clips": ["ev"], "sess": ["clips"], "ident": ["clips", "sess"], "frames": ["ev"], "series": ["ev"], "ranks": ["emb"],
     "train": ["ranks"], "protos": ["train"], "preds": ["ranks", "protos"],
 }
 
