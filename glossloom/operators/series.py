@@ -191,24 +191,25 @@ def kalman_smooth(
             made.append((x + np.array(back)[::-1]) / 2)
         return pd.Series(made, dtype=object)
 
+    @F.pandas_udf("array<struct<p: double, v: double>>")
+    def folded(start: pd.Series, p: pd.Series, v: pd.Series, m: pd.Series) -> pd.Series:
+        made = []
+        for at, shift_p, shift_v, maps in zip(start, p, v, m):
+            state, begin = (at, 0.0), []
+            for dp, dv, (a, b, c, d) in zip(shift_p, shift_v, np.reshape(maps, (-1, 4))):
+                begin.append({"p": state[0], "v": state[1]})
+                state = a * state[0] + b * state[1] + dp, c * state[0] + d * state[1] + dv
+            made.append(begin)
+        return pd.Series(made, dtype=object)
+
     def entered(summaries: DataFrame, reverse: bool) -> DataFrame:
         """The state with which each block of a series begins, and the length of the series."""
-        flat = summaries.select(*by, "_block", "_s.*")
-        fields = [f for f in flat.schema.fields if f.name in (*by, "_block")]
-        schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("_p0", "_v0")], T.StructField("_total", T.LongType())])
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_block", ascending=not reverse)
-            p, v, begin = float(pdf["z"].iloc[0]), 0.0, []
-            for shift_p, shift_v, m in zip(pdf["p"], pdf["v"], pdf["m"]):
-                begin.append((p, v))
-                p, v = m[0] * p + m[1] * v + shift_p, m[2] * p + m[3] * v + shift_v
-            made = pdf[[f.name for f in fields]].copy()
-            made["_p0"], made["_v0"] = zip(*begin)
-            made["_total"] = int(pdf["n"].sum())
-            return made
-
-        return flat.groupBy(*by).applyInPandas(fold, schema)
+        place = -F.col("_block") if reverse else F.col("_block")
+        lists = summaries.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "_s"))).alias("_l"), F.sum("_s.n").alias("_total"))
+        field = lambda name: F.transform("_l", lambda e: e["_s"][name])
+        states = folded(F.get("_l", F.lit(0))["_s"]["z"], field("p"), field("v"), F.flatten(field("m")))
+        each = lists.withColumn("_b", states).select(*by, "_total", F.explode_outer(F.arrays_zip("_l", "_b")).alias("_e"))
+        return each.select(*by, "_total", F.abs("_e._l.at").alias("_block"), F.col("_e._b.p").alias("_p0"), F.col("_e._b.v").alias("_v0"))
 
     before = entered(packed.select(*by, "_block", ahead("_x", "_block").alias("_s")), False)
     run = packed.join(before, [*by, "_block"]).withColumn("_g", forward("_x", "_block", "_p0", "_v0", "_total"))
