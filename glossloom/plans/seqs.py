@@ -212,13 +212,14 @@ def frame_decimation(spark, d):
 
 
 @query("fourier_map", with_views("emb", body="""
-    SELECT vec_id, round(list_sum(list_transform(vec[1:3], lambda x: x + sin(pi() * x) + sin(2 * pi() * x) + cos(pi() * x) + cos(2 * pi() * x))), 6) AS total,
-      round(sin(2 * pi() * vec[1]), 6) AS second_sine FROM emb"""))
+    SELECT vec_id, round(list_sum(list_transform(vec, lambda x: x + sin(pi() * x) + sin(2 * pi() * x) + cos(pi() * x) + cos(2 * pi() * x))), 6) AS total,
+      round(list_sum(list_transform(range(len(vec)), lambda i: (i + 1) * sin(2 * pi() * vec[i + 1]))), 6) AS second_sines FROM emb"""))
 def fourier_map(spark, d):
-    coded = sequence.fourier_map(F.slice("vec", 1, 3), 2)
-    rows = views.embeddings(spark, d).select("vec_id", coded.alias("c"))
-    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
-    return rows.select("vec_id", F.round(total, 6).alias("total"), F.round(F.get("c", F.lit(4)), 6).alias("second_sine"))
+    """All values of a vector; the sums see every wave, and the places of the second sines."""
+    rows = views.embeddings(spark, d).select("vec_id", F.size("vec").alias("n"), sequence.fourier_map(F.col("vec"), 2).alias("c"))
+    sums = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 6)
+    seconds = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("c", F.col("n") + 2 * i + 1) * (i + 1))
+    return rows.select("vec_id", sums(F.col("c")).alias("total"), sums(seconds).alias("second_sines"))
 
 
 def _unit(salt: str) -> str:
@@ -266,6 +267,11 @@ def _sums(frame, prefix):
     return [one(c) for c in "xyz"]
 
 
+def _each_frame(rows, *keys):
+    """One row per frame of the clips: keys, t, f."""
+    return rows.select(*keys, F.posexplode_outer("frames").alias("t", "f"))
+
+
 _PT = """, pt AS (SELECT vec_id, t, j, CASE WHEN j BETWEEN 33 AND 74 AND (t + vec_id) % 4 = 0 THEN NULL ELSE [vec[1 + (3 * j + 8 * t) % 64],
       vec[1 + (3 * j + 8 * t + 1) % 64], vec[1 + (3 * j + 8 * t + 2) % 64]] END AS p
     FROM emb CROSS JOIN (SELECT unnest(range(8)) AS t) CROSS JOIN (SELECT unnest(range(543)) AS j))"""
@@ -275,62 +281,69 @@ _WSUM = "round(coalesce(sum({p}[1] * (o + 1)), 0), 6) AS {n}_x, round(coalesce(s
 
 
 @query("point_layouts", with_views("emb", body=_PT + _RED + _JNT + f""",
-    a AS (SELECT vec_id, {_WSUM.format(p='p', n='storage')} FROM (SELECT *, CASE WHEN j < 468 THEN j + 75 WHEN j < 489 THEN j - 468 + 33 WHEN j < 522 THEN j - 489 ELSE j - 522 + 54 END AS o FROM pt WHERE t = 1) GROUP BY 1),
-    b AS (SELECT vec_id, {_WSUM.format(p='p', n='reduced')} FROM pt JOIN red USING (j) WHERE t = 1 GROUP BY 1),
-    c AS (SELECT vec_id, {_WSUM.format(p='p', n='joints')} FROM pt JOIN jnt USING (j) WHERE t = 1 GROUP BY 1)
-    SELECT *, true AS inverse FROM a JOIN b USING (vec_id) JOIN c USING (vec_id)"""))
+    a AS (SELECT vec_id, t, {_WSUM.format(p='p', n='storage')} FROM (SELECT *, CASE WHEN j < 468 THEN j + 75 WHEN j < 489 THEN j - 468 + 33 WHEN j < 522 THEN j - 489 ELSE j - 522 + 54 END AS o FROM pt) GROUP BY vec_id, t),
+    b AS (SELECT vec_id, t, {_WSUM.format(p='p', n='reduced')} FROM pt JOIN red USING (j) GROUP BY vec_id, t),
+    c AS (SELECT vec_id, t, {_WSUM.format(p='p', n='joints')} FROM pt JOIN jnt USING (j) GROUP BY vec_id, t)
+    SELECT * REPLACE (CAST(t AS INTEGER) AS t), true AS inverse FROM a JOIN b USING (vec_id, t) JOIN c USING (vec_id, t)"""))
 def point_layouts(spark, d):
-    rows = views.point_clips(spark, d).select("vec_id", F.get("frames", F.lit(1)).alias("f"))
+    rows = _each_frame(views.point_clips(spark, d), "vec_id")
     stored = rows.withColumn("s", points.from_face_first(F.col("f")))
     same = F.to_json(F.struct(points.to_face_first(F.col("s")).alias("a"))) == F.to_json(F.struct(F.col("f").alias("a")))
     return stored.select(
-        "vec_id", *_sums(F.col("s"), "storage"), *_sums(points.reduced(F.col("f")), "reduced"), *_sums(points.joints(F.col("f")), "joints"),
+        "vec_id", "t", *_sums(F.col("s"), "storage"), *_sums(points.reduced(F.col("f")), "reduced"), *_sums(points.joints(F.col("f")), "joints"),
         same.alias("inverse"),
     )
 
 
 @query("normalize_position", with_views("emb", body=_PT + f""",
-    k AS (SELECT vec_id, max(p[1]) FILTER (j = 23) AS ax, max(p[2]) FILTER (j = 23) AS ay, max(p[3]) FILTER (j = 23) AS az, max(p[1]) FILTER (j = 24) AS bx, max(p[2]) FILTER (j = 24) AS b_y,
-      max(p[3]) FILTER (j = 24) AS bz, max(p[1]) FILTER (j = 11) AS lx, max(p[2]) FILTER (j = 11) AS ly, max(p[1]) FILTER (j = 12) AS rx, max(p[2]) FILTER (j = 12) AS ry FROM pt WHERE t = 0 GROUP BY 1),
-    o AS (SELECT vec_id, (ax + bx) / 2 AS ox, (ay + b_y) / 2 AS oy, (az + bz) / 2 AS oz, CASE WHEN sqrt((lx - rx) ** 2 + (ly - ry) ** 2) < 1e-3 THEN 1 ELSE sqrt((lx - rx) ** 2 + (ly - ry) ** 2) END AS s FROM k)
-    SELECT vec_id, {_WSUM.format(p='q', n='moved')} FROM (SELECT vec_id, j AS o, [(p[1] - ox) / s, (p[2] - oy) / s, (p[3] - oz) / s] AS q FROM pt JOIN o USING (vec_id) WHERE t = 0 AND p IS NOT NULL) GROUP BY 1"""))
+    k AS (SELECT vec_id, t, max(p[1]) FILTER (j = 23) AS ax, max(p[2]) FILTER (j = 23) AS ay, max(p[3]) FILTER (j = 23) AS az, max(p[1]) FILTER (j = 24) AS bx, max(p[2]) FILTER (j = 24) AS b_y,
+      max(p[3]) FILTER (j = 24) AS bz, max(p[1]) FILTER (j = 11) AS lx, max(p[2]) FILTER (j = 11) AS ly, max(p[1]) FILTER (j = 12) AS rx, max(p[2]) FILTER (j = 12) AS ry FROM pt GROUP BY vec_id, t),
+    o AS (SELECT vec_id, t, (ax + bx) / 2 AS ox, (ay + b_y) / 2 AS oy, (az + bz) / 2 AS oz, CASE WHEN sqrt((lx - rx) ** 2 + (ly - ry) ** 2) < 1e-3 THEN 1 ELSE sqrt((lx - rx) ** 2 + (ly - ry) ** 2) END AS s FROM k)
+    SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='moved')} FROM (SELECT vec_id, t, j AS o, [(p[1] - ox) / s, (p[2] - oy) / s, (p[3] - oz) / s] AS q FROM pt JOIN o USING (vec_id, t) WHERE p IS NOT NULL) GROUP BY vec_id, t"""))
 def normalize_position(spark, d):
-    frame = points.zero_missing(F.get("frames", F.lit(0)))
-    rows = views.point_clips(spark, d).select("vec_id", points.normalize_position(frame).alias("f"))
-    return rows.select("vec_id", *_sums(F.col("f"), "moved"))
+    rows = _each_frame(views.point_clips(spark, d), "vec_id")
+    rows = rows.select("vec_id", "t", points.normalize_position(points.zero_missing(F.col("f"))).alias("f"))
+    return rows.select("vec_id", "t", *_sums(F.col("f"), "moved"))
 
 
 @query("bones", with_views("emb", body=_PT + _JNT + f""",
     pr AS (SELECT unnest({[c for _, c in dict((c, (p, c)) for p, c in points.bone_pairs()).values()]}) AS c, unnest({[p for p, _ in dict((c, (p, c)) for p, c in points.bone_pairs()).values()]}) AS a),
-    f AS (SELECT vec_id, o, coalesce(p, [0.0, 0.0, 0.0]) AS p FROM pt JOIN jnt USING (j) WHERE t = 2),
-    b AS (SELECT x.vec_id, x.o, [x.p[1] - y.p[1], x.p[2] - y.p[2], x.p[3] - y.p[3]] AS q FROM f x JOIN pr ON x.o = pr.c JOIN f y ON y.vec_id = x.vec_id AND y.o = pr.a)
-    SELECT vec_id, {_WSUM.format(p='q', n='bone')} FROM b GROUP BY 1"""))
+    f AS (SELECT vec_id, t, o, coalesce(p, [0.0, 0.0, 0.0]) AS p FROM pt JOIN jnt USING (j)),
+    b AS (SELECT x.vec_id, x.t, x.o, [x.p[1] - y.p[1], x.p[2] - y.p[2], x.p[3] - y.p[3]] AS q FROM f x JOIN pr ON x.o = pr.c JOIN f y ON y.vec_id = x.vec_id AND y.t = x.t AND y.o = pr.a)
+    SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='bone')} FROM b GROUP BY vec_id, t"""))
 def bones(spark, d):
-    rows = views.point_clips(spark, d).select("vec_id", points.joints(points.zero_missing(F.get("frames", F.lit(2)))).alias("f"))
-    return rows.select("vec_id", *_sums(points.bones(F.col("f")), "bone"))
+    rows = _each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", points.joints(points.zero_missing(F.col("f"))).alias("f"))
+    return rows.select("vec_id", "t", *_sums(points.bones(F.col("f")), "bone"))
 
 
 @query("hand_shapes", with_views("emb", body=_PT + f""",
-    h AS (SELECT vec_id, j - 33 AS o, [-p[1], p[2], p[3]] AS p FROM pt WHERE t = 3 AND j BETWEEN 33 AND 53),
-    l AS (SELECT h.vec_id, h.o, CASE WHEN h.p[1] IS NULL THEN [0.0, 0.0, 0.0] ELSE [h.p[1] - w.p[1], h.p[2] - w.p[2], h.p[3] - w.p[3]] END AS q, h.p[1] IS NOT NULL AS seen
-      FROM h JOIN h w ON w.vec_id = h.vec_id AND w.o = 0),
-    s AS (SELECT vec_id, greatest(max(sqrt(q[1] ** 2 + q[2] ** 2)), 1e-3) AS size, bool_or(seen) AS seen FROM l GROUP BY 1)
-    SELECT vec_id, {_WSUM.format(p='r', n='shape')}, any_value(seen) AS seen FROM (
-      SELECT l.vec_id, o, [q[1] / size, q[2] / size, q[3] / size] AS r, s.seen FROM l JOIN s USING (vec_id)) GROUP BY 1"""))
+    h AS (SELECT vec_id, t, CASE WHEN j < 54 THEN 'left' ELSE 'right' END AS hand, (j - 33) % 21 AS o, [CASE WHEN j < 54 THEN -p[1] ELSE p[1] END, p[2], p[3]] AS p
+      FROM pt WHERE j BETWEEN 33 AND 74),
+    l AS (SELECT h.vec_id, h.t, h.hand, h.o, CASE WHEN h.p[1] IS NULL THEN [0.0, 0.0, 0.0] ELSE [h.p[1] - w.p[1], h.p[2] - w.p[2], h.p[3] - w.p[3]] END AS q, h.p[1] IS NOT NULL AS seen
+      FROM h JOIN h w ON w.vec_id = h.vec_id AND w.t = h.t AND w.hand = h.hand AND w.o = 0),
+    s AS (SELECT vec_id, t, hand, greatest(max(sqrt(q[1] ** 2 + q[2] ** 2)), 1e-3) AS size, bool_or(seen) AS seen FROM l GROUP BY ALL)
+    SELECT vec_id, CAST(t AS INTEGER) AS t, hand, {_WSUM.format(p='r', n='shape')}, any_value(seen) AS seen FROM (
+      SELECT l.vec_id, l.t, l.hand, o, [q[1] / size, q[2] / size, q[3] / size] AS r, s.seen FROM l JOIN s USING (vec_id, t, hand)) GROUP BY vec_id, t, hand"""))
 def hand_shapes(spark, d):
-    frame = points.zero_missing(F.get("frames", F.lit(3)))
-    rows = views.point_clips(spark, d).select("vec_id", F.slice(frame, points.LEFT + 1, fixed.N_HAND).alias("h"))
-    return rows.select("vec_id", *_sums(points.hand_shape(F.col("h"), mirror=True), "shape"), points.hand_seen(F.col("h")).alias("seen"))
+    """Both hands of all frames; the left one is mirrored."""
+    rows = _each_frame(views.point_clips(spark, d), "vec_id").withColumn("f", points.zero_missing(F.col("f")))
+    part = lambda at: F.slice("f", at + 1, fixed.N_HAND)
+    one = lambda name, h, mirror: F.struct(
+        F.lit(name).alias("hand"), points.hand_shape(h, mirror=mirror).alias("h"), points.hand_seen(h).alias("seen")
+    )
+    both = F.array(one("left", part(points.LEFT), True), one("right", part(points.LEFT + fixed.N_HAND), False))
+    rows = rows.select("vec_id", "t", F.explode_outer(both).alias("b"))
+    return rows.select("vec_id", "t", "b.hand", *_sums(F.col("b.h"), "shape"), "b.seen")
 
 
 @query("face_relative", with_views("emb", body=_PT + _RED + f""",
-    f AS (SELECT vec_id, o - 75 AS o, p FROM pt JOIN red USING (j) WHERE t = 4 AND o >= 75),
-    q AS (SELECT f.vec_id, f.o, [f.p[1] - n.p[1], f.p[2] - n.p[2], f.p[3] - n.p[3]] AS q FROM f JOIN f n ON n.vec_id = f.vec_id AND n.o = 40)
-    SELECT vec_id, {_WSUM.format(p='q', n='face')} FROM q GROUP BY 1"""))
+    f AS (SELECT vec_id, t, o - 75 AS o, p FROM pt JOIN red USING (j) WHERE o >= 75),
+    q AS (SELECT f.vec_id, f.t, f.o, [f.p[1] - n.p[1], f.p[2] - n.p[2], f.p[3] - n.p[3]] AS q FROM f JOIN f n ON n.vec_id = f.vec_id AND n.t = f.t AND n.o = 40)
+    SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='face')} FROM q GROUP BY vec_id, t"""))
 def face_relative(spark, d):
-    frame = points.reduced(points.zero_missing(F.get("frames", F.lit(4))))
-    rows = views.point_clips(spark, d).select("vec_id", F.slice(frame, points.FACE + 1, 44).alias("f"))
-    return rows.select("vec_id", *_sums(points.face_relative(F.col("f")), "face"))
+    frame = points.reduced(points.zero_missing(F.col("f")))
+    rows = _each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", F.slice(frame, points.FACE + 1, 44).alias("f"))
+    return rows.select("vec_id", "t", *_sums(points.face_relative(F.col("f")), "face"))
 
 
 @query("center_joints", with_views("emb", body=_PT + _JNT + """,
@@ -384,20 +397,28 @@ def joint_spectrum(spark, d):
     return out
 
 
+def _normal(salt: str, axis: str) -> str:
+    return f"(sqrt(-2 * ln(greatest({_unit(salt + axis + "|u1'")}, 1e-12))) * cos(2 * pi() * {_unit(salt + axis + "|u2'")}))"
+
+
+_POINT_SALT = "'5|' || pt.vec_id || '|' || copy || '|' || pt.t || '|' || j || '|"
+
+
 @query("augment_points", with_views("emb", body=_PT + f""",
     c AS (SELECT *, {_unit("'5|' || vec_id || '|' || copy || '|angle'")} AS u1, {_unit("'5|' || vec_id || '|' || copy || '|scale'")} AS u2, {_unit("'5|' || vec_id || '|' || copy || '|ax'")} AS u3,
       {_unit("'5|' || vec_id || '|' || copy || '|ay'")} AS u4, {_unit("'5|' || vec_id || '|' || copy || '|sx'")} AS u5, {_unit("'5|' || vec_id || '|' || copy || '|sy'")} AS u6
       FROM (SELECT *, unnest([0, 1]) AS copy FROM (SELECT DISTINCT vec_id FROM emb))),
     k AS (SELECT vec_id, copy, (2 * u1 - 1) * {math.radians(15)!r} AS t, 1 + (2 * u2 - 1) * 0.15 AS s, 1 + (2 * u3 - 1) * 0.08 AS ax, 1 + (2 * u4 - 1) * 0.08 AS ay,
       (2 * u5 - 1) * 0.1 AS sx, (2 * u6 - 1) * 0.1 AS sy FROM c)
-    SELECT vec_id, CAST(copy AS INTEGER) AS copy, {_WSUM.format(p='q', n='p')} FROM (
-      SELECT k.vec_id, copy, j AS o, [(p[1] * cos(k.t) - p[2] * sin(k.t)) * s * ax + sx, (p[1] * sin(k.t) + p[2] * cos(k.t)) * s * ay + sy, p[3] * s] AS q
-      FROM pt JOIN k USING (vec_id) WHERE pt.t = 5 AND j < 75 AND p IS NOT NULL) GROUP BY ALL"""))
+    SELECT vec_id, CAST(copy AS INTEGER) AS copy, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='p')} FROM (
+      SELECT k.vec_id, copy, pt.t, j AS o, [(p[1] * cos(k.t) - p[2] * sin(k.t)) * s * ax + sx + 0.01 * {_normal(_POINT_SALT, 'x')},
+        (p[1] * sin(k.t) + p[2] * cos(k.t)) * s * ay + sy + 0.01 * {_normal(_POINT_SALT, 'y')}, p[3] * s + 0.01 * {_normal(_POINT_SALT, 'z')}] AS q
+      FROM pt JOIN k USING (vec_id) WHERE j < 75 AND p IS NOT NULL) GROUP BY ALL"""))
 def augment_points(spark, d):
-    frame = points.pose_and_hands(points.zero_missing(F.get("frames", F.lit(5))))
-    rows = augment.copies(views.point_clips(spark, d).select("vec_id", frame.alias("f")), 2)
-    moved = augment.augment_points(F.col("f"), 5, F.col("vec_id"), F.col("copy"), noise=0.0)
-    return rows.select("vec_id", "copy", moved.alias("f")).select("vec_id", "copy", *_sums(F.col("f"), "p"))
+    frame = points.pose_and_hands(points.zero_missing(F.col("f")))
+    rows = augment.copies(_each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", frame.alias("f")), 2)
+    moved = augment.augment_points(F.col("f"), 5, F.col("vec_id"), F.col("copy"), frame_no=F.col("t"))
+    return rows.select("vec_id", "copy", "t", moved.alias("f")).select("vec_id", "copy", "t", *_sums(F.col("f"), "p"))
 
 
 @query("detection_rates", with_views("emb", body="""
