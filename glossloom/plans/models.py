@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from glossloom import fixed
 from glossloom.functions import text
-from glossloom.functions.stats import bootstrap_metric, mcnemar_p, paired_bootstrap, wilson
-from glossloom.operators import compare, joins, score
+from glossloom.functions.stats import mcnemar_p, wilson
+from glossloom.operators import compare, joins, resample, score
 from glossloom.operators.ranking import take_first
 from glossloom.plans import views
 from glossloom.plans.registry import query
@@ -120,9 +120,38 @@ def paired_tests(spark, d):
     return _rounded(_rounded(counts.drop("lo", "hi"), "delta"), "p", digits=8)
 
 
-@query("paired_bootstrap")
+def _drawn_sql(by: list[str], key: list[str], n_boot: int, seed: int = 0) -> str:
+    """CTE dr: the cells of the view `cells` with their weight w in every resample."""
+    salt = f"'{seed}|' || " + " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in [*by, *key, "r"])
+    unit = lambda more="": f"(('0x' || md5({salt}{more})[1:12])::BIGINT / 281474976710656.0)"
+    u1, u2 = (unit(f" || '|{u}'") for u in ("u1", "u2"))
+    return f"""
+    pk AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS cdf FROM (
+      SELECT n, unnest(range(CAST(n + ceil(9 * sqrt(n)) + 21 AS BIGINT))) AS k FROM (SELECT DISTINCT n FROM cells WHERE n BETWEEN 1 AND {resample.EXACT}))),
+    pl AS (SELECT n, list(cdf ORDER BY k) AS cdfs FROM pk GROUP BY n),
+    dr AS (SELECT {', '.join([*by, *key])}, r, CASE WHEN r = 0 THEN n WHEN n = 0 THEN 0 WHEN n <= {resample.EXACT} THEN len(list_filter(cdfs, lambda c: c < u))
+        ELSE CAST(greatest(0, round_even(n + sqrt(n) * z + (z * z - 1) / 6, 0)) AS BIGINT) END AS w
+      FROM (SELECT *, {unit()} AS u, sqrt(-2 * ln(greatest({u1}, 1e-12))) * cos(2 * pi() * {u2}) AS z
+        FROM (SELECT cells.*, cdfs, unnest(range({n_boot + 1})) AS r FROM cells LEFT JOIN pl USING (n))))"""
+
+
+def _ends_sql(value: str, low: str, high: str) -> str:
+    return (
+        f"round(max({value}) FILTER (r = 0), 9) AS {value}, round(quantile_cont({value}, 0.025) FILTER (r > 0), 9) AS {low}, "
+        f"round(quantile_cont({value}, 0.975) FILTER (r > 0), 9) AS {high}"
+    )
+
+
+_DELTA_CELLS = """cells AS (SELECT {by}, unnest(['b', 'c', 'rest']) AS cell, unnest([b, c, n - b - c]) AS n FROM ct), """
+_DELTA = """dl AS (SELECT {by}, r, sum(CASE cell WHEN 'c' THEN w WHEN 'b' THEN -w ELSE 0 END) / nullif(sum(w), 0) AS delta FROM dr GROUP BY ALL)"""
+
+
+@query("paired_bootstrap", with_views("preds", body=_PAIRED + ", " + _DELTA_CELLS.format(by="tag, k, model, subset") + _drawn_sql(["tag", "k", "model", "subset"], ["cell"], 4000) + ", "
+    + _DELTA.format(by="tag, k, model, subset") + f""", e AS (SELECT tag, k, model, subset, {_ends_sql('delta', 'lo', 'hi')} FROM dl GROUP BY ALL)
+    SELECT e.*, b, c, n, round({_P.format(b='b', c='c')}, 8) AS p FROM e JOIN ct USING (tag, k, model, subset)"""))
 def paired_bootstrap_(spark, d):
-    return compare.paired_summary(joins.paired_runs(predictions(spark, d), "dim64"), ["tag", "k", "model"], is_target, 4000)
+    rows = resample.paired_summary(joins.paired_runs(predictions(spark, d), "dim64"), ["tag", "k", "model"], is_target, 4000)
+    return _rounded(_rounded(rows, "delta", "lo", "hi"), "p", digits=8)
 
 
 @query("model_pairs", with_views("preds", body=f"""
@@ -147,24 +176,46 @@ def cross_tag_pairs(spark, d):
     return _rounded(counts.withColumn("p", mcnemar_p(F.col("b"), F.col("c"))), "p", digits=8)
 
 
-@query("bootstrap_intervals")
+_RUN = "tag, k, seed, model"
+
+
+@query("bootstrap_intervals", with_views("preds", body=f"""
+    , cells AS (SELECT {_RUN}, y, pred, count(*) AS n FROM preds GROUP BY ALL), {_drawn_sql(RUN, ["y", "pred"], 500)},
+    sd AS (SELECT {_RUN}, r, y AS c, w AS own, CASE WHEN y = pred THEN w ELSE 0 END AS hit, w AS seen FROM dr UNION ALL SELECT {_RUN}, r, pred, 0, 0, w FROM dr),
+    pc AS (SELECT {_RUN}, r, c, sum(own) AS own, sum(hit) AS hit, sum(seen) AS seen FROM sd GROUP BY ALL),
+    m AS (SELECT {_RUN}, r, avg(hit / nullif(own, 0)) AS macro_acc, avg(2 * hit / nullif(seen, 0)) AS macro_f1 FROM pc GROUP BY ALL),
+    e AS (SELECT {_RUN}, {_ends_sql('macro_acc', 'macro_acc_low', 'macro_acc_high')}, {_ends_sql('macro_f1', 'macro_f1_low', 'macro_f1_high')},
+      round(0.9 - max(macro_acc) FILTER (r = 0), 9) AS val_test_gap FROM m GROUP BY ALL),
+    o AS (SELECT {_RUN}, count(*) AS n, count(*) FILTER (y = pred) AS n_ok FROM preds GROUP BY ALL)
+    SELECT e.*, n, round(n_ok / n, 9) AS overall, round(greatest(0, {_WILSON.format(op='-')}), 9) AS overall_low, round(least(1, {_WILSON.format(op='+')}), 9) AS overall_high
+    FROM e JOIN o USING ({_RUN})"""))
 def bootstrap_intervals(spark, d):
-    return score.score_split(predictions(spark, d), RUN, F.lit(0.9), 500)
+    rows = resample.split_scores(predictions(spark, d), RUN, F.lit(0.9), 500)
+    return _rounded(rows, *[c for c in rows.columns if c not in RUN and c != "n"])
 
 
-@query("bootstrap_macro_delta")
+@query("bootstrap_macro_delta", with_views("preds", body=_PAIRED + f"""
+    , cells AS (SELECT tag, k, model, y, a_ok, b_ok, count(*) AS n FROM pr GROUP BY ALL), {_drawn_sql(["tag", "k", "model"], ["y", "a_ok", "b_ok"], 500)},
+    pc AS (SELECT tag, k, model, r, y, sum(w) AS n, sum(CASE WHEN a_ok THEN w ELSE 0 END) - sum(CASE WHEN b_ok THEN w ELSE 0 END) AS d FROM dr GROUP BY ALL),
+    m AS (SELECT tag, k, model, r, avg(d / nullif(n, 0)) AS delta_macro_acc FROM pc GROUP BY ALL),
+    e AS (SELECT tag, k, model, {_ends_sql('delta_macro_acc', 'low', 'high')} FROM m GROUP BY ALL)
+    SELECT *, low > 0 AS a_beats_b, high < 0 AS b_beats_a FROM e"""))
 def bootstrap_macro_delta(spark, d):
-    return compare.macro_delta(joins.paired_runs(predictions(spark, d), "dim64"), ["tag", "k", "model"], 500)
+    rows = resample.macro_delta(joins.paired_runs(predictions(spark, d), "dim64"), ["tag", "k", "model"], 500)
+    rows = _rounded(rows, "delta_macro_acc", "low", "high")
+    return rows.withColumn("a_beats_b", F.col("low") > 0).withColumn("b_beats_a", F.col("high") < 0)
 
 
-@query("custom_metric_bootstrap")
+@query("custom_metric_bootstrap", with_views("preds", body=f"""
+    , cells AS (SELECT tag, model, y, pred, count(*) AS n FROM preds GROUP BY ALL), {_drawn_sql(["tag", "model"], ["y", "pred"], 500)},
+    m AS (SELECT tag, model, r, 1 - sum(CASE WHEN y = pred THEN w ELSE 0 END) / sum(w) AS point FROM dr GROUP BY ALL)
+    SELECT tag, model, {_ends_sql('point', 'low', 'high')} FROM m GROUP BY ALL"""))
 def custom_metric_bootstrap(spark, d):
-    """Balanced error, a metric given by the caller, over confusion cells."""
-    def error(y, pred, w):
-        return 1 - w[:, y == pred].sum(1) / w.sum(1)
-
-    cells = score.confusion_cells(predictions(spark, d), ["tag", "model"])
-    return cells.select("tag", "model", bootstrap_metric(F.col("cells"), error, 500).alias("b")).select("tag", "model", "b.*")
+    """Error rate, a metric given by the caller as an aggregate over weighted confusion cells."""
+    error = 1 - F.sum(F.when(F.col("y") == F.col("pred"), F.col("w")).otherwise(0)) / F.sum("w")
+    drawn = resample.resamples(score.confusion(predictions(spark, d), ["tag", "model"]), ["tag", "model"], ["y", "pred"], n_boot=500)
+    rows = resample.metric_interval(drawn, ["tag", "model"], error)
+    return _rounded(rows.withColumnsRenamed({"point_low": "low", "point_high": "high"}), "point", "low", "high")
 
 
 _RUNS = """, runs AS (SELECT tag, k, seed, model, avg(CAST(y = pred AS INT)) AS top1,
@@ -303,12 +354,17 @@ def discordant_large(spark, d):
     return _rounded(counts.withColumn("p", mcnemar_p(F.col("b"), F.col("c"))), "p", digits=8)
 
 
-@query("bootstrap_counts")
+@query("bootstrap_counts", f"""
+    WITH ct AS (SELECT l_returnflag, count(*) FILTER (l_discount > 0.05 AND l_tax <= 0.04) AS b, count(*) FILTER (l_discount <= 0.05 AND l_tax > 0.04) AS c, count(*) AS n
+      FROM lineitem GROUP BY 1), {_DELTA_CELLS.format(by='l_returnflag')}{_drawn_sql(['l_returnflag'], ['cell'], 2000)}, {_DELTA.format(by='l_returnflag')},
+    e AS (SELECT l_returnflag, {_ends_sql('delta', 'low', 'high')} FROM dl GROUP BY 1)
+    SELECT * FROM e JOIN ct USING (l_returnflag)""")
 def bootstrap_counts(spark, d):
-    """Interval of an accuracy difference over all line items per brand, from three counts each."""
+    """Interval of an accuracy difference over all line items per return flag, from three counts each."""
     line = table(spark, d, "lineitem", "l_returnflag", "l_discount", "l_tax")
     counts = line.groupBy("l_returnflag").agg(
         F.count_if((F.col("l_discount") > 0.05) & (F.col("l_tax") <= 0.04)).alias("b"),
         F.count_if((F.col("l_discount") <= 0.05) & (F.col("l_tax") > 0.04)).alias("c"), F.count(F.lit(1)).alias("n"),
     )
-    return counts.withColumn("ci", paired_bootstrap(F.col("b"), F.col("c"), F.col("n"))).select("l_returnflag", "b", "c", "n", "ci.*")
+    rows = resample.delta_interval(counts, ["l_returnflag"]).withColumnsRenamed({"delta_low": "low", "delta_high": "high"})
+    return _rounded(rows, "delta", "low", "high")
