@@ -32,6 +32,8 @@ FIRST = 2
 FEW_IDS = 500_000
 #: Branchings and fresh seeds for what a large node holds apart from its leader's group.
 FURTHER, SEEDS = 10, 4
+#: Rows that a comparing task gathers before it hands them on.
+ROWS_OUT = 10_000
 #: Standard deviations by which a sketch may underrate a pair that is still compared.
 SLACK = 4.5
 
@@ -106,6 +108,32 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
+def _agreeing(tokens: np.ndarray) -> np.ndarray:
+    """Number of positions where two sketches agree, for all pairs of a node (one matrix of its size)."""
+    if len(tokens) <= 16:
+        return (tokens[:, None] == tokens).sum(axis=2)
+    counts = np.zeros((len(tokens), len(tokens)), np.uint8 if tokens.shape[1] < 256 else np.uint16)
+    for column in np.ascontiguousarray(tokens.T):
+        counts += column[:, None] == column
+    return counts
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The first member of each row's connected component in a symmetric matrix of links."""
+    roots = np.full(len(linked), -1)
+    for i in range(len(linked)):
+        if roots[i] < 0:
+            reached = np.zeros(len(linked), bool)
+            reached[i] = True
+            edge = np.array([i])
+            while len(edge):
+                more = linked[edge].any(axis=0) & ~reached
+                reached |= more
+                edge = np.flatnonzero(more)
+            roots[reached] = i
+    return roots
+
+
 def _alike(rows: DataFrame, similarity: int) -> DataFrame:
     """(member, vertex): within each node (node, vertex, sketch, n_shingles), groups of vertices whose sketches allow a link.
 
@@ -116,31 +144,35 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
     level, labelled = similarity / 100, "c" in rows.columns
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
         for g in groups(batches, "node"):
-            c = g["c"].to_numpy() if labelled else None
+            c = g["c"].to_numpy() if labelled else np.zeros(len(g), np.int64)
             if labelled and (c == c[0]).all():
                 continue
             v, n = g["vertex"].to_numpy(), g["n_shingles"].to_numpy()
-            tokens = np.stack([np.frombuffer(s, np.uint32) for s in g["sketch"]])
+            tokens = np.frombuffer(b"".join(g["sketch"]), np.uint32).reshape(len(v), -1)
             near = level - SLACK * math.sqrt(level * (1 - level) / tokens.shape[1])
-            sets, least = Sets(len(v)), near * tokens.shape[1]
-            for i in range(len(v) - 1):
-                fits = np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])
-                if labelled:
-                    fits &= c[i + 1 :] != c[i]
-                some = i + 1 + np.flatnonzero(fits)
-                if len(some):
-                    for j in some[np.count_nonzero(tokens[some] == tokens[i], axis=1) >= least]:
-                        sets.join(i, int(j))
-            roots = np.array([sets.root(i) for i in range(len(v))])
-            out = []
-            for r in np.unique(roots):
-                members = np.unique(v[roots == r])
+            linked = _agreeing(tokens) >= near * tokens.shape[1]
+            linked &= np.minimum(n[:, None], n) * 100 >= similarity * np.maximum(n[:, None], n)
+            if labelled:
+                linked &= c[:, None] != c
+            roots = _roots(linked)
+            names, sizes = np.unique(roots, return_counts=True)
+            for r in names[sizes > 1]:
+                at = np.flatnonzero(roots == r)
+                members, first = np.unique(v[at], return_index=True)
                 if len(members) > 1:
-                    part_of = pd.DataFrame({"member": vertex_of(members), "vertex": members})
-                    out.append(part_of.merge(g[["vertex", "c"]].drop_duplicates("vertex"), on="vertex") if labelled else part_of)
-            if out:
-                yield pd.concat(out)
+                    out.append((np.full(len(members), vertex_of(members)), members, c[at][first]))
+                    held += len(members)
+            if held >= ROWS_OUT:
+                yield frame(out)
+                out, held = [], 0
+        if out:
+            yield frame(out)
+
+    def frame(out: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        columns = [np.concatenate(x) for x in zip(*out)]
+        return pd.DataFrame(dict(zip(["member", "vertex", *["c"] * labelled], columns)))
 
     return rows.select("node", "vertex", "sketch", "n_shingles", *["c"] * labelled).repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long" + ", c long" * labelled).distinct()
 
