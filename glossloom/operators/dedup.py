@@ -129,3 +129,41 @@ def greedy_near_duplicates(
         )
     fate = nodes.join(state.withColumnRenamed("node", "_o"), "_o").select(*group, F.col("h").alias(h), "kept_by")
     return df.join(fate, [*group, h])
+
+
+def deduplicate(
+    df: DataFrame, content: Column, group: list[str], h: str, order: str, path: str, max_distance: int = 3, hot: int = 2_000
+) -> DataFrame:
+    """Every row's path with status, kept path and reason of one pass over exact and near copies.
+
+    Rows are visited by `order` (unique). A row whose content came before, anywhere,
+    repeats the first row with it, even if that row was dropped as a near copy. Of
+    the first rows, one within max_distance bits of an earlier kept row of its group
+    repeats the first such row. The content hash is claimed before the near check,
+    so copies never take part in it: the pass is the exact step over all rows and
+    the greedy one over the first row of each content. Null group values are equal
+    to each other; rows without content are no exact copies, rows without a hash no
+    near ones.
+    """
+    sha = F.coalesce(F.sha2(content, 256), F.concat(F.lit("row:"), F.col(order).cast("string")))
+    rows = df.select(
+        F.col(order).alias("_o"), F.col(path).alias("_p"), F.to_json(F.struct(*group)).alias("_g"), F.col(h).alias("_h"), sha.alias("_sha")
+    )
+    owner = rows.groupBy("_sha").agg(F.min(F.struct("_o", "_p")).alias("_first"))
+    marked = checkpoint(rows.join(owner, "_sha"))
+    is_first = F.col("_o") == F.col("_first._o")
+    exact = marked.filter(~is_first).select(
+        F.col("_p").alias(path), F.lit("exact_sha_duplicate").alias("status"), F.col("_first._p").alias("kept"), F.lit("sha256").alias("reason")
+    )
+    first = marked.filter(is_first).select("_o", "_p", "_g", "_h")
+    seen = greedy_near_duplicates(first.filter("_h IS NOT NULL"), ["_g"], "_h", "_o", max_distance, hot)
+    named = seen.join(first.select(F.col("_o").alias("kept_by"), F.col("_p").alias("_k")), "kept_by")
+    near = F.col("kept_by") != F.col("_o")
+    decided = named.select(
+        F.col("_p").alias(path), F.when(near, "near_phash_duplicate").otherwise("kept").alias("status"),
+        F.when(near, F.col("_k")).alias("kept"), F.when(near, f"phash<={max_distance} same signer").alias("reason"),
+    )
+    alone = first.filter("_h IS NULL").select(
+        F.col("_p").alias(path), F.lit("kept").alias("status"), F.lit(None).cast(df.schema[path].dataType).alias("kept"), F.lit(None).cast("string").alias("reason")
+    )
+    return exact.unionByName(decided).unionByName(alone)

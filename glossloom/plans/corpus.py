@@ -326,6 +326,30 @@ def near_dup_greedy(spark, d):
     return rows.select("doc_id", "kept_by", F.when(~kept, "phash<=3 same signer").alias("reason"))
 
 
+@query("dedup_log", f"""
+    WITH RECURSIVE {_HASHES},
+    owned AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents),
+    items AS MATERIALIZED (SELECT doc_id, lang, source, CAST(b[3:] AS BIT) AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn
+      FROM h JOIN owned USING (doc_id) WHERE doc_id = first_id),
+    walk AS (SELECT DISTINCT lang, source, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS kept_by,
+        CAST([] AS BIGINT[]) AS ids, CAST([] AS BIT[]) AS hs FROM items
+      UNION ALL
+      SELECT lang, source, rn, d, coalesce(ids[hit], d), CASE WHEN hit IS NULL THEN list_append(ids, d) ELSE ids END,
+        CASE WHEN hit IS NULL THEN list_append(hs, b) ELSE hs END FROM (
+        SELECT w.lang, w.source, i.rn, i.doc_id AS d, i.b, w.ids, w.hs,
+          list_filter(range(1, len(w.hs) + 1), lambda x: bit_count(xor(w.hs[x], i.b)) <= 3)[1] AS hit
+        FROM walk w JOIN items i ON i.lang = w.lang AND i.source = w.source AND i.rn = w.rn + 1))
+    SELECT first_id AS kept, doc_id AS removed, 'sha256' AS reason, 'exact_sha_duplicate' AS status FROM owned WHERE doc_id <> first_id
+    UNION ALL SELECT kept_by, doc_id, 'phash<=3 same signer', 'near_phash_duplicate' FROM walk WHERE rn > 0 AND doc_id <> kept_by
+    UNION ALL SELECT NULL, doc_id, NULL, 'kept' FROM walk WHERE rn > 0 AND doc_id = kept_by""")
+def dedup_log(spark, d):
+    """Exact and near copies in one pass: what became of every document."""
+    texts = table(spark, d, "documents", "doc_id", "text")
+    rows = views.document_hashes(spark, d).select("doc_id", "lang", "source", "h").join(texts, "doc_id")
+    out = dedup.deduplicate(rows, F.col("text"), ["lang", "source"], "h", "doc_id", "doc_id")
+    return out.select("kept", F.col("doc_id").alias("removed"), "reason", "status")
+
+
 @query("store_fingerprint", with_views("clips", body="""
     SELECT source, count(*) AS n_keys, {print} AS fingerprint FROM clips GROUP BY source""".replace("{print}", views.fingerprint_sql("key"))))
 def store_fingerprint(spark, d):

@@ -310,3 +310,27 @@ def test_split_guards(spark):
         splits.make_split(clips, "other")
     with pytest.raises(ValueError, match="sources"):
         splits.make_split(clips, "cross_source")
+
+
+def test_deduplicate_as_one_pass(spark):
+    """A near copy that was dropped still owns its content; nulls and groups as stated."""
+    rows = [
+        (1, "a", "w", "s1", 0b0000), (2, "b", "w", "s1", 0b0011), (3, "b", "w", "s2", 0b0011), (4, "c", "w", "s2", 0b0111),
+        (5, "d", "w", "s1", 0b111100), (6, "e", "w", None, 0b0), (7, "f", "w", None, 0b1), (8, None, "w", "s3", 0b0), (9, None, "w", "s4", 0b0),
+        (10, "g", "w", "s1", None), (11, "a", "v", "s9", None), (12, "h", "w", "s1", 0b11100000), (13, "i", "w", "s1", 0b10100),
+    ]
+    owner, kept, want = {}, [], {}
+    for o, text, word, signer, h in rows:
+        if text is not None and text in owner:
+            want[o] = ("exact_sha_duplicate", owner[text], "sha256")
+            continue
+        if text is not None:
+            owner[text] = o
+        hit = next((k for k, g, x in kept if g == (word, signer) and None not in (h, x) and (h ^ x).bit_count() <= 3), None)
+        want[o] = ("near_phash_duplicate", hit, "phash<=3 same signer") if hit else ("kept", None, None)
+        if not hit:
+            kept.append((o, (word, signer), h))
+    df = spark.createDataFrame(rows, "o long, text string, word string, signer string, h long")
+    got = {r["o"]: (r["status"], r["kept"], r["reason"]) for r in dedup.deduplicate(df, F.col("text"), ["word", "signer"], "h", "o", "o").collect()}
+    assert got == want
+    assert {s for s, _, _ in want.values()} == {"kept", "exact_sha_duplicate", "near_phash_duplicate"}
