@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glossloom import fixed
 from glossloom.functions import points, sequence
 from glossloom.operators import augment, features, reports, series
+from glossloom.operators.guarded import guarded
 from glossloom.plans import views
 from glossloom.plans.registry import query
 from glossloom.plans.views import with_views
@@ -211,6 +212,26 @@ def frame_decimation(spark, d):
     return rows.filter(sequence.keep_frame(F.col("frame"), F.col("stride"))).select("event_id", "stride")
 
 
+@query("extract_steps", with_views("clips", body="""
+    , f AS (SELECT video_rel AS path, n_frames, CASE WHEN k = 0 THEN 30.0 ELSE CAST(k AS DOUBLE) END AS fps FROM clips),
+    s AS (SELECT *, greatest(1, CAST(round_even(fps / 15.0, 0) AS INTEGER)) AS stride FROM f)
+    SELECT path, CAST(ceil(n_frames / stride) AS BIGINT) AS n_frames, round(fps / stride, 6) AS fps, NULL AS error FROM s WHERE n_frames > 0
+    UNION ALL SELECT path, NULL, NULL, 'ValueError: no frames' FROM s WHERE n_frames = 0"""))
+def extract_steps(spark, d):
+    """Decimated length and rate of every clip; empty clips end in the log of failures and the others go on."""
+
+    def decimate(row):
+        if not row["n_frames"]:
+            raise ValueError("no frames")
+        fps = float(row["k"] or 30)
+        stride = max(1, round(fps / 15))
+        return {"n_frames": -(-row["n_frames"] // stride), "fps": round(fps / stride, 6)}
+
+    rows = views.clips(spark, d).select(F.col("video_rel").alias("path"), "n_frames", "k")
+    done, failed = guarded(rows, decimate, "path string, n_frames bigint, fps double")
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
 @query("fourier_map", with_views("emb", body="""
     SELECT vec_id, round(list_sum(list_transform(vec, lambda x: x + sin(pi() * x) + sin(2 * pi() * x) + cos(pi() * x) + cos(2 * pi() * x))), 6) AS total,
       round(list_sum(list_transform(range(len(vec)), lambda i: (i + 1) * sin(2 * pi() * vec[i + 1]))), 6) AS second_sines FROM emb"""))

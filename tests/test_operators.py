@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossloom.functions import hashing
-from glossloom.operators import compare, dedup, holdout, joins, ranking, score, series, sessions, splits
+from glossloom.operators import compare, dedup, guarded, holdout, joins, ranking, score, series, sessions, splits
 
 
 def skewed(spark, n=3000):
@@ -334,3 +334,24 @@ def test_deduplicate_as_one_pass(spark):
     got = {r["o"]: (r["status"], r["kept"], r["reason"]) for r in dedup.deduplicate(df, F.col("text"), ["word", "signer"], "h", "o", "o").collect()}
     assert got == want
     assert {s for s, _, _ in want.values()} == {"kept", "exact_sha_duplicate", "near_phash_duplicate"}
+
+
+def test_guarded_step_keeps_every_row_once(spark):
+    """Raised errors, wrong types, nulls and repeats; an empty table gives two empty ones."""
+    rows = [(f"p{i}", i % 7 if i % 11 else None) for i in range(500)] + [(None, 3), ("p1", 1)]
+    df = spark.createDataFrame(rows, "path string, v int").repartition(4)
+
+    def step(row):
+        if row["v"] == 5:
+            return {"inverse": "none"}
+        return {"inverse": 1 / row["v"], "error": "ignored"}
+
+    done, failed = guarded.guarded(df, step, "inverse double")
+    got = sorted(((r["path"], r["inverse"]) for r in done.collect()), key=repr)
+    assert got == sorted(((p, 1 / v) for p, v in rows if v and v != 5), key=repr)
+    errors = sorted((r["path"], r["error"].split(":")[0]) for r in failed.collect())
+    kind = lambda v: "TypeError" if v is None else "ZeroDivisionError"
+    wrong = {p for p, v in rows if v == 5}
+    assert [e for e in errors if e[0] not in wrong] == sorted((p, kind(v)) for p, v in rows if not v)
+    assert [p for p, _ in errors if p in wrong] == sorted(wrong)
+    assert [x.count() for x in guarded.guarded(df.limit(0), step, "inverse double")] == [0, 0]
