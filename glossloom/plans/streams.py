@@ -14,10 +14,14 @@ from glossloom.sources import results, sinks
 from glossloom.streaming import incremental
 
 
+def _table_stream(spark, d, name):
+    """A table as a stream of its files; the pattern in the path matches one file as well as a folder of them."""
+    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
+    return incremental.read_stream(spark, f"{d}/{{{name}.parquet}}", schema, "*")
+
+
 def _event_stream(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    rows = incremental.read_stream(spark, d, schema, "events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_sessions", """
@@ -36,11 +40,10 @@ def stream_sessions(spark, d):
 
 @query("stream_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents GROUP BY text")
 def stream_dedup(spark, d):
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    docs = incremental.read_stream(spark, d, schema, "documents.parquet").select("doc_id", "text")
+    docs = _table_stream(spark, d, "documents").select("doc_id", "text")
     ledger = work_path(spark, "ledger")
     incremental.stream_dedup(docs, F.col("text"), "doc_id", ledger, work_path(spark, "state")).awaitTermination()
-    return spark.read.parquet(ledger).select("doc_id", "sha256")
+    return spark.read.parquet(ledger).groupBy("sha256").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sha256")
 
 
 @query("stream_dedup_recent", "SELECT DISTINCT sha256(props) AS sha256 FROM events")

@@ -50,7 +50,9 @@ def stream_dedup(rows: DataFrame, content: Column, order: str, ledger: str, chec
     """First record of every content hash over all batches, kept in a ledger table.
 
     The ledger holds hashes, not contents; a batch is compared with earlier batches
-    only, so that its repetition gives the same rows.
+    only, so that its repetition gives the same rows. Where files do not arrive by
+    `order`, a hash has a further row for every smaller order value of a later
+    batch; the least one is the first record. Null contents are equal.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -58,7 +60,8 @@ def stream_dedup(rows: DataFrame, content: Column, order: str, ledger: str, chec
         if batch_id > 0:
             schema = "sha256 string, " + f"{order} {dict(batch.dtypes)[order]}"
             seen = batch.sparkSession.read.schema(schema + ", batch bigint").option("basePath", ledger).parquet(ledger)
-            first = first.join(seen.filter(F.col("batch") < batch_id).select("sha256"), "sha256", "left_anti")
+            seen = seen.filter(F.col("batch") < batch_id).select(F.col("sha256").alias("_sha"), F.col(order).alias("_o"))
+            first = first.join(seen, F.col("sha256").eqNullSafe(F.col("_sha")) & (F.col("_o") <= F.col(order)), "left_anti")
         first.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossloom import fixed
+from glossloom.plans import streams
 from glossloom.sources import clips, landmarks, listings, results, sinks
 from glossloom.streaming import incremental
 
@@ -197,6 +198,21 @@ def test_stream_dedup_over_batches(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(ledger).collect()) == [1, 3, 5]
 
 
+def test_stream_dedup_keeps_the_least_id_whatever_the_order_of_files(spark, tmp_path):
+    src, ledger, state = (str(tmp_path / n) for n in ("src", "ledger", "state"))
+    for rows in ([(4, "a"), (5, None)], [(1, "a"), (2, None), (6, "b")], [(3, "a"), (7, "b")]):
+        spark.createDataFrame(rows, "id long, text string").coalesce(1).write.mode("append").parquet(src)
+        stream = incremental.read_stream(spark, src, "id long, text string")
+        incremental.stream_dedup(stream, F.col("text"), "id", ledger, state).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(ledger).collect()) == [1, 2, 4, 5, 6]
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b")], "doc_id long, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in streams.stream_dedup(spark, str(tmp_path)).collect()) == [1, 3, 5]
+
+
 def test_failed_items_are_split(spark):
     df = spark.createDataFrame([("a", None), ("b", "boom")], "path string, error string")
     good, bad = sinks.split_good_and_failed(df)
