@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -195,3 +197,20 @@ def protocol_tag(
 
 def output_name(word: Column, dataset: Column, position: Column, path: Column) -> Column:
     return F.format_string("%s__%s__%05d__%s.mp4", folder_name(word), dataset, position, file_stem(path))
+
+
+def letter_counts(text: Column, alphabet: str) -> Column:
+    """How often each of some ASCII characters occurs in a text, in one pass over its bytes; a null text has none."""
+    codes = np.frombuffer(alphabet.encode("ascii"), np.uint8)
+
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        found = [np.bincount(data[a:b], minlength=256)[codes] for a, b in zip(ends, ends[1:])]
+        flat = np.concatenate(found).astype(np.float64) if found else np.zeros(0)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(codes), pa.array(flat))
+
+    return counts(text)

@@ -87,9 +87,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ."
 
 
 def _document_hashes(spark: SparkSession, d: str) -> DataFrame:
-    counts = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in ALPHABET])
-    docs = spread(table(spark, d, "documents", "doc_id", "lang", "source", "text")).withColumn("_v", counts)
-    return docs.select("doc_id", "lang", "source", average_hash(F.col("_v")).alias("h"))
+    docs = spread(table(spark, d, "documents", "doc_id", "lang", "source", "text"))
+    counts = docs.select("doc_id", "lang", "source", text.letter_counts(F.col("text"), ALPHABET).alias("_v"))
+    return counts.select("doc_id", "lang", "source", average_hash(F.col("_v")).alias("h"))
 
 
 def document_hashes(spark: SparkSession, d: str) -> DataFrame:

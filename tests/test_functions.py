@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossloom import fixed
 from glossloom.functions import points, sequence, stats, text
 from glossloom.functions.hashing import hamming_hex, in_shard, parse_shard
+from glossloom.plans import seqs, views
 from glossloom.sources.clips import quality_score
 
 # Published discordant counts and p-values.
@@ -226,3 +227,24 @@ def test_stride(spark):
 def test_modes_of_simple_courses_have_no_noise_beside_them(x, want):
     found = sequence.delay_modes(x(np.arange(40.0)).reshape(1, -1, 1), 8, 6)[0]
     assert np.allclose(found["re"] + 1j * found["im"], [*want, *[0] * (6 - len(want))], atol=1e-5)
+
+
+def test_letter_counts_in_one_pass(spark):
+    alphabet = views.ALPHABET
+    texts = ["", None, "a b. A9", "\u00e9\u4e2d a\U0001f600z", "z" * 300, " \n\t."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    counted = df.filter("i >= 0").select("i", text.letter_counts(F.col("t"), alphabet).alias("c"))
+    got = {r.i: r.c for r in counted.collect()}
+    assert got == {i: [float((t or "").count(c)) for c in alphabet] for i, t in enumerate(texts)}
+    assert spark.createDataFrame([], "t string").select(text.letter_counts(F.col("t"), alphabet)).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", "aab b. Z"])
+def test_document_hashes_scan_a_text_once(spark, tmp_path, text):
+    docs = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    made = views._document_hashes(spark, str(tmp_path))
+    assert "replace(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    counts = [(text or "").count(c) for c in views.ALPHABET]
+    bits = "".join("1" if n > sum(counts) / 64 else "0" for n in counts)
+    assert made.first().h == np.uint64(int(bits, 2)).astype(np.int64)
