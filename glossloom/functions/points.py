@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +80,77 @@ def present(p: Column) -> Column:
     return (F.abs(p["x"]) + F.abs(p["y"]) + F.abs(p["z"])) > 0
 
 
+#: Frames that one step over a batch works on at a time.
+PIECE = 512
+
+
+def piecewise(step, *columns: pa.Array) -> pa.Array:
+    """step(*columns) piece by piece, so that a large batch needs little memory."""
+    n = len(columns[0])
+    return pa.concat_arrays([step(*[c.slice(at, PIECE) for c in columns]) for at in range(0, max(n, 1), PIECE)])
+
+
+def unpacked(frames: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first point and number of points of each frame, values and validity (3, points)) of a batch of frames."""
+    lengths = pc.fill_null(pc.list_value_length(frames), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = frames.flatten()  # points of null frames and those outside a slice are left out
+    columns = flat.flatten()  # a missing point has missing coordinates
+    values = np.stack([pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in columns])
+    return np.cumsum(lengths) - lengths, lengths, values, np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+
+
+def repacked(frames: pa.Array, values: np.ndarray, known: np.ndarray, filled: bool = False) -> pa.Array:
+    """The batch with new values and validity of the coordinates; missing points stay missing unless all are filled."""
+    gone = None if filled else frames.flatten().is_null()
+    made = pa.StructArray.from_arrays([pa.array(x, mask=~k) for x, k in zip(values, known)], ["x", "y", "z"], mask=gone)
+    lengths = pc.fill_null(pc.list_value_length(frames), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), made, mask=frames.is_null())
+
+
+def _normalized(frames: pa.Array, fill: bool) -> pa.Array:
+    """normalize_position of a batch; missing coordinates become 0 first or spread as in SQL."""
+    starts, lengths, v, ok = unpacked(frames)
+    if fill:
+        v, ok = np.nan_to_num(v, nan=0.0, posinf=np.inf, neginf=-np.inf), np.ones_like(ok)
+    there = ok.all(axis=0) & ~(np.abs(v).sum(axis=0) <= 0)
+    v, ok, there = (np.concatenate([a, np.zeros((*a.shape[:-1], 1), a.dtype)], axis=-1) for a in (v, ok, there))
+    lh, rh, ls, rs = (np.where(i < lengths, starts + i, v.shape[1] - 1) for i in (23, 24, 11, 12))
+    hips = there[lh] | there[rh]
+    a, b = np.where(hips, lh, ls), np.where(hips, rh, rs)
+    origin, origin_ok = (v[:, a] + v[:, b]) / 2, ok[:, a] & ok[:, b]
+    width = np.hypot(*(v[:2, ls] - v[:2, rs]))
+    scale, scale_ok = np.where(width < 1e-3, 1.0, width), (ok[:2, ls] & ok[:2, rs]).all(axis=0)
+    of = np.repeat(np.arange(len(starts)), lengths)
+    v, ok, there = v[:, :-1], ok[:, :-1], there[:-1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        moved = np.where(there, (v - origin[:, of]) / np.where(scale_ok, scale, 1.0)[of], v)
+    known = np.where(there, origin_ok[:, of] & scale_ok[of], ok)
+    return repacked(frames, moved, known, fill)
+
+
+def normalize_positions(frame: Column, fill: bool = False) -> Column:
+    """normalize_position for a column of frames, after zero_missing with `fill`: a batch at once, which a lambda cannot use."""
+
+    @F.arrow_udf("array<struct<x:double,y:double,z:double>>")
+    def moved(frames: pa.Array) -> pa.Array:
+        return piecewise(lambda f: _normalized(f, fill), frames)
+
+    return moved(frame)
+
+
+def _weighted(frames: pa.Array) -> pa.Array:
+    starts, lengths, v, ok = unpacked(frames)
+    of = np.repeat(np.arange(len(starts)), lengths)
+    place = np.arange(len(of)) - starts[of] + 1.0
+    sums = [np.bincount(of, np.where(k, x, 0.0) * place, len(starts)) for x, k in zip(v, ok)]
+    return pa.StructArray.from_arrays([pa.array(s) for s in sums], ["x", "y", "z"], mask=frames.is_null())
+
+
+def weighted_sums(frame: Column) -> Column:
+    """Per coordinate, the sum of value times place (from 1) over a frame; missing values count 0."""
+    return F.arrow_udf(lambda frames: piecewise(_weighted, frames), "struct<x:double,y:double,z:double>")(frame)
+
+
 @bound
 def normalize_position(frame: Column) -> Column:
     """Mid-hip (else mid-shoulder) to the origin, shoulder width to 1, present points only."""

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.functions.bind import bound, let
+from glossloom.functions.bind import bound
 from glossloom.functions.hashing import seeded_order, unit_interval
-from glossloom.functions.points import present, xyz
+from glossloom.functions.points import piecewise, repacked, unpacked
 
 
 def copies(df: DataFrame, n: int, out: str = "copy") -> DataFrame:
@@ -51,7 +54,8 @@ def augment_points(
     """Rotation, scale, small anisotropy, shift and noise on present points; missing stay 0.
 
     The salt names the copy: all its frames share one parameter set; frame_no only
-    varies the noise.
+    varies the noise. Frames are moved a batch at once; `frame` is a column, not an
+    expression with lambdas.
     """
     p = lambda name, lim: uniform(-lim, lim, *salt, name)
     k = F.struct(
@@ -59,19 +63,35 @@ def augment_points(
         (1 + p("ay", 0.08)).alias("ay"), p("sx", shift).alias("sx"), p("sy", shift).alias("sy"),
     )
     spot = frame_no if frame_no is not None else F.lit(0)
-
-    def move(q: Column) -> Column:
-        c, s = F.cos(q["t"]), F.sin(q["t"])
-
-        def one(pt: Column, i: Column) -> Column:
-            e = lambda axis: F.lit(noise) * gaussian(*salt, spot, i, axis) if noise else F.lit(0.0)
-            x = (pt["x"] * c - pt["y"] * s) * q["s"] * q["ax"] + q["sx"] + e("x")
-            y = (pt["x"] * s + pt["y"] * c) * q["s"] * q["ay"] + q["sy"] + e("y")
-            return F.when(present(pt), xyz(x, y, pt["z"] * q["s"] + e("z"))).otherwise(pt)
-
-        return F.transform(frame, one)
-
-    return let(k, move)
+    text = F.concat_ws("|", *[c.cast("string") if isinstance(c, Column) else F.lit(str(c)) for c in (*salt, spot)])
+
+    @F.arrow_udf("array<struct<x:double,y:double,z:double>>")
+    def moved(frames: pa.Array, params: pa.Array, texts: pa.Array) -> pa.Array:
+        return piecewise(lambda f, p, t: _moved(f, p, t.to_pylist(), noise), frames, params, texts)
+
+    return moved(frame, k, text)
+
+
+def _moved(frames: pa.Array, params: pa.Array, texts: list[str], noise: float) -> pa.Array:
+    """augment_points of a batch; the noise of a value is gaussian(text, point, axis), md5 by md5."""
+    starts, lengths, v, ok = unpacked(frames)
+    there = ok.all(axis=0) & ~(np.abs(v).sum(axis=0) <= 0)
+    of = np.repeat(np.arange(len(starts)), lengths)
+    t, s, ax, ay, sx, sy = (params.field(i).to_numpy(zero_copy_only=False)[of[there]] for i in range(6))
+    x, y, z = v[:, there]
+    made = np.stack([(x * np.cos(t) - y * np.sin(t)) * s * ax + sx, (x * np.sin(t) + y * np.cos(t)) * s * ay + sy, z * s])
+    if noise:
+        places = np.flatnonzero(there) - starts[of[there]]
+        ends = [[f"|{i}|{axis}|{u}".encode() for axis in "xyz" for u in ("u1", "u2")] for i in range(lengths.max(initial=0))]
+        parts, cuts = [], np.searchsorted(of[there], np.arange(len(starts) + 1))
+        for row, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            head = texts[row].encode()
+            parts += [md5(head + end).digest() for i in places[a:b] for end in ends[i]]
+        first = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 3, 2, 16)[..., :6].astype(np.float64)
+        u = first @ 256.0 ** -np.arange(1, 7)
+        made += noise * (np.sqrt(-2 * np.log(np.maximum(u[..., 0], 1e-12))) * np.cos(2 * np.pi * u[..., 1])).T
+    v[:, there] = made
+    return repacked(frames, v, ok)
 
 
 def coordinate_noise(arr: Column, std: float, *salt) -> Column:

@@ -279,13 +279,19 @@ def augment_noise(spark, d):
     return rows.select(*CLIP, "i", F.round("b.a", 6).alias("added"), F.round("b.s", 6).alias("scaled"))
 
 
-def _sums(frame, prefix):
-    """Position-weighted coordinate sums, which see every change of order or value."""
-    def one(c):
-        weighted = F.transform(frame, lambda p, i: F.coalesce(p[c], F.lit(0.0)) * (i + 1))
-        return F.round(F.aggregate(weighted, F.lit(0.0), lambda s, v: s + v), 6).alias(f"{prefix}_{c}")
+def _sums(rows, *keys, **frames):
+    """Keys and, of each named frame, position-weighted coordinate sums, which see every change of order or value.
 
-    return [one(c) for c in "xyz"]
+    Computed frames are exploded first, as Spark evaluates no lambda inside the argument of a Python function.
+    """
+    if not all(isinstance(f, str) for f in frames.values()):
+        computed = F.array(F.struct(*[F.col(f).alias(n) if isinstance(f, str) else f.alias(n) for n, f in frames.items()]))
+        rows = rows.select(*keys, F.explode_outer(computed).alias("_f"))
+        keys = [c for c in rows.columns if c != "_f"]
+        frames = {name: f"_f.{name}" for name in frames}
+    made = rows.select(*keys, *[points.weighted_sums(F.col(f)).alias(name) for name, f in frames.items()])
+    sums = [F.round(F.col(name)[c], 6).alias(f"{name}_{c}") for name in frames for c in "xyz"]
+    return made.select(*[c for c in made.columns if c not in frames], *sums)
 
 
 def _each_frame(rows, *keys):
@@ -309,11 +315,8 @@ _WSUM = "round(coalesce(sum({p}[1] * (o + 1)), 0), 6) AS {n}_x, round(coalesce(s
 def point_layouts(spark, d):
     rows = _each_frame(views.point_clips(spark, d), "vec_id")
     stored = rows.withColumn("s", points.from_face_first(F.col("f")))
-    same = F.to_json(F.struct(points.to_face_first(F.col("s")).alias("a"))) == F.to_json(F.struct(F.col("f").alias("a")))
-    return stored.select(
-        "vec_id", "t", *_sums(F.col("s"), "storage"), *_sums(points.reduced(F.col("f")), "reduced"), *_sums(points.joints(F.col("f")), "joints"),
-        same.alias("inverse"),
-    )
+    same = points.to_face_first(F.col("s")).eqNullSafe(F.col("f"))
+    return _sums(stored, "vec_id", "t", same.alias("inverse"), storage="s", reduced=points.reduced(F.col("f")), joints=points.joints(F.col("f")))
 
 
 @query("normalize_position", with_views("emb", body=_PT + f""",
@@ -323,8 +326,8 @@ def point_layouts(spark, d):
     SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='moved')} FROM (SELECT vec_id, t, j AS o, [(p[1] - ox) / s, (p[2] - oy) / s, (p[3] - oz) / s] AS q FROM pt JOIN o USING (vec_id, t) WHERE p IS NOT NULL) GROUP BY vec_id, t"""))
 def normalize_position(spark, d):
     rows = _each_frame(views.point_clips(spark, d), "vec_id")
-    rows = rows.select("vec_id", "t", points.normalize_position(points.zero_missing(F.col("f"))).alias("f"))
-    return rows.select("vec_id", "t", *_sums(F.col("f"), "moved"))
+    rows = rows.select("vec_id", "t", points.normalize_positions(F.col("f"), fill=True).alias("f"))
+    return _sums(rows, "vec_id", "t", moved="f")
 
 
 @query("bones", with_views("emb", body=_PT + _JNT + f""",
@@ -333,8 +336,8 @@ def normalize_position(spark, d):
     b AS (SELECT x.vec_id, x.t, x.o, [x.p[1] - y.p[1], x.p[2] - y.p[2], x.p[3] - y.p[3]] AS q FROM f x JOIN pr ON x.o = pr.c JOIN f y ON y.vec_id = x.vec_id AND y.t = x.t AND y.o = pr.a)
     SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='bone')} FROM b GROUP BY vec_id, t"""))
 def bones(spark, d):
-    rows = _each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", points.joints(points.zero_missing(F.col("f"))).alias("f"))
-    return rows.select("vec_id", "t", *_sums(points.bones(F.col("f")), "bone"))
+    rows = _each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", points.zero_missing(points.joints(F.col("f"))).alias("f"))
+    return _sums(rows, "vec_id", "t", bone=points.bones(F.col("f")))
 
 
 @query("hand_shapes", with_views("emb", body=_PT + f""",
@@ -347,14 +350,14 @@ def bones(spark, d):
       SELECT l.vec_id, l.t, l.hand, o, [q[1] / size, q[2] / size, q[3] / size] AS r, s.seen FROM l JOIN s USING (vec_id, t, hand)) GROUP BY vec_id, t, hand"""))
 def hand_shapes(spark, d):
     """Both hands of all frames; the left one is mirrored."""
-    rows = _each_frame(views.point_clips(spark, d), "vec_id").withColumn("f", points.zero_missing(F.col("f")))
-    part = lambda at: F.slice("f", at + 1, fixed.N_HAND)
+    rows = _each_frame(views.point_clips(spark, d), "vec_id")
+    part = lambda at: points.zero_missing(F.slice("f", at + 1, fixed.N_HAND))
     one = lambda name, h, mirror: F.struct(
         F.lit(name).alias("hand"), points.hand_shape(h, mirror=mirror).alias("h"), points.hand_seen(h).alias("seen")
     )
     both = F.array(one("left", part(points.LEFT), True), one("right", part(points.LEFT + fixed.N_HAND), False))
     rows = rows.select("vec_id", "t", F.explode_outer(both).alias("b"))
-    return rows.select("vec_id", "t", "b.hand", *_sums(F.col("b.h"), "shape"), "b.seen")
+    return _sums(rows, "vec_id", "t", "b.hand", "b.seen", shape="b.h")
 
 
 @query("face_relative", with_views("emb", body=_PT + _RED + f""",
@@ -362,9 +365,9 @@ def hand_shapes(spark, d):
     q AS (SELECT f.vec_id, f.t, f.o, [f.p[1] - n.p[1], f.p[2] - n.p[2], f.p[3] - n.p[3]] AS q FROM f JOIN f n ON n.vec_id = f.vec_id AND n.t = f.t AND n.o = 40)
     SELECT vec_id, CAST(t AS INTEGER) AS t, {_WSUM.format(p='q', n='face')} FROM q GROUP BY vec_id, t"""))
 def face_relative(spark, d):
-    frame = points.reduced(points.zero_missing(F.col("f")))
+    frame = points.zero_missing(points.reduced(F.col("f")))
     rows = _each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", F.slice(frame, points.FACE + 1, 44).alias("f"))
-    return rows.select("vec_id", "t", *_sums(points.face_relative(F.col("f")), "face"))
+    return _sums(rows, "vec_id", "t", face=points.face_relative(F.col("f")))
 
 
 @query("center_joints", with_views("emb", body=_PT + _JNT + """,
@@ -375,10 +378,10 @@ def face_relative(spark, d):
     SELECT vec_id, CAST(t AS INTEGER) AS t, round(sum(q[1] * (o + 1)) / any_value(w), 6) AS j_x, round(sum(q[2] * (o + 1)) / any_value(w), 6) AS j_y,
       round(sum(q[3] * (o + 1)) / any_value(w), 6) AS j_z FROM c JOIN w USING (vec_id) GROUP BY vec_id, t"""))
 def center_joints(spark, d):
-    ready = F.transform("frames", lambda f: points.joints(points.zero_missing(f)))
+    ready = F.transform("frames", lambda f: points.zero_missing(points.joints(f)))
     rows = views.point_clips(spark, d).select("vec_id", ready.alias("fs"))
     rows = rows.select("vec_id", F.posexplode_outer(points.center_joints(F.col("fs"))).alias("t", "f"))
-    return rows.select("vec_id", "t", *_sums(F.col("f"), "j"))
+    return _sums(rows, "vec_id", "t", j="f")
 
 
 _INPUT = _PT + _RED + """,
@@ -436,10 +439,10 @@ _POINT_SALT = "'5|' || pt.vec_id || '|' || copy || '|' || pt.t || '|' || j || '|
         (p[1] * sin(k.t) + p[2] * cos(k.t)) * s * ay + sy + 0.01 * {_normal(_POINT_SALT, 'y')}, p[3] * s + 0.01 * {_normal(_POINT_SALT, 'z')}] AS q
       FROM pt JOIN k USING (vec_id) WHERE j < 75 AND p IS NOT NULL) GROUP BY ALL"""))
 def augment_points(spark, d):
-    frame = points.pose_and_hands(points.zero_missing(F.col("f")))
+    frame = points.zero_missing(points.pose_and_hands(F.col("f")))
     rows = augment.copies(_each_frame(views.point_clips(spark, d), "vec_id").select("vec_id", "t", frame.alias("f")), 2)
     moved = augment.augment_points(F.col("f"), 5, F.col("vec_id"), F.col("copy"), frame_no=F.col("t"))
-    return rows.select("vec_id", "copy", "t", moved.alias("f")).select("vec_id", "copy", "t", *_sums(F.col("f"), "p"))
+    return _sums(rows.select("vec_id", "copy", "t", moved.alias("f")), "vec_id", "copy", "t", p="f")
 
 
 @query("detection_rates", with_views("emb", body="""
@@ -469,7 +472,7 @@ def landmark_frames(spark, d):
         coord(0).alias("x"), coord(1).alias("y"), coord(2).alias("z"),
     )
     good, _ = landmarks.dense_frames(long)
-    return good.select(F.col("seq").alias("vec_id"), *_sums(F.col("points"), "storage"))
+    return _sums(good, F.col("seq").alias("vec_id"), storage="points")
 
 
 _BANK = """

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossloom import fixed
 from glossloom.functions import text
 from glossloom.functions.hashing import average_hash, seeded_order
 from glossloom.operators import series
@@ -21,6 +27,11 @@ SHOTS = (1, 2, 4, 8)
 TARGETS = ("click", "view")
 TARGET_LABELS = (0, 1, 2)
 MODELS = {"dim16": 16, "dim64": 64}
+CLIP_POINT_FRAMES = 8
+#: Clips of points (about 100 KB each) made at once, and made by one task.
+POINT_ROWS, POINT_TASK = 64, 2_000
+_SPOTS = (3 * np.arange(fixed.N_POINTS)[:, None] + 8 * np.arange(CLIP_POINT_FRAMES)[:, None, None] + np.arange(3)) % 64
+_HAND = (np.arange(fixed.N_POINTS) >= 33) & (np.arange(fixed.N_POINTS) < 75)
 
 
 def fingerprint_sql(key: str, where: str = "TRUE") -> str:
@@ -135,20 +146,44 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return shared(spark, d, "predictions", _predictions)
 
 
+def _wrapped(ids: pa.Array, vectors: pa.Array) -> pa.Array:
+    """Frames of point_clips for some vectors; coordinates beyond a vector's end are missing."""
+    size = 64
+    ends = vectors.offsets.to_numpy()
+    starts = ends[:-1] - ends[0]
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    values, at = vectors.values.slice(ends[0], ends[-1] - ends[0]), np.arange(size)
+    known = at < lengths[:, None]
+    spots = np.where(known, starts[:, None] + at, len(values))
+    wide = np.append(pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False), 0.0)[spots]
+    known &= np.append(pc.is_valid(values).to_numpy(zero_copy_only=False), False)[spots]
+    turn = (pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[:, None] + np.arange(CLIP_POINT_FRAMES)) % 4 == 0
+    lost = (turn | pc.is_null(ids).to_numpy(zero_copy_only=False)[:, None])[:, :, None] & _HAND
+    columns = []
+    for c in range(3):
+        x, gone = wide[:, _SPOTS[..., c]], ~known[:, _SPOTS[..., c]] | lost
+        columns.append(pa.array(x.ravel(), mask=gone.ravel()))
+    points = pa.StructArray.from_arrays(columns, ["x", "y", "z"])
+    frames = len(ids) * CLIP_POINT_FRAMES
+    inner = pa.ListArray.from_arrays(np.arange(frames + 1, dtype=np.int32) * fixed.N_POINTS, points)
+    return pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * CLIP_POINT_FRAMES, inner)
+
+
 def point_clips(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as clips of 8 frames of 543 points: coordinates wrap around the vector.
 
     Hand points are missing in every fourth frame.
     """
-    at = lambda t, j, c: F.get("vec", F.pmod(3 * j + 8 * t + c, F.lit(64)))
 
-    def point(t, j):
-        hand = (j >= 33) & (j < 75) & (F.pmod(t + F.col("vec_id"), F.lit(4)) == 0)
-        coord = lambda c: F.when(~hand, at(t, j, c))
-        return F.struct(coord(0).alias("x"), coord(1).alias("y"), coord(2).alias("z"))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, POINT_ROWS):
+                part = batch.slice(at, POINT_ROWS)
+                frames = _wrapped(part.column("vec_id"), part.column("vec"))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), frames], ["vec_id", "label", "frames"])
 
-    made = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.transform(F.sequence(F.lit(0), F.lit(542)), lambda j: point(t, j)))
-    return spread(embeddings(spark, d)).select("vec_id", "label", made.alias("frames"))
+    schema = "vec_id bigint, label int, frames array<array<struct<x:double,y:double,z:double>>>"
+    return spread(embeddings(spark, d), POINT_TASK).mapInArrow(make, schema)
 
 
 CTES = {

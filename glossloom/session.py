@@ -54,10 +54,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows over all cores when the scan has fewer partitions than cores; otherwise unchanged.
 
-    For work that is heavy per row on inputs of few files; large inputs keep their scan.
+    For work that is heavy per row on inputs of few files; large inputs keep their
+    scan. With `rows`, a task gets about so many rows at most, however large the
+    input; this counts the rows, so df should be a plain scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        wanted = max(wanted, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -229,6 +229,74 @@ def test_modes_of_simple_courses_have_no_noise_beside_them(x, want):
     assert np.allclose(found["re"] + 1j * found["im"], [*want, *[0] * (6 - len(want))], atol=1e-5)
 
 
+def odd_frames(spark):
+    """Whole, short, empty and null frames with missing points, missing coordinates, zeros and NaN."""
+    rnd = random.Random(3)
+
+    def point():
+        kind = rnd.randrange(12)
+        xyz = [rnd.uniform(-2, 2) for _ in range(3)]
+        return None if kind == 0 else (0.0, 0.0, 0.0) if kind == 1 else (xyz[0], None, xyz[2]) if kind == 2 else (math.nan, *xyz[1:]) if kind == 3 else tuple(xyz)
+
+    frames = [[point() for _ in range(n)] for n in [543] * 40 + [30] * 80 + [24, 12, 1, 0]] + [None]
+    return spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i long, f array<struct<x:double,y:double,z:double>>")
+
+
+def plain(row):
+    return [None if p is None else [None if v is None else "nan" if math.isnan(v) else round(v, 9) for v in p] for p in row] if row is not None else None
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_positions_in_batches_equal_those_of_single_frames(spark, monkeypatch, fill):
+    monkeypatch.setattr(points, "PIECE", 7)
+    df = odd_frames(spark)
+    single = df.select("i", points.normalize_position(points.zero_missing(F.col("f")) if fill else F.col("f")).alias("f"))
+    batch = df.select("i", points.normalize_positions(F.col("f"), fill).alias("f"))
+    want, got = ({r.i: plain(r.f) for r in x.collect()} for x in (single, batch))
+    assert len(want) == 125 and got == want
+
+
+def test_augmented_frames_keep_missing_points_and_follow_the_salt(spark):
+    from glossloom.operators import augment
+
+    df = odd_frames(spark)
+    moved = {r.i: r for r in df.select("i", "f", augment.augment_points(F.col("f"), 5, F.col("i"), frame_no=F.lit(2)).alias("m")).collect()}
+    j = next(j for j, p in enumerate(moved[50].f) if p and None not in tuple(p) and p.z)
+    noise = df.filter("i = 50").select(augment.gaussian(5, F.col("i"), 2, j, "z").alias("e"), (1 + augment.uniform(-0.15, 0.15, 5, F.col("i"), "scale")).alias("s")).first()
+    for r in moved.values():
+        assert (r.f is None) == (r.m is None) and len(r.f or []) == len(r.m or [])
+        for a, b in zip(r.f or [], r.m or []):
+            still = a is None or None in tuple(a) or tuple(a) == (0.0, 0.0, 0.0)
+            assert (plain([a]) == plain([b])) == still
+    assert moved[50].m[j].z == pytest.approx(moved[50].f[j].z * noise.s + 0.01 * noise.e, rel=1e-12)
+
+
+def test_weighted_sums(spark):
+    df = spark.createDataFrame([([(1.0, None, 2.0), None, (4.0, 1.0, -1.0)],), ([],), (None,)], "f array<struct<x:double,y:double,z:double>>")
+    got = [r.s if r.s is None else tuple(r.s) for r in df.select(points.weighted_sums(F.col("f")).alias("s")).collect()]
+    assert got == [(13.0, 3.0, -1.0), (0.0, 0.0, 0.0), None]
+
+
+def test_clips_of_points_from_odd_vectors(spark, tmp_path):
+    rows = [(1, [float(i) for i in range(64)], 0), (2, [1.0, None], 1), (4, None, 2), (None, [2.0] * 64, 3), (-4, [0.5] * 70, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in views.point_clips(spark, str(tmp_path)).collect()}
+    assert {len(f) for r in got.values() for f in r.frames} == {543} and {len(r.frames) for r in got.values()} == {8}
+    assert tuple(got[1].frames[3][40]) == (None,) * 3 and tuple(got[1].frames[2][40]) == tuple((3 * 40 + 16 + c) % 64 for c in range(3))
+    assert tuple(got[2].frames[0][0]) == (1.0, None, None) and tuple(got[4].frames[1][0]) == (None,) * 3
+    assert tuple(got[None].frames[1][74]) == (None,) * 3 and tuple(got[None].frames[1][75]) == (2.0,) * 3 and got[-4].label is None
+
+
+@pytest.mark.parametrize("name", ["augment_points", "point_layouts", "normalize_position", "hand_shapes"])
+def test_point_queries_give_a_task_a_bounded_number_of_clips(spark, monkeypatch, name):
+    monkeypatch.setattr(views, "POINT_TASK", 10, raising=False)
+    vectors = views.embeddings(spark, "/root/testdata/sf0.001").count()
+    made = getattr(seqs, name)(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and plan.count("Relation [") == 1
+    assert made.rdd.getNumPartitions() >= vectors / 10
+
+
 def test_letter_counts_in_one_pass(spark):
     alphabet = views.ALPHABET
     texts = ["", None, "a b. A9", "\u00e9\u4e2d a\U0001f600z", "z" * 300, " \n\t."]
