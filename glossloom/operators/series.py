@@ -234,19 +234,24 @@ def trim_clips(df: DataFrame, by: list[str], present: Column, min_keep: int = 4)
 
 
 def dynamic_modes(
-    df: DataFrame, keep: list[str], arr: Column, dim: int = 1, delays: int = fixed.DMD_DELAYS, rank: int = fixed.DMD_MODES
+    df: DataFrame, keep: list[str], arr: Column, dim: int | Column = 1, delays: int = fixed.DMD_DELAYS, rank: int = fixed.DMD_MODES
 ) -> DataFrame:
-    """Per clip: eigenvalues, amplitudes, mode magnitudes, spectrum and mode map of its dynamic modes."""
-    rows = df.select(*keep, arr.alias("_x"))
+    """Per clip: eigenvalues, amplitudes, mode magnitudes, spectrum and mode map of its dynamic modes.
+
+    `dim` is the number of channels, one for all clips or a column.
+    """
+    rows = df.select(*keep, arr.alias("_x"), (dim if isinstance(dim, Column) else F.lit(dim)).alias("_dim"))
     names = ["re", "im", "amp", "spatial", "spectrum", "modes"]
-    fields = [f for f in rows.schema.fields if f.name != "_x"]
+    fields = [f for f in rows.schema.fields if f.name not in ("_x", "_dim")]
     schema = T.StructType(fields + [T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
 
     def run(batches):
         for pdf in batches:
             made = np.empty(len(pdf), object)
-            for at, clips in same_length(pdf["_x"]):
-                made[at] = delay_modes(clips.reshape(len(at), -1, dim), delays, rank)
-            yield pd.concat([pdf.drop(columns="_x"), pd.DataFrame(list(made), columns=names)], axis=1)
+            for channels in pdf["_dim"].unique():
+                some = np.flatnonzero(pdf["_dim"] == channels)
+                for at, clips in same_length(pdf["_x"].iloc[some]):
+                    made[some[at]] = delay_modes(clips.reshape(len(at), -1, channels), delays, rank)
+            yield pd.concat([pdf.drop(columns=["_x", "_dim"]), pd.DataFrame(list(made), columns=names)], axis=1)
 
     return rows.mapInPandas(run, schema)

@@ -407,18 +407,16 @@ def model_input(spark, d):
 @query("joint_spectrum")
 def joint_spectrum(spark, d):
     """Per body part: dynamic modes of the smoothed, centred joints, their spectrum and mode map."""
-    ready = F.transform("frames", lambda f: points.joints(points.zero_missing(f)))
+    ready = F.transform("frames", lambda f: points.zero_missing(points.joints(f)))
     rows = views.point_clips(spark, d).select("vec_id", points.center_joints(ready).alias("fs"))
     parts = {"upper": (1, 7), "left_hand": (8, 10), "right_hand": (18, 10)}
 
     def flat(at, n):
         return F.flatten(F.transform("fs", lambda f: points.flat(F.slice(f, at, n))))
 
-    out = None
-    for name, (at, n) in parts.items():
-        part = series.dynamic_modes(rows, ["vec_id"], flat(at, n), 3 * n, 2).select("vec_id", F.lit(name).alias("part"), "spectrum", "modes")
-        out = part if out is None else out.unionByName(part)
-    return out
+    made = [F.struct(F.lit(name).alias("part"), flat(at, n).alias("x"), F.lit(3 * n).alias("dim")) for name, (at, n) in parts.items()]
+    rows = rows.select("vec_id", F.explode_outer(F.array(*made)).alias("p")).select("vec_id", "p.*")
+    return series.dynamic_modes(rows, ["vec_id", "part"], F.col("x"), F.col("dim"), 2).select("vec_id", "part", "spectrum", "modes")
 
 
 def _normal(salt: str, axis: str) -> str:
