@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossloom import fixed
 from glossloom.functions import points, text
+from glossloom.functions.bind import let
 from glossloom.functions.hashing import seeded_order
 from glossloom.functions.sequence import resample, trim_ends
 from glossloom.operators.joins import small_side
@@ -71,7 +72,9 @@ def model_input(frames: Column, hands_seen: Column | None = None, n: int = fixed
     if hands_seen is None:
         seen = lambda f: F.exists(F.slice(f, points.LEFT + 1, 2 * fixed.N_HAND), lambda p: p["x"].isNotNull() & ~F.isnan(p["x"]))
         hands_seen = F.transform(frames, seen)
-    kept = resample(trim_ends(frames, hands_seen), n)
     # The anchors of the normalisation are among the kept points, so the points are cut first.
     ready = lambda f: points.flat(points.normalize_position(points.zero_missing(points.reduced(f))))
-    return F.transform(kept, ready)
+    # Of a short clip, whose last frame is repeated, every frame is made ready once.
+    short = lambda kept: F.size(kept) < n
+    made = lambda kept: resample(F.transform(F.when(short(kept), kept).otherwise(resample(kept, n)), ready), n)
+    return let(trim_ends(frames, hands_seen), made)

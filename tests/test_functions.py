@@ -287,7 +287,7 @@ def test_clips_of_points_from_odd_vectors(spark, tmp_path):
     assert tuple(got[None].frames[1][74]) == (None,) * 3 and tuple(got[None].frames[1][75]) == (2.0,) * 3 and got[-4].label is None
 
 
-@pytest.mark.parametrize("name", ["augment_points", "point_layouts", "joint_spectrum", "normalize_position", "hand_shapes"])
+@pytest.mark.parametrize("name", ["augment_points", "point_layouts", "joint_spectrum", "normalize_position", "model_input", "hand_shapes"])
 def test_point_queries_give_a_task_a_bounded_number_of_clips(spark, monkeypatch, name):
     monkeypatch.setattr(views, "POINT_TASK", 10, raising=False)
     vectors = views.embeddings(spark, "/root/testdata/sf0.001").count()
