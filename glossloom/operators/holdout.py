@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossloom.functions.hashing import seeded_order
+from glossloom.operators.joins import small_side
 from glossloom.operators.ranking import cap_per_group
 from glossloom.session import checkpoint
 
@@ -76,14 +77,15 @@ def greedy_holdout(
     taken = None
     while True:
         is_open = F.col("have") < F.col("target")
-        live = rows.filter(left).join(have, ["seed", "word"]).groupBy("seed", "identity", "h").agg(
+        # Few words and seeds: a join by them would bring all identities of one into one task.
+        live = rows.filter(left).join(small_side(have), ["seed", "word"]).groupBy("seed", "identity", "h").agg(
             F.bool_or(is_open).alias("helps"),
             F.bool_and(F.col("have") + F.col("n") <= F.col("cap")).alias("fits"),
             F.collect_list(F.struct("word", "n")).alias("items"),
         )
         live = live.filter(F.col("fits") & (F.col("helps") if need_help else F.lit(True)))
         if not need_help:
-            live = live.join(have.filter(is_open).select("seed").distinct(), "seed", "left_semi")
+            live = live.join(F.broadcast(have.filter(is_open).select("seed").distinct()), "seed", "left_semi")
         part = cap_per_group(live, ["seed"], "h", chunk, ["identity"])
         decided = checkpoint(
             part.groupBy("seed").cogroup(have.groupBy("seed")).applyInPandas(

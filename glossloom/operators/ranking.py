@@ -91,12 +91,12 @@ def take_last(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def cap_per_group(df: DataFrame, by: list[str], hash_col: str, k: int, ties: list[str] | None = None) -> DataFrame:
     """The k first rows of each group in hash order.
 
-    Each hash bucket keeps its own k first before the group-wide cut, so no task
-    sees more than k rows per bucket of a hot group.
+    Ranges by two digits of the hash keep their own k first, then ranges by one
+    digit, then the group, so a task sees at most 16 k rows of a hot group after
+    the first cut, however large the group is.
     """
     order = [hash_col, *(ties or [])]
-    bucketed = df.withColumn("_bucket", F.substring(hash_col, 1, 2))
-    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    outer = Window.partitionBy(*by).orderBy(*order)
-    first = bucketed.withColumn("_r", F.row_number().over(inner)).filter(F.col("_r") <= k).drop("_r", "_bucket")
-    return first.withColumn("_r", F.row_number().over(outer)).filter(F.col("_r") <= k).drop("_r")
+    for digits in (2, 1, 0):
+        window = Window.partitionBy(*by, *[F.substring(hash_col, 1, digits)] * bool(digits)).orderBy(*order)
+        df = df.withColumn("_r", F.row_number().over(window)).filter(F.col("_r") <= k).drop("_r")
+    return df

@@ -355,3 +355,19 @@ def test_guarded_step_keeps_every_row_once(spark):
     assert [e for e in errors if e[0] not in wrong] == sorted((p, kind(v)) for p, v in rows if not v)
     assert [p for p, _ in errors if p in wrong] == sorted(wrong)
     assert [x.count() for x in guarded.guarded(df.limit(0), step, "inverse double")] == [0, 0]
+
+
+def test_a_capped_group_is_cut_in_three_steps(spark):
+    rows = [(g, f"{(i * 7919) % 65536:04x}{i % 3}", i) for g in ("a", "b") for i in range(2000 if g == "a" else 2)]
+    capped = ranking.cap_per_group(spark.createDataFrame(rows, "g string, h string, i long"), ["g"], "h", 5, ["i"])
+    assert sorted(map(tuple, capped.collect())) == sorted(r for g in "ab" for r in sorted([r for r in rows if r[0] == g], key=lambda r: (r[1], r[2]))[:5])
+    assert capped._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 3
+
+
+def test_a_holdout_gathers_no_seed_in_one_task(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(holdout, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    clips = spark.createDataFrame([(f"k{i}", "ab"[i % 2], f"id{i}") for i in range(60)], "key string, word string, identity string")
+    assert holdout.lock_identities(clips, 1).count()
+    visit = next(p for p in plans if "LeftSemi" in p)
+    assert all("broadcast" in line for line in visit.splitlines() if "Join LeftSemi" in line or "Join Inner" in line)
