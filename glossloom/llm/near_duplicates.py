@@ -30,8 +30,12 @@ SMALL, DEEPEST = 256, 4
 FIRST = 2
 #: Ids (one narrow column) up to which texts are looked up without a shuffle of the texts.
 FEW_IDS = 500_000
-#: Branchings and fresh seeds for what a large node holds apart from its leader's group.
+#: Branchings and fresh seeds for what a large node holds apart from its most frequent label.
 FURTHER, SEEDS = 10, 4
+#: Times SMALL up to which a node of sets that are mostly alike is compared whole, as branching would not part them.
+WHOLE = 8
+#: Sets, and elements of all sets, from and up to which a group's common elements are counted as a matrix product.
+MATRIX_SETS, MATRIX_ELEMENTS, MATRIX_COLUMNS = 8, 4_000_000, 1024
 #: Rows that a comparing task gathers before it hands them on.
 ROWS_OUT = 10_000
 #: Standard deviations by which a sketch may underrate a pair that is still compared.
@@ -52,7 +56,12 @@ def vertex_of(s: np.ndarray) -> int:
 
 
 def sketched(docs: DataFrame, text: str, doc_id: str, k: int, positions: int) -> DataFrame:
-    """doc_id, n_shingles, vertex and sketch of every row; the last two are null for an empty set."""
+    """doc_id, n_shingles, vertex, sketch and bits of every row; the last three are null for an empty set.
+
+    bits holds the low byte of every position of the sketch: equal positions stay
+    equal, and other ones agree by chance in one of 256, which only adds to what is
+    compared.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,13 +72,14 @@ def sketched(docs: DataFrame, text: str, doc_id: str, k: int, positions: int) ->
                 sets = _sets(part, words, k)
                 some = [i for i, s in enumerate(sets) if len(s)]
                 rows = dict(zip(some, sketch([sets[i] for i in some], _SEEDS[:positions]))) if some else {}
+                binary = lambda kind: [rows[i].astype(kind).tobytes() if i in rows else None for i in range(len(sets))]
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy(), "n_shingles": [len(s) for s in sets], "vertex": pd.array([vertex_of(s) if len(s) else None for s in sets], dtype="Int64"),
-                    "sketch": [rows[i].tobytes() if i in rows else None for i in range(len(sets))],
+                    "sketch": binary(np.uint32), "bits": binary(np.uint8),
                 })
 
-    rows = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("t")).mapInPandas(build, "id string, n_shingles long, vertex long, sketch binary")
-    return rows.select(F.col("id").cast(kind).alias("doc_id"), "n_shingles", "vertex", "sketch")
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), text_or_empty(text).alias("t")).mapInPandas(build, "id string, n_shingles long, vertex long, sketch binary, bits binary")
+    return rows.select(F.col("id").cast(kind).alias("doc_id"), "n_shingles", "vertex", "sketch", "bits")
 
 
 def trees_for(recall: float, similarity: int, levels: int) -> int:
@@ -86,7 +96,7 @@ def _picked(node: int, positions: int, similarity: int) -> np.ndarray:
 
 
 def _branch(frame: DataFrame, positions: int, similarity: int) -> DataFrame:
-    """Children (node, vertex) of the rows (node, vertex, sketch)."""
+    """Children (node, vertex, c) of the rows (node, vertex, c, sketch)."""
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,16 +106,16 @@ def _branch(frame: DataFrame, positions: int, similarity: int) -> DataFrame:
                 rows = np.flatnonzero(nodes == node)
                 for p in _picked(int(node), positions, similarity):
                     child = mix(mix(np.full(len(rows), node).astype(np.uint64) + np.uint64(p + 1)) ^ tokens[rows, p].astype(np.uint64))
-                    out.append(pd.DataFrame({"node": child.astype(np.int64), "vertex": batch["vertex"].to_numpy()[rows]}))
-            yield pd.concat(out) if out else pd.DataFrame({"node": pd.Series(dtype="int64"), "vertex": pd.Series(dtype="int64")})
+                    out.append(pd.DataFrame({"node": child.astype(np.int64), "vertex": batch["vertex"].to_numpy()[rows], "c": batch["c"].to_numpy()[rows]}))
+            yield pd.concat(out) if out else pd.DataFrame({x: pd.Series(dtype="int64") for x in ("node", "vertex", "c")})
 
-    return frame.select("node", "vertex", "sketch").mapInPandas(grow, "node long, vertex long")
+    return frame.select("node", "vertex", "c", "sketch").mapInPandas(grow, "node long, vertex long, c long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with at least two vertices, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(sizes, "node")
+    """Rows (node, vertex, c) of nodes with at least two labels, with the node's size n and how many of it are joined to others (k)."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") != F.col("vertex")).alias("k"), F.min("c").alias("low"), F.max("c").alias("high"))
+    return rows.join(sizes.filter("low < high").select("node", "n", "k"), "node")
 
 
 def _agreeing(tokens: np.ndarray) -> np.ndarray:
@@ -135,27 +145,26 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _alike(rows: DataFrame, similarity: int) -> DataFrame:
-    """(member, vertex): within each node (node, vertex, sketch, n_shingles), groups of vertices whose sketches allow a link.
+    """(member, vertex, c): within each node (node, vertex, bits, n_shingles, c), groups of vertices whose sketches allow a link.
 
     The name of a group is a hash of its members, so a group found in several
-    nodes and trees is one group. With labels of what is already joined (c), only
+    nodes and trees is one group. With c, the label of what is already joined, only
     vertices that resemble one of another label are in a group.
     """
-    level, labelled = similarity / 100, "c" in rows.columns
+    level = similarity / 100
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
         for g in groups(batches, "node"):
-            c = g["c"].to_numpy() if labelled else np.zeros(len(g), np.int64)
-            if labelled and (c == c[0]).all():
+            c = g["c"].to_numpy()
+            if (c == c[0]).all():
                 continue
             v, n = g["vertex"].to_numpy(), g["n_shingles"].to_numpy()
-            tokens = np.frombuffer(b"".join(g["sketch"]), np.uint32).reshape(len(v), -1)
+            tokens = np.frombuffer(b"".join(g["bits"]), np.uint8).reshape(len(v), -1)
             near = level - SLACK * math.sqrt(level * (1 - level) / tokens.shape[1])
             linked = _agreeing(tokens) >= near * tokens.shape[1]
             linked &= np.minimum(n[:, None], n) * 100 >= similarity * np.maximum(n[:, None], n)
-            if labelled:
-                linked &= c[:, None] != c
+            linked &= c[:, None] != c
             roots = _roots(linked)
             names, sizes = np.unique(roots, return_counts=True)
             for r in names[sizes > 1]:
@@ -171,35 +180,58 @@ def _alike(rows: DataFrame, similarity: int) -> DataFrame:
             yield frame(out)
 
     def frame(out: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        columns = [np.concatenate(x) for x in zip(*out)]
-        return pd.DataFrame(dict(zip(["member", "vertex", *["c"] * labelled], columns)))
+        return pd.DataFrame(dict(zip(["member", "vertex", "c"], [np.concatenate(x) for x in zip(*out)])))
+
+    return rows.select("node", "vertex", "bits", "n_shingles", "c").repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long, c long").distinct()
 
-    return rows.select("node", "vertex", "sketch", "n_shingles", *["c"] * labelled).repartition("node").sortWithinPartitions("node").mapInPandas(part, "member long, vertex long" + ", c long" * labelled).distinct()
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of all pairs of sets: a product of the matrix of sets and elements that several hold."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = held[element] > 1
+    owner, element = owner[several], (np.cumsum(held > 1) - 1)[element[several]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, MATRIX_COLUMNS):
+        a, b = np.searchsorted(element, (first, first + MATRIX_COLUMNS))
+        holds = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+        holds[owner[a:b], element[a:b] - first] = 1
+        counts += holds @ holds.T
+    return counts.astype(np.int64)
 
 
 def _confirmed(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) confirmed on whole sets that join what is linked within each group.
+    """Pairs (a, b) that join what is linked within each group, links being confirmed on whole sets.
 
     Pairs already joined are not looked at, here or, by their labels (c), before.
     """
-    labelled = "c" in members.columns
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups(batches, "member"):
-            v, s = g["vertex"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["set"]]
+            v, c, s = g["vertex"].to_numpy(), g["c"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["set"]]
             n, joined, a, b = np.array([len(x) for x in s]), Sets(len(v)), [], []
-            if labelled:
-                first: dict[int, int] = {}
-                for i, c in enumerate(g["c"]):
-                    joined.join(first.setdefault(c, i), i)
-            for i in range(len(v) - 1):
-                for j in i + 1 + np.flatnonzero(np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])):
-                    if joined.root(i) != joined.root(int(j)):
-                        both = len(np.intersect1d(s[i], s[j], assume_unique=True))
-                        if 100 * both >= similarity * (len(s[i]) + len(s[j]) - both):
-                            joined.join(i, int(j))
-                            a.append(v[i])
-                            b.append(v[j])
+            first: dict[int, int] = {}
+            for i, x in enumerate(c):
+                joined.join(first.setdefault(x, i), i)
+            if len(v) >= MATRIX_SETS and n.sum() <= MATRIX_ELEMENTS:
+                both = _common(s)
+                linked = 100 * both >= similarity * (n[:, None] + n - both)
+                roots = _roots(linked | (c[:, None] == c))
+                for i in first.values():
+                    if joined.join(roots[i], i):
+                        a.append(v[i])
+                        b.append(v[roots[i]])
+            else:
+                for i in range(len(v) - 1):
+                    for j in i + 1 + np.flatnonzero(np.minimum(n[i], n[i + 1 :]) * 100 >= similarity * np.maximum(n[i], n[i + 1 :])):
+                        if joined.root(i) != joined.root(int(j)):
+                            both = len(np.intersect1d(s[i], s[j], assume_unique=True))
+                            if 100 * both >= similarity * (len(s[i]) + len(s[j]) - both):
+                                joined.join(i, int(j))
+                                a.append(v[i])
+                                b.append(v[j])
             if a:
                 yield pd.DataFrame({"a": a, "b": b})
 
@@ -224,15 +256,16 @@ def near_duplicates(
 
     A vertex is named by a 64-bit hash of its set. Links of the first trees are
     confirmed before the others are looked at, whose groups then hold only vertices
-    that resemble one of another label, so a set is sent once or twice. Nodes that
-    stay large after the deepest branching mostly hold sets that are alike: they are
-    cut into chunks around a leader, and what is not joined to the leader branches
-    further until few of it is left in a node, then meets every chunk.
+    that resemble one of another label, so a set is sent once or twice; nodes of one
+    label go no further. Nodes that stay large after the deepest branching mostly
+    hold sets that are alike: they are cut into chunks around a leader, and what is
+    not joined to the rest is compared with all of the node if that is no more than
+    WHOLE times small, else it branches further until few of it is left in a node,
+    then meets every chunk.
     """
     ship(docs.sparkSession)
     rows = stored(sketched(docs, text, doc_id, shingle, positions), "sketches")
-    vertices = stored(rows.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "vertices")
-    described = vertices.select("vertex", "sketch", "n_shingles")
+    vertices = stored(rows.filter("vertex IS NOT NULL").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "vertices")
 
     def sets_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -248,87 +281,92 @@ def near_duplicates(
         ids = stored(wanted.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")).distinct(), "wanted")
         return stored(texts.join(if_small(ids, FEW_IDS), "id", "left_semi").select("t").mapInPandas(sets_again, "vertex long, set binary"), "sets")
 
-    def joined(links: DataFrame, candidates: DataFrame) -> DataFrame:
-        """The links with those that the candidate groups (node, vertex) confirm; labels of the former keep their groups from being looked at."""
-        label = stored(components(links), "components")
-        known = stored(described.join(label.select(F.col("v").alias("vertex"), "c"), "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
-        members = stored(_alike(candidates.join(known, "vertex"), similarity), "members")
+    def labels(links: DataFrame) -> DataFrame:
+        """All vertices with the label of what the links join (c)."""
+        label = if_small(stored(components(links), "components")).withColumnRenamed("v", "vertex")
+        return stored(vertices.drop("id").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "known")
+
+    def joined(candidates: DataFrame, known: DataFrame) -> DataFrame:
+        """The links that the candidate groups (node, vertex) add to what is known."""
+        members = stored(_alike(candidates.join(known.select("vertex", "bits", "n_shingles", "c"), "vertex"), similarity), "members")
         sets = sets_of(members)
         more = stored(_confirmed(members, sets, similarity), "links")
         discard(members)
         discard(sets)
-        discard(known)
-        return links.unionByName(more)
+        return more
 
     names = [int(mix(np.array([t + 1], np.uint64)).astype(np.int64)[0]) for t in range(trees_for(recall, similarity, LEVELS))]
-    links, rest = vertices.select(F.col("vertex").alias("a"), F.col("vertex").alias("b")).limit(0), []
+    links = rest = None
     for roots in (names[:FIRST], names[FIRST:]):
         if roots:
-            done, large = _tree(described, roots, positions, similarity, small, deepest)
-            around, chunked, leaders = _around_leaders(large, small)
-            nodes = around
+            known = labels(links) if links else vertices.withColumn("c", F.col("vertex"))
+            done, large = _tree(known, roots, positions, similarity, small, deepest)
+            nodes = _around_leaders(large, small)
             for part in done:
                 nodes = nodes.unionByName(part)
-            links = joined(links, nodes)
-            rest.append((chunked, leaders))
-    chunked, leaders = rest[0]
-    for more_chunked, more_leaders in rest[1:]:
-        chunked, leaders = chunked.unionByName(more_chunked), leaders.unionByName(more_leaders)
-    if leaders.limit(1).count():
-        links = joined(links, _apart(chunked, leaders, stored(components(links), "components"), vertices, positions, similarity, small))
+            more, left = joined(nodes, known), large.select("node", "vertex")
+            if links:
+                discard(known)
+            links, rest = (links.unionByName(more), rest.unionByName(left)) if links else (more, left)
+    if rest.limit(1).count():
+        known = labels(links)
+        links = links.unionByName(joined(_apart(rest, known, positions, similarity, small), known))
+        discard(known)
     return _labelled(rows, stored(components(links), "components"))
 
 
-def _tree(vertices: DataFrame, roots: list[int], positions: int, similarity: int, small: int, deepest: int) -> tuple[list[DataFrame], DataFrame]:
-    """(nodes small enough to compare as rows (node, vertex), rows of nodes still large after the deepest branching)."""
-    frontier = _branch(vertices.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "vertex", "sketch"), positions, similarity)
+def _tree(known: DataFrame, roots: list[int], positions: int, similarity: int, small: int, deepest: int) -> tuple[list[DataFrame], DataFrame]:
+    """(nodes to compare as rows (node, vertex), rows of nodes still large after the deepest branching).
+
+    Nodes are compared when they are small, or when up to WHOLE times as large and
+    at least a quarter of their vertices is joined already, so that they hardly part.
+    """
+    frontier = _branch(known.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "vertex", "c", "sketch"), positions, similarity)
+    compared = (F.col("n") <= small) | ((F.col("n") <= WHOLE * small) & (4 * F.col("k") >= F.col("n")))
     done, depth = [], 1
     while True:
         written = stored(frontier, "frontier")
         sized = stored(_sized(written), "nodes")
         discard(written)
-        done.append(sized.filter(F.col("n") <= small).select("node", "vertex"))
-        large = sized.filter(F.col("n") > small)
+        done.append(sized.filter(compared).select("node", "vertex"))
+        large = sized.filter(~compared)
         if depth == deepest or not large.limit(1).count():
             return done, large
-        frontier, depth = _branch(large.join(vertices.select("vertex", "sketch"), "vertex"), positions, similarity), depth + 1
+        frontier, depth = _branch(large.join(known.select("vertex", "sketch"), "vertex"), positions, similarity), depth + 1
 
 
-def _around_leaders(large: DataFrame, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Large nodes cut into chunks, each with the node's leader: (rows to compare, rows by chunk, leaders)."""
+def _around_leaders(large: DataFrame, small: int) -> DataFrame:
+    """Large nodes cut into chunks, each with the node's leader, as rows to compare."""
     chunks = F.ceil(F.col("n") / F.lit(small - 1))
-    leaders = large.groupBy("node").agg(F.min("vertex").alias("leader"), F.first("n").alias("n"))
-    chunked = large.select(F.col("node").alias("of"), F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex", "n")
-    led = leaders.select(F.col("node").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), F.col("leader").alias("vertex"))
-    around = chunked.select("of", "chunk", "vertex").unionByName(led).select(_name(F.col("of"), F.col("chunk")).alias("node"), "vertex")
-    return around, chunked, leaders
+    leaders = large.groupBy("node").agg(F.min("vertex").alias("vertex"), F.first("n").alias("n"))
+    chunked = large.select("node", F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex")
+    led = leaders.select("node", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "vertex")
+    return chunked.unionByName(led).select(_name(F.col("node"), F.col("chunk")).alias("node"), "vertex")
 
 
-def _apart(chunked: DataFrame, leaders: DataFrame, found: DataFrame, vertices: DataFrame, positions: int, similarity: int, small: int) -> DataFrame:
-    """Nodes (node, vertex) that compare what large nodes hold apart from their leader's group with everything there.
+def _apart(rows: DataFrame, known: DataFrame, positions: int, similarity: int, small: int) -> DataFrame:
+    """Nodes (node, vertex) that compare what large nodes hold apart from their most frequent label with everything there.
 
-    A node with few vertices apart is cut into chunks that each get all of these, so
-    its rows at most double. Other nodes branch further from fresh seeds, where sets
-    that are not alike part quickly and nodes of one label are left out; only what
-    stays large to the end is compared chunk against chunk.
+    A node of at most WHOLE times small stays whole. A larger one with few vertices
+    apart is cut into chunks that each get all of these, so its rows at most double.
+    Other nodes branch further from fresh seeds, where sets that are not alike part
+    quickly and nodes of one label are left out; only what stays large to the end is
+    compared chunk against chunk.
     """
-    label = found.select(F.col("v").alias("vertex"), "c")
-    lead = leaders.join(label.withColumnRenamed("vertex", "leader"), "leader", "left").select(F.col("node").alias("of"), F.coalesce("c", "leader").alias("home"))
-    placed = chunked.select(F.col("of"), "vertex").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")).join(lead, "of")
-    now = stored(placed.select(F.col("of").alias("node"), "vertex", (F.col("c") != F.col("home")).alias("away")), "apart")
-    labels = stored(vertices.select("vertex", "sketch").join(label, "vertex", "left").withColumn("c", F.coalesce("c", "vertex")), "labels")
-    parts, seeded = [], False
+    parts, now = [], rows.join(known.select("vertex", "c"), "vertex")
     for depth in range(FURTHER + 1):
-        sizes = now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count_if("away").alias("m")).filter("m > 0 AND n > 1")
-        sized = stored(now.join(sizes, "node"), "apart_nodes")
+        now = stored(now, "apart")
+        frequent = now.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top"))
+        sizes = frequent.select("node", "n", (F.col("n") - F.col("top.n")).alias("m"), F.col("top.c").alias("home")).filter("m > 0")
+        sized = stored(now.join(sizes, "node").withColumn("away", F.col("c") != F.col("home")), "apart_nodes")
         discard(now)
-        chunks = F.ceil(F.col("n") / F.lit(small)).cast("long")
-        few = sized.filter((F.col("m") <= small) | (F.col("n") <= 2 * small))
+        chunks = F.when(F.col("n") <= WHOLE * small, F.lit(1).cast("long")).otherwise(F.ceil(F.col("n") / F.lit(small)).cast("long"))
+        few = sized.filter((F.col("m") <= small) | (F.col("n") <= WHOLE * small))
         all_chunks = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1))
         one = few.select("node", F.pmod(F.xxhash64("vertex"), chunks).alias("chunk"), "vertex")
-        two = few.filter("away").select("node", all_chunks.alias("chunk"), "vertex")
+        two = few.filter("away").filter(chunks > 1).select("node", all_chunks.alias("chunk"), "vertex")
         parts.append(one.unionByName(two).select(_name(F.col("node"), F.col("chunk")).alias("node"), "vertex").distinct())
-        many = sized.filter((F.col("m") > small) & (F.col("n") > 2 * small))
+        many = sized.filter((F.col("m") > small) & (F.col("n") > WHOLE * small))
         if not many.limit(1).count():
             break
         if depth == FURTHER:
@@ -338,13 +376,8 @@ def _apart(chunked: DataFrame, leaders: DataFrame, found: DataFrame, vertices: D
             right = pairs.join(cut.select("node", F.col("i").alias("j"), "vertex"), ["node", "j"]).select("node", "i", "j", "vertex")
             parts.append(left.unionByName(right).select(_name(F.col("node"), F.col("i"), F.col("j")).alias("node"), "vertex").distinct())
             break
-        seeds = F.explode(F.array(*[F.lit(i) for i in range(1 if seeded else SEEDS)]))
-        grown = _branch(many.select("node", "vertex").join(labels, "vertex").select(seeds.alias("s"), "*").select(_name(F.col("node"), F.col("s"), F.lit(1)).alias("node"), "vertex", "sketch"), positions, similarity)
-        seeded = True
-        # in each child the most frequent label counts as the group that is known already
-        child = stored(grown, "grown").join(labels.select("vertex", "c"), "vertex")
-        home = child.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "c"))["c"].alias("home"))
-        now = stored(child.join(home, "node").select("node", "vertex", (F.col("c") != F.col("home")).alias("away")), "apart")
+        seeds = F.explode(F.array(*[F.lit(i) for i in range(SEEDS if depth == 0 else 1)]))
+        now = _branch(many.select("node", "vertex", "c").join(known.select("vertex", "sketch"), "vertex").select(seeds.alias("s"), "*").select(_name(F.col("node"), F.col("s"), F.lit(1)).alias("node"), "vertex", "c", "sketch"), positions, similarity)
     nodes = parts[0]
     for part in parts[1:]:
         nodes = nodes.unionByName(part)

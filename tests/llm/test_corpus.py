@@ -322,6 +322,49 @@ def test_vectors(spark, block):
     check_vectors(spark, rows, block=block)
 
 
+def test_components_in_rounds_and_at_once(spark):
+    rng = np.random.default_rng(6)
+    edges = [(i, i - 1) for i in range(40)] + [(-5, -5)] + [tuple(map(int, rng.integers(2_000, 2_100, 2))) for _ in range(60)]
+    real = [e for e in edges if e[0] != e[1]]
+    want = plain_components(real, sorted({v for e in real for v in e}))
+    for few in (0, 50_000):
+        assert {r["v"]: r["c"] for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()} == want
+        assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def test_common_elements_of_sets():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 6_000, n).astype(np.uint64)) for n in (1, 40, 900, 2_500, 2_500, 4_000)]
+    got = near_duplicates._common(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6) if i != j)
+
+
+def test_near_copies_partly_linked_are_not_branched_over_and_over(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = family(rng, 120, 150, 3, 0) + [(1_000 + i, t) for i, (_, t) in enumerate(family(rng, 60, 150, 60, 0))]
+    base = rows[0][1].split()
+    for i in range(60):
+        w = list(base)
+        for at in rng.choice(len(w), 8, replace=False):
+            w[at] = f"x{rng.integers(0, 9_000)}"
+        rows.append((2_000 + i, " ".join(w)))
+    seen, real = Counter(), near_duplicates.stored
+
+    def counted(df, name="table"):
+        out = real(df, name)
+        seen[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_duplicates, "stored", counted)
+    check_near(spark, rows, small=32)
+    assert sum(seen[x] for x in ("nodes", "apart_nodes", "grown")) <= 25 * len(rows), seen
+
+
+def test_comparing_needs_one_byte_of_a_position(spark):
+    rows = near_duplicates.sketched(spark.createDataFrame([(1, "a b c d e f"), (2, " ")], "doc_id long, text string"), "text", "doc_id", 5, 64).collect()
+    assert len(rows[0]["bits"]) == 64 and rows[0]["bits"] == bytes(rows[0]["sketch"][::4]) and rows[1]["bits"] is None
+
+
 def test_vectors_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, n long, v string"
     assert cover_tree.near_vectors(spark.createDataFrame([], schema)).count() == 0
