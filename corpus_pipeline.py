@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossloom.llm import language, mixing, near_duplicates, packing, toxicity
-from glossloom.llm.common import stored, table, text_or_empty
+from glossloom.llm.common import if_small, stored, table, text_or_empty
 
 #: A document stays if its words are of its best language with at least this mean probability.
 LEAST_LANGUAGE = 0.5
@@ -35,11 +35,14 @@ def by_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates stays; rows are numbered, so repeated or missing ids do no harm."""
+    """One row of each group of near duplicates stays; rows are numbered, so repeated or missing ids do no harm.
+
+    The numbers of dropped rows, the fewer ones, go to the texts while they are few; only beyond that are texts shuffled.
+    """
     numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
     groups = near_duplicates.near_duplicates(numbered.select("number", F.col("row.text").alias("text")), doc_id="number")
-    kept = groups.filter("kept").select(F.col("doc_id").alias("number"))
-    return numbered.join(kept, "number", "left_semi").select("row.*")
+    dropped = stored(groups.filter("NOT kept").select(F.col("doc_id").alias("number")), "dropped")
+    return numbered.join(if_small(dropped, near_duplicates.FEW_IDS), "number", "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

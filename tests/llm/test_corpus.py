@@ -399,3 +399,14 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     left = [r["doc_id"] for r in corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path)).collect()]
     assert sum(i in (6, 7, 8) for i in left) == 1 and left.count(None) == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "mix", "packing"]
+
+
+def test_pipeline_does_not_shuffle_texts_to_drop_few(spark, capsys):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.without_near_duplicates(spark, table(spark, SF, "documents").limit(60), SF)
+        out.explain()
+        plan = capsys.readouterr().out
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and out.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
