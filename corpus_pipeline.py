@@ -39,7 +39,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     The numbers of dropped rows, the fewer ones, go to the texts while they are few; only beyond that are texts shuffled.
     """
-    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    numbered = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered", "zstd")
     groups = near_duplicates.near_duplicates(numbered.select("number", F.col("row.text").alias("text")), doc_id="number")
     dropped = stored(groups.filter("NOT kept").select(F.col("doc_id").alias("number")), "dropped")
     return numbered.join(if_small(dropped, near_duplicates.FEW_IDS), "number", "left_anti").select("row.*")

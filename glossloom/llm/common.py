@@ -51,10 +51,10 @@ def broadcast(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
