@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glossloom import fixed
 from glossloom.functions.bind import bound, let
+from glossloom.functions.sequence import kalman_both, line_fill
 
 LEFT, RIGHT, FACE = fixed.N_POSE, fixed.N_POSE + fixed.N_HAND, fixed.N_POSE + 2 * fixed.N_HAND
 
@@ -169,6 +170,27 @@ def normalize_position(frame: Column) -> Column:
     return let(F.struct(origin.alias("o"), scale.alias("s")), move)
 
 
+def smoothed(clips: pa.Array) -> pa.Array:
+    """Occlusion fill and Kalman smoothing of a batch of clips, whose frames all have the same points.
+
+    Coordinates that are null or not finite and points at the origin are missing and lie on the line
+    between their neighbours in time; points missing in all frames become 0.
+    """
+    frames = clips.flatten()
+    sizes = pc.fill_null(pc.list_value_length(clips), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    v, ok = (a.T.reshape(len(frames), -1, 3) if len(frames) else a.T for a in unpacked(frames)[2:])
+    ok = ok & np.isfinite(v)
+    ok &= (np.linalg.norm(np.where(ok, v, 0.0), axis=-1) >= 1e-6)[..., None]
+    out = np.zeros(v.shape)
+    for size in np.unique(sizes[sizes > 0]):
+        at = starts[sizes == size][:, None] + np.arange(size)
+        out[at] = kalman_both(line_fill(v[at], ok[at]).swapaxes(0, 1)).swapaxes(0, 1)
+    made = out.reshape(-1, 3).T
+    inner = repacked(frames, made, np.ones(made.shape, bool), True)
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), inner, mask=clips.is_null())
+
+
 @bound
 def center_joints(frames: Column) -> Column:
     """Root joint to the origin in every frame, mean shoulder width of the clip to 1.

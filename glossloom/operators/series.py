@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossloom import fixed
+from glossloom.functions import points
 from glossloom.functions.sequence import delay_modes, kalman_gains, kalman_map, kalman_run, same_length
 from glossloom.operators.ranking import time_rank
 from glossloom.session import checkpoint
@@ -233,12 +235,24 @@ def trim_clips(df: DataFrame, by: list[str], present: Column, min_keep: int = 4)
     return rows.filter(keep).drop("_p", "_a", "_z", "_n")
 
 
+def smooth_joints(df: DataFrame, clips: str) -> DataFrame:
+    """The column of clips of points, filled and smoothed; a step of its own, as expressions that follow cannot hold a Python function."""
+
+    def run(batches):
+        for batch in batches:
+            made = {n: points.piecewise(points.smoothed, c) if n == clips else c for n, c in zip(batch.schema.names, batch.columns)}
+            yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def dynamic_modes(
-    df: DataFrame, keep: list[str], arr: Column, dim: int | Column = 1, delays: int = fixed.DMD_DELAYS, rank: int = fixed.DMD_MODES
+    df: DataFrame, keep: list[str], arr: Column, dim: int | Column = 1, delays: int = fixed.DMD_DELAYS, rank: int = fixed.DMD_MODES, coords: int = 1
 ) -> DataFrame:
     """Per clip: eigenvalues, amplitudes, mode magnitudes, spectrum and mode map of its dynamic modes.
 
-    `dim` is the number of channels, one for all clips or a column.
+    `dim` is the number of channels, one for all clips or a column; the mode map has
+    one value per `coords` channels.
     """
     rows = df.select(*keep, arr.alias("_x"), (dim if isinstance(dim, Column) else F.lit(dim)).alias("_dim"))
     names = ["re", "im", "amp", "spatial", "spectrum", "modes"]
@@ -251,7 +265,7 @@ def dynamic_modes(
             for channels in pdf["_dim"].unique():
                 some = np.flatnonzero(pdf["_dim"] == channels)
                 for at, clips in same_length(pdf["_x"].iloc[some]):
-                    made[some[at]] = delay_modes(clips.reshape(len(at), -1, channels), delays, rank)
+                    made[some[at]] = delay_modes(clips.reshape(len(at), -1, channels), delays, rank, coords)
             yield pd.concat([pdf.drop(columns=["_x", "_dim"]), pd.DataFrame(list(made), columns=names)], axis=1)
 
     return rows.mapInPandas(run, schema)

@@ -406,9 +406,9 @@ def model_input(spark, d):
 
 @query("joint_spectrum")
 def joint_spectrum(spark, d):
-    """Per body part: dynamic modes of the smoothed, centred joints, their spectrum and mode map."""
-    ready = F.transform("frames", lambda f: points.zero_missing(points.joints(f)))
-    rows = views.point_clips(spark, d).select("vec_id", points.center_joints(ready).alias("fs"))
+    """Per body part: dynamic modes of the filled, smoothed, centred joints, their spectrum, mode map by joint and kinetic energy."""
+    rows = views.point_clips(spark, d).select("vec_id", F.transform("frames", points.joints).alias("fs"))
+    rows = series.smooth_joints(rows, "fs").select("vec_id", points.center_joints(F.col("fs")).alias("fs"))
     parts = {"upper": (1, 7), "left_hand": (8, 10), "right_hand": (18, 10)}
 
     def flat(at, n):
@@ -416,7 +416,8 @@ def joint_spectrum(spark, d):
 
     made = [F.struct(F.lit(name).alias("part"), flat(at, n).alias("x"), F.lit(3 * n).alias("dim")) for name, (at, n) in parts.items()]
     rows = rows.select("vec_id", F.explode_outer(F.array(*made)).alias("p")).select("vec_id", "p.*")
-    return series.dynamic_modes(rows, ["vec_id", "part"], F.col("x"), F.col("dim"), 2).select("vec_id", "part", "spectrum", "modes")
+    rows = rows.withColumn("energy", sequence.kinetic_energy(F.col("x"), F.col("dim")))
+    return series.dynamic_modes(rows, ["vec_id", "part", "energy"], F.col("x"), F.col("dim"), coords=3).select("vec_id", "part", "spectrum", "modes", "energy")
 
 
 def _normal(salt: str, axis: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossloom import fixed
 from glossloom.functions import points, sequence, stats, text
 from glossloom.functions.hashing import hamming_hex, in_shard, parse_shard
+from glossloom.operators import series
 from glossloom.plans import seqs, views
 from glossloom.sources.clips import quality_score
 
@@ -287,6 +288,74 @@ def test_clips_of_points_from_odd_vectors(spark, tmp_path):
     assert tuple(got[None].frames[1][74]) == (None,) * 3 and tuple(got[None].frames[1][75]) == (2.0,) * 3 and got[-4].label is None
 
 
+def smooth_by_hand(x, known):
+    """One channel at a time: line over unknown values, then the textbook filter both ways."""
+    t = np.arange(len(x))
+    if not known.any():
+        return np.zeros(len(x))
+    ahead = kalman_matrix(np.interp(t, t[known], x[known]))
+    return (ahead + kalman_matrix(ahead[::-1])[::-1]) / 2
+
+
+def odd_clips():
+    """Clips of joints: whole, gaps inside and at the ends, origin points, NaN, infinite and null coordinates, a joint never seen, one frame."""
+    rng = np.random.default_rng(11)
+    clips = [rng.normal(size=(n, 4, 3)).tolist() for n in (8, 8, 8, 3, 1)]
+    clips[1][0][0] = clips[1][3][0] = clips[1][4][0] = clips[1][7][1] = None
+    clips[1][2][2], clips[1][5][2] = [0.0] * 3, [1e-8, 0.0, None]
+    clips[2][1][0][1], clips[2][2][1][0], clips[2][3][2][2] = math.nan, None, math.inf
+    for frame in clips[2]:
+        frame[3] = None
+    return clips
+
+
+def known_joints(clip):
+    x = np.array([[[math.nan if v is None else v for v in (j or [None] * 3)] for j in f] for f in clip])
+    known = np.isfinite(x)
+    return x, known & (np.sqrt((np.where(known, x, 0) ** 2).sum(2)) >= 1e-6)[..., None]
+
+
+def test_smoothed_joints_fill_what_is_missing(spark, monkeypatch):
+    monkeypatch.setattr(points, "PIECE", 2)
+    clips = odd_clips()
+    rows = [(i, [[j and tuple(j) for j in f] for f in c]) for i, c in enumerate(clips)] + [(8, []), (9, None)]
+    df = spark.createDataFrame(rows, "i long, c array<array<struct<x:double,y:double,z:double>>>").coalesce(1)
+    got = {r.i: r.c for r in series.smooth_joints(df, "c").collect()}
+    assert len(got) == 7 and got[8] == [] and got[9] is None
+    for i, clip in enumerate(clips):
+        x, known = known_joints(clip)
+        want = [[smooth_by_hand(x[:, j, c], known[:, j, c]) for c in range(3)] for j in range(4)]
+        assert np.allclose(np.array(got[i]).transpose(1, 2, 0), want, rtol=1e-9, atol=1e-12)
+
+
+def test_joint_spectrum_fills_and_smooths_before_the_modes(spark):
+    d = "/root/testdata/sf0.001"
+    clips = views.point_clips(spark, d).select("vec_id", F.transform("frames", points.joints).alias("c"))
+    got = {(r.vec_id, r.part): r for r in seqs.joint_spectrum(spark, d).collect()}
+    assert len(got) == 3 * clips.count()
+    for row in clips.filter("vec_id % 25 < 2").collect():
+        x, known = known_joints(row.c)
+        x = np.array([[smooth_by_hand(x[:, j, c], known[:, j, c]) for c in range(3)] for j in range(27)]).transpose(2, 0, 1)
+        x = x - x[:, :1]
+        x = x / np.linalg.norm(x[:, 1] - x[:, 2], axis=1).mean()
+        for part, rows in {"upper": slice(0, 7), "left_hand": slice(7, 17), "right_hand": slice(17, 27)}.items():
+            own, made = x[:, rows].reshape(8, -1).T, got[row.vec_id, part]
+            h = np.concatenate([own[:, :7], own[:, 1:]])  # a third of 8 frames leaves two delays
+            u, s, v = np.linalg.svd(h[:, :-1], full_matrices=False)
+            values, inside = np.linalg.eig(u[:, :3].T @ h[:, 1:] @ v[:3].T / s[:3])
+            order = np.lexsort((-np.abs(values), -np.abs(np.angle(values))))
+            modes = (u[:, :3] @ inside[:, order])[: len(own)]
+            start = np.abs(np.linalg.pinv(modes, rcond=1e-6) @ own[:, 0])
+            course = start[:, None] * np.clip(np.abs(values[order]), 0.5, 1.5)[:, None] ** np.arange(8)
+            angle = np.angle(values[order])
+            want = np.stack([np.log1p(np.abs(values[order])), np.sin(angle), np.cos(angle), np.sqrt((course**2).mean(1))], 1)
+            by_joint = np.abs(modes).reshape(-1, 3, 3).mean(1)
+            assert np.allclose(made.spectrum, want.ravel(), atol=1e-6)
+            assert np.allclose(made.modes, (by_joint / (by_joint.max(0) + 1e-6)).ravel(), atol=1e-6)
+            change = np.diff(x[:, rows], axis=0, prepend=x[:1, rows])
+            assert made.energy == pytest.approx(np.sqrt((change**2).mean()), rel=1e-9)
+
+
 @pytest.mark.parametrize("name", ["augment_points", "point_layouts", "joint_spectrum", "normalize_position", "model_input", "hand_shapes"])
 def test_point_queries_give_a_task_a_bounded_number_of_clips(spark, monkeypatch, name):
     monkeypatch.setattr(views, "POINT_TASK", 10, raising=False)
